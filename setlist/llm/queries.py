@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, pii, secret_scan
+from . import fingerprint, html_extract, langid, media, pii, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(_documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_documents(spark, sf_dir))
 
@@ -21,6 +25,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_documents(spark, sf_dir))
 
@@ -30,8 +38,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op2_secret_scan": op2_secret_scan,
     "op4_pii": op4_pii,
+    "op6_order_minhash": op6_order_minhash,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
 }
