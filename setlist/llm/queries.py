@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, langid, media, pii, secret_scan
+from . import fingerprint, html_extract, langid, media, packing, pii, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(_documents(spark, sf_dir))
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_pii": op4_pii,
     "op6_order_minhash": op6_order_minhash,
+    "op8_mixture_packing": op8_mixture_packing,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
 }
