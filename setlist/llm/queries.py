@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, langid, media, packing, pii, secret_scan
+from . import fingerprint, html_extract, langid, media, packing, pii, secret_scan, spm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_documents(spark, sf_dir))
 
 
+def op3_bpe_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.report(_documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_secret_scan": op2_secret_scan,
+    "op3_bpe_dropout": op3_bpe_dropout,
     "op4_pii": op4_pii,
     "op6_order_minhash": op6_order_minhash,
     "op8_mixture_packing": op8_mixture_packing,
