@@ -31,17 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_rounds import _M1, _M2, LONGEST, mix, rounds
 from .common import whole_text
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
 VARIANTS = 4
-LONGEST = 48
-CACHE = 300_000
+CACHE = 1_000_000
 SPACE = "▁"
-_NEVER = np.int64(1 << 40)
-_M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _ALL = (1 << 64) - 1
 _PIECE = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -58,12 +56,6 @@ def _mix_int(x: int) -> int:
     return x ^ (x >> 32)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(_M1)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(_M2)
-    return x ^ (x >> np.uint64(32))
-
-
 class Bpe:
     """Merge tables of a SentencePiece BPE model."""
 
@@ -77,6 +69,10 @@ class Bpe:
         self.ids = {p: i for i, p in enumerate(self.pieces) if normal[i]}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.table = -np.arange(0x110000, dtype=np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.table[ord(p)] = i
         # best score first; pieces of equal score are equally good
         levels = {s: k for k, s in enumerate(sorted({-sp.get_score(i) for i in self.ids.values()}))}
         pairs = {}
@@ -93,6 +89,10 @@ class Bpe:
         """A known code point's id, or minus the code point."""
         return [self.ids.get(c, -ord(c)) for c in word]
 
+    @staticmethod
+    def pack(rows: np.ndarray) -> np.ndarray:
+        return rows.astype("<u2")
+
     def final(self, symbols: list[int]) -> bytes:
         """Symbols as 16-bit ids, unknown code points as bytes."""
         out = []
@@ -111,6 +111,14 @@ def word_key(word: str, variant: int, seed: int) -> int:
     return _mix_int(h + (variant + 1) * _M2 & _ALL)
 
 
+def word_keys(points: np.ndarray, variant: int, seed: int) -> np.ndarray:
+    """:func:`word_key` of each row of code points."""
+    h = np.full(len(points), seed & _ALL, np.uint64)
+    for c in points.T:
+        h = h * np.uint64(0x100000001B3) + c
+    return mix(h + np.uint64((variant + 1) * _M2 & _ALL))
+
+
 def skipped(key: int, start: int, mid: int, end: int, dropout: float) -> bool:
     x = _mix_int((key + start * 0x2545F4914F6CDD1D + mid * 0x9E6C63D0876A9A47 + end * 0xD1342543DE82EF95) & _ALL)
     return x >> 11 < int(dropout * (1 << 53))
@@ -145,73 +153,17 @@ def agenda(bpe: Bpe, word: str, key: int, dropout: float) -> list[int]:
     return [s for s in sym if s]
 
 
-def merge_words(bpe: Bpe, words: list[str], keys: list[int], dropout: float) -> list[bytes]:
-    """Segment words of any lengths up to ``LONGEST``, all words of a length at once."""
+def merge_words(bpe: Bpe, words: list[str], variant: int, seed: int, dropout: float) -> tuple[list[str], list[bytes]]:
+    """Segment words of up to ``LONGEST`` code points, all words of a length at once. Returns
+    the words in another order, and their ids."""
+    words = sorted(words, key=len)
     out: list[bytes] = [b""] * len(words)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for n, at in by_length.items():
-        s = np.array([bpe.symbols(words[i]) for i in at], np.int64).reshape(len(at), n)
-        key = np.array([keys[i] for i in at], np.uint64)
-        _rounds(bpe, s, key, np.array(at), dropout, out)
-    return out
-
-
-def _candidates(bpe: Bpe, s: np.ndarray, p: np.ndarray, key: np.ndarray, j: np.ndarray | slice, dropout: float, rows=None) -> tuple[np.ndarray, np.ndarray]:
-    """Rank and result of merging symbols ``j`` and ``j + 1``; skipped ones rank last."""
-    if rows is None:
-        a, b, lo, mid, hi, k = s[:, :-1], s[:, 1:], p[:, :-2], p[:, 1:-1], p[:, 2:], key[:, None]
-    else:
-        a, b, lo, mid, hi, k = s[rows, j], s[rows, j + 1], p[rows, j], p[rows, j + 1], p[rows, j + 2], key[rows]
-    code = np.where((a > 0) & (b > 0), a * bpe.count + b, -1)
-    i = np.minimum(np.searchsorted(bpe.keys, code), len(bpe.keys) - 1)
-    hit = bpe.keys[i] == code
-    if dropout:
-        u = np.uint64
-        x = _mix(k + lo.astype(u) * u(0x2545F4914F6CDD1D) + mid.astype(u) * u(0x9E6C63D0876A9A47) + hi.astype(u) * u(0xD1342543DE82EF95))
-        hit &= x >> u(11) >= u(int(dropout * (1 << 53)))
-    return np.where(hit, bpe.rank[i], _NEVER), bpe.merged[i]
-
-
-def _rounds(bpe: Bpe, s: np.ndarray, key: np.ndarray, at: np.ndarray, dropout: float, out: list[bytes]) -> None:
-    n = s.shape[1]
-    p = np.broadcast_to(np.arange(n + 1), (len(s), n + 1)).copy()
-    rank, new = _candidates(bpe, s, p, key, slice(None), dropout) if n > 1 else (np.empty((len(s), 0), np.int64),) * 2
-    while len(s):
-        width = s.shape[1]
-        best = rank.argmin(axis=1) if width > 1 else np.zeros(len(s), np.int64)
-        go = rank[np.arange(len(s)), best] < _NEVER if width > 1 else np.zeros(len(s), bool)
-        if not go.all():
-            done = ~go
-            rows = s[done]
-            plain = (rows > 0).all(axis=1)
-            packed = rows.astype("<u2")
-            for i, ok, row, ids in zip(at[done].tolist(), plain.tolist(), rows, packed, strict=True):
-                out[i] = ids.tobytes() if ok else bpe.final(row.tolist())
-            s, p, key, at, rank, new, best = s[go], p[go], key[go], at[go], rank[go], new[go], best[go]
-        if not len(s):
-            return
-        m = len(s)
-        r = np.arange(m)
-        s[r, best] = new[r, best]
-        keep = np.ones((m, width), bool)
-        keep[r, best + 1] = False
-        s = s[keep].reshape(m, width - 1)
-        keep_p = np.ones((m, width + 1), bool)
-        keep_p[r, best + 1] = False
-        p = p[keep_p].reshape(m, width)
-        if width == 2:
-            rank = new = np.empty((m, 0), np.int64)
-            continue
-        # of the pairs around the merge one goes and its neighbours change
-        keep = np.ones((m, width - 1), bool)
-        keep[r, np.minimum(best, width - 2)] = False
-        rank, new = rank[keep].reshape(m, width - 2), new[keep].reshape(m, width - 2)
-        for j in (best - 1, best):
-            rows = np.flatnonzero((j >= 0) & (j < width - 2))
-            if len(rows):
-                rank[rows, j[rows]], new[rows, j[rows]] = _candidates(bpe, s, p, key, j[rows], dropout, rows)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(lengths).tolist():
+        lo, hi = np.searchsorted(lengths, [n, n + 1]).tolist()
+        points = np.frombuffer("".join(words[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(hi - lo, n)
+        rounds(bpe, bpe.table[points], word_keys(points, variant, seed), np.arange(lo, hi), dropout, out)
+    return words, out
 
 
 class Encoder:
@@ -225,10 +177,7 @@ class Encoder:
 
     def _learn(self, variant: int, words: set[str]) -> None:
         known = self.words[variant]
-        if len(known) + len(words) > CACHE // self.variants + len(words) // 2:
-            known.clear()
-        short = [w for w in words if 0 < len(w) <= LONGEST]
-        known.update(zip(short, merge_words(self.bpe, short, [word_key(w, variant, self.seed) for w in short], self.dropout), strict=True))
+        known.update(zip(*merge_words(self.bpe, [w for w in words if 0 < len(w) <= LONGEST], variant, self.seed, self.dropout), strict=True))
         for w in words:
             if len(w) > LONGEST:
                 known[w] = self.bpe.final(agenda(self.bpe, w, word_key(w, variant, self.seed), self.dropout))
@@ -262,7 +211,7 @@ class Encoder:
             for i in range(min(v, len(parts))):
                 need[(h + i) % v].update(parts[i::v])
         for k in range(v):
-            missing = need[k] - self.words[k].keys()
+            missing = {w for w in need[k] if w not in self.words[k]}
             if missing:
                 if len(self.words[k]) + len(missing) > CACHE // v:
                     missing = need[k]
