@@ -69,3 +69,16 @@ def span_list(kinds: list[str], prefix: str = "m_") -> Column:
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+SALTS = 256
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt_by: list[str], salts: int = SALTS) -> DataFrame:
+    """Left join of ``rows`` to a table with one row per ``key``, for keys that many rows share.
+
+    A row's salt comes from a hash of ``salt_by``. The table sends a key once per salt that
+    occurs, and rows meet it by (key, salt), so a hot key is spread over ``salts`` groups."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt_by]), F.lit(salts)))
+    wanted = salted.where(F.col(key).isNotNull()).select(key, "__salt").distinct()
+    return salted.join(wanted.join(table, key), [key, "__salt"], "left").drop("__salt")

@@ -10,7 +10,7 @@ payload is its bytes, filled with blanks (byte 32) to a positive multiple of 192
 
 Scale: one digest may be referred to by a third of all rows. References are dealt by (digest,
 salt), and the store sends each digest once per salt that occurs, so no key holds more than
-``1/SALTS`` of a digest's references. Copies of a payload are dropped before the shuffle, and the
+a 256th of a digest's references. Copies of a payload are dropped before the shuffle, and the
 query's plan prunes the payload column: only descriptors are shuffled.
 
 Null html gives no entries, null text is an empty payload; repeated rows resolve to equal rows;
@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import salted_lookup, whole_text
 
 ROW = 192
 WIDTH = 64
-SALTS = 256
 TAIL = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
@@ -195,11 +194,7 @@ def media_store(payloads: DataFrame, column: str = "payload", keep_media: bool =
 def resolve(refs: DataFrame, store: DataFrame, key: str | list[str]) -> DataFrame:
     """Left join of references to the store by ``digest``; ``key`` names columns that tell
     references apart, to salt digests that many of them share."""
-    keys = [key] if isinstance(key, str) else key
-    salted = refs.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(SALTS)))
-    wanted = salted.where("digest is not null").select("digest", "__salt").distinct()
-    copies = wanted.join(store, "digest")
-    return salted.join(copies, ["digest", "__salt"], "left").drop("__salt")
+    return salted_lookup(refs, store, "digest", [key] if isinstance(key, str) else key)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, langid, media, packing, pii, secret_scan, spm
+from . import fingerprint, html_extract, langid, media, neardup, packing, pii, secret_scan, spm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(_documents(spark, sf_dir))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(_documents(spark, sf_dir))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_dropout": op3_bpe_dropout,
     "op4_pii": op4_pii,
     "op6_order_minhash": op6_order_minhash,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
