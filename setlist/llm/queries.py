@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, langid, media, neardup, packing, pii, secret_scan, spm
+from . import fingerprint, html_extract, langid, media, neardup, packing, pii, secret_scan, spm, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_documents(spark, sf_dir))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(_documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe_dropout": op3_bpe_dropout,
     "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_order_minhash": op6_order_minhash,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_mixture_packing": op8_mixture_packing,
