@@ -141,7 +141,7 @@ def children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
     out = np.empty((len(node), BRANCH), np.uint64)
     rows = np.arange(len(node))
     for b in range(BRANCH):
-        pick = _mix(node + np.uint64(b + 1) * _B)
+        pick = _mix(node + np.uint64((b + 1) * int(_B) % (1 << 64)))
         at = (pick % np.uint64(COORDINATES)).astype(np.int64)
         out[:, b] = _mix(pick ^ sig[rows, at].astype(np.uint64) * _M1)
     return out

@@ -112,7 +112,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every live credential replaced by ``mask``; common examples stay."""
+    """``docs`` with every live credential replaced by ``mask``; common examples stay. The columns
+    are those of ``docs``; ``n_chars``, where there is one, follows the text."""
     cols = docs.columns
     judged = scan(docs).select("__row", F.array_sort(F.array_distinct(F.transform(live_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))).alias("__cut"))
     judged = judged.where(F.size("__cut") > 0).dropDuplicates(["__row"])
@@ -128,4 +129,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     walked = F.aggregate(F.col("__cut"), F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")), step)
     df = df.withColumn("__w", F.when(F.col("__cut").isNotNull(), walked))
     clean = F.concat(F.col("__w.out"), F.substring(F.col("text"), (F.col("__w.pos") + 1).cast("int"), F.length("text")))
-    return df.withColumn("text", F.coalesce(clean, F.col("text"))).select(*[F.col(f"`{c}`") for c in cols])
+    df = df.withColumn("text", F.coalesce(clean, F.col("text")))
+    if "n_chars" in cols:
+        df = df.withColumn("n_chars", F.when(F.col("__cut").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return df.select(*[F.col(f"`{c}`") for c in cols])

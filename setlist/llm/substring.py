@@ -405,12 +405,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Pipeline stage: ``docs`` with repeated passages removed from the text. A cut through a
-    code point drops its rest; ``n_chars`` follows the text; the columns are those of ``docs``."""
+    code point drops its rest; ``n_chars`` follows a changed text; a null text becomes empty; the columns are those of ``docs``."""
 
     def describe(data: bytes, spans: np.ndarray) -> tuple:
-        return (kept_bytes(data, spans).decode("utf-8", "ignore"),)
+        return kept_bytes(data, spans).decode("utf-8", "ignore"), len(spans) > 0
 
-    out = _finished(docs, text, describe, [(text, "string", pa.string())])
+    out = _finished(docs, text, describe, [(text, "string", pa.string()), ("__cut", "boolean", pa.bool_())])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
