@@ -20,28 +20,31 @@ own; repeated rows are packed each; an empty table gives no rows; clashing names
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe_rounds import rounds
 from .common import cut, whole_text
 
 WINDOW = 4096
 CYCLE = 64
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -53,15 +56,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 # ---------------------------------------------------------------- tokens
 
 
+class WordMerges:
+    """Merge table of a byte-level BPE with word ends; symbols are ids plus one."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.count = len(vocab) + 1
+        pairs = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            pairs.setdefault((vocab[left] + 1) * self.count + vocab[right] + 1, (rank, vocab[left + right] + 1))
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
+        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        # byte-level models write a byte as itself where it is printable, else from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        letters = [chr(b if b in set(shown) else next(rest)) for b in range(256)]
+        self.inner = np.array([vocab[c] + 1 for c in letters], np.int64)
+        self.last = np.array([vocab[c + end] + 1 for c in letters], np.int64)
+
+    @staticmethod
+    def pack(rows: np.ndarray) -> np.ndarray:
+        return (rows - 1).astype("<u2")
+
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, each of a bounded length."""
+        pairs = sorted(((w.encode(), w) for w in words), key=lambda p: len(p[0]))
+        lengths = np.fromiter((len(b) for b, _ in pairs), np.int64, len(pairs))
+        out: list[bytes] = [b""] * len(pairs)
+        for n in np.unique(lengths).tolist():
+            lo, hi = np.searchsorted(lengths, [n, n + 1]).tolist()
+            raw = np.frombuffer(b"".join(b for b, _ in pairs[lo:hi]), np.uint8).reshape(hi - lo, n)
+            s = self.inner[raw]
+            s[:, -1] = self.last[raw[:, -1]]
+            rounds(self, s, np.zeros(hi - lo, np.uint64), np.arange(lo, hi), 0.0, out)
+        return {w: ids for (_, w), ids in zip(pairs, out, strict=True)}
+
+
 class WordCache:
     """Token ids of texts, as bytes of little-endian 16-bit ids, by way of their words.
 
     The tokenizer never joins text across a blank or a line feed and drops both, so a text's ids
-    are those of its pieces between them. Ids of pieces are kept, up to ``CACHE`` of them; those
-    of a plain lower-case word also serve the word with a capital, a comma or a full stop.
+    are those of its pieces between them. The pieces of one batch are kept for the next one. A
+    piece that is one run of letters with an optional comma or full stop is the ids of the word
+    in lower case and those of the mark; such words are merged many at a time by
+    :class:`WordMerges`, and up to ``CACHE`` are kept. All other pieces go to the tokenizers library
+    as they are.
     """
 
-    _tail = re.compile(r"([^\W\d_]+)([.,]?)")
+    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,24})([.,]?)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,42 +116,53 @@ class WordCache:
         self.model = Tokenizer.from_file(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        self.words: dict[str, bytes] = {"": b""}
+        self.merges = WordMerges(path)
+        self.marks = dict(zip(["", ".", ","], [b"", *self._encode([".", ","])], strict=True))
+        self.words: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.model.encode_batch(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         if len(self.plain) > CACHE:
             self.plain = {}
-        split, whole = {}, []
+        split, whole, need = [], [], set()
         for p in pieces:
-            m = self._tail.fullmatch(p)
-            # the final sigma is the one letter whose lower case depends on its neighbours
-            if m and unicodedata.is_normalized("NFC", p) and "Σ" not in p and "İ" not in p:
-                split[p] = (m[1].lower(), m[2])
+            m = self._plain.fullmatch(p)
+            if m:  # letters of Latin-1 alone: two bytes each at most, no case rule that looks around
+                word = m[1].lower()
+                split.append((p, word, m[2]))
+                if word not in self.plain:
+                    need.add(word)
             else:
                 whole.append(p)
-        need = list({x for parts in split.values() for x in parts if x and x not in self.plain})
-        self.plain.update(zip(need, self._encode(need), strict=True))
-        self.words.update(zip(whole, self._encode(whole), strict=True))
-        for p, (word, mark) in split.items():
-            self.words[p] = self.plain[word] + (self.plain[mark] if mark else b"")
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, pieces))
-        except KeyError:
-            missing = set(pieces) - self.words.keys()
-        if len(self.words) + len(missing) > CACHE:
-            self.words = {"": b""}
-            missing = set(pieces)
-        if len(missing) > CACHE:  # one text with more distinct pieces than are kept
-            return b"".join(self._encode([text]))
-        self._learn(missing - {""})
-        return b"".join(map(self.words.__getitem__, pieces))
+        if need:
+            self.plain.update(self.merges.encode(list(need)))
+        if whole:
+            self.words.update(zip(whole, self._encode(whole), strict=True))
+        self.words.update((p, self.plain[word] + self.marks[mark]) for p, word, mark in split)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the last
+        end). Arrow splits the texts and numbers the distinct pieces; only these become Python
+        objects."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat = pieces.values.dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        self._learn([p for p in names if p not in self.words])
+        found = [self.words[p] for p in names]
+        self.words = dict(zip(names, found, strict=True))
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 2
+        start = np.cumsum(size, dtype=np.int32) - size
+        which = flat.indices.to_numpy()
+        count = size[which]
+        end = np.cumsum(count, dtype=np.int64)
+        pool = np.frombuffer(b"".join(found), "<u2")
+        at = np.repeat(start[which] - (end - count).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        bounds = pieces.offsets.to_numpy()
+        return pool[at], np.concatenate(([0], end))[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=1)
@@ -125,8 +182,9 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", source: str = "sour
         chunk, filled = TaskContext.get().partitionId(), {}
         for b in batches:
             at, n, ids = [], [], []
-            for name, value in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                got = cache.encode(value.as_py()) + end
+            tokens, bounds = cache.encode_all(b.column(2))
+            for k, name in enumerate(b.column(1).to_pylist()):
+                got = tokens[bounds[k] : bounds[k + 1]].tobytes() + end
                 at.append(filled.get(name, 0))
                 n.append(len(got) // 2)
                 filled[name] = at[-1] + n[-1]
@@ -215,24 +273,34 @@ def schedule(totals: list[int], weights: list[float] | None = None, window: int
     return phases
 
 
-def pieces_of(phases: list[Phase], queue: int, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(start, length, sequence_id, offset)`` of a document of ``n`` tokens at ``at``."""
-    starts = [p.queue_at[queue] for p in phases]
-    k = int(np.searchsorted(starts, at, side="right")) - 1
-    done = 0
-    while done < n:
-        p = phases[k]
-        per = int(p.per_cycle[queue])
-        inside = at + done - int(p.queue_at[queue])
-        if per == 0 or inside >= per * p.cycles:
+class Queue:
+    """One queue's part of the phases, in plain lists for quick look-up."""
+
+    def __init__(self, phases: list[Phase], queue: int):
+        mine = [p for p in phases if p.per_cycle[queue]]
+        self.starts = [int(p.queue_at[queue]) for p in mine]
+        self.phases = [(p.first_window, int(p.per_cycle[queue]), len(p.taken) - 1, p.taken[:, queue].tolist(), p.begin[:, queue].tolist()) for p in mine]
+
+    def pieces(self, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(start, length, sequence_id, offset)`` of a document of ``n`` tokens at ``at``."""
+        k = bisect_right(self.starts, at) - 1
+        done = 0
+        while done < n:
+            first, per, windows, taken, begin = self.phases[k]
+            stop = self.starts[k + 1] - at if k + 1 < len(self.starts) else n
+            stop = min(n, stop)
+            turn, rest = divmod(at + done - self.starts[k], per)
+            r = bisect_right(taken, rest) - 1
+            while done < stop:
+                length = min(stop - done, taken[r + 1] - rest)
+                if length:
+                    yield done, length, first + turn * windows + r, begin[r] + rest - taken[r]
+                done += length
+                rest += length
+                r += 1
+                if r == windows:
+                    r, rest, turn = 0, 0, turn + 1
             k += 1
-            continue
-        turn, rest = divmod(inside, per)
-        taken = p.taken[:, queue]
-        r = int(np.searchsorted(taken, rest, side="right")) - 1
-        length = min(n - done, int(taken[r + 1]) - rest)
-        yield done, length, p.first_window + turn * (len(taken) - 1) + r, int(p.begin[r, queue]) + rest - int(taken[r])
-        done += length
 
 
 # ---------------------------------------------------------------- the operator
@@ -245,7 +313,7 @@ def pack(docs: DataFrame, path: str | None = None, source: str = "source", weigh
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
     phases = schedule([totals[s] for s in names], None if weights is None else [float(weights.get(s, 0.0)) for s in names], window)
-    queue = {s: i for i, s in enumerate(names)}
+    queues = {s: Queue(phases, i) for i, s in enumerate(names)}
     total = sum(totals.values())
     last, rest = divmod(total, window)
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -260,7 +328,7 @@ def pack(docs: DataFrame, path: str | None = None, source: str = "source", weigh
             columns = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True)
             for i, (name, at, n, ids) in enumerate(columns):
                 wide = np.frombuffer(unpack.decompress(ids.as_py()), dtype="<u2").astype("<u4").tobytes()
-                for start, length, seq, offset in pieces_of(phases, queue[name], at, n):
+                for start, length, seq, offset in queues[name].pieces(at, n):
                     where.append(i)
                     found.append((start, length, crc32(memoryview(wide)[4 * start : 4 * (start + length)]), n, seq, offset, window if seq < last else 1 << (rest - 1).bit_length()))
             made = list(zip(*found, strict=True)) if found else [()] * 7

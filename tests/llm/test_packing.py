@@ -3,6 +3,7 @@ from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from setlist.llm import packing as P
@@ -20,7 +21,7 @@ def test_schedule_places_every_token_once(seed):
         while at < n:
             size = min(n - at, rng.randint(1, 300))
             want = 0
-            for start, length, seq, offset in P.pieces_of(phases, q, at, size):
+            for start, length, seq, offset in P.Queue(phases, q).pieces(at, size):
                 assert start == want and length > 0 and offset + length <= 64
                 want += length
                 for i in range(length):
@@ -37,15 +38,21 @@ def test_schedule_places_every_token_once(seed):
             assert all(abs(x / 64 - t / total) < 0.05 for x, t in zip(s, totals, strict=True))
 
 
-def test_word_cache_is_exact(spark, sf):
+def test_word_cache_is_exact(spark, sf, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.tokenizer_path())
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    texts += ["", " ", "\n\n", "İstanbul ΟΔΟΣ ςΣ, é ́x don't I'LL <|endoftext|> a<|startoftext|>b a\tb c d\x1ce 12.5, ½ ǅ ﬁ", "日本語 テスト, 👍🏽", "A.B, ,. word., W0rd_x"]
+    texts += ["", " ", "\n\n", "İstanbul ΟΔΟΣ ςΣ, é ́x don't I'LL <|endoftext|> a<|startoftext|>b a\tb c d\x1ce 12.5, ½ ǅ ﬁ", "日本語 テスト, 👍🏽", "A.B, ,. word., W0rd_x", "aªb ºC µM ÿŸ ß ÀÉ, " + "z" * 24 + " " + "é" * 24 + " " + "q" * 25, "".join(chr(i) + " x" + chr(i) + ". " for i in range(32, 0x2FF))]
     cache = P.WordCache(P.tokenizer_path())
-    for x in texts * 2:
-        assert np.frombuffer(cache.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    monkeypatch.setattr(P, "CACHE", 300)
+    tight = P.WordCache(P.tokenizer_path())
+    for array in (pa.array(texts), pa.array(["x y", *texts, "z"]).slice(1, len(texts))):
+        for c in (cache, tight):
+            ids, at = c.encode_all(array)
+            for k, x in enumerate(texts):
+                assert ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
+    assert len(cache.encode_all(pa.array([], pa.string()))[0]) == 0
 
 
 def test_pack_report(spark, sf):
