@@ -130,7 +130,7 @@ def greedy_deck(songs: DataFrame, locked: DataFrame, targets: dict[str, int], ar
     blocked = known.select("guardrail").where("guardrail is not null").distinct()
     few = few.join(blocked, "guardrail", "left_anti").select(*few.columns) if total else few.limit(0)
     rows = few.withColumn("anchor", F.lit(None).cast("string")).unionByName(
-        locked.select("song_id", "expansion_anchor", F.col("year").cast("long").alias("locked_year")).join(known, "song_id", "left").select("song_id", F.coalesce("year", "locked_year").alias("year"), "owner_ids", "artist_key", "album_id", "popularity", "guardrail", F.col("expansion_anchor").alias("anchor"))
+        locked.select("song_id", "expansion_anchor", F.col("year").cast("long").alias("locked_year")).join(known, "song_id", "left").select("song_id", F.when(F.col("owner_ids").isNull(), F.col("locked_year")).otherwise(F.col("year")).alias("year"), "owner_ids", "artist_key", "album_id", "popularity", "guardrail", F.col("expansion_anchor").alias("anchor"))
     )
 
     def pick(table: pa.Table) -> pa.Table:
