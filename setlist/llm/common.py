@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let the driver drop shuffle files that no live plan needs, such as those behind a cut.
+    Spark removes them when the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def cut_dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """:func:`cut` of rows dealt by ``keys``, which keeps how they were dealt: grouping by
+    these keys needs no exchange afterwards. A plan that adapts itself forgets that, so this one
+    plan is made without adapting."""
+    ensure_checkpoint_dir(df.sparkSession)
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(parts, *keys).checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -1,14 +1,14 @@
 """Exact substring dedup by distributed prefix doubling on sampled positions.
 
 A byte goes when a string of ``LENGTH`` bytes covers it that also starts in a document with a
-smaller id. Ranks are names: the rank of 16 bytes is a fingerprint, the rank of 32 bytes that of
-the pair of ranks at offsets 0 and 16, the rank of 50 bytes that of the pair at 0 and 18. Equal
-strings have equal ranks, whichever task names them, so only comparison needs a shuffle.
+smaller id. Ranks are names: the rank of 16 bytes is a fingerprint, the rank of 24 or 32
+bytes that of the pair of ranks at offsets 0 and 16, the rank of 50 bytes that of the pair at 0 and
+18. Equal strings have equal ranks, whichever task names them, so only comparison needs a shuffle.
 
 Doubling over every byte would move more than ten times the input in each round. So positions
-are sampled first: every window of ``LENGTH`` bytes takes its smallest 16-byte rank as *anchor*,
+are sampled first: every window of ``LENGTH`` bytes takes its smallest 24-byte rank as *anchor*,
 which depends on the window's content alone. Neighbouring windows share anchors, about one per
-18 bytes; the windows of one anchor form its *stretch* of at most 84 bytes. Rounds:
+14 bytes; the windows of one anchor form its *stretch* of at most 76 bytes. Rounds:
 
 1. Anchors are sorted by (rank of the anchor, rank of its stretch). A stretch that a smaller
    document has too is settled, with all of its windows. An anchor whose rank no other stretch
@@ -38,41 +38,41 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, cut_dealt, release, whole_text
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 SPAN = LENGTH - GRAM + 1
 BATCH_BYTES = 8 << 20
 PER_ANCHOR = 4
 PIECE = 1 << 19
 LAST = np.int64((1 << 63) - 1)
 
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(PIECE * 2 - 1)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank of a pair of ranks."""
     x = a * _M1
-    x ^= x >> np.uint64(32)
-    x += b
-    x *= _M2
-    x ^= x >> np.uint64(29)
-    x *= _M3
+    x += b * _M2
     x ^= x >> np.uint64(32)
     return x
 
 
 def words_at(data: bytes) -> np.ndarray:
     """The 8 bytes at every position, as numbers."""
-    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,)).copy()
 
 
 def rank16(u: np.ndarray, p: np.ndarray) -> np.ndarray:
     return pair(u[p], u[p + 8])
 
 
+def rank24(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return pair(rank16(u, p), u[p + 16])
+
+
 def rank32(u: np.ndarray, p: np.ndarray) -> np.ndarray:
     return pair(rank16(u, p), rank16(u, p + 16))
 
@@ -81,17 +81,16 @@ def rank50(u: np.ndarray, p: np.ndarray) -> np.ndarray:
     return pair(rank32(u, p), rank32(u, p + LENGTH - 32))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the anchors, and the first and last window of each."""
-    windows = len(data) - LENGTH + 1
+    windows = len(u) + 7 - LENGTH + 1
     if windows <= 0:
         return (np.empty(0, np.int64),) * 3
-    u = words_at(data)
     at, first = [], []
     for lo in range(0, windows, PIECE):
         n = min(PIECE, windows - lo)
         grams = n + SPAN - 1
-        m = pair(u[lo : lo + grams], u[lo + 8 : lo + 8 + grams])
+        m = pair(pair(u[lo : lo + grams], u[lo + 8 : lo + 8 + grams]), u[lo + 16 : lo + 16 + grams])
         m = m & ~_LOW | np.arange(grams, dtype=np.uint64)
         width = 1
         while width * 2 <= SPAN:
@@ -111,12 +110,19 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per anchor: its rank, the rank of its stretch, first and last window."""
-    pos, lo, hi = anchors(data)
+    u = words_at(data)
+    pos, lo, hi = anchors(u)
     if not len(pos):
         return np.empty(0, np.uint64), np.empty(0, np.uint64), lo, hi
-    u = words_at(data)
     whole = pair(pair(rank50(u, lo), rank50(u, hi)), ((pos - lo) * 64 + hi - lo).astype(np.uint64))
-    return rank16(u, pos), whole, lo, hi
+    anchor = rank24(u, pos)
+    return anchor, keyed(anchor, whole), lo, hi
+
+
+def keyed(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A rank under a key: 16 bits of the key above 48 bits of the rank. With the 32 bits of
+    the key that are sent beside it, equality is judged on 80 bits and more."""
+    return key >> np.uint64(48) << np.uint64(48) | rank & np.uint64((1 << 48) - 1)
 
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -127,7 +133,7 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- packed rows
 
-_ENTRY = (np.dtype("<u4"), np.dtype("<u8"), np.dtype("<i8"))
+_ENTRY = (np.dtype("<u4"), np.dtype("<u4"), np.dtype("<u2"), np.dtype("<i8"))
 _REPLY = (np.dtype("<u8"), np.dtype("<i8"), np.dtype("u1"))
 
 
@@ -162,12 +168,13 @@ def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
 
 
 def _send(batch: int, bucket: np.ndarray, wide: bool, small: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-    """One row per bucket."""
+    """One row per bucket. Of a keyed rank only the 48 bits below its key are sent."""
     order = np.lexsort((doc, bucket))
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts):
         if len(part):
-            yield int(bucket[part[0]]), batch, wide, _packed(_ENTRY, small[part], rank[part], doc[part])
+            r = rank[part]
+            yield int(bucket[part[0]]), batch, wide, _packed(_ENTRY, small[part], r & np.uint64(0xFFFFFFFF), r >> np.uint64(32) & np.uint64(0xFFFF), doc[part])
 
 
 _SENT = "bucket long, batch long, wide boolean, entries binary"
@@ -249,8 +256,9 @@ class Batch:
                 u = words_at(self.data[o])
                 owner.append(np.full(len(p), o))
                 place.append(p)
-                rank.append(rank50(u, p))
-                extra.append((rank16(u, p + 17) >> np.uint64(32)).astype(np.uint32))
+                key = rank16(u, p + 17)
+                rank.append(keyed(key, rank50(u, p)))
+                extra.append((key >> np.uint64(32)).astype(np.uint32))
         if not owner:
             none = np.empty(0, np.int64)
             return none, none, none.astype(np.uint64), none.astype(np.uint32)
@@ -301,7 +309,8 @@ def _settle(sent: pa.Table, windows: bool) -> pa.Table:
         use = np.flatnonzero(wide == kind)
         if not len(use):
             continue
-        (small, rank, doc), counts = _unpacked(_ENTRY, [blobs[i] for i in use])
+        (small, low32, high16, doc), counts = _unpacked(_ENTRY, [blobs[i] for i in use])
+        rank = (small >> np.uint32(16)).astype(np.uint64) << np.uint64(48) | high16.astype(np.uint64) << np.uint64(32) | low32
         batch = np.repeat(batches[use], counts)
         order = np.lexsort((doc, rank, small))
         small, rank, doc, batch = small[order], rank[order], doc[order], batch[order]
@@ -314,7 +323,7 @@ def _settle(sent: pa.Table, windows: bool) -> pa.Table:
         else:
             of = np.cumsum(new_small) - 1
             distinct = np.bincount(of[new])
-            first = new & ((distinct[of] > 1) | kind) & ~((rank == 0) & (doc == LAST))
+            first = new & ((distinct[of] > 1) | kind) & ~((low32[order] == 0) & (high16[order] == 0) & (doc == LAST))
             tell = (doc > low) | first
         for part in np.split(t := np.flatnonzero(tell)[np.argsort(batch[tell], kind="stable")], np.flatnonzero(np.diff(batch[t])) + 1):
             if len(part):
@@ -341,7 +350,7 @@ def _dealt(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
             data = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *b.columns[1:]], names=b.schema.names)
 
-    return cut(rows.mapInArrow(compress, schema).repartition(min(batches, 20_000), "__batch")), batches
+    return cut_dealt(rows.mapInArrow(compress, schema), min(batches, 20_000), "__batch"), batches
 
 
 def _number(table: pa.Table, column: str = "__batch") -> int:
@@ -362,9 +371,12 @@ def _replies(dealt: DataFrame, buckets: int) -> DataFrame:
         return _table(list(batch.window_entries(_number(table), buckets)), _SENT)
 
     docs = dealt.select("__batch", "__id", "__data")
+    release(dealt)
     first = cut(docs.groupBy("__batch").applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(lambda t: _settle(t, False), _BACK))
+    release(dealt)
     sent = docs.groupBy("__batch").cogroup(first.groupBy("batch")).applyInArrow(send_windows, _SENT)
     second = cut(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, True), _BACK))
+    release(dealt)
     return first.union(second)
 
 
