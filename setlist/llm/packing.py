@@ -44,7 +44,8 @@ WINDOW = 4096
 CYCLE = 64
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 600_000
+CACHE = 500_000
+SLICE = 16 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -100,7 +101,7 @@ class WordCache:
     """Token ids of texts, as bytes of little-endian 16-bit ids, by way of their words.
 
     The tokenizer never joins text across a blank or a line feed and drops both, so a text's ids
-    are those of its pieces between them. The pieces of one batch are kept for the next one. A
+    are those of its pieces between them. Pieces are kept, up to ``CACHE`` and those of a slice. A
     piece that is one run of letters with an optional comma or full stop is the ids of the word
     in lower case and those of the mark; such words are merged many at a time by
     :class:`WordMerges`, and up to ``CACHE`` are kept. All other pieces go to the tokenizers library
@@ -143,16 +144,32 @@ class WordCache:
             self.words.update(zip(whole, self._encode(whole), strict=True))
         self.words.update((p, self.plain[word] + self.marks[mark]) for p, word, mark in split)
 
-    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, a slice of ``SLICE`` bytes of texts at a time."""
+        if not len(texts):
+            return
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        cuts = np.searchsorted(size, np.arange(SLICE, size[-1], SLICE)) + 1
+        bounds = np.unique(np.concatenate(([0], cuts[cuts < len(texts)], [len(texts)])))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            ids, at = self._encode_slice(texts.slice(lo, hi - lo))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[a:b].tobytes()
+
+    def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (and the last
         end). Arrow splits the texts and numbers the distinct pieces; only these become Python
         objects."""
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = pieces.values.dictionary_encode()
         names = flat.dictionary.to_pylist()
-        self._learn([p for p in names if p not in self.words])
-        found = [self.words[p] for p in names]
-        self.words = dict(zip(names, found, strict=True))
+        found = list(map(self.words.get, names))
+        new = [i for i, w in enumerate(found) if w is None]
+        self._learn([names[i] for i in new])
+        for i in new:
+            found[i] = self.words[names[i]]
+        if len(self.words) > CACHE:
+            self.words = dict(zip(names, found, strict=True))
         size = np.fromiter(map(len, found), np.int32, len(found)) // 2
         start = np.cumsum(size, dtype=np.int32) - size
         which = flat.indices.to_numpy()
@@ -182,9 +199,8 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", source: str = "sour
         chunk, filled = TaskContext.get().partitionId(), {}
         for b in batches:
             at, n, ids = [], [], []
-            tokens, bounds = cache.encode_all(b.column(2))
-            for k, name in enumerate(b.column(1).to_pylist()):
-                got = tokens[bounds[k] : bounds[k + 1]].tobytes() + end
+            for name, got in zip(b.column(1).to_pylist(), cache.encode_all(b.column(2)), strict=True):
+                got += end
                 at.append(filled.get(name, 0))
                 n.append(len(got) // 2)
                 filled[name] = at[-1] + n[-1]
