@@ -6,15 +6,19 @@ A document is its set of word shingles. Equal sets form one class, and classes a
 * In each of ``TREES`` independent trees a node selects ``BRANCH`` coordinates, and a class goes to
   one child per selected coordinate, named by its token there. Two classes with similarity ``s``
   share at least one first-level node with probability ``1 - (1 - s) ** (TREES * BRANCH)``.
-* In each node all classes are first held against one pivot. Components of the links found so far
-  settle most nodes, those of large groups of near copies too: a node whose classes are all in one
+* In each node all classes are first held against one pivot, the class with the smallest id.
+  Components of the links found so far settle most nodes: a node whose classes are all in one
   component needs no further pair.
 * In a node with several components, the classes outside its largest one are compared with all
-  others, in blocks. A node where too many are outside branches on further minwise tokens
-  instead, down to ``LEVELS``; what is still left there is compared in blocks, however much it is.
-
-Signatures only propose pairs (``ESTIMATE`` is 4.6 standard deviations below the threshold); every
-link is confirmed on the full sets. Rows are never dropped, capped or sampled. Tables of edges,
+  others on their full sets, in blocks: a task counts common shingles of a block by one matrix
+  product and keeps one link for each class and component, so what it emits does not grow with
+  the pairs it looks at.
+* A large node of classes that have little in common (a passage that many documents share)
+  branches on further minwise tokens instead, which thin it out, down to ``LEVELS``; what does not
+  thin out, or is left there, is compared in blocks, however much it is.
+
+Signatures only propose pivot pairs (``ESTIMATE`` is 4.6 standard deviations below the threshold);
+every link is confirmed on the full sets. Rows are never dropped, capped or sampled. Tables of edges,
 labels and members are cut into the shared checkpoint folder, so that a join on a hot key has plain
 exchanges on either side and skewed partitions are split.
 
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_lookup, whole_text
+from .common import cut, release, salted_lookup, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -45,6 +49,9 @@ BRANCH = 3
 LEVELS = 4
 OUTSIDE = 64
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21
+COLUMNS = 4096
+FOREST = 500_000
 ESTIMATE = 0.5
 CACHE = 500_000
 
@@ -89,6 +96,18 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
+def packed(h: np.ndarray) -> bytes:
+    """A set's hashes, 48 bits of each: what is sent to compare two sets."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 2:] = raw
+    return out.view("<u8").reshape(-1)
+
+
 def signature(h: np.ndarray) -> np.ndarray:
     """Minwise tokens of a set of hashes."""
     x = (h >> np.uint64(32)).astype(np.uint32)
@@ -152,140 +171,184 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _first_level(classes: DataFrame) -> DataFrame:
+    """``node, class, low, size``: every class in the first-level nodes of all trees."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _signatures(b.column(1))
+            sig = _signatures(b.column(3))
             for t in range(TREES):
                 root = _mix(np.full(len(sig), t + 1, np.uint64))
                 for node in children(root, sig).T:
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(0)], names=["node", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node).view(np.int64)), *b.columns[:3]], names=["node", "class", "low", "size"])
 
-    return classes.select("class", "sig").mapInArrow(run, "node long, class binary")
+    return classes.select("class", "low", "size", "sig").mapInArrow(run, "node long, class binary, low long, size long")
 
 
 def _next_level(members: DataFrame) -> DataFrame:
-    """``node, class, root, sig`` of members of nodes that branch."""
+    """``node, class, root, sig, size, above`` of members of nodes that branch; ``above`` is how
+    many classes the parent has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             for node in children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(3))).T:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node).view(np.int64)), *b.columns[1:]], names=["node", "class", "root", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node).view(np.int64)), *b.columns[1:]], names=["node", "class", "root", "sig", "size", "above"])
 
-    return members.select("node", "class", "root", "sig").mapInArrow(run, "node long, class binary, root binary, sig binary")
+    rows = members.select("node", "class", "root", "sig", "size", F.col("n").alias("above"))
+    return rows.mapInArrow(run, "node long, class binary, root binary, sig binary, size long, above long")
 
 
 # ---------------------------------------------------------------- pairs
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose signatures agree often enough."""
+def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` and the share of coordinates in which their signatures agree."""
     left = classes.select(F.col("class").alias("a"), F.col("sig").alias("sa"))
     right = classes.select(F.col("class").alias("b"), F.col("sig").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                same = (_signatures(b.column(2)) == _signatures(b.column(3))).mean(axis=1) >= ESTIMATE
-                yield b.select([0, 1]).filter(pa.array(same))
+                same = (_signatures(b.column(2)) == _signatures(b.column(3))).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same)], names=["a", "b", "likeness"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, likeness double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough. ``pairs`` must be cut."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = ends.join(classes.select("class", "row"), "class")
-    texts = docs.select(row_key().alias("row"), whole_text().alias("text")).join(wanted, "row").select("class", "text")
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, set``: the shingles of one document of each of ``classes``. Rows that repeat in
+    the table may give a class more than once; that repeats pairs, and links are made distinct."""
+    texts = docs.select(row_key().alias("row"), whole_text().alias("text")).join(classes.select("class", "row"), "row").select("class", "text")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            sets = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["class", "set"])
+            found = {c: i for i, c in enumerate(b.column(0).to_pylist()) if c not in seen}
+            seen |= found.keys()
+            sets = [packed(shingles(b.column(1)[i].as_py())) for i in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(sets, pa.binary())], names=["class", "set"])
+
+    return cut(texts.mapInArrow(run, "class binary, set binary"))
+
 
-    sets = cut(texts.mapInArrow(to_sets, "class binary, set binary").dropDuplicates(["class"]))
-    left, right = sets.toDF("a", "ha"), sets.toDF("b", "hb")
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ok = [linked(unpacked(x.as_buffer()), unpacked(y.as_buffer())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a binary, b binary")
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Likely pairs across components in nodes. ``members``: ``node, class, root, sig, n, main,
-    outside`` with the size of the node, its largest component and how many classes are not in
-    that one. Each class outside is held against each class of the node, block by block."""
-    hashed = F.xxhash64("class")
-    blocks, chunks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("outside") / OUTSIDE).cast("int")
-    rows = members.withColumns({"block": F.pmod(hashed, blocks).cast("int"), "chunk": F.pmod(F.xxhash64("class", F.lit(1)), chunks).cast("int"), "blocks": blocks, "chunks": chunks})
-    every = rows.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("out"), "class", "root", "sig")
-    outside = rows.where("root != main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.lit(True).alias("out"), "class", "root", "sig")
-    dealt = every.union(outside).repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk")
+def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components within nodes. ``members``: ``node, class, root, n, main, outside,
+    weight`` with the size of the node, its largest component, how many classes are not in that
+    one and how many shingles the node has. Each class outside is held against each class of the
+    node, block by block."""
+    parts = lambda c: F.ceil(F.greatest(F.col(c) / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    rows = members.withColumns({"blocks": parts("n"), "chunks": F.least(parts("outside"), F.col("outside").cast("int"))})
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), "chunk": F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks")).cast("int")})
+    every = rows.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("out"), "class", "root")
+    outside = rows.where("root != main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", F.lit(True).alias("out"), "class", "root")
+    dealt = every.union(outside).join(sets, "class").select("node", "block", "chunk", "out", "class", "root", "set")
+    dealt = dealt.repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for b in batches:
-            found = ([], [])
-            columns = [c.to_pylist() for c in b.columns]
-            for node, block, chunk, out, cls, root, sig in zip(*columns, strict=True):
+            found: list[tuple] = []
+            for node, block, chunk, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (node, block, chunk) != key:
-                    _compare_group(group, found)
+                    found += _compare(group)
                     key, group = (node, block, chunk), []
-                group.append((out, cls, root, sig))
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()) for f in found], names=["a", "b"])
-        found = ([], [])
-        _compare_group(group, found)
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()) for f in found], names=["a", "b"])
+                group.append(row)
+            yield _links(found)
+        yield _links(list(_compare(group)))
 
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _compare_group(group: list[tuple], found: tuple[list, list]) -> None:
-    out = [g for g in group if g[0]]
-    every = [g for g in group if not g[0]]
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _compare(group: list[list]) -> Iterator[tuple[bytes, bytes]]:
+    """Of the rows ``out, class, root, set`` of a block: one link per class outside and root."""
+    out = [(c, r, unpacked(s)) for o, c, r, s in group if o]
+    every = [(c, r, unpacked(s)) for o, c, r, s in group if not o]
     if not out or not every:
         return
-    sig = np.frombuffer(b"".join(g[3] for g in every), np.uint32).reshape(-1, COORDINATES)
-    for _, cls, root, s in out:
-        near = np.flatnonzero((sig == np.frombuffer(s, np.uint32)).mean(axis=1) >= ESTIMATE)
-        for i in near.tolist():
-            if every[i][2] != root:
-                a, b = cls, every[i][1]
-                found[0].append(min(a, b))
-                found[1].append(max(a, b))
+    if len(out) * len(every) <= 64:
+        ok = np.array([[r != q and linked(s, t) for _, q, t in every] for _, r, s in out])
+    else:
+        ok = _similar([s for *_, s in out], [s for *_, s in every])
+        names = {r: i for i, r in enumerate({r for _, r, _ in every} | {r for _, r, _ in out})}
+        ok &= np.array([names[r] for _, r, _ in out])[:, None] != np.array([names[r] for _, r, _ in every])[None, :]
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        seen = set()
+        for j in np.flatnonzero(ok[i]).tolist():
+            if every[j][1] not in seen:
+                seen.add(every[j][1])
+                yield min(out[i][0], every[j][0]), max(out[i][0], every[j][0])
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The threshold for all pairs of two lists of sets. Common shingles are counted exactly by
+    products of 0/1 matrices, ``COLUMNS`` shingles at a time; counts stay below 2 ** 24."""
+    size = np.array([len(s) for s in [*left, *right]])
+    owner = np.repeat(np.arange(len(size)), size)
+    values, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        m = np.zeros((len(size), COLUMNS), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1.0
+        common += np.rint(m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    union = size[: len(left), None] + size[None, len(left) :] - common
+    return DENOMINATOR * common >= NUMERATOR * union
 
 
 # ---------------------------------------------------------------- components
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``class, root``: the smallest class that links lead to, for every class of ``links``.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition as stars around their smallest class."""
+    up: dict[bytes, bytes] = {}
 
-    Links are first reduced to stars within each partition; then smallest labels spread along
-    links and labels of labels replace labels, until none changes."""
+    def top(x: bytes) -> bytes:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[bytes, bytes] = {}
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            up[max(x, y)] = up[min(x, y)] = min(x, y)
+    names = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([top(x) for x in names], pa.binary())], names=["a", "b"])
 
-        def top(x: bytes) -> bytes:
-            while (y := up.get(x, x)) != x:
-                up[x] = x = up.get(y, y)
-            return x
 
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = top(x), top(y)
-                up[max(x, y)] = up[min(x, y)] = min(x, y)
-        names = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([top(x) for x in names], pa.binary())], names=["a", "b"])
+def components(links: DataFrame) -> DataFrame:
+    """``class, root``: the smallest class that links lead to, for every class of ``links``.
 
-    stars = links.select("a", "b").mapInArrow(forest, "a binary, b binary")
+    Links are first reduced to stars within each partition. Up to ``FOREST`` of those finish in
+    one more such step, a task of bounded size; more of them spread their smallest labels along
+    links, and labels of labels replace labels, until none changes."""
+    stars = cut(links.select("a", "b").mapInArrow(_forest, "a binary, b binary").distinct())
+    if stars.count() <= FOREST:
+        return cut(stars.repartition(1).mapInArrow(_forest, "a binary, b binary").toDF("class", "root"))
     edges = cut(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("class"), F.least("a", "root").alias("root")))
     while True:
@@ -298,52 +361,58 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-
 def _open_nodes(members: DataFrame) -> DataFrame:
-    """Nodes with several components: ``node, n, main, outside``. ``members`` must be cut."""
-    sizes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
-    nodes = sizes.groupBy("node").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"))
-    return cut(nodes.where("roots > 1").select("node", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.k")).alias("outside")))
+    """Nodes with several components: ``node, n, main, outside, weight, above``. ``members`` must
+    be cut."""
+    sizes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("w"), F.max("above").alias("above"))
+    nodes = sizes.groupBy("node").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"), F.sum("w").alias("weight"), F.max("above").alias("above"))
+    return nodes.where("roots > 1").select("node", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.k")).alias("outside"), "weight", "above")
 
 
 def similar_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     """``class, root`` for classes that are similar to another one."""
-    classes = cut(described.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), F.first("sig").alias("sig")))
+    low = F.coalesce(F.min("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("low")
+    classes = cut(described.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), low, F.first("n").alias("size"), F.first("sig").alias("sig")))
     keys = _first_level(classes)
-    nodes = cut(keys.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("pivot")).where("n > 1"))
-    members = cut(keys.join(nodes.select("node", "pivot"), "node"))
-    stars = members.where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = cut(_likely(stars, classes))
-    labels = components(_confirmed(found, docs, classes))
-
-    rooted = cut(_rooted(members.select("node", "class"), labels))
-    pairs = []
+    nodes = cut(keys.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("low", "class")).alias("pivot")).where("n > 1").select("node", "n", F.col("pivot.class").alias("pivot")))
+    members = cut(keys.join(nodes, "node").select("node", "class", "size", "pivot", "n"))
+    stars = cut(_estimated(members.where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), classes))
+    near = stars.where(F.col("likeness") >= ESTIMATE)
+    # the pivot's pair is all there is to decide in a node of two
+    members = members.where("n > 2")
+    wanted = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).union(members.select("class")).distinct()
+    release(docs)
+    sets = _sets(docs, classes.join(wanted, "class", "left_semi"))
+    release(docs)
+    labels = components(_confirmed(near, sets))
+    release(docs)
+
+    # branching keeps a class in BRANCH * likeness children on average: it thins out below one
+    thick = members.join(stars.toDF("class", "pivot", "likeness"), ["class", "pivot"]).groupBy("node").agg((F.avg("likeness") * BRANCH >= 1).alias("thick"))
+    rooted = cut(members.join(labels, "class", "left").select("node", "class", F.coalesce("root", "class").alias("root"), "size", F.lit(None).cast("long").alias("above")))
+    links = []
     for level in range(1, LEVELS + 1):
         nodes = _open_nodes(rooted)
+        if level == 1:
+            nodes = nodes.join(thick, "node")
+        else:
+            nodes = nodes.withColumn("thick", F.col("n") * BRANCH >= F.col("above"))
+        nodes = cut(nodes.withColumn("branches", F.lit(level < LEVELS) & (F.col("outside") > OUTSIDE) & ~F.col("thick")).drop("above"))
         if nodes.isEmpty():
             break
-        here = rooted.join(nodes, "node")
-        if level == 1:
-            here = here.join(classes.select("class", "sig"), "class")
-        branches = F.lit(level < LEVELS) & (F.col("outside") > OUTSIDE)
-        here = cut(here.select("node", "class", "root", "sig", "n", "main", "outside", branches.alias("branches")))
-        pairs.append(_block_pairs(here.where("not branches")))
-        deeper = here.where("branches")
+        links.append(cut(_block_links(rooted.select("node", "class", "root").join(nodes.where("not branches"), "node"), sets)))
+        deeper = nodes.where("branches")
         if deeper.isEmpty():
             break
-        rooted = cut(_next_level(deeper))
-    if not pairs:
-        return labels
-    more = pairs[0]
-    for p in pairs[1:]:
-        more = more.union(p)
-    more = cut(more.distinct())
-    if more.isEmpty():
+        below = rooted.join(deeper.select("node", "n"), "node").select("node", "class", "root", "size", "n")
+        rooted = cut(_next_level(below.join(classes.select("class", "sig"), "class")))
+        release(docs)
+    if not links:
         return labels
-    new = _confirmed(more, docs, classes)
+    release(docs)
+    new = links[0]
+    for more in links[1:]:
+        new = new.union(more)
     across = new.join(labels.toDF("a", "ra"), "a", "left").join(labels.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     merged = components(across)
     # a component's old root may itself have a new root

@@ -66,4 +66,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators' columns (token ids, checksums of other forms, spans with possessive
+#: patterns, bytes) have no SQL form, or one that is too slow on whole tables; tests compare them
+#: with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_minhash_neardup": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+  s as (select doc_id, case when len(ws) >= 5 then list_distinct([array_to_string(ws[i : i + 4], ' ') for i in range(1, len(ws) - 3)]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end sh from w),
+  e as (select doc_id, len(sh) n, unnest(sh) g from s),
+  links as (select a.doc_id x, b.doc_id y from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+  reach as (select doc_id, doc_id r from documents union select reach.doc_id, y from reach join links on x = r)
+  select doc_id, any_value(len(sh)) n_shingles, min(r) component_id, min(r) = doc_id kept from reach join s using (doc_id) group by doc_id""",
+}

@@ -55,8 +55,9 @@ def words(rng, n):
     return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("outside,levels", [(64, 4), (2, 2), (1, 3)])
-def test_hard_groups(spark, monkeypatch, outside, levels):
+@pytest.mark.parametrize("outside,levels,forest", [(64, 4, 500_000), (2, 2, 500_000), (1, 3, 0)])
+def test_hard_groups(spark, monkeypatch, outside, levels, forest):
+    monkeypatch.setattr(N, "FOREST", forest)
     monkeypatch.setattr(N, "OUTSIDE", outside)
     monkeypatch.setattr(N, "LEVELS", levels)
     monkeypatch.setattr(N, "BLOCK", 16)
