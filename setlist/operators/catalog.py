@@ -52,12 +52,14 @@ def earliest_instances(items: DataFrame, order: list[str], keep: list[str]) -> D
     """One row per owner and track: the earliest ``added_at`` as text, nulls last, then the first
     by ``order`` (A01). A partial aggregation; no sort of the items."""
     key = F.struct(F.col("added_at").isNull().alias("late"), "added_at", *order)
-    return items.groupBy("owner_id", "track_id").agg(F.min(key).alias("k")).select("owner_id", "track_id", *[f"k.{c}" for c in ["added_at", *keep]])
+    kept = ["added_at", *keep]
+    return items.groupBy("owner_id", "track_id").agg(F.min(F.struct(key.alias("key"), F.struct(*kept).alias("row"))).alias("k")).select("owner_id", "track_id", *[f"k.row.{c}" for c in kept])
 
 
 def first_occurrences(items: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
     """One row per track: first owner, then first by ``order``."""
-    return items.groupBy("track_id").agg(F.min(F.struct("owner_id", *order)).alias("k")).select("track_id", "k.owner_id", *[f"k.{c}" for c in keep])
+    key, kept = F.struct("owner_id", *order), ["owner_id", *keep]
+    return items.groupBy("track_id").agg(F.min(F.struct(key.alias("key"), F.struct(*kept).alias("row"))).alias("k")).select("track_id", *[f"k.row.{c}" for c in kept])
 
 
 def instance_counts(items: DataFrame) -> DataFrame:

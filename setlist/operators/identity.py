@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import keys
 from ..functions.dates import sort_key
+from ..functions.text import udfs
 
 #: Fixed value: durations further apart than this are other recordings.
 TOLERANCE_MS = 8000
@@ -69,3 +71,56 @@ def rollup(tracks: DataFrame) -> DataFrame:
 def merge_stats(songs: DataFrame) -> DataFrame:
     """Tracks, songs and merged songs."""
     return songs.agg(F.sum("n_variants").alias("tracks"), F.count(F.lit(1)).alias("songs"), F.count_if(F.col("n_variants") > 1).cast("long").alias("merged_songs"))
+
+
+def song_groups(tracks: DataFrame) -> DataFrame:
+    """``tracks`` with ``base, had_suffix, remix, protected, group_id, match_type`` from their
+    titles and ISRCs. Titles are parsed once per distinct title."""
+    titles = tracks.select("track_name").distinct().withColumn("p", udfs()["title_parts"]("track_name")).select("track_name", "p.*")
+    both = tracks.join(titles.withColumnRenamed("track_name", "__t"), F.col("track_name").eqNullSafe(F.col("__t")), "left").drop("__t")
+    artist = F.coalesce(keys.norm(F.col("primary_artist_id")), keys.norm(F.col("primary_artist_name")))
+    key = keys.song_key(artist, F.col("isrc"), F.col("base"), F.col("secondary_artist_names"))
+    return both.withColumns({
+        "artist_key": artist,
+        "match_type": F.when(keys.norm(F.col("isrc")).isNotNull(), "isrc_first").otherwise("fallback"),
+        "editorial_key": keys.editorial_key(artist, F.col("base"), F.col("secondary_artist_names")),
+        "group_id": keys.song_id(key),
+    })
+
+
+def merge_groups(tracks: DataFrame, tolerance: int = TOLERANCE_MS) -> DataFrame:
+    """``group_id, song_id, match_type`` after the conservative second pass.
+
+    A group stands where its winner stands. Groups of one editorial key whose durations chain
+    within ``tolerance`` become one song, unless a member is a remix or a protected version."""
+    head = F.min(F.struct(winner_key().alias("k"), F.struct("editorial_key", "duration_ms", "match_type").alias("row")))
+    groups = tracks.groupBy("group_id").agg(head.alias("h"), F.max("remix").alias("remix"), F.max(F.size("protected") > 0).alias("protected")).select("group_id", "h.row.*", "remix", "protected")
+    may = ~F.col("remix") & ~F.col("protected") & F.col("duration_ms").isNotNull()
+    placed = islands(groups.where(may), ["editorial_key"], "duration_ms", ["group_id"], tolerance)
+    sizes = placed.groupBy("editorial_key", "island").agg(F.count(F.lit(1)).alias("n"))
+    merged = placed.join(sizes.where("n > 1"), ["editorial_key", "island"]).select("group_id", keys.song_id(F.concat(F.lit("postpass_conservative|"), "editorial_key")).alias("merged_id"))
+    return groups.join(merged, "group_id", "left").select("group_id", F.coalesce("merged_id", "group_id").alias("song_id"), F.when(F.col("merged_id").isNotNull(), "postpass_conservative").otherwise(F.col("match_type")).alias("match_type"))
+
+
+def identify(tracks: DataFrame) -> DataFrame:
+    """Every track with its song: ``song_id, match_type, winner_track_id`` and, for songs of the
+    second pass, the earliest date of all members, else the winner's."""
+    grouped = song_groups(tracks)
+    named = grouped.drop("match_type").join(merge_groups(grouped), "group_id")
+    best = named.groupBy("song_id").agg(
+        F.min(F.struct(winner_key().alias("k"), F.struct("track_id", "release_date").alias("row"))).alias("b"),
+        F.min(F.when(sort_key(F.col("release_date")).isNotNull(), F.struct(sort_key(F.col("release_date")).alias("k"), F.col("release_date")))).alias("first"),
+        F.count(F.lit(1)).alias("n_variants"),
+    )
+    joined = named.join(best, "song_id")
+    late = F.coalesce(F.col("first.release_date"), F.col("b.row.release_date"))
+    return joined.withColumns({
+        "winner_track_id": F.col("b.row.track_id"),
+        "song_release_date": F.when(F.col("match_type") == "postpass_conservative", late).otherwise(F.col("b.row.release_date")),
+    }).drop("b", "first")
+
+
+def colliding_songs(identified: DataFrame) -> DataFrame:
+    """Songs of the second pass that several separate islands share: the id hashes the key alone."""
+    two = identified.where("match_type = 'postpass_conservative'").select("song_id", "group_id", "duration_ms").groupBy("song_id", "group_id").agg(F.min("duration_ms").alias("duration_ms"))
+    return islands(two, ["song_id"], "duration_ms", ["group_id"]).groupBy("song_id").agg((F.max("island") + 1).alias("islands")).where("islands > 1")
