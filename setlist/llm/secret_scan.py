@@ -115,7 +115,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every live credential replaced by ``mask``; common examples stay. The columns
     are those of ``docs``; ``n_chars``, where there is one, follows the text."""
     cols = docs.columns
-    judged = scan(docs).select("__row", F.array_sort(F.array_distinct(F.transform(live_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))).alias("__cut"))
+    judged = scan(docs.select("doc_id", "text", "lang", "source")).select("__row", F.array_sort(F.array_distinct(F.transform(live_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))).alias("__cut"))
     judged = judged.where(F.size("__cut") > 0).dropDuplicates(["__row"])
     row = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), whole_text()))
     df = docs.withColumn("__row", row).join(judged, "__row", "left")

@@ -49,6 +49,8 @@ def test_ownership(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {(r.doc_id, r.n_live, r.n_common) for r in secret_scan.report(docs).collect()}
     assert got == {(i, 0, 1) for i in range(5)} | {(9, 2, 0), (None, 1, 0), (11, 0, 0)}
-    out = sorted((r.doc_id or -1, r.text) for r in secret_scan.redact(docs).collect() if r.text)
+    clash = docs.selectExpr("*", "1 as live", "2 as cands", "3 as n_chars")
+    assert secret_scan.redact(clash).columns == clash.columns
+    out = sorted((r.doc_id or -1, r.text) for r in secret_scan.redact(clash).collect() if r.text)
     assert out[0] == (-1, "api_key: [secret]") and out[-1] == (9, "x token=[secret]! token=[secret]") and f"token={shared}" in out[1][1]
     assert len(out) == 8
