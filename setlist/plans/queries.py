@@ -499,6 +499,14 @@ def playback_rules(spark, sf):
     return table(spark, sf, "events").select("event_id", kind.alias("error_class"), F.greatest(F.lit(0), F.least(F.floor(F.col("value") * 1000), F.greatest(F.lit(20_000 - 1000), F.lit(0)))).cast("long").alias("seek_ms"))
 
 
+@query("""with s as (select p_partkey, p_size * 20.0::double vw, 800.0::double vh, 640.0::double iw, 480.0::double ih from part), g as (select *, greatest(vw / iw, vh / ih) sc, vw * 0.78::double * 0.47::double half from s)
+  select p_partkey, round(greatest(0, least(1, 0.5::double - half / sc / iw)), 6) as left_side, round(greatest(0, least(1, 0.5::double + half / sc / ih)), 6) as bottom_side from g""")
+def viewfinder_region(spark, sf):
+    """S30."""
+    p = table(spark, sf, "part").select("p_partkey", scans.viewfinder_region(F.col("p_size") * 20.0, F.lit(800.0), F.lit(640.0), F.lit(480.0)).alias("r"))
+    return p.select("p_partkey", F.round("r.left", 6).alias("left_side"), F.round("r.bottom", 6).alias("bottom_side"))
+
+
 @query("select user_id, coalesce(min(event_id) filter (event_type = 'purchase'), min(event_id)) device from events group by 1")
 def device_choice(spark, sf):
     """The first active device, else the first."""

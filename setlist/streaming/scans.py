@@ -11,13 +11,15 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 #: Fixed values, in milliseconds: hold to accept, gap that ends a hold, pause between accepts.
 HOLD_MS, STALE_MS, COOLDOWN_MS = 420, 800, 900
+#: The viewfinder's share of the view's width, its margin as a share of its side.
+FRAME, MARGIN = 0.78, 0.03
 #: Fixed value: listening time per card.
 BUDGET_MS = 60_000
 
@@ -88,6 +90,18 @@ def listening(events: DataFrame, key: str, millis: str, playing: str, tie: list[
     return run.groupBy(key).agg(F.least(F.sum("span"), F.lit(budget)).alias("played"), F.min(crossing).alias("time_up"))
 
 
+def viewfinder_region(view_width: Column, view_height: Column, width: Column, height: Column, frame: float = FRAME, margin: float = MARGIN) -> Column:
+    """The viewfinder on the upright camera image, as shares of its sides (S30). The image covers
+    the view and both have one centre, so the square is centred on the image too. Null while a
+    size is unknown."""
+    scale = F.greatest(view_width / width, view_height / height)
+    half = view_width * frame * (0.5 - margin) / scale
+    side = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    known = (view_width > 0) & (view_height > 0) & (width > 0) & (height > 0)
+    region = F.struct(side(0.5 - half / width).alias("left"), side(0.5 - half / height).alias("top"), side(0.5 + half / width).alias("right"), side(0.5 + half / height).alias("bottom"))
+    return F.when(known, region)
+
+
 def largest_per_frame(detections: DataFrame, frame: list[str], value: str, area: str, least_area: float) -> DataFrame:
     """The largest code of each frame, small ones ignored; ties by value."""
     return detections.where(F.col(area) >= least_area).groupBy(*frame).agg(F.max(F.struct(area, value)).alias("b")).select(*frame, f"b.{value}", f"b.{area}")
