@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system: Python workers live on and
+    do other work next, beside an executor whose own memory has grown meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def cut_dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     """:func:`cut` of rows dealt by ``keys``, which keeps how they were dealt: grouping by
     these keys needs no exchange afterwards. A plan that adapts itself forgets that, so this one

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, salted_lookup, whole_text
+from .common import cut, release, salted_lookup, trim, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -53,7 +53,7 @@ BLOCK_SHINGLES = 1 << 21
 COLUMNS = 4096
 FOREST = 500_000
 ESTIMATE = 0.5
-CACHE = 500_000
+CACHE = 400_000
 
 _M1, _M2, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x5851F42D4C957F2D)
 _rng = np.random.default_rng(75)
@@ -148,6 +148,8 @@ def _describe(docs: DataFrame) -> DataFrame:
                 key.append(blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 sig.append(signature(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=[f.name for f in schema])
+        _words().clear()
+        trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -230,6 +232,8 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             seen |= found.keys()
             sets = [packed(shingles(b.column(1)[i].as_py())) for i in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(sets, pa.binary())], names=["class", "set"])
+        _words().clear()
+        trim()
 
     return cut(texts.mapInArrow(run, "class binary, set binary"))
 

@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe_rounds import rounds
-from .common import cut, whole_text
+from .common import cut, trim, whole_text
 
 WINDOW = 4096
 CYCLE = 64
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 500_000
-SLICE = 16 << 20
+CACHE = 400_000
+SLICE = 12 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -101,14 +101,13 @@ class WordCache:
     """Token ids of texts, as bytes of little-endian 16-bit ids, by way of their words.
 
     The tokenizer never joins text across a blank or a line feed and drops both, so a text's ids
-    are those of its pieces between them. Pieces are kept, up to ``CACHE`` and those of a slice. A
-    piece that is one run of letters with an optional comma or full stop is the ids of the word
-    in lower case and those of the mark; such words are merged many at a time by
-    :class:`WordMerges`, and up to ``CACHE`` are kept. All other pieces go to the tokenizers library
-    as they are.
+    are those of its pieces between them. A piece that is one run of letters with an optional comma
+    or full stop is the ids of the word in lower case and those of the mark; such words are merged
+    many at a time by :class:`WordMerges`, and up to ``CACHE`` and those of a slice are kept. All
+    other pieces go to the tokenizers library as they are.
     """
 
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,24})([.,]?)")
+    _letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,31 +117,36 @@ class WordCache:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
         self.merges = WordMerges(path)
-        self.marks = dict(zip(["", ".", ","], [b"", *self._encode([".", ","])], strict=True))
-        self.words: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
         self.plain: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.model.encode_batch(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         if len(self.plain) > CACHE:
             self.plain = {}
-        split, whole, need = [], [], set()
+        words: list[str | None] = []
         for p in pieces:
-            m = self._plain.fullmatch(p)
-            if m:  # letters of Latin-1 alone: two bytes each at most, no case rule that looks around
-                word = m[1].lower()
-                split.append((p, word, m[2]))
-                if word not in self.plain:
-                    need.add(word)
+            w = p[:-1] if p.endswith((".", ",")) else p
+            # letters of ASCII or Latin-1 alone: no case rule that looks at a letter's neighbours
+            if w.isalpha() and len(w) <= 24 and (w.isascii() or self._letters.fullmatch(w)):
+                words.append(w.lower())
             else:
-                whole.append(p)
+                words.append(None)
+        need = {w for w in words if w is not None and w not in self.plain}
         if need:
             self.plain.update(self.merges.encode(list(need)))
-        if whole:
-            self.words.update(zip(whole, self._encode(whole), strict=True))
-        self.words.update((p, self.plain[word] + self.marks[mark]) for p, word, mark in split)
+        whole = iter(self._encode([p for p, w in zip(pieces, words, strict=True) if w is None and p]))
+        out = []
+        for p, w in zip(pieces, words, strict=True):
+            if w is None:
+                out.append(next(whole) if p else b"")
+            else:
+                ids = self.plain[w]
+                out.append(ids if len(p) == len(w) else ids + self.marks[p[-1]])
+        return out
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, a slice of ``SLICE`` bytes of texts at a time."""
@@ -163,13 +167,7 @@ class WordCache:
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = pieces.values.dictionary_encode()
         names = flat.dictionary.to_pylist()
-        found = list(map(self.words.get, names))
-        new = [i for i, w in enumerate(found) if w is None]
-        self._learn([names[i] for i in new])
-        for i in new:
-            found[i] = self.words[names[i]]
-        if len(self.words) > CACHE:
-            self.words = dict(zip(names, found, strict=True))
+        found = self._ids(names)
         size = np.fromiter(map(len, found), np.int32, len(found)) // 2
         start = np.cumsum(size, dtype=np.int32) - size
         which = flat.indices.to_numpy()
@@ -209,6 +207,7 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", source: str = "sour
                 [b.column(0), b.column(1), pa.array([chunk] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "source", "chunk", "at", "n", "ids"],
             )
+        trim()
 
     return rows.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_dealt, release, whole_text
+from .common import cut, cut_dealt, release, trim, whole_text
 
 LENGTH = 50
 GRAM = 24
@@ -361,14 +361,19 @@ def _replies(dealt: DataFrame, buckets: int) -> DataFrame:
     """What each batch has to know: smaller documents with its stretches and windows."""
 
     def send(table: pa.Table) -> pa.Table:
-        return _table(list(Batch(table).entries(_number(table), buckets)), _SENT)
+        out = _table(list(Batch(table).entries(_number(table), buckets)), _SENT)
+        trim()
+        return out
 
     def send_windows(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows or not back.num_rows:
             return _table([], _SENT)
         batch = Batch(table)
         batch.learn(back)
-        return _table(list(batch.window_entries(_number(table), buckets)), _SENT)
+        out = _table(list(batch.window_entries(_number(table), buckets)), _SENT)
+        del batch
+        trim()
+        return out
 
     docs = dealt.select("__batch", "__id", "__data")
     release(dealt)
@@ -395,6 +400,8 @@ def _finished(docs: DataFrame, text: str, describe, added: list) -> DataFrame:
         out = table.select(rest)
         for (name, _, kind), c in zip(added, columns, strict=True):
             out = out.append_column(name, pa.array(c, kind))
+        del batch, made, columns
+        trim()
         return out
 
     return dealt.groupBy("__batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, schema)
