@@ -15,28 +15,42 @@ from setlist.llm import langid, neardup, packing, secret_scan, substring
 from setlist.llm.common import ensure_checkpoint_dir
 
 
+#: Rows of a batch between Spark and Python. Documents are long, stages hand them over one after
+#: the other in the same executors: small batches keep what both sides hold at a time small.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
+    _small_batches(spark)
     return langid.reject(docs)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
+    _small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has too go from the text."""
+    _small_batches(spark)
     return substring.dedup(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the text."""
+    _small_batches(spark)
     return secret_scan.redact(docs)
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of training sequences."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 
