@@ -50,7 +50,7 @@ LEVELS = 4
 OUTSIDE = 64
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 21
-COLUMNS = 4096
+COLUMNS = 1024
 FOREST = 500_000
 ESTIMATE = 0.5
 CACHE = 400_000
@@ -274,6 +274,8 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                 group.append(row)
             yield _links(found)
         yield _links(list(_compare(group)))
+        group.clear()
+        trim()
 
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
