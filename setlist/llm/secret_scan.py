@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates are found by pattern. Their hashes are counted over the whole corpus by distinct
-repository and distinct owner: a value that many owners share is a widely copied example, one
-that few owners hold and that looks random is reported as a ``live`` credential.
+Candidates are found by pattern. The hashes of all of them are counted over the whole corpus by
+distinct repository and distinct owner: a value in many repositories or of many owners is a widely
+copied example, one that few hold and that looks like a credential is reported as ``live``.
 
 ``owner`` and ``repository`` are column names; ``documents`` has one owner per ``source`` and a
 repository per (source, lang). A hash may stand in a third of all documents, so the counts go
@@ -23,6 +23,8 @@ from .common import cut, match_spans, span_list, span_text, whole_text
 BASE_KINDS = ["assign", "access", "hex"]
 SALTS = 256
 MAX_OWNERS = 2
+#: More than :data:`MAX_OWNERS`, as an owner has a repository at least.
+MAX_REPOS = 3
 MIN_DISTINCT = 8
 
 PATTERNS = {
@@ -38,11 +40,15 @@ def _secret(kind: str, value: Column) -> Column:
     return F.regexp_replace(value, _VALUE, "") if kind == "assign" else value
 
 
-def live_looking(value: Column) -> Column:
-    """Random enough for a credential: many distinct characters, digits among letters, no
-    placeholder word."""
-    distinct = F.size(F.array_distinct(F.split(value, "")))
-    return (distinct >= MIN_DISTINCT) & F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Za-z]")) & ~F.regexp_like(value, F.lit(_PLACEHOLDER))
+def live_looking(kind: str, found: Column) -> Column:
+    """Random enough for a credential: many distinct characters and no placeholder word; digits
+    among letters, but for access keys and passwords, which their kind tells."""
+    value = _secret(kind, found)
+    likely = (F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT) & ~F.regexp_like(value, F.lit(_PLACEHOLDER))
+    mixed = F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Za-z]"))
+    if kind == "access":
+        return likely
+    return likely & (mixed | F.regexp_like(found, F.lit("(?i)^passw"))) if kind == "assign" else likely & mixed
 
 
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -55,7 +61,7 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     def candidates(kind):
         def one(s):
             v = _secret(kind, s["value"])
-            return F.struct((s["end"] - F.length(v)).alias("start"), s["end"].alias("end"), F.sha2(v, 256).alias("hash"), live_looking(v).alias("live"))
+            return F.struct((s["end"] - F.length(v)).alias("start"), s["end"].alias("end"), F.sha2(v, 256).alias("hash"), live_looking(kind, s["value"]).alias("live"))
 
         return F.transform(F.col(f"m_{kind}"), one)
 
@@ -63,30 +69,33 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ownership(cands: DataFrame) -> DataFrame:
-    """(hash, owner, repository) rows to ``hash, n_repos, n_owners``, exact for hot hashes too."""
-    repos = cands.select("hash", "owner", "repository").distinct()
-    owners = repos.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
-    return owners.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    """(hash, owner, repository, live) rows to ``hash, n_repos, n_owners, live``, exact for hot
+    hashes too. A value that looks like a credential in one place is one everywhere."""
+    repos = cands.groupBy("hash", "owner", "repository").agg(F.max("live").alias("live"))
+    owners = repos.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repos"), F.max("live").alias("live"))
+    return owners.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.max("live").alias("live"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: list[str] | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: list[str] | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Rows of ``docs`` (its columns kept) plus ``m_<kind>``, ``cands``, ``live`` (the sorted
-    hashes judged live) and ``common`` (the widely copied ones)."""
+    hashes judged live), ``common`` (the widely copied ones, whatever they look like) and
+    ``counts`` (``hash, n_owners, n_repos`` of every candidate)."""
     repository = repository or [owner, "lang"]
     keys = {c: F.col(f"`{c}`") for c in docs.columns}
     name = lambda cols: F.concat_ws("\x1f", *[F.coalesce(keys[c].cast("string"), F.lit("\x00")) for c in cols])
     marked = docs.withColumns({"__owner": name([owner]), "__repo": name(repository), "__row": F.md5(F.concat_ws("\x1f", F.coalesce(keys["doc_id"].cast("string"), F.lit("\x00")), whole_text()))})
     found = cut(find_candidates(marked).drop("text"))
     each = found.select("__row", "__owner", "__repo", F.explode("cands").alias("c")).select("__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repository"), F.col("c.hash").alias("hash"), F.col("c.live").alias("live"))
-    verdict = ownership(each.where("live")).select("hash", (F.col("n_owners") <= max_owners).alias("rare"))
-    salted = each.where("live").select("__row", "hash", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("salt")).distinct()
+    verdict = ownership(each).withColumn("rare", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    salted = each.select("__row", "hash", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("salt")).distinct()
     copies = salted.select("hash", "salt").distinct().join(verdict, "hash")
     judged = salted.join(copies, ["hash", "salt"]).groupBy("__row").agg(
-        F.array_sort(F.collect_set(F.when(F.col("rare"), F.col("hash")))).alias("live"),
+        F.array_sort(F.collect_set(F.when(F.col("rare") & F.col("live"), F.col("hash")))).alias("live"),
         F.array_sort(F.collect_set(F.when(~F.col("rare"), F.col("hash")))).alias("common"),
+        F.array_sort(F.collect_set(F.struct("hash", "n_owners", "n_repos"))).alias("counts"),
     )
-    none = F.array().cast("array<string>")
-    out = found.join(judged, "__row", "left").withColumns({"live": F.coalesce("live", none), "common": F.coalesce("common", none)})
+    none, no_counts = F.array().cast("array<string>"), F.array().cast("array<struct<hash:string,n_owners:bigint,n_repos:bigint>>")
+    out = found.join(judged, "__row", "left").withColumns({"live": F.coalesce("live", none), "common": F.coalesce("common", none), "counts": F.coalesce("counts", no_counts)})
     return out
 
 
