@@ -1,9 +1,11 @@
 """Greedy selectors.
 
 Each pick changes the counts that the next pick is judged by, so picking is one sequence. What it
-works on is bounded, though: songs that agree in everything a pick looks at form a class and leave
+works on is bounded, though. Songs that agree in everything a pick looks at form a class and leave
 it in a fixed order, so Spark first ranks each class and keeps as many of its songs as there are
-picks. The sequence then chooses among classes, not among songs.
+picks. Songs of one year and set of owners form a group, in which a pick looks at artist, album and
+order only: an earlier song that no pick has touched is always taken first. Spark keeps the songs of
+a group that picks can reach, so the number of artists and albums does not matter.
 """
 
 from __future__ import annotations
@@ -42,20 +44,38 @@ def pool(songs: DataFrame, years: DataFrame, active: list[str], as_of_year: int)
     return owned.where(F.col("year_final").isNotNull() & ~F.coalesce("exclude_max_year", F.lit(False)) & (F.size("owner_ids") > 0)).drop("exclude_max_year")
 
 
-def _first_of_each(df: DataFrame, classes: list[str], order: list[Column], size: int) -> DataFrame:
-    """The first ``size`` songs of each class. A class is an exact state of a song, but a hot one
+def _first_of_each(df: DataFrame, classes: list[str], order: list[Column], size: int, rank: str = "__r") -> DataFrame:
+    """The first ``size`` songs of each class, with their place as ``rank`` if that is named. A class is an exact state of a song, but a hot one
     is still cut in parts first, so that no task sees all of it."""
     part = Window.partitionBy(*classes, F.pmod(F.xxhash64("song_id"), F.lit(64))).orderBy(*order)
     whole = Window.partitionBy(*classes).orderBy(*order)
-    few = df.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= size)
-    return few.withColumn("__r", F.row_number().over(whole)).where(F.col("__r") <= size).drop("__r")
+    few = df.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= size).drop("__r")
+    return few.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= size).drop("__r")
+
+
+def _reachable(df: DataFrame, keys: list[str], order: list[Column], used: int, touched: dict[str, int]) -> DataFrame:
+    """Songs of each group that a pick can reach: at most ``used`` songs before one are gone, and of
+    each column of ``touched`` so many values are barred or come later. With at most m songs of a
+    value before it, a song is out of reach after ``used`` plus the sum of limit times m songs."""
+    before = Window.partitionBy(*keys).orderBy(*order)
+    ranked = df.withColumn("__r", F.row_number().over(before) - 1)
+    for c in touched:
+        ranked = ranked.withColumn(f"__n_{c}", F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(*keys, c).orderBy(*order))).otherwise(0))
+    running = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.lit(used).cast("long")
+    for c, limit in touched.items():
+        reach = reach + F.lit(limit).cast("long") * F.max(f"__n_{c}").over(running)
+    return ranked.withColumn("__reach", reach).where(F.col("__r") <= F.col("__reach")).select(*df.columns)
 
 
 def greedy_candidates(songs: DataFrame, target: int = TARGET) -> DataFrame:
     """``song_id, selection_rank, selection_phase`` (A19). ``songs``: ``song_id, year_final,
     owners_count, owner_ids, primary_artist_name``."""
     rows = songs.where("year_final is not null").select("song_id", F.col("year_final").cast("long").alias("year"), F.col("owners_count").cast("long").alias("owners"), F.array_sort("owner_ids").alias("owner_ids"), F.coalesce(F.trim("primary_artist_name"), F.lit("\x00")).alias("artist"))
-    few = _first_of_each(rows, ["year", "owners", "owner_ids", "artist"], [F.col("song_id")], target)
+    few = _first_of_each(rows, ["year", "owners", "owner_ids", "artist"], [F.col("song_id")], target, "place")
+    # an artist's k-th song is taken when each song before it by (k, id) is taken too or its artist
+    # has as many picks: fewer than ``target`` songs of the group come before it
+    few = _first_of_each(few, ["year", "owners", "owner_ids"], [F.col("place"), F.col("song_id")], target).drop("place")
 
     def pick(table: pa.Table) -> pa.Table:
         got = list(pick_candidates(table.to_pylist(), target))
@@ -123,12 +143,23 @@ def greedy_deck(songs: DataFrame, locked: DataFrame, targets: dict[str, int], ar
     free = songs.join(locked.select("song_id"), "song_id", "left_anti").where("year_final is not null").select(*fields)
     order = [F.col("popularity").desc_nulls_last(), F.col("song_id")]
     state = ["year", "owner_ids", "artist_key", "album_id"]
+    # a registered guardrail key blocks songs, so these must not fill a class; nor must songs under a cap of none
+    blocked = known.select("guardrail").where("guardrail is not null").distinct()
+    free = free.join(blocked, "guardrail", "left_anti").select(*free.columns)
+    for c, cap in (("artist_key", artist_cap), ("album_id", album_cap)):
+        free = free if cap > 0 else free.where(F.col(c).isNull())
     # of songs that share a guardrail key and a state only the first can ever be picked
-    single = _first_of_each(free.where("guardrail is not null"), [*state, "guardrail"], order, 1).unionByName(free.where("guardrail is null"))
+    own = lambda c: F.coalesce(F.concat(F.lit("v"), c), F.concat(F.lit("s"), "song_id"))  # noqa: E731  (a song without a value stands alone)
+    single = _first_of_each(free.withColumn("own", own("guardrail")), [*state, "own"], order, 1)
     few = _first_of_each(single, state, order, total + 1)
-    # a registered guardrail key blocks songs, so these must not fill a class
-    blocked = known.select("guardrail").where("guardrail is not null").distinct()
-    few = few.join(blocked, "guardrail", "left_anti").select(*few.columns) if total else few.limit(0)
+    # an expansion that takes a card has fewer than its target, so that many artists and albums at most
+    cards, group = max(targets.values(), default=0), ["year", "owner_ids"]
+    limits = {"album_id": cards // max(album_cap, 1), "guardrail": total}
+    few = _reachable(few.withColumn("own", own("artist_key")), [*group, "own"], order, total, limits)
+    few = few.drop("own").withColumn("part", F.pmod(F.xxhash64("song_id"), F.lit(64)))
+    limits = {"artist_key": cards, **limits}
+    few = _reachable(few, [*group, "part"], order, total, limits).drop("part")
+    few = _reachable(few, group, order, total, limits) if total else few.limit(0)
     rows = few.withColumn("anchor", F.lit(None).cast("string")).unionByName(
         locked.select("song_id", "expansion_anchor", F.col("year").cast("long").alias("locked_year")).join(known, "song_id", "left").select("song_id", F.when(F.col("owner_ids").isNull(), F.col("locked_year")).otherwise(F.col("year")).alias("year"), "owner_ids", "artist_key", "album_id", "popularity", "guardrail", F.col("expansion_anchor").alias("anchor"))
     )

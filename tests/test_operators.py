@@ -115,6 +115,34 @@ def test_greedy_candidates_equal_specification(spark):
     assert sorted(tuple(r) for r in selection.greedy_candidates(df, 40).collect()) == sorted(naive_candidates(songs, 40))
 
 
+def rows_into_the_task(spark, monkeypatch, run):
+    seen = []
+    for name in ("pick_candidates", "pick_deck"):
+        monkeypatch.setattr(selection, name, lambda songs, *a: iter([("n", len(songs), "x")] if a[0] == 5 else [("n", "x", len(songs))]))
+    seen = run().collect()
+    return seen[0].selection_rank if "selection_rank" in seen[0] else seen[0].pick_order
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_selectors_hand_over_what_picks_can_reach(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    # every song has its own artist and album, so classes do not bound anything
+    songs = [(f"s{i:04d}", rng.choice([1990, 1992]), 2, rng.choice([["a", "b"], ["b", "c"]]), f"x{i}" if i % 3 else f"x{i % 30}") for i in range(1500)]
+    df = spark.createDataFrame(songs, "song_id string, year_final int, owners_count int, owner_ids array<string>, primary_artist_name string")
+    assert sorted(tuple(r) for r in selection.greedy_candidates(df, 5).collect()) == sorted(naive_candidates(songs, 5))
+    deck = [song(i, rng.choice([1990, 1991]), ("a", "b"), f"x{i}" if i % 3 else f"x{i % 30}", f"l{i}" if i % 4 else f"l{i % 40}", rng.choice([None, 10, 50]), rng.choice([None, f"g{i}", f"g{i % 200}"])) for i in range(1500)]
+    # registered keys fill the class of the most popular songs
+    deck += [song(2000 + i, 1990, ("a", "b"), "hot", "hot", 99, "k" if i % 2 else f"k{i}") for i in range(12)] + [song(3000, 1990, ("a", "b"), "hot", "hot", 98)] + [song(4000 + i, 1990, ("c",), None, None, 1, f"k{i}") for i in range(12)] + [song(5000, 1990, ("c",), None, None, 1, "k")]
+    locked = [(f"s{4000 + i}", "c", 1990) for i in range(12)] + [("s5000", "c", 1990)]
+    targets = {"a": 3, "b": 2}
+    pool, lock = spark.createDataFrame(deck, POOL), spark.createDataFrame(locked, LOCKED)
+    got = selection.greedy_deck(pool, lock, targets, 3, 2)
+    want = naive_deck(deck, locked, targets, 3, 2)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "s3000" in {w[0] for w in want}
+    assert 5 < rows_into_the_task(spark, monkeypatch, lambda: selection.greedy_candidates(df, 5)) <= 5 * 4
+    assert 20 < rows_into_the_task(spark, monkeypatch, lambda: selection.greedy_deck(pool, lock, targets, 3, 2)) <= 400
+
+
 def test_islands_equal_transitive_closure(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xyz"), i, rng.randint(0, 120_000)) for i in range(120)]
