@@ -8,7 +8,8 @@ text that hang off the path stay if they are at least as dense. An ``article`` o
 around the core is the article as marked by the author and is taken whole.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are cut before densities are taken. One pass over the pages, no shuffle; the Python in
+comments are cut before densities are taken: by tag, role, or a whole class or id (or its first word,
+as in ``ad-top``); a class or id never cuts an article or main element. One pass over the pages, no shuffle; the Python in
 a task is the tree of one page.
 
 A null page is empty; a page without a main text gives an empty string; malformed markup is
@@ -31,7 +32,6 @@ TOKEN = re.compile(
     re.S,
 )
 ATTR = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 BLOCK = frozenset(
@@ -45,29 +45,65 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Names that start with one of these words and go on after - or _ are dropped too: ``ad-top``.
+DROPPED_PREFIXES = frozenset("ad ads advert advertisement breadcrumb comments cookie footer nav navbar newsletter popup promo sidebar sponsor".split())
+#: What ends such a name if it is a switch of the layout around the main text: ``sidebar-left-layout``.
+LAYOUT = frozenset("open closed on off layout page wrapper container content main visible hidden enabled disabled".split())
 MAIN = frozenset(["article", "main"])
 
 
-def _dropped(tag: str, attrs: str, in_main: bool) -> bool:
+def _named(names: str) -> bool:
+    """One of the white-space separated names is boilerplate's as a whole or by its first word."""
+    for name in names.lower().split():
+        if name in DROPPED_WORDS:
+            return True
+        words = name.replace("_", "-").split("-")
+        if len(words) > 1 and words[0] in DROPPED_PREFIXES and LAYOUT.isdisjoint(words):
+            return True
+    return False
+
+
+def _dropped(tag: str, attrs: str, in_main: bool) -> int:
+    """2: boilerplate by its tag or role, 1: by a class or id, 0: none."""
     if tag in DROPPED or (tag == "header" and not in_main):
-        return True
+        return 2
     if not attrs or "=" not in attrs:
-        return False
+        return 0
+    named = 0
     for name, value in ATTR.findall(attrs):
         name = name.lower()
         if name == "role" and value.strip("\"'").lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in MAIN and tag not in ("body", "html") and not DROPPED_WORDS.isdisjoint(WORD.findall(value.lower())):
-            return True
-    return False
+            return 2
+        if name in ("class", "id") and tag not in MAIN and tag not in ("body", "html") and _named(value.strip("\"'")):
+            named = 1
+    return named
 
 
 class Page:
     """The tree of one page: parallel lists, a child always after its parent."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.drop, self.parts = ["#root"], [-1], [False], [[]]
+        self.tag, self.parent, self.cut, self.parts = ["#root"], [-1], [0], [[]]
         self._parse(html)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Elements to drop. A class or id drops no element that holds an article or main outside
+        of others, and none if no text would be left."""
+        n = len(self.tag)
+        inside, hard, holds = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            inside[i] = inside[up] or self.tag[up] in MAIN
+            hard[i] = hard[up] or self.cut[i] == 2
+        for i in range(n - 1, 0, -1):
+            if not hard[i] and not inside[i] and (holds[i] or self.tag[i] in MAIN):
+                holds[self.parent[i]] = True
+        self.drop = [False] * n
+        for i in range(1, n):
+            self.drop[i] = hard[i] or self.drop[self.parent[i]] or (self.cut[i] == 1 and not holds[i])
+        if not any(type(t) is str and not t.isspace() for i in range(n) if not self.drop[i] for t in self.parts[i]):
+            self.drop = hard
 
     def _open(self, stack: list[int], tag: str, attrs: str) -> None:
         if tag in CLOSES_P:
@@ -81,10 +117,10 @@ class Page:
                     del stack[i:]
                     break
         up = stack[-1]
-        drop = self.drop[up] or _dropped(tag, attrs, any(self.tag[i] in MAIN for i in stack) if tag == "header" else False)
+        cut = _dropped(tag, attrs, any(self.tag[i] in MAIN for i in stack) if tag == "header" else False)
         self.tag.append(tag)
         self.parent.append(up)
-        self.drop.append(drop)
+        self.cut.append(cut)
         self.parts.append([])
         self.parts[up].append(len(self.tag) - 1)
         if tag not in VOID:

@@ -65,6 +65,18 @@ def test_main_text():
     assert html_extract.main_text("<article>" + "<div>" * 5000 + "x" + "<a title='q") == "x<a title='q"
 
 
+def test_layout_names_keep_the_main_text():
+    text = "word " * 60
+    for name in ("content has-sidebar", "no-sidebar", "layout-with-banner", "comments-open", "page-with-menu", "sidebar-left-layout"):
+        assert html_extract.main_text(f"<body><div class='{name}'><article><p>{text}</p></article></div></body>") == text.strip()
+        assert html_extract.main_text(f"<body><div id={name.split()[-1]}><p>{text}</p></div></body>") == text.strip()
+    for name in ("ad", "x sidebar", "sidebar-left", "ad_top", "Nav"):
+        assert html_extract.main_text(f"<body><div class='{name}'><p>gone {text}</p></div><div><p>{text}</p></div></body>") == text.strip()
+    # a dropped name around an article costs nothing of the article
+    for name in ("widget", "related", "social share"):
+        assert html_extract.main_text(f"<body><div class='{name}'><div><article><p>{text}</p><div class=ad>x</div></article></div></div></body>") == text.strip()
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "old"), (1, "u", None, "old"), (None, None, "<article>x  y</article>", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
