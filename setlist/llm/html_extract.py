@@ -2,36 +2,43 @@
 
 Each page becomes a flat tree of nodes. A node's density is its characters per tag, lowered by
 the share of its characters and tags that stand in links; a node's density sum adds the
-densities of its children. The subtree with the largest density sum is the core of the article.
-The lowest density on the path from ``body`` to that subtree is the threshold: subtrees and loose
-text that hang off the path stay if they are at least as dense. An ``article`` or ``main`` element
-around the core is the article as marked by the author and is taken whole.
+densities of its children. The subtree with the largest density sum is the core of the article;
+no tag name takes part in that choice. The lowest density on the path from ``body`` to the core is
+the threshold: subtrees and loose text that hang off the path stay if they are at least as dense.
+
+A core is often a part of the article only, such as its longest paragraph or its body without the
+heading. So the path has a *scope*: the core's own container if the core is a single text block, and
+every ancestor below ``body`` of whose characters the core has half or more. What hangs off the path
+within the scope stays whatever its density, unless most of it stands in links.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are cut before densities are taken: by tag, role, or a whole class or id (or its first word,
 as in ``ad-top``); a class or id never cuts an article or main element. One pass over the pages, no shuffle; the Python in
-a task is the tree of one page.
+a task is the tree of one page. Parsing and scoring take time in proportion to the page, whatever is
+left open in it: open elements are found by their tag's places on the stack, and a search for the
+end of a quoted attribute that failed is not made again.
 
 A null page is empty; a page without a main text gives an empty string; malformed markup is
-parsed as far as it goes; nothing is capped.
+parsed as far as it goes; a page of any length is parsed whole and nothing is capped. Between equal
+density sums the first node in page order wins; repeated rows give equal rows; an empty table gives an
+empty result. Columns ``text`` and ``n_chars`` of the pages are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-ATTR = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile(r"--!?>")
+QUOTE_OR_END = re.compile(r"[>\"']")
+ATTR = re.compile(r"(?<![a-zA-Z:_-])([a-zA-Z:_-]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 BLOCK = frozenset(
@@ -79,11 +86,32 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> int:
     return named
 
 
+def _tag_end(html: str, at: int, failed: set[int]) -> int:
+    """Where a start tag ends whose name ends at ``at``: behind the first ``>`` outside of quotes, or
+    the first one at all if a quote is never closed. ``failed`` keeps opening quotes from which no end
+    was found, so that tags do not look for it again and again; there must be a ``>``."""
+    seen, pos = [], at
+    while m := QUOTE_OR_END.search(html, pos):
+        if m[0] == ">":
+            return m.end()
+        if m.start() in failed:
+            break
+        seen.append(m.start())
+        close = html.find(m[0], m.end())
+        if close < 0:
+            break
+        pos = close + 1
+    failed.update(seen)
+    return html.find(">", at) + 1
+
+
 class Page:
     """The tree of one page: parallel lists, a child always after its parent."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.cut, self.parts = ["#root"], [-1], [0], [[]]
+        #: The open elements, the places on that stack of each tag, and those of all blocks.
+        self.stack, self.open, self.blocks = [0], {}, []
         self._parse(html)
         self._settle()
 
@@ -105,57 +133,78 @@ class Page:
         if not any(type(t) is str and not t.isspace() for i in range(n) if not self.drop[i] for t in self.parts[i]):
             self.drop = hard
 
-    def _open(self, stack: list[int], tag: str, attrs: str) -> None:
-        if tag in CLOSES_P:
-            self._close(stack, "p", BLOCK - {"p"})
-        if tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[i]]
-                if t in STOP[tag]:
-                    break
-                if t in SAME[tag]:
-                    del stack[i:]
-                    break
-        up = stack[-1]
-        cut = _dropped(tag, attrs, any(self.tag[i] in MAIN for i in stack) if tag == "header" else False)
+    def _last(self, tags: Iterable[str]) -> int:
+        """The highest place on the stack of any of ``tags``, or 0."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def _pop(self, place: int) -> None:
+        """Close the element at ``place`` of the stack and all above it."""
+        for i in range(len(self.stack) - 1, place - 1, -1):
+            tag = self.tag[self.stack[i]]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.stack[place:]
+
+    def _open(self, tag: str, attrs: str) -> None:
+        if tag in CLOSES_P and (at := self._last(("p",))) and at == self.blocks[-1]:
+            self._pop(at)
+        if tag in SAME and (at := self._last(SAME[tag])) > self._last(STOP[tag]):
+            self._pop(at)
+        up = self.stack[-1]
+        cut = _dropped(tag, attrs, tag == "header" and self._last(MAIN) > 0)
         self.tag.append(tag)
         self.parent.append(up)
         self.cut.append(cut)
         self.parts.append([])
         self.parts[up].append(len(self.tag) - 1)
         if tag not in VOID:
-            stack.append(len(self.tag) - 1)
+            self.open.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCK:
+                self.blocks.append(len(self.stack))
+            self.stack.append(len(self.tag) - 1)
 
-    def _close(self, stack: list[int], tag: str, stop: frozenset | set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[i]]
-            if t == tag:
-                del stack[i:]
-                return
-            if t in stop:
-                return
+    def _close(self, tag: str) -> None:
+        """An end tag closes its element; that of an inline element not across a block."""
+        at = self._last((tag,))
+        if at and (tag in BLOCK or not self.blocks or at > self.blocks[-1]):
+            self._pop(at)
 
     def _parse(self, html: str) -> None:
-        stack, at, find = [0], 0, TOKEN.search
-        while m := find(html, at):
-            if m.start() > at:
-                self.parts[stack[-1]].append(html[at : m.start()])
-            at = m.end()
+        at = done = 0
+        last = html.rfind(">")
+        failed: set[int] = set()
+        while m := START.search(html, at):
             if m[1]:
-                tag = m[1].lower()
+                # <!--> and <!---> are comments too
+                end = COMMENT_END.search(html, m.start() + 2)
+                stop = end.end() if end else len(html)
+            elif m.end() > last:
+                break
+            elif m[2] or m[3]:
+                stop = html.find(">", m.end()) + 1
+            else:
+                stop = _tag_end(html, m.end(), failed)
+            if m.start() > done:
+                self.parts[self.stack[-1]].append(html[done : m.start()])
+            at = done = stop
+            if not m[4]:
+                continue
+            tag = m[4].lower()
+            if m[3]:
                 if tag == "br":
-                    self._open(stack, "br", "")
+                    self._open("br", "")
                 elif tag not in ("html", "body"):
-                    self._close(stack, tag, frozenset() if tag in BLOCK else BLOCK)
-            elif m[2] or m[4]:
-                tag, attrs = (m[2] or m[4]).lower(), (m[3] or m[5] or "")
-                self._open(stack, tag, attrs)
-                if tag in RAW and not attrs.endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                    stack.pop()
-        if at < len(html):
-            self.parts[stack[-1]].append(html[at:])
+                    self._close(tag)
+                continue
+            attrs = html[m.end() : stop - 1]
+            self._open(tag, attrs)
+            if tag in RAW and not attrs.endswith("/"):
+                end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                at = done = html.find(">", end.end()) + 1 or len(html) if end else len(html)
+                self._pop(len(self.stack) - 1)
+        if done < len(html):
+            self.parts[self.stack[-1]].append(html[done:])
 
     def content(self) -> list:
         """Nodes and loose strings that make up the article, in page order."""
@@ -196,22 +245,40 @@ class Page:
         path = [core]
         while path[-1] > 0 and self.tag[path[-1]] != "body":
             path.append(self.parent[path[-1]])
-        for i in reversed(path):
-            if self.tag[i] in MAIN:
-                return [i]
         threshold = min(density[i] for i in path)
-        on_path, kept, todo = set(path), [], [path[-1]]
+        scope = self._scope(core, path, chars)
+        on_path, kept, todo = set(path), [], [(path[-1], False)]
         while todo:
-            x = todo.pop()
+            x, within = todo.pop()
             if type(x) is str:
-                if len(x.strip()) >= threshold:
+                if within or len(x.strip()) >= threshold:
                     kept.append(x)
-            elif x == core or (x not in on_path and not self.drop[x] and density[x] >= threshold):
+            elif x == core or (x not in on_path and not self.drop[x] and (density[x] >= threshold or (within and lchars[x] * 2 <= chars[x]))):
                 kept.append(x)
             elif x in on_path:
-                todo.extend(reversed(self.parts[x]))
+                todo.extend((part, x in scope) for part in reversed(self.parts[x]))
         return kept
 
+    def _scope(self, core: int, path: list[int], chars: list[int]) -> set[int]:
+        """The nodes of the path above the core that belong to the article as a whole."""
+        scope = {i for i in path[1:-1] if chars[core] * 2 >= chars[i]}
+        if not self._holds_blocks(core):
+            for i in path[1:]:
+                scope.add(i)
+                if self.tag[i] in BLOCK:
+                    break
+        return scope
+
+    def _holds_blocks(self, x: int) -> bool:
+        todo = [x]
+        while todo:
+            for part in self.parts[todo.pop()]:
+                if type(part) is int and not self.drop[part]:
+                    if self.tag[part] in BLOCK:
+                        return True
+                    todo.append(part)
+        return False
+
     def text(self) -> str:
         blocks, open_block, todo = [], [], self.content()[::-1]
         while todo:

@@ -1,3 +1,5 @@
+import time
+from html.parser import HTMLParser
 from zlib import crc32
 
 import numpy as np
@@ -65,6 +67,63 @@ def test_main_text():
     assert html_extract.main_text("<article>" + "<div>" * 5000 + "x" + "<a title='q") == "x<a title='q"
 
 
+class Marked(HTMLParser):
+    """The text of the article element, block by block: what the generated pages hold as their main text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag in html_extract.BLOCK:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.blocks.append("")
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_all_pages_match_brute_force_with_and_without_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.selectExpr("page_id", "url", "regexp_replace(html, '(</?)article', '$1div') html")
+    want = {}
+    for r in pages.collect():
+        m = Marked()
+        m.feed(r.html)
+        want[r.page_id] = "\n".join(x for b in m.blocks if (x := " ".join(b.split())))
+    for table in (pages, bare):
+        got = html_extract.report(table).collect()
+        assert len(got) == len(want) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
+def test_density_decides():
+    long = "word " * 80
+    # an article element that is not the densest part is no article
+    assert html_extract.main_text(f"<body><article><a href=x>more</a></article><div><p>{long}</p><p>{long}</p></div></body>") == f"{long.strip()}\n{long.strip()}"
+    # a heading beside the densest part, a short section and a list of links
+    page = f"<body><div><h1>Title</h1><div><p>{long}</p><p>{long}</p></div><section><p>short</p></section><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul></div><div><p>far</p></div></body>"
+    assert html_extract.main_text(page) == f"Title\n{long.strip()}\n{long.strip()}\nshort"
+    assert html_extract.main_text(f"<body><div class='related-work'><p>{long}</p></div></body>") == long.strip()
+    assert html_extract.main_text(f"<body><article><p>{long}</p><p class='share-price'>up</p></article></body>") == f"{long.strip()}\nup"
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ("<b>", "<a x=\"", "<a x='\">", "</a", "<i><div><b></i>", "<li><b>", "<!x", "<td><b><tr>", "<script></script", "<header><b>", "<p><i>"):
+        began = time.perf_counter()
+        html_extract.main_text(unit * (100_000 // len(unit)))
+        assert time.perf_counter() - began < 3, unit
+
+
 def test_layout_names_keep_the_main_text():
     text = "word " * 60
     for name in ("content has-sidebar", "no-sidebar", "layout-with-banner", "comments-open", "page-with-menu", "sidebar-left-layout"):
