@@ -1,30 +1,36 @@
-"""Exact substring dedup by distributed prefix doubling on sampled positions.
-
-A byte goes when a string of ``LENGTH`` bytes covers it that also starts in a document with a
-smaller id. Ranks are names: the rank of 16 bytes is a fingerprint, the rank of 24 or 32
-bytes that of the pair of ranks at offsets 0 and 16, the rank of 50 bytes that of the pair at 0 and
-18. Equal strings have equal ranks, whichever task names them, so only comparison needs a shuffle.
-
-Doubling over every byte would move more than ten times the input in each round. So positions
-are sampled first: every window of ``LENGTH`` bytes takes its smallest 24-byte rank as *anchor*,
-which depends on the window's content alone. Neighbouring windows share anchors, about one per
-14 bytes; the windows of one anchor form its *stretch* of at most 76 bytes. Rounds:
-
-1. Anchors are sorted by (rank of the anchor, rank of its stretch). A stretch that a smaller
-   document has too is settled, with all of its windows. An anchor whose rank no other stretch
-   has is unique and drops out.
-2. What remains are first occurrences of stretches whose anchor also stands in other stretches:
-   the borders of repeated passages. Their windows are sorted by the rank of 50 bytes.
-
-Scale: documents are dealt once, by a hash of the id, into batches of about ``BATCH_BYTES``, and
-stay there. A batch sends each of its ranks once, with the smallest document that has it, packed
-into one row per bucket of ranks, and gets back what it has to know. A rank that a third of all
-documents share is thus one entry per batch. An anchor with many stretches in one batch is spread
-over the buckets by stretch, and treated as not unique. No step sees all copies of a string.
+"""Exact substring dedup by distributed prefix doubling over positions sampled by content.
+
+A byte goes when a string of ``LENGTH`` bytes (a *window*) covers it that also starts in a document
+with a smaller id. Plain doubling sorts every byte position in every round; here Spark sorts only
+positions that can still matter, and each of them stands for a run of windows:
+
+* Every window takes its smallest 24-byte gram as *anchor*, which depends on the window's content
+  alone. Neighbouring windows share anchors, about one per 14 bytes. An anchor's *core* is its 24
+  bytes, which all of its windows hold; its *whole* is all that its windows cover, 76 bytes at most.
+* Round 0 sorts (rank of the core, rank of the whole, document). A core that is alone drops out. Of
+  equal wholes all but those of the smallest document are settled, with every window. What is left
+  are first occurrences of wholes that share their core with other wholes: the borders of repeated
+  passages.
+* Each further round halves a run of windows. All windows of a half share a longer core: 37 bytes,
+  then 44, 47, 49 and 50. Spark sorts (longer core, whole of the half, document) again; unique cores
+  drop out, equal wholes are settled, the rest goes on, until the core is the window itself.
+
+In round 0 a rank is a name of 128 bits made where the text is, so that equal strings have equal
+ranks in every task; it is sent as two numbers, and two different wholes are taken for equal only if
+both agree. The later rounds sort the bytes themselves.
+
+Scale: documents are dealt once, by a hash of the id, into batches of about ``BATCH_BYTES`` and stay
+there. A batch sends one row per core and whole, with its smallest document, and gets back only
+rows that settle something, so rows grow with the text. A string that a third of all documents share
+is thus one row per batch. A core with more than ``PER_CORE`` wholes in one batch is *wide*: its rows
+are dealt by the whole, one mark tells those who hold the core elsewhere that it is not alone, and
+the next round brings them together. The last round has no wide cores. No step sees all copies of
+a string, and none is left out.
 
 Null text is empty; texts under ``LENGTH`` bytes lose nothing; a null id counts as larger than
-all others; rows with equal ids never remove bytes from each other; matches do not cross
-documents; an empty table gives an empty result; extra columns are kept by :func:`dedup`.
+all others; rows with equal ids never remove bytes from each other; matches do not cross documents; a
+text of any length is one member of its batch; an empty table gives an empty result; extra columns,
+whatever their names, are kept by :func:`dedup`.
 """
 
 from __future__ import annotations
@@ -35,313 +41,314 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, cut_dealt, release, trim, whole_text
+from .common import cut_dealt, release, trim, whole_text, written
 
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
 BATCH_BYTES = 8 << 20
-PER_ANCHOR = 4
-PIECE = 1 << 19
+#: Partitions at most; each then works through several batches, one after the other.
+PARTITIONS = 100_000
+PER_CORE = 4
+PIECE = 1 << 15
+CHUNK = 1 << 16
 LAST = np.int64((1 << 63) - 1)
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_M1, _M2, _M3, _M4 = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _LOW = np.uint64(PIECE * 2 - 1)
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def pair(a: np.ndarray, b: np.ndarray, m: np.uint64 = _M1, n: np.uint64 = _M2) -> np.ndarray:
     """The rank of a pair of ranks."""
-    x = a * _M1
-    x += b * _M2
+    x = a * m
+    x += b * n
     x ^= x >> np.uint64(32)
     return x
 
 
-def words_at(data: bytes) -> np.ndarray:
-    """The 8 bytes at every position, as numbers."""
-    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,)).copy()
-
-
-def rank16(u: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return pair(u[p], u[p + 8])
-
-
-def rank24(u: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return pair(rank16(u, p), u[p + 16])
+def mix(x: np.ndarray, m: np.uint64 = _M3) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * m
+    return x ^ (x >> np.uint64(32))
 
 
-def rank32(u: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return pair(rank16(u, p), rank16(u, p + 16))
+def words_at(data: bytes) -> np.ndarray:
+    """The 8 bytes at every position, as numbers, without a copy."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
 
 
-def rank50(u: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return pair(rank32(u, p), rank32(u, p + LENGTH - 32))
+def gram_hashes(u: np.ndarray, lo: int, n: int) -> np.ndarray:
+    """What anchors are chosen by: a hash of the 24 bytes at ``n`` positions from ``lo``."""
+    u = u[lo : lo + n + 16].copy()
+    return pair(pair(u[:n], u[8 : 8 + n]), u[16:])
 
 
-def anchors(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors, and the first and last window of each."""
-    windows = len(u) + 7 - LENGTH + 1
-    if windows <= 0:
-        return (np.empty(0, np.int64),) * 3
-    at, first = [], []
+def anchor_offsets(u: np.ndarray, windows: int) -> np.ndarray:
+    """How far each window's anchor is from its start."""
+    out = np.empty(windows, np.uint8)
     for lo in range(0, windows, PIECE):
         n = min(PIECE, windows - lo)
-        grams = n + SPAN - 1
-        m = pair(pair(u[lo : lo + grams], u[lo + 8 : lo + 8 + grams]), u[lo + 16 : lo + 16 + grams])
-        m = m & ~_LOW | np.arange(grams, dtype=np.uint64)
+        m = gram_hashes(u, lo, n + SPAN - 1)
+        m = m & ~_LOW | np.arange(n + SPAN - 1, dtype=np.uint64)
         width = 1
         while width * 2 <= SPAN:
             m = np.minimum(m[:-width], m[width:])
             width *= 2
         if width < SPAN:
             m = np.minimum(m[: width - SPAN], m[SPAN - width :])
-        a = (m & _LOW).astype(np.int64) + lo
-        new = np.flatnonzero(np.concatenate(([not at or a[0] != at[-1][-1]], a[1:] != a[:-1])))
-        at.append(a[new])
-        first.append(new + lo)
-        if not len(new):
-            at.pop(), first.pop()
-    pos, first = np.concatenate(at), np.concatenate(first)
-    return pos, first, np.append(first[1:], windows) - 1
-
-
-def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per anchor: its rank, the rank of its stretch, first and last window."""
+        out[lo : lo + n] = (m & _LOW).astype(np.int64) - np.arange(n)
+    return out
+
+
+def runs(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, whose text each run of windows with one anchor is in, the places of
+    their anchors, first and last windows."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(size)
+    data = b"".join(texts) + bytes(64)
+    windows = len(data) - 64
+    # no window crosses the end of a text
+    inside = np.zeros(windows + 1, np.int32)
+    long = size >= LENGTH
+    inside[(end - size)[long]] += 1
+    inside[(end - LENGTH + 1)[long]] -= 1
+    inside = np.cumsum(inside[:-1]) > 0
+    off = anchor_offsets(words_at(data), windows)
+    begins, ends = inside.copy(), inside.copy()
+    if windows:
+        same = inside[1:] & inside[:-1] & (off[1:] + np.uint8(1) == off[:-1])
+        begins[1:] &= ~same
+        ends[:-1] &= ~same
+    lo, hi = np.flatnonzero(begins), np.flatnonzero(ends)
+    return data, np.searchsorted(end, lo, side="right"), lo + off[lo], lo, hi
+
+
+def names(data: bytes, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of the cores and of the wholes."""
     u = words_at(data)
-    pos, lo, hi = anchors(u)
-    if not len(pos):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), lo, hi
-    whole = pair(pair(rank50(u, lo), rank50(u, hi)), ((pos - lo) * 64 + hi - lo).astype(np.uint64))
-    anchor = rank24(u, pos)
-    return anchor, keyed(anchor, whole), lo, hi
-
-
-def keyed(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A rank under a key: 16 bits of the key above 48 bits of the rank. With the 32 bits of
-    the key that are sent beside it, equality is judged on 80 bits and more."""
-    return key >> np.uint64(48) << np.uint64(48) | rank & np.uint64((1 << 48) - 1)
-
-
-def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges ``lo..hi``."""
-    n = hi - lo + 1
-    return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-
-
-# ---------------------------------------------------------------- packed rows
-
-_ENTRY = (np.dtype("<u4"), np.dtype("<u4"), np.dtype("<u2"), np.dtype("<i8"))
-_REPLY = (np.dtype("<u8"), np.dtype("<i8"), np.dtype("u1"))
-
-
-def _packed(kinds: tuple, *columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True)))
-
-
-def _unpacked(kinds: tuple, blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns of all blobs together, and how many entries each blob has."""
-    size, unpack = sum(k.itemsize for k in kinds), zstandard.ZstdDecompressor()
-    parts: list[list] = [[] for _ in kinds]
-    counts = []
-    for blob in blobs:
-        raw = unpack.decompress(blob)
-        n, at = len(raw) // size, 0
-        counts.append(n)
-        for part, k in zip(parts, kinds, strict=True):
-            part.append(np.frombuffer(raw, k, n, at))
-            at += n * k.itemsize
-    return [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(parts, kinds, strict=True)], np.array(counts, np.int64)
 
+    def rank50(p: np.ndarray) -> np.ndarray:
+        parts = [pair(pair(u[q], u[q + 8], _M3, _M4), pair(u[q + 16], u[q + 24], _M2, _M3), _M4, _M1) for q in (p, p + LENGTH - 32)]
+        return mix(pair(*parts, _M3, _M2))
 
-def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
-    """Indices of the entry with the smallest document for each distinct key, in key order."""
-    order = np.lexsort((doc, *keys))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    return order[new]
-
-
-def _send(batch: int, bucket: np.ndarray, wide: bool, small: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-    """One row per bucket. Of a keyed rank only the 48 bits below its key are sent."""
-    order = np.lexsort((doc, bucket))
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            r = rank[part]
-            yield int(bucket[part[0]]), batch, wide, _packed(_ENTRY, small[part], r & np.uint64(0xFFFFFFFF), r >> np.uint64(32) & np.uint64(0xFFFF), doc[part])
-
-
-_SENT = "bucket long, batch long, wide boolean, entries binary"
-_BACK = "batch long, windows boolean, replies binary"
-
-
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+    core = mix(pair(mix(pair(u[pos], u[pos + 8], _M2, _M4)), u[pos + 16], _M4, _M3))
+    shape = ((pos - lo) * 64 + hi - lo).astype(np.uint64)
+    return core.view(np.int64), mix(pair(pair(rank50(lo), rank50(hi)), shape), _M4).view(np.int64)
 
 
 # ---------------------------------------------------------------- one batch
 
 
 class Batch:
-    """The documents of a batch and their stretches."""
+    """The documents of a batch, their runs of windows, and the runs' names: numbers of the
+    distinct pairs of core and whole."""
 
     def __init__(self, table: pa.Table):
         unpack = zstandard.ZstdDecompressor()
         ids = table.column("__id").to_pylist()
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
-        self.data = [unpack.decompress(x) for x in table.column("__data").to_pylist()]
-        found = [stretches(d) for d in self.data]
-        self.owner = np.repeat(np.arange(len(ids)), [len(f[0]) for f in found])
-        self.anchor, self.rank, self.lo, self.hi = (np.concatenate(c) if c else np.empty(0, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
-        self.doc = self.ids[self.owner] if len(ids) else self.ids
-
-    def entries(self, batch: int, buckets: int) -> Iterator[tuple]:
-        if not len(self.rank):
-            return
-        at = _smallest([self.rank], self.doc)
-        anchor, rank, doc = self.anchor[at], self.rank[at], self.doc[at]
-        name, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        many = count[inverse] > PER_ANCHOR
-        small = (anchor >> np.uint64(32)).astype(np.uint32)
-        few = ~many
-        # an anchor that is spread leaves one mark, a stretch of no document, in its own bucket
-        marked = name[count > PER_ANCHOR]
-        b = np.concatenate((anchor[few], marked)) % np.uint64(buckets)
-        yield from _send(
-            batch, b.astype(np.int64), False,
-            np.concatenate((small[few], (marked >> np.uint64(32)).astype(np.uint32))),
-            np.concatenate((rank[few], np.zeros(len(marked), np.uint64))),
-            np.concatenate((doc[few], np.full(len(marked), LAST))),
-        )
-        if many.any():
-            yield from _send(batch, (rank[many] % np.uint64(buckets)).astype(np.int64), True, small[many], rank[many], doc[many])
-
-    def learn(self, back: pa.Table) -> None:
-        """Take in the replies to stretches, and to windows if there are any."""
-        kinds = back.column("windows").to_pylist()
-        blobs = back.column("replies").to_pylist()
-        (rank, low, first), _ = _unpacked(_REPLY, [x for x, w in zip(blobs, kinds, strict=True) if not w])
-        (self.window, self.window_low, _), _ = _unpacked(_REPLY, [x for x, w in zip(blobs, kinds, strict=True) if w])
-        self.window_order = np.argsort(self.window)
-        # the smallest document here and elsewhere
-        every, where = np.unique(self.rank, return_inverse=True)
-        here = np.full(len(every), LAST)
-        np.minimum.at(here, where, self.doc)
-        open_ = np.zeros(len(every), bool)
-        if len(every) and len(rank):
-            i = np.minimum(np.searchsorted(every, rank), len(every) - 1)
-            known = every[i] == rank
-            np.minimum.at(here, i[known], low[known])
-            open_[i[known & (first == 1)]] = True
-        self.low = here[where]
-        self.open = open_[where] & (self.low == self.doc)
-
-    def open_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, position and rank of the windows that round 2 decides."""
-        owner, place, rank, extra = [], [], [], []
-        at = np.flatnonzero(self.open)
-        for part in np.split(at, np.flatnonzero(np.diff(self.owner[at])) + 1):
-            if len(part):
-                o = int(self.owner[part[0]])
-                p = spread(self.lo[part], self.hi[part])
-                u = words_at(self.data[o])
-                owner.append(np.full(len(p), o))
-                place.append(p)
-                key = rank16(u, p + 17)
-                rank.append(keyed(key, rank50(u, p)))
-                extra.append((key >> np.uint64(32)).astype(np.uint32))
-        if not owner:
-            none = np.empty(0, np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint32)
-        return np.concatenate(owner), np.concatenate(place), np.concatenate(rank), np.concatenate(extra)
-
-    def window_entries(self, batch: int, buckets: int) -> Iterator[tuple]:
-        owner, _, rank, extra = self.open_windows()
-        if len(rank):
-            at = _smallest([rank, extra], self.ids[owner])
-            yield from _send(batch, (rank[at] % np.uint64(buckets)).astype(np.int64), False, extra[at], rank[at], self.ids[owner[at]])
-
-    def removed(self) -> Iterator[np.ndarray]:
-        """For each document the mask of bytes to remove, as pairs of span ends."""
-        owner, place, rank, _ = self.open_windows()
-        doc = self.ids[owner] if len(owner) else owner
-        every, where = np.unique(rank, return_inverse=True)
-        low = np.full(len(every), LAST)
-        np.minimum.at(low, where, doc)
-        if len(every) and len(self.window):
-            i = np.minimum(np.searchsorted(every, self.window), len(every) - 1)
-            known = every[i] == self.window
-            np.minimum.at(low, i[known], self.window_low[known])
-        hit = low[where] < doc
-        settled = np.flatnonzero(self.low < self.doc)
-        starts = np.concatenate((self.lo[settled], place[hit]))
-        ends = np.concatenate((self.hi[settled], place[hit])) + LENGTH
-        of = np.concatenate((self.owner[settled], owner[hit]))
-        order = np.lexsort((starts, of))
-        starts, ends, of = starts[order], ends[order], of[order]
-        bounds = np.searchsorted(of, np.arange(len(self.data) + 1))
-        for k in range(len(self.data)):
-            s, e = starts[bounds[k] : bounds[k + 1]], ends[bounds[k] : bounds[k + 1]]
-            if not len(s):
+        self.texts = [unpack.decompress(x) for x in table.column("__data").to_pylist()]
+        self.data, self.owner, self.pos, self.lo, self.hi = runs(self.texts)
+        core, whole = names(self.data, self.pos, self.lo, self.hi)
+        self.doc = self.ids[self.owner]
+        self.order = np.lexsort((self.doc, core, whole))
+        w, c = whole[self.order], core[self.order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+        self.begin = np.flatnonzero(new)
+        self.first = self.order[self.begin]
+        self.core, self.whole = c[new], w[new]
+        self.name = np.empty(len(w), np.int64)
+        self.name[self.order] = np.cumsum(new) - 1
+
+    def find(self, core: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The names of pairs, -1 for what is not here."""
+        found = np.full(len(core), -1)
+        at = np.searchsorted(self.whole, whole)
+        todo = np.arange(len(core))
+        while len(todo):
+            todo = todo[at[todo] < len(self.whole)]
+            todo = todo[self.whole[at[todo]] == whole[todo]]
+            hit = self.core[at[todo]] == core[todo]
+            found[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit]
+            at[todo] += 1
+        return found
+
+    def entries(self, batch: int) -> pa.Table:
+        """Round 0: a row per name, and a mark per wide core."""
+        cores, inverse, count = np.unique(self.core, return_inverse=True, return_counts=True)
+        wide, marked = (count > PER_CORE)[inverse], cores[count > PER_CORE]
+        n, m = len(self.core), len(marked)
+        return pa.table({
+            "batch": np.repeat(np.array([batch, -1], np.int32), (n, m)),
+            "wide": np.concatenate((wide, np.zeros(m, bool))),
+            "one": np.concatenate((np.where(wide, self.whole, self.core), marked)),
+            "two": np.concatenate((np.where(wide, self.core, self.whole), np.zeros(m, np.int64))),
+            "doc": np.concatenate((self.doc[self.first], np.full(m, LAST))),
+        })
+
+    def contexts(self, batch: int, core: np.ndarray, whole: np.ndarray) -> pa.Table:
+        """The bytes of open wholes; ``low`` and ``high`` say how far before its anchor the
+        nearest and the farthest window start."""
+        name = self.find(core, whole)
+        row = self.first[name[name >= 0]]
+        lo, hi, pos = self.lo[row], self.hi[row], self.pos[row]
+        return pa.table({
+            "batch": np.full(len(row), batch, np.int32),
+            "core": self.core[self.name[row]],
+            "whole": self.whole[self.name[row]],
+            "doc": self.doc[row],
+            "first": np.zeros(len(row), np.int32),
+            "last": np.full(len(row), SPAN - 1, np.int32),
+            "low": (pos - hi).astype(np.int32),
+            "high": (pos - lo).astype(np.int32),
+            "bytes": pa.array([self.data[a : b + LENGTH] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
+        })
+
+    def removed(self, core: np.ndarray, whole: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+        """For each document the bytes to remove, as pairs of span ends, given the settled windows
+        of first occurrences here. Those with a smaller document in the batch are settled anyway."""
+        least = self.doc[self.first][self.name]
+        later = np.flatnonzero(self.doc > least)
+        leads = np.bincount(self.name[self.doc == least], minlength=len(self.core))
+        name = self.find(core, whole)
+        low, high, name = low[name >= 0], high[name >= 0], name[name >= 0]
+        n = leads[name]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        row = self.order[np.repeat(self.begin[name], n) + step]
+        start = np.concatenate((self.lo[later], np.maximum(self.pos[row] - np.repeat(high, n), self.lo[row])))
+        stop = np.concatenate((self.hi[later], np.minimum(self.pos[row] - np.repeat(low, n), self.hi[row])))
+        order = np.argsort(start, kind="stable")
+        start, stop = start[order], stop[order] + LENGTH
+        base = 0
+        bounds = np.searchsorted(start, np.cumsum([0, *map(len, self.texts)]))
+        for k, text in enumerate(self.texts):
+            s, e = start[bounds[k] : bounds[k + 1]], stop[bounds[k] : bounds[k + 1]]
+            if len(s):
+                e = np.maximum.accumulate(e)
+                new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+                yield np.stack((s[new], e[np.append(new[1:], len(s)) - 1]), axis=1) - base
+            else:
                 yield np.empty((0, 2), np.int64)
-                continue
-            e = np.maximum.accumulate(e)
-            new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
-            yield np.stack((s[new], e[np.append(new[1:], len(s)) - 1]), axis=1)
-
-
-def _settle(sent: pa.Table, windows: bool) -> pa.Table:
-    """All entries of a bucket: who has a rank first, and which first occurrences stay open."""
-    out = []
-    wide = np.array(sent.column("wide").to_pylist(), bool)
-    batches = np.array(sent.column("batch").to_pylist(), np.int64)
-    blobs = sent.column("entries").to_pylist()
-    for kind in (False, True):
-        use = np.flatnonzero(wide == kind)
-        if not len(use):
-            continue
-        (small, low32, high16, doc), counts = _unpacked(_ENTRY, [blobs[i] for i in use])
-        rank = (small >> np.uint32(16)).astype(np.uint64) << np.uint64(48) | high16.astype(np.uint64) << np.uint64(32) | low32
-        batch = np.repeat(batches[use], counts)
-        order = np.lexsort((doc, rank, small))
-        small, rank, doc, batch = small[order], rank[order], doc[order], batch[order]
-        new_small = np.concatenate(([True], small[1:] != small[:-1]))
-        new = new_small | np.concatenate(([True], rank[1:] != rank[:-1]))
-        group = np.cumsum(new) - 1
-        low = doc[new][group]
-        if windows:
-            tell, first = doc > low, np.zeros(len(doc), bool)
-        else:
-            of = np.cumsum(new_small) - 1
-            distinct = np.bincount(of[new])
-            first = new & ((distinct[of] > 1) | kind) & ~((low32[order] == 0) & (high16[order] == 0) & (doc == LAST))
-            tell = (doc > low) | first
-        for part in np.split(t := np.flatnonzero(tell)[np.argsort(batch[tell], kind="stable")], np.flatnonzero(np.diff(batch[t])) + 1):
-            if len(part):
-                out.append((int(batch[part[0]]), windows, _packed(_REPLY, rank[part], low[part], first[part])))
-    return _table(out, _BACK)
+            base += len(text)
+
+
+# ---------------------------------------------------------------- rounds
+
+
+def _judged(rows: DataFrame, parts: int, group: list[str], same: list[str]) -> DataFrame:
+    """``rows`` (but marks) that are ``settled`` or go on. Rows of one ``group``, dealt by its first
+    column, have equal cores; of those that agree in ``same`` too, the smallest document is first.
+    One sort serves both windows."""
+    inner, outer = Window.partitionBy(*group, *same), Window.partitionBy(*group)
+    one = F.col(same[0]) if len(same) == 1 else F.struct(*same)
+    dealt = rows.repartition(parts, group[0]).withColumn("settled", F.col("doc") > F.min("doc").over(inner))
+    others = (F.min(one).over(outer) != F.max(one).over(outer)) | (F.min("batch").over(outer) < 0)
+    return dealt.withColumn("others", F.col("wide") | others).where("batch >= 0 and (settled or others)").drop("others")
+
+
+def _core_bytes(first, last, high, bytes_):
+    """The bytes that all windows from ``first`` to ``last`` before an anchor hold."""
+    return F.substring(bytes_, high - first + 1, LENGTH - (last - first))
+
+
+_OPEN = "batch int, core long, whole long, doc long, first int, last int, low int, high int, bytes binary"
+_HALF = _OPEN + ", wide boolean, cut boolean"
+_CUTS = ["batch", "core", "whole", "low", "high"]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    held: list[tuple] = []
+    for b in batches:
+        held += zip(*[c.to_pylist() for c in b.columns], strict=True)
+        if len(held) >= CHUNK:
+            yield held
+            held = []
+    yield held
+
+
+def _halves(opened: DataFrame) -> DataFrame:
+    """Both halves of each run of windows. Of equal halves in a chunk of rows, only those of the
+    smallest document go on, the others are ``cut``."""
+
+    def halve(rows: list[tuple]) -> Iterator[tuple]:
+        best: dict[tuple, list[tuple]] = {}
+        for batch, core, whole, doc, first, last, low, high, text in rows:
+            middle = (first + last) // 2
+            for a, b in ((first, middle), (middle + 1, last)):
+                near, far = max(low, a), min(high, b)
+                if near > far:
+                    continue
+                key = (a, b, near, far, text[high - far : high - near + LENGTH])
+                held = best.setdefault(key, [])
+                row = (batch, core, whole, doc)
+                if held and doc < held[0][3]:
+                    yield from ((*h, a, b, near, far, None, False, True) for h in held)
+                    held.clear()
+                if held and doc > held[0][3]:
+                    yield (*row, a, b, near, far, None, False, True)
+                else:
+                    held.append(row)
+        count: dict[tuple, int] = {}
+        place = lambda a, b, far, text: (a, b, text[far - a : far - a + LENGTH - (b - a)])
+        for a, b, _, far, text in best:
+            k = place(a, b, far, text)
+            count[k] = count.get(k, 0) + 1
+        for (a, b, near, far, text), held in best.items():
+            wide = count[place(a, b, far, text)] > PER_CORE
+            yield from ((*h, a, b, near, far, text, wide, False) for h in held)
+        for (a, b, text), n in count.items():
+            if n > PER_CORE:  # a mark
+                yield -1, 0, 0, int(LAST), a, b, a, a, text, False, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _chunks(batches):
+            columns = list(zip(*halve(rows), strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+        trim()
+
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {name: of[kind] for name, kind in (f.split() for f in _HALF.split(", "))}
+    return opened.mapInArrow(run, _HALF)
+
+
+def _round(opened: DataFrame, parts: int) -> DataFrame:
+    """One halving: the rows that are ``settled`` or go on."""
+    core = _core_bytes(F.col("first"), F.col("last"), F.col("high"), F.col("bytes"))
+    key = F.when(F.col("cut"), F.xxhash64("core", "whole", "low")).when(F.col("wide"), F.xxhash64("first", "low", "high", "bytes")).otherwise(F.xxhash64("first", core))
+    rows = _halves(opened).select(key.alias("key"), "*")
+    # the core is bytes of the row itself and is not sent beside it
+    held = rows.repartition(parts, "key").withColumn("core_bytes", core)
+    inner = Window.partitionBy("key", "first", "core_bytes", "low", "high", "bytes")
+    outer = Window.partitionBy("key", "first", "core_bytes")
+    one = F.struct("low", "high", "bytes")
+    held = held.withColumn("settled", F.col("cut") | (F.col("doc") > F.min("doc").over(inner)))
+    held = held.withColumn("others", F.col("wide") | (F.min(one).over(outer) != F.max(one).over(outer)) | (F.min("batch").over(outer) < 0))
+    kept = held.where("batch >= 0 and (settled or (others and first < last))").drop("key", "core_bytes", "wide", "cut", "others")
+    return kept.withColumn("bytes", F.when(~F.col("settled"), F.col("bytes")))
 
 
 # ---------------------------------------------------------------- the operator
 
 
+def _batch_of(batches: int) -> Column:
+    """Rows without an id are dealt by their text."""
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("__data")).otherwise(F.xxhash64("doc_id")), F.lit(batches))
+
+
 def _dealt(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """Documents in batches, texts compressed, in the shared checkpoint folder."""
+    """Documents in batches, texts compressed, in the shared checkpoint folder; and how many
+    partitions they fill."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(whole_text(text)).cast("long")).alias("n")).first()["n"] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches = max(parts, -(-size // BATCH_BYTES))
+    batches = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BATCH_BYTES))
     rest = [c for c in docs.columns if c != text]
-    rows = docs.select(whole_text(text).alias("__data"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("__batch"), F.col("doc_id").cast("long").alias("__id"), *[F.col(f"`{c}`") for c in rest])
+    rows = docs.select(whole_text(text).alias("__data"), *[F.col(f"`{c}`") for c in rest])
+    rows = rows.select("__data", _batch_of(batches).cast("int").alias("__batch"), F.col("doc_id").cast("long").alias("__id"), *[F.col(f"`{c}`") for c in rest])
     schema = rows.withColumn("__data", F.lit(None).cast("binary")).schema
 
     def compress(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,61 +357,79 @@ def _dealt(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
             data = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), *b.columns[1:]], names=b.schema.names)
 
-    return cut_dealt(rows.mapInArrow(compress, schema), min(batches, 20_000), "__batch"), batches
+    parts = min(batches, PARTITIONS)
+    return cut_dealt(rows.mapInArrow(compress, schema), parts, "__batch"), parts
+
 
+def _number(table: pa.Table) -> int:
+    return table.column("__batch")[0].as_py()
 
-def _number(table: pa.Table, column: str = "__batch") -> int:
-    return table.column(column)[0].as_py()
 
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in columns]
 
-def _replies(dealt: DataFrame, buckets: int) -> DataFrame:
-    """What each batch has to know: smaller documents with its stretches and windows."""
+
+def _settled(dealt: DataFrame, parts: int) -> DataFrame:
+    """``batch, core, whole, low, high``: windows of first occurrences in their batches that a
+    smaller document has."""
 
     def send(table: pa.Table) -> pa.Table:
-        out = _table(list(Batch(table).entries(_number(table), buckets)), _SENT)
+        out = Batch(table).entries(_number(table))
         trim()
         return out
 
-    def send_windows(table: pa.Table, back: pa.Table) -> pa.Table:
-        if not table.num_rows or not back.num_rows:
-            return _table([], _SENT)
-        batch = Batch(table)
-        batch.learn(back)
-        out = _table(list(batch.window_entries(_number(table), buckets)), _SENT)
-        del batch
+    def send_bytes(table: pa.Table, opened: pa.Table) -> pa.Table:
+        if not table.num_rows or not opened.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in empty.items()})
+        out = Batch(table).contexts(_number(table), *_numbers(opened, "core", "whole"))
         trim()
         return out
 
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    empty = {n: of[k] for n, k in (f.split() for f in _OPEN.split(", "))}
     docs = dealt.select("__batch", "__id", "__data")
     release(dealt)
-    first = cut(docs.groupBy("__batch").applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(lambda t: _settle(t, False), _BACK))
-    release(dealt)
-    sent = docs.groupBy("__batch").cogroup(first.groupBy("batch")).applyInArrow(send_windows, _SENT)
-    second = cut(sent.groupBy("bucket").applyInArrow(lambda t: _settle(t, True), _BACK))
+    rows = docs.groupBy("__batch").applyInArrow(send, "batch int, wide boolean, one long, two long, doc long")
+    seen = _judged(rows, parts, ["one", "wide"], ["two"])
+    seen = written(seen.select("batch", F.when(F.col("wide"), F.col("two")).otherwise(F.col("one")).alias("core"), F.when(F.col("wide"), F.col("one")).otherwise(F.col("two")).alias("whole"), "settled"))
     release(dealt)
-    return first.union(second)
+    cuts = seen.where("settled").select("batch", "core", "whole", F.lit(0).alias("low"), F.lit(SPAN - 1).alias("high"))
+    going = seen.where("not settled").select("batch", "core", "whole")
+    opened = docs.groupBy("__batch").cogroup(going.groupBy("batch")).applyInArrow(send_bytes, _OPEN)
+    width = SPAN
+    while width > 1:
+        width -= width // 2
+        halves = written(_round(opened, parts))
+        release(dealt)
+        cuts = cuts.union(halves.where("settled").select(_CUTS))
+        opened = halves.where("not settled").drop("settled")
+        if opened.isEmpty():
+            break
+    return cuts
 
 
 def _finished(docs: DataFrame, text: str, describe, added: list) -> DataFrame:
     """The columns of ``docs`` without the text, and what ``describe(data, spans)`` gives."""
-    dealt, batches = _dealt(docs, text)
-    replies = _replies(dealt, batches)
+    dealt, parts = _dealt(docs, text)
+    cuts = _settled(dealt, parts)
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(None).cast(kind).alias(name) for name, kind, _ in added]).schema
 
     def finish(table: pa.Table, back: pa.Table) -> pa.Table:
-        batch = Batch(table)
-        batch.learn(back)
-        made = [describe(d, s) for d, s in zip(batch.data, batch.removed(), strict=True)]
-        columns = list(zip(*made, strict=True)) if made else [()] * len(added)
         out = table.select(rest)
+        made: list[tuple] = []
+        if table.num_rows:
+            batch = Batch(table)
+            made = [describe(d, s) for d, s in zip(batch.texts, batch.removed(*_numbers(back, "core", "whole", "low", "high")), strict=True)]
+            del batch
+        columns = list(zip(*made, strict=True)) if made else [()] * len(added)
         for (name, _, kind), c in zip(added, columns, strict=True):
             out = out.append_column(name, pa.array(c, kind))
-        del batch, made, columns
+        del made, columns
         trim()
         return out
 
-    return dealt.groupBy("__batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, schema)
+    return dealt.groupBy("__batch").cogroup(cuts.groupBy("batch")).applyInArrow(finish, schema)
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:

@@ -36,18 +36,21 @@ def check(docs):
     return got
 
 
-def test_anchors_in_pieces(monkeypatch):
+def test_runs_in_pieces(monkeypatch):
     rng = random.Random(1)
-    for data in (b"a" * 400, bytes(rng.choices(b"ab", k=900)), bytes(rng.choices(range(256), k=777)), b"x" * 49, b"x" * 50, b""):
-        u = S.words_at(data)
-        whole = S.anchors(u)
-        for s in range(len(data) - 49):
-            r = S.rank24(u, np.arange(s, s + 27)) >> np.uint64(20)
-            k = int(np.searchsorted(whole[1], s, side="right")) - 1
-            assert whole[0][k] == s + int(np.argmin(r)) and whole[1][k] <= s <= whole[2][k]
-        monkeypatch.setattr(S, "PIECE", 64)
-        assert all((a == b).all() for a, b in zip(whole, S.anchors(u), strict=True))
-        monkeypatch.undo()
+    texts = [b"a" * 400, bytes(rng.choices(b"ab", k=900)), bytes(rng.choices(range(256), k=777)), b"x" * 49, b"x" * 50, b""]
+    for piece in (1 << 15, 64):
+        monkeypatch.setattr(S, "PIECE", piece)
+        data, owner, pos, lo, hi = S.runs(texts)
+        assert data[:-64] == b"".join(texts)
+        hashes = S.gram_hashes(S.words_at(data), 0, len(data) - 40) >> np.uint64(16)
+        run, base = 0, 0
+        for k, t in enumerate(texts):
+            for s in range(base, base + len(t) - 49):
+                run += s > hi[run]
+                assert owner[run] == k and lo[run] <= s <= hi[run] and pos[run] == s + int(np.argmin(hashes[s : s + 27]))
+            base += len(t)
+        assert run == len(lo) - 1
 
 
 def test_table(spark):
@@ -55,9 +58,11 @@ def test_table(spark):
     assert sum(r[2] for r in got) > 0
 
 
-@pytest.mark.parametrize("per_anchor", [4, 1])
-def test_hard_texts(spark, monkeypatch, per_anchor):
-    monkeypatch.setattr(S, "PER_ANCHOR", per_anchor)
+@pytest.mark.parametrize(("per_core", "chunk"), [(4, 1 << 16), (1, 1 << 16), (1, 1), (4, 1)])
+def test_hard_texts(spark, monkeypatch, per_core, chunk):
+    monkeypatch.setattr(S, "PER_CORE", per_core)
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if chunk == 1 else "10000")
     rng = random.Random(7)
     syllables = ["the ", "of ", "an", "er", "tion ", "é", "ß"]
     say = lambda n: "".join(rng.choices(syllables, k=n))
@@ -67,6 +72,7 @@ def test_hard_texts(spark, monkeypatch, per_anchor):
     rows += [(200, "a" * 300), (201, "a" * 60), (202, "b" + "a" * 49), (203, "ab" * 100), (204, "ab" * 30), (205, None), (206, ""), (None, long), (None, long), (7, long), (7, long), (207, say(30))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as batch", "1 as __x")
     check(docs)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty_and_stage(spark):
