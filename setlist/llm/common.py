@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -52,9 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Let the driver drop shuffle files that no live plan needs, such as those behind a cut.
-    Spark removes them when the driver's garbage is collected, which may be long after."""
+    Spark removes them when the driver's garbage is collected, which may be long after. What the first
+    collection finds unused lets go of the plans behind it only once it is gone itself."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
+    time.sleep(0.2)
+    df.sparkSession._jvm.System.gc()
 
 
 def trim() -> None:
@@ -102,18 +106,30 @@ def match_spans(df: DataFrame, text: str, patterns: dict[str, str], prefix: str
     return df.select(*[F.col(f"`{c}`") for c in cols], *[_offsets(f"__v_{k}", f"__p_{k}").alias(prefix + k) for k in kinds])
 
 
+#: Matches of a text that are walked into one array; arrays of that length are then strung together.
+#: Adding to an array copies it, so one array for a text with very many matches would take the square.
+MATCH_BLOCK = 128
+
+
 def _offsets(values: str, pieces: str) -> Column:
     span = "array<struct<start:bigint,end:bigint,value:string>>"
+    none = F.array().cast(span)
 
     def step(acc, i):
         start = acc["pos"] + F.length(F.element_at(F.col(pieces), i)).cast("long")
         end = start + F.length(F.element_at(F.col(values), i)).cast("long")
         one = F.struct(start.alias("start"), end.alias("end"), F.element_at(F.col(values), i).alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"), acc["blocks"].alias("blocks"))
+
+    def block(acc, first):
+        places = F.sequence(first, F.least(first + (MATCH_BLOCK - 1), F.size(values)))
+        begun = F.struct(acc["pos"].alias("pos"), none.alias("out"), acc["blocks"].alias("blocks"))
+        done = lambda s: F.struct(s["pos"].alias("pos"), F.concat(s["blocks"], F.array(s["out"])).alias("blocks"))
+        return F.aggregate(places, begun, step, done)
 
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(span).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(values)), zero, step)["out"]
-    return F.when(F.size(values) > 0, walked).otherwise(F.array().cast(span))
+    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{span}>").alias("blocks"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.size(values), F.lit(MATCH_BLOCK)), zero, block)["blocks"]
+    return F.when(F.size(values) > 0, F.flatten(walked)).otherwise(none)
 
 
 def span_list(kinds: list[str], prefix: str = "m_") -> Column:

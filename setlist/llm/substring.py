@@ -11,8 +11,8 @@ positions that can still matter, and each of them stands for a run of windows:
   equal wholes all but those of the smallest document are settled, with every window. What is left
   are first occurrences of wholes that share their core with other wholes: the borders of repeated
   passages.
-* Each further round halves a run of windows. All windows of a half share a longer core: 37 bytes,
-  then 44, 47, 49 and 50. Spark sorts (longer core, whole of the half, document) again; unique cores
+* Each further round parts a run of windows in three. All windows of a part share a longer core: 42
+  bytes, then 48 and 50. Spark sorts (longer core, whole of the part, document) again; unique cores
   drop out, equal wholes are settled, the rest goes on, until the core is the window itself.
 
 In round 0 a rank is a name of 128 bits made where the text is, so that equal strings have equal
@@ -81,9 +81,10 @@ def words_at(data: bytes) -> np.ndarray:
 
 
 def gram_hashes(u: np.ndarray, lo: int, n: int) -> np.ndarray:
-    """What anchors are chosen by: a hash of the 24 bytes at ``n`` positions from ``lo``."""
-    u = u[lo : lo + n + 16].copy()
-    return pair(pair(u[:n], u[8 : 8 + n]), u[16:])
+    """What anchors are chosen by: a hash of the ``GRAM`` bytes at ``n`` positions from ``lo``."""
+    rest = GRAM - 8
+    u = u[lo : lo + n + rest].copy()
+    return pair(u[:n], u[rest:])
 
 
 def anchor_offsets(u: np.ndarray, windows: int) -> np.ndarray:
@@ -130,13 +131,17 @@ def names(data: bytes, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple
     """The ranks of the cores and of the wholes."""
     u = words_at(data)
 
-    def rank50(p: np.ndarray) -> np.ndarray:
-        parts = [pair(pair(u[q], u[q + 8], _M3, _M4), pair(u[q + 16], u[q + 24], _M2, _M3), _M4, _M1) for q in (p, p + LENGTH - 32)]
-        return mix(pair(*parts, _M3, _M2))
+    def rank(p: np.ndarray, offsets: list[int], m: np.uint64, n: np.uint64) -> np.ndarray:
+        x = u[p + offsets[0]]
+        for o in offsets[1:]:
+            x = pair(x, u[p + o], m, n)
+        return mix(x, n)
 
-    core = mix(pair(mix(pair(u[pos], u[pos + 8], _M2, _M4)), u[pos + 16], _M4, _M3))
+    core = rank(pos, [0, GRAM - 8], _M2, _M4)
+    # the first window, and of the last one what may lie behind the first
+    whole = pair(rank(lo, [0, 8, 16, 24, 32, 40, LENGTH - 8], _M3, _M1), rank(hi, [*range(GRAM, LENGTH - 8, 8), LENGTH - 8], _M4, _M3))
     shape = ((pos - lo) * 64 + hi - lo).astype(np.uint64)
-    return core.view(np.int64), mix(pair(pair(rank50(lo), rank50(hi)), shape), _M4).view(np.int64)
+    return core.view(np.int64), mix(pair(whole, shape, _M1, _M4), _M3).view(np.int64)
 
 
 # ---------------------------------------------------------------- one batch
@@ -148,14 +153,19 @@ class Batch:
 
     def __init__(self, table: pa.Table):
         unpack = zstandard.ZstdDecompressor()
-        ids = table.column("__id").to_pylist()
-        self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
-        self.texts = [unpack.decompress(x) for x in table.column("__data").to_pylist()]
+        ids = np.array([LAST if i is None else i for i in table.column("__id").to_pylist()], np.int64)
+        #: Rows of the table in ascending order of id, as everything here keeps them.
+        self.rows = np.argsort(ids, kind="stable")
+        self.ids = ids[self.rows]
+        self.texts = [unpack.decompress(x) for x in table.column("__data").take(pa.array(self.rows)).to_pylist()]
         self.data, self.owner, self.pos, self.lo, self.hi = runs(self.texts)
         core, whole = names(self.data, self.pos, self.lo, self.hi)
         self.doc = self.ids[self.owner]
-        self.order = np.lexsort((self.doc, core, whole))
+        self.order = np.argsort(whole, kind="stable")
         w, c = whole[self.order], core[self.order]
+        if ((w[1:] == w[:-1]) & (c[1:] != c[:-1])).any():
+            self.order = np.lexsort((core, whole))
+            w, c = whole[self.order], core[self.order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
         self.begin = np.flatnonzero(new)
@@ -257,7 +267,7 @@ def _core_bytes(first, last, high, bytes_):
 
 
 _OPEN = "batch int, core long, whole long, doc long, first int, last int, low int, high int, bytes binary"
-_HALF = _OPEN + ", wide boolean, cut boolean"
+_PART = _OPEN + ", wide boolean, cut boolean"
 _CUTS = ["batch", "core", "whole", "low", "high"]
 
 
@@ -271,15 +281,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     yield held
 
 
-def _halves(opened: DataFrame) -> DataFrame:
-    """Both halves of each run of windows. Of equal halves in a chunk of rows, only those of the
+def _parts(opened: DataFrame) -> DataFrame:
+    """The three parts of each run of windows. Of equal parts in a chunk of rows, only those of the
     smallest document go on, the others are ``cut``."""
 
-    def halve(rows: list[tuple]) -> Iterator[tuple]:
+    def split(rows: list[tuple]) -> Iterator[tuple]:
         best: dict[tuple, list[tuple]] = {}
         for batch, core, whole, doc, first, last, low, high, text in rows:
-            middle = (first + last) // 2
-            for a, b in ((first, middle), (middle + 1, last)):
+            step = -(-(last - first + 1) // 3)
+            for a in range(first, last + 1, step):
+                b = min(a + step - 1, last)
                 near, far = max(low, a), min(high, b)
                 if near > far:
                     continue
@@ -307,20 +318,20 @@ def _halves(opened: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _chunks(batches):
-            columns = list(zip(*halve(rows), strict=True)) or [()] * len(kinds)
+            columns = list(zip(*split(rows), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
         trim()
 
     of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-    kinds = {name: of[kind] for name, kind in (f.split() for f in _HALF.split(", "))}
-    return opened.mapInArrow(run, _HALF)
+    kinds = {name: of[kind] for name, kind in (f.split() for f in _PART.split(", "))}
+    return opened.mapInArrow(run, _PART)
 
 
 def _round(opened: DataFrame, parts: int) -> DataFrame:
-    """One halving: the rows that are ``settled`` or go on."""
+    """One round of parts: the rows that are ``settled`` or go on."""
     core = _core_bytes(F.col("first"), F.col("last"), F.col("high"), F.col("bytes"))
     key = F.when(F.col("cut"), F.xxhash64("core", "whole", "low")).when(F.col("wide"), F.xxhash64("first", "low", "high", "bytes")).otherwise(F.xxhash64("first", core))
-    rows = _halves(opened).select(key.alias("key"), "*")
+    rows = _parts(opened).select(key.alias("key"), "*")
     # the core is bytes of the row itself and is not sent beside it
     held = rows.repartition(parts, "key").withColumn("core_bytes", core)
     inner = Window.partitionBy("key", "first", "core_bytes", "low", "high", "bytes")
@@ -398,11 +409,11 @@ def _settled(dealt: DataFrame, parts: int) -> DataFrame:
     opened = docs.groupBy("__batch").cogroup(going.groupBy("batch")).applyInArrow(send_bytes, _OPEN)
     width = SPAN
     while width > 1:
-        width -= width // 2
-        halves = written(_round(opened, parts))
+        width = -(-width // 3)
+        judged = written(_round(opened, parts))
         release(dealt)
-        cuts = cuts.union(halves.where("settled").select(_CUTS))
-        opened = halves.where("not settled").drop("settled")
+        cuts = cuts.union(judged.where("settled").select(_CUTS))
+        opened = judged.where("not settled").drop("settled")
         if opened.isEmpty():
             break
     return cuts
@@ -420,6 +431,7 @@ def _finished(docs: DataFrame, text: str, describe, added: list) -> DataFrame:
         made: list[tuple] = []
         if table.num_rows:
             batch = Batch(table)
+            out = out.take(pa.array(batch.rows))
             made = [describe(d, s) for d, s in zip(batch.texts, batch.removed(*_numbers(back, "core", "whole", "low", "high")), strict=True)]
             del batch
         columns = list(zip(*made, strict=True)) if made else [()] * len(added)
