@@ -31,11 +31,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: it cuts the lineage as
     :func:`cut` does, in compressed columns."""
     path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,12 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Let the driver drop shuffle files that no live plan needs, such as those behind a cut.
-    Spark removes them when the driver's garbage is collected, which may be long after. What the first
-    collection finds unused lets go of the plans behind it only once it is gone itself."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    time.sleep(0.2)
-    df.sparkSession._jvm.System.gc()
+    Spark removes them when the driver's garbage is collected, which may be long after. Plans hold on to
+    each other across Python and the JVM, and each collection frees only what nothing held before it."""
+    for _ in range(3):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def trim() -> None:
