@@ -3,28 +3,35 @@
 A document is its set of word shingles. Equal sets form one class, and classes are compared:
 
 * Each class gets a signature of ``COORDINATES`` minwise tokens.
-* In each of ``TREES`` independent trees a node selects ``BRANCH`` coordinates, and a class goes to
-  one child per selected coordinate, named by its token there. Two classes with similarity ``s``
-  share at least one first-level node with probability ``1 - (1 - s) ** (TREES * BRANCH)``.
+* In each of ``TREES`` independent trees the root selects ``BRANCH`` coordinates, no coordinate in two
+  trees, and a class goes to one child per selected coordinate, named by its token there. Two classes
+  with similarity ``s`` share at least one first-level node with probability
+  ``1 - (1 - s) ** (TREES * BRANCH)``.
 * In each node all classes are first held against one pivot, the class with the smallest id.
   Components of the links found so far settle most nodes: a node whose classes are all in one
   component needs no further pair.
-* In a node with several components, the classes outside its largest one are compared with all
-  others on their full sets, in blocks: a task counts common shingles of a block by one matrix
-  product and keeps one link for each class and component, so what it emits does not grow with
-  the pairs it looks at.
-* A large node of classes that have little in common (a passage that many documents share)
-  branches on further minwise tokens instead, which thin it out, down to ``LEVELS``; what does not
-  thin out, or is left there, is compared in blocks, however much it is.
-
-Signatures only propose pivot pairs (``ESTIMATE`` is 4.6 standard deviations below the threshold);
+* In a node with several components, the classes outside its largest one have to be compared with all
+  others. A small node does that on full sets, in blocks: a task counts common shingles of a block by
+  one matrix product and keeps one link for each class and component, so what it emits does not
+  grow with the pairs it looks at.
+* A larger node branches on further coordinates, none twice on a path. Where classes have little in
+  common (a passage that many documents share), ``BRANCH`` of them thin the node out. Where they have
+  much in common (pages of one template), that many would repeat the same classes over and over; there a
+  node takes four thirds on average, the rate at which a pair at the threshold keeps one shared child
+  a level while pairs below it lose theirs. Such a node is taken for small while no more than
+  ``OUTSIDE_ALIKE`` classes are outside, which keeps its comparisons in proportion to its size.
+* What is left after ``LEVELS`` levels is compared in blocks, however much it is.
+
+Signatures only propose pivot pairs (``ESTIMATE`` is 7 standard deviations below the threshold);
 every link is confirmed on the full sets. Rows are never dropped, capped or sampled. Tables of edges,
 labels and members are cut into the shared checkpoint folder, so that a join on a hot key has plain
 exchanges on either side and skewed partitions are split.
 
-Empty or null texts and texts without a word have no shingles and are linked to nothing. A row's
-id may be null or occur more than once; the component's id is its smallest id that is not null.
-Extra columns do not matter; an empty table gives an empty result.
+Empty or null texts and texts without a word have no shingles and are linked to nothing; a text
+of any length is one set. A row's id may be null or occur more than once; the component's id is its
+smallest id that is not null, or null if there is none; then the row with the smallest hash is kept
+for it. Rows that repeat an id and a text are one document: all of them are ``kept`` in the report, and
+:func:`keep_one` leaves one. Extra columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,19 +53,22 @@ NUMERATOR, DENOMINATOR = 75, 100
 COORDINATES = 64
 TREES = 4
 BRANCH = 3
-LEVELS = 4
+LEVELS = 16
 OUTSIDE = 64
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 21
+OUTSIDE_ALIKE = 4096
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 COLUMNS = 1024
-FOREST = 500_000
-ESTIMATE = 0.5
+ESTIMATE = 0.375
 CACHE = 400_000
 
 _M1, _M2, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x5851F42D4C957F2D)
 _rng = np.random.default_rng(75)
 _MUL = (_rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _ADD = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)[:, None]
+#: The coordinate of each child of a root, and those that its descendants select, in order.
+_ROOTS = _rng.permutation(COORDINATES)[: TREES * BRANCH]
+_PATHS = np.stack([_rng.permutation(np.delete(np.arange(COORDINATES), c)) for c in _ROOTS])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,15 +167,14 @@ def _describe(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 
-def children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Child names, ``BRANCH`` per row, of nodes and the signatures of classes in them."""
-    out = np.empty((len(node), BRANCH), np.uint64)
-    rows = np.arange(len(node))
+def children(node: np.ndarray, sig: np.ndarray, start: np.ndarray, level: int, branches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and the names of their children at ``level``: ``branches`` children for each class in a
+    node; ``start`` says below which child of which root the node is."""
     for b in range(BRANCH):
-        pick = _mix(node + np.uint64((b + 1) * int(_B) % (1 << 64)))
-        at = (pick % np.uint64(COORDINATES)).astype(np.int64)
-        out[:, b] = _mix(pick ^ sig[rows, at].astype(np.uint64) * _M1)
-    return out
+        rows = np.flatnonzero(branches > b)
+        at = _PATHS[start[rows], ((level - 2) * BRANCH + b) % (COORDINATES - 1)]
+        salt = np.uint64((b + 1) * int(_B) % (1 << 64))
+        yield rows, _mix(_mix(node[rows] + salt) ^ sig[rows, at].astype(np.uint64) * _M1)
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -173,34 +182,35 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _first_level(classes: DataFrame) -> DataFrame:
-    """``node, class, low, size``: every class in the first-level nodes of all trees."""
+    """``node, class, low, size, start``: every class in the first-level nodes of all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _signatures(b.column(3))
-            for t in range(TREES):
-                root = _mix(np.full(len(sig), t + 1, np.uint64))
-                for node in children(root, sig).T:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node).view(np.int64)), *b.columns[:3]], names=["node", "class", "low", "size"])
+            for k, c in enumerate(_ROOTS):
+                node = _mix(_mix(np.full(len(sig), k + 1, np.uint64)) ^ sig[:, c].astype(np.uint64) * _M1)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *b.columns[:3], pa.array(np.full(len(sig), k, np.int32))], names=["node", "class", "low", "size", "start"])
 
-    return classes.select("class", "low", "size", "sig").mapInArrow(run, "node long, class binary, low long, size long")
+    return classes.select("class", "low", "size", "sig").mapInArrow(run, "node long, class binary, low long, size long, start int")
 
 
-def _next_level(members: DataFrame) -> DataFrame:
-    """``node, class, root, sig, size, above`` of members of nodes that branch; ``above`` is how
+def _next_level(members: DataFrame, level: int) -> DataFrame:
+    """``node, class, root, size, start, above`` of members of nodes that branch; ``above`` is how
     many classes the parent has."""
+    names = ["node", "class", "root", "size", "start", "above"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            for node in children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(3))).T:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node).view(np.int64)), *b.columns[1:]], names=["node", "class", "root", "sig", "size", "above"])
+            start, branches = b.column(4).to_numpy(), b.column(6).to_numpy()
+            for rows, node in children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(7)), start, level, branches):
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[c.take(pa.array(rows)) for c in b.columns[1:6]]], names=names)
 
-    rows = members.select("node", "class", "root", "sig", "size", F.col("n").alias("above"))
-    return rows.mapInArrow(run, "node long, class binary, root binary, sig binary, size long, above long")
+    rows = members.select("node", "class", "root", "size", "start", F.col("n").alias("above"), "branches", "sig")
+    return rows.mapInArrow(run, "node long, class binary, root binary, size long, start int, above long")
 
 
 # ---------------------------------------------------------------- pairs
@@ -349,13 +359,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """``class, root``: the smallest class that links lead to, for every class of ``links``.
 
-    Links are first reduced to stars within each partition. Up to ``FOREST`` of those finish in
-    one more such step, a task of bounded size; more of them spread their smallest labels along
-    links, and labels of labels replace labels, until none changes."""
-    stars = cut(links.select("a", "b").mapInArrow(_forest, "a binary, b binary").distinct())
-    if stars.count() <= FOREST:
-        return cut(stars.repartition(1).mapInArrow(_forest, "a binary, b binary").toDF("class", "root"))
-    edges = cut(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    Links are first reduced to stars within each partition. Stars spread their smallest labels along
+    their links, and labels of labels replace labels, until none changes."""
+    stars = cut(links.select("a", "b").mapInArrow(_forest, "a binary, b binary").where("a != b").distinct())
+    edges = cut(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("class"), F.least("a", "root").alias("root")))
     while True:
         spread = edges.join(labels.select(F.col("class").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
@@ -368,8 +375,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_nodes(members: DataFrame) -> DataFrame:
-    """Nodes with several components: ``node, n, main, outside, weight, above``. ``members`` must
-    be cut."""
+    """Nodes with several components: ``node, n, main, outside, weight, above`` (the size of the
+    node, its largest component, the classes that are not in it, and all their shingles). ``members``
+    must be cut."""
     sizes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("w"), F.max("above").alias("above"))
     nodes = sizes.groupBy("node").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"), F.sum("w").alias("weight"), F.max("above").alias("above"))
     return nodes.where("roots > 1").select("node", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.k")).alias("outside"), "weight", "above")
@@ -381,7 +389,7 @@ def similar_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     classes = cut(described.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), low, F.first("n").alias("size"), F.first("sig").alias("sig")))
     keys = _first_level(classes)
     nodes = cut(keys.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("low", "class")).alias("pivot")).where("n > 1").select("node", "n", F.col("pivot.class").alias("pivot")))
-    members = cut(keys.join(nodes, "node").select("node", "class", "size", "pivot", "n"))
+    members = cut(keys.join(nodes, "node").select("node", "class", "size", "start", "pivot", "n"))
     stars = cut(_estimated(members.where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), classes))
     near = stars.where(F.col("likeness") >= ESTIMATE)
     # the pivot's pair is all there is to decide in a node of two
@@ -393,25 +401,27 @@ def similar_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     labels = components(_confirmed(near, sets))
     release(docs)
 
-    # branching keeps a class in BRANCH * likeness children on average: it thins out below one
-    thick = members.join(stars.toDF("class", "pivot", "likeness"), ["class", "pivot"]).groupBy("node").agg((F.avg("likeness") * BRANCH >= 1).alias("thick"))
-    rooted = cut(members.join(labels, "class", "left").select("node", "class", F.coalesce("root", "class").alias("root"), "size", F.lit(None).cast("long").alias("above")))
+    # BRANCH children keep a class in BRANCH * likeness nodes on average: that thins out below one
+    alike = members.join(stars.toDF("class", "pivot", "likeness"), ["class", "pivot"]).groupBy("node").agg((F.avg("likeness") * BRANCH >= 1).alias("alike"))
+    rooted = cut(members.join(labels, "class", "left").select("node", "class", F.coalesce("root", "class").alias("root"), "size", "start", F.lit(None).cast("long").alias("above")))
     links = []
     for level in range(1, LEVELS + 1):
         nodes = _open_nodes(rooted)
         if level == 1:
-            nodes = nodes.join(thick, "node")
+            nodes = nodes.join(alike, "node")
         else:
-            nodes = nodes.withColumn("thick", F.col("n") * BRANCH >= F.col("above"))
-        nodes = cut(nodes.withColumn("branches", F.lit(level < LEVELS) & (F.col("outside") > OUTSIDE) & ~F.col("thick")).drop("above"))
+            nodes = nodes.withColumn("alike", F.col("n") * BRANCH >= F.col("above"))
+        few = F.when(F.pmod(F.xxhash64("node"), F.lit(3)) == 0, 2).otherwise(1)
+        small = F.col("outside") <= F.when(F.col("alike"), OUTSIDE_ALIKE).otherwise(OUTSIDE)
+        nodes = cut(nodes.withColumn("branches", F.when(small | F.lit(level == LEVELS), 0).when(F.col("alike"), few).otherwise(BRANCH)).drop("above"))
         if nodes.isEmpty():
             break
-        links.append(cut(_block_links(rooted.select("node", "class", "root").join(nodes.where("not branches"), "node"), sets)))
-        deeper = nodes.where("branches")
+        links.append(cut(_block_links(rooted.select("node", "class", "root").join(nodes.where("branches = 0"), "node"), sets)))
+        deeper = nodes.where("branches > 0")
         if deeper.isEmpty():
             break
-        below = rooted.join(deeper.select("node", "n"), "node").select("node", "class", "root", "size", "n")
-        rooted = cut(_next_level(below.join(classes.select("class", "sig"), "class")))
+        below = rooted.join(deeper.select("node", "n", "branches"), "node").select("node", "class", "root", "size", "start", "n", "branches")
+        rooted = cut(_next_level(below.join(classes.select("class", "sig"), "class"), level + 1))
         release(docs)
     if not links:
         return labels
@@ -432,14 +442,16 @@ def find(docs: DataFrame) -> DataFrame:
     described = cut(_describe(docs))
     labels = similar_classes(docs, described)
     # the smallest id of each class, then of each component, then back to classes and documents
-    ids = cut(described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low")))
+    ids = cut(described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.min("row").alias("head")))
     rooted = cut(ids.join(labels, "class"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    lows = rooted.groupBy("root").agg(F.struct(F.min("low").alias("id"), F.min("head").alias("head")).alias("component"))
     moved = salted_lookup(rooted, lows, "root", ["class"]).select("class", "component")
-    final = cut(ids.join(moved, "class", "left").select("class", F.coalesce("component", "low").alias("component_id")))
+    final = cut(ids.join(moved, "class", "left").select("class", F.coalesce("component", F.struct(F.col("low").alias("id"), "head")).alias("component")))
     out = salted_lookup(described.select("doc_id", "row", "n", "class"), final, "class", ["doc_id", "row"])
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("n") > 0, F.col("component.id")).otherwise(F.col("doc_id"))
+    nameless = (F.col("n") > 0) & component.isNull()
+    kept = F.when(nameless, F.col("row") == F.col("component.head")).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:

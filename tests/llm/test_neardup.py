@@ -55,10 +55,10 @@ def words(rng, n):
     return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("outside,levels,forest", [(64, 4, 500_000), (2, 2, 500_000), (1, 3, 0)])
-def test_hard_groups(spark, monkeypatch, outside, levels, forest):
-    monkeypatch.setattr(N, "FOREST", forest)
+@pytest.mark.parametrize("outside,alike,levels", [(64, 4096, 16), (2, 64, 2), (1, 64, 4)])
+def test_hard_groups(spark, monkeypatch, outside, alike, levels):
     monkeypatch.setattr(N, "OUTSIDE", outside)
+    monkeypatch.setattr(N, "OUTSIDE_ALIKE", alike)
     monkeypatch.setattr(N, "LEVELS", levels)
     monkeypatch.setattr(N, "BLOCK", 16)
     rng = random.Random(5)
@@ -80,6 +80,37 @@ def test_hard_groups(spark, monkeypatch, outside, levels, forest):
     check(docs)
 
 
+def test_no_coordinate_twice():
+    assert len(set(N._ROOTS.tolist())) == N.TREES * N.BRANCH
+    assert all(len({c, *p.tolist()}) == N.COORDINATES for c, p in zip(N._ROOTS.tolist(), N._PATHS, strict=True))
+
+
+def test_recall_where_everything_branches(spark, monkeypatch):
+    """Pages of one template that are all somewhat alike, some pairs at the threshold and above."""
+    monkeypatch.setattr(N, "OUTSIDE", 4)
+    monkeypatch.setattr(N, "OUTSIDE_ALIKE", 4)
+    monkeypatch.setattr(N, "LEVELS", 4)
+    rng = random.Random(3)
+    template = words(rng, 90)
+    rows = []
+    for i in range(120):
+        own = words(rng, 60)
+        rows.append((2 * i, " ".join(template + own)))
+        rows.append((2 * i + 1, " ".join(template + own[: rng.randint(33, 60)] + words(rng, 4))))
+    want = {(d, c) for d, _, c in brute(rows) if d != c}
+    got = {(r.doc_id, r.component_id) for r in N.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != r.component_id}
+    assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_null_ids(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "solo text of some words here"
+    rows = [(None, a), (None, a.upper()), (None, a + "!"), (None, b), (7, b), (None, ""), (None, None), (3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in N.report(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, False)] * 2 + [(None, None, True)] + [(None, 7, False), (7, 7, True), (3, 3, True)] + [(None, None, True)] * 2, key=str)
+    assert sorted(((r.doc_id, (r.text or "")[:1].lower()) for r in N.keep_one(docs).collect()), key=str) == [(3, "x"), (7, "s"), (None, ""), (None, "o")]
+
+
 def test_empty_and_stage(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (3, None, "z")], "doc_id long, text string, row string")
     assert N.report(docs.limit(0)).count() == 0
