@@ -7,6 +7,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +33,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job that runs meanwhile go at its end: what it made is kept elsewhere."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: it cuts the lineage as
     :func:`cut` does, in compressed columns."""
     path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path, compression=compression)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,11 +63,12 @@ def discard(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def release(df: DataFrame) -> None:
-    """Let the driver drop shuffle files that no live plan needs, such as those behind a cut.
+    """Let the driver drop shuffle files that no live plan needs, such as those behind :func:`cut_dealt`.
     Spark removes them when the driver's garbage is collected, which may be long after. Plans hold on to
     each other across Python and the JVM, and each collection frees only what nothing held before it."""
     for _ in range(3):

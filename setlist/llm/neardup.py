@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, salted_lookup, trim, whole_text
+from .common import cut, salted_lookup, trim, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -395,11 +395,8 @@ def similar_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
     # the pivot's pair is all there is to decide in a node of two
     members = members.where("n > 2")
     wanted = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).union(members.select("class")).distinct()
-    release(docs)
     sets = _sets(docs, classes.join(wanted, "class", "left_semi"))
-    release(docs)
     labels = components(_confirmed(near, sets))
-    release(docs)
 
     # BRANCH children keep a class in BRANCH * likeness nodes on average: that thins out below one
     alike = members.join(stars.toDF("class", "pivot", "likeness"), ["class", "pivot"]).groupBy("node").agg((F.avg("likeness") * BRANCH >= 1).alias("alike"))
@@ -422,10 +419,8 @@ def similar_classes(docs: DataFrame, described: DataFrame) -> DataFrame:
             break
         below = rooted.join(deeper.select("node", "n", "branches"), "node").select("node", "class", "root", "size", "start", "n", "branches")
         rooted = cut(_next_level(below.join(classes.select("class", "sig"), "class"), level + 1))
-        release(docs)
     if not links:
         return labels
-    release(docs)
     new = links[0]
     for more in links[1:]:
         new = new.union(more)

@@ -403,7 +403,6 @@ def _settled(dealt: DataFrame, parts: int) -> DataFrame:
     rows = docs.groupBy("__batch").applyInArrow(send, "batch int, wide boolean, one long, two long, doc long")
     seen = _judged(rows, parts, ["one", "wide"], ["two"])
     seen = written(seen.select("batch", F.when(F.col("wide"), F.col("two")).otherwise(F.col("one")).alias("core"), F.when(F.col("wide"), F.col("one")).otherwise(F.col("two")).alias("whole"), "settled"))
-    release(dealt)
     cuts = seen.where("settled").select("batch", "core", "whole", F.lit(0).alias("low"), F.lit(SPAN - 1).alias("high"))
     going = seen.where("not settled").select("batch", "core", "whole")
     opened = docs.groupBy("__batch").cogroup(going.groupBy("batch")).applyInArrow(send_bytes, _OPEN)
@@ -411,7 +410,6 @@ def _settled(dealt: DataFrame, parts: int) -> DataFrame:
     while width > 1:
         width = -(-width // 3)
         judged = written(_round(opened, parts))
-        release(dealt)
         cuts = cuts.union(judged.where("settled").select(_CUTS))
         opened = judged.where("not settled").drop("settled")
         if opened.isEmpty():
