@@ -116,36 +116,43 @@ def match_spans(df: DataFrame, text: str, patterns: dict[str, str], prefix: str
     Only texts with a match are split. All of it stays in the JVM.
     """
     kinds = list(patterns)
+    keep = [F.col(f"`{c}`") for c in df.columns]
     df = df.select("*", *[F.regexp_extract_all(F.col(text), F.lit(patterns[k]), F.lit(0)).alias(f"__v_{k}") for k in kinds])
-    df = df.select("*", *[F.when(F.size(f"__v_{k}") > 0, F.split(F.col(text), patterns[k], -1)).alias(f"__p_{k}") for k in kinds])
-    cols = [c for c in df.columns if not c.startswith(("__v_", "__p_"))]
-    return df.select(*[F.col(f"`{c}`") for c in cols], *[_offsets(f"__v_{k}", f"__p_{k}").alias(prefix + k) for k in kinds])
+    df = df.select("*", *[F.when(F.size(f"__v_{k}") > 0, F.transform(F.split(F.col(text), patterns[k], -1), lambda x: F.length(x).cast("long"))).alias(f"__g_{k}") for k in kinds])
+    # by how much each match moves on, from the end of the one before it
+    step = lambda k: F.zip_with(F.slice(f"__g_{k}", 1, F.size(f"__v_{k}")), f"__v_{k}", lambda g, v: g + F.length(v))
+    df = df.select("*", *[F.when(F.size(f"__v_{k}") > 0, step(k)).alias(f"__s_{k}") for k in kinds])
+    df = df.select("*", *[_block_sums(f"__s_{k}").alias(f"__b_{k}") for k in kinds])
+    return df.select(*keep, *[_spans(k).alias(prefix + k) for k in kinds])
 
 
-#: Matches of a text that are walked into one array; arrays of that length are then strung together.
-#: Adding to an array copies it, so one array for a text with very many matches would take the square.
+#: Offsets are running sums. Spark copies what an aggregation carries at each step, so sums are carried
+#: and arrays are not: first the sums of blocks of matches, then those within a match's own block.
 MATCH_BLOCK = 128
 
 
-def _offsets(values: str, pieces: str) -> Column:
-    span = "array<struct<start:bigint,end:bigint,value:string>>"
-    none = F.array().cast(span)
+def _total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda t, x: t + x)
 
-    def step(acc, i):
-        start = acc["pos"] + F.length(F.element_at(F.col(pieces), i)).cast("long")
-        end = start + F.length(F.element_at(F.col(values), i)).cast("long")
-        one = F.struct(start.alias("start"), end.alias("end"), F.element_at(F.col(values), i).alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"), acc["blocks"].alias("blocks"))
 
-    def block(acc, first):
-        places = F.sequence(first, F.least(first + (MATCH_BLOCK - 1), F.size(values)))
-        begun = F.struct(acc["pos"].alias("pos"), none.alias("out"), acc["blocks"].alias("blocks"))
-        done = lambda s: F.struct(s["pos"].alias("pos"), F.concat(s["blocks"], F.array(s["out"])).alias("blocks"))
-        return F.aggregate(places, begun, step, done)
+def _block_sums(steps: str) -> Column:
+    firsts = F.sequence(F.lit(1), F.size(steps), F.lit(MATCH_BLOCK))
+    return F.when(F.size(steps) > 0, F.transform(firsts, lambda i: _total(F.slice(F.col(steps), i, F.lit(MATCH_BLOCK)))))
 
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{span}>").alias("blocks"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(values), F.lit(MATCH_BLOCK)), zero, block)["blocks"]
-    return F.when(F.size(values) > 0, F.flatten(walked)).otherwise(none)
+
+def _spans(kind: str) -> Column:
+    values, gaps, steps, sums = (F.col(f"__{c}_{kind}") for c in "vgsb")
+
+    def one(i):
+        block = F.floor((i - 1) / MATCH_BLOCK).cast("int")
+        before = _total(F.slice(sums, F.lit(1), block)) + _total(F.slice(steps, block * MATCH_BLOCK + 1, i - 1 - block * MATCH_BLOCK))
+        start, value = before + F.element_at(gaps, i), F.element_at(values, i)
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+    # a column that only a lambda reads would be computed anew for every match; so each is read here too
+    found = (F.size(values) > 0) & (F.size(gaps) > 0) & (F.size(steps) > 0) & (F.size(sums) > 0)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    return F.when(found, F.transform(F.sequence(F.lit(1), F.size(values)), one)).otherwise(none)
 
 
 def span_list(kinds: list[str], prefix: str = "m_") -> Column:

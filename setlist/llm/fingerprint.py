@@ -5,13 +5,15 @@ A text's k-mers of code points are numbered by occurrence, so that repeats count
 into text order and hashed as a tuple. The share of equal tuples of two fingerprints falls with
 the edit distance of their texts, also where their sets of k-mers are equal.
 
-:func:`with_next` puts each document beside the one that follows in descending ``doc_id`` order
-with one shuffle of the texts: documents are dealt to ranges of ids, and each range also gets the
-one document that follows it. The driver holds one id per range.
+:func:`with_ranges` puts each document beside the one that follows in descending ``doc_id`` order
+with one shuffle of the texts: documents are dealt to ranges of ids, each a partition of its own of
+about ``RANGE_BYTES``, and each range also gets the one document that follows it. A task streams
+through its range and holds two documents. The driver holds one key per range, ``RANGES`` at most.
 
 Null text is empty. An empty text has its own constant fingerprint. Documents with equal ids
-follow each other in descending order of text; null ids come last; the only document of a table
-follows itself; an empty table gives an empty result; clashing column names do not matter.
+follow each other in descending order of text; null ids come last, in descending order of a hash of
+their texts, so that they fill ranges like others; the only document of a table follows itself; a text of any
+length is fingerprinted whole; an empty table gives an empty result; clashing column names do not matter.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ TUPLE = 2
 SIZE = 64
 BLOCK = 2048
 SEED = 20240607
+RANGE_BYTES = 16 << 20
+RANGES = 8192
 _LOW = (1 << 32) - 1
 
 
@@ -153,27 +157,33 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
-def with_ranges(docs: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """``(bucket, key, last, doc_id, text)`` rows and the rows that follow each bucket.
+def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``(bucket, named, key, last, doc_id, text)`` rows, the rows that follow each bucket, and the
+    number of buckets.
 
-    ``key`` orders descending; ``last`` marks the copies that only serve as a successor."""
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), "doc_id", whole_text().alias("text"))
-    cuts = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] if ranges > 1 else []
-    rows = rows.withColumn("bucket", _range_of(F.col("key"), sorted(set(cuts or []))))
-    tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    follow = [(tops[i - 1][1], b) for i, (b, _) in enumerate(tops)]  # the lowest range is followed by the highest
-    edges = docs.sparkSession.createDataFrame(follow, "key long, bucket int")
-    heads = rows.drop("bucket").join(F.broadcast(edges), "key").withColumn("last", F.lit(True))
-    return rows.withColumn("last", F.lit(False)), heads
+    ``named`` and ``key`` order descending; ``last`` marks the copies that only serve as a successor."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(whole_text())).alias("key"), "doc_id", whole_text().alias("text"))
+    parts = rows.groupBy("named").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    total = sum(r["bytes"] for r in parts)
+    ranges = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES)), RANGES)
+    share = {r["named"]: max(1, round(ranges * r["bytes"] / max(total, 1))) for r in parts}
+    found = rows.groupBy("named").agg(*[F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias(f"cuts_{name}") for name, n in share.items()]).collect()
+    bounds = {name: sorted(set(next(r[f"cuts_{name}"] for r in found if r["named"] == name))) if n > 1 else [] for name, n in share.items()}
+    first = len(bounds.get(False, [])) + 1 if False in share else 0
+    bucket = F.when(F.col("named"), F.lit(first) + _range_of(F.col("key"), bounds.get(True, []))).otherwise(_range_of(F.col("key"), bounds.get(False, [])))
+    rows = rows.withColumn("bucket", bucket)
+    tops = sorted(tuple(r) for r in rows.groupBy("bucket", "named").agg(F.max("key").alias("top")).collect())
+    follow = [(*tops[i - 1][1:], b) for i, (b, *_) in enumerate(tops)]  # the lowest range is followed by the highest
+    edges = spark.createDataFrame(follow, "named boolean, key long, bucket int")
+    heads = rows.drop("bucket").join(F.broadcast(edges), ["named", "key"]).withColumn("last", F.lit(True))
+    return rows.withColumn("last", F.lit(False)), heads, first + len(bounds.get(True, [])) + 1
 
 
 def report(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, heads = with_ranges(docs, parts)
+    rows, heads, buckets = with_ranges(docs)
     columns = ["bucket", "key", "last", "doc_id", "text"]
-    dealt = rows.select(columns).unionByName(heads.select(columns)).repartition(parts, "bucket").sortWithinPartitions("bucket", "last", F.desc("key"), F.desc("text"))
+    dealt = rows.select(columns).unionByName(heads.select(columns)).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "last", F.desc("key"), F.desc("text"))
     schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = dealt.select("doc_id", *[F.lit(None).cast(s.split()[1]).alias(s.split()[0]) for s in schema.split(", ")]).schema
 

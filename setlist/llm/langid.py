@@ -11,9 +11,10 @@ driver receives at most ``TOP_SALTS * PROFILE`` n-grams per label. Prediction is
 the documents without a shuffle.
 
 Null text, or text without a letter, gets ``und`` and score 0, as does every text where nothing
-was learned. Ties go to the label that sorts first. A null id counts as an empty one for the
+was learned. A text of any length is profiled whole. Ties go to the label that sorts first, and n-grams
+of equal count to the smaller code. A null id counts as an empty one for the
 held-out rule; labels that are null are not learned from; repeated rows are predicted alike;
-extra columns do not matter.
+extra columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ SAMPLE = 2000
 TOP_SALTS = 16
 PIECE = 1 << 20
 UNKNOWN = "und"
+#: Of :func:`reject`. Texts in the languages learned score 0.45 and more even if they are a line long;
+#: other languages of the same script and random letters stay below 0.35.
+MIN_SCORE, MIN_LEAD = 0.35, 0.1
 
 
 @lru_cache(maxsize=1)
@@ -124,28 +128,30 @@ class Model:
         near = np.where(r >= 0, np.abs(r - np.flatnonzero(known)), self.size)
         return near.sum(axis=1) + self.size * int((~known).sum())
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Label, score, and by how much the score leads the next label's."""
         profile = profile_of(text, self.size) if text and self.names else ()
         if not len(profile):
-            return UNKNOWN, 0.0
-        d = self.distances(profile)
+            return UNKNOWN, 0.0, 0.0
+        d = self.distances(profile) / (self.size * len(profile))
         best = int(np.argmin(d))
-        return self.names[best], float(1.0 - d[best] / (self.size * len(profile)))
+        rest = np.delete(d, best)
+        return self.names[best], float(1.0 - d[best]), float(rest.min() - d[best]) if len(rest) else 1.0
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` plus the predicted label and its score, which replace columns of those names;
-    one pass, no shuffle."""
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE, names: tuple[str, str, str] = ("lang_pred", "score", "lead")) -> DataFrame:
+    """``docs`` plus the predicted label, its score and its lead, which replace columns of those
+    names; one pass, no shuffle."""
     docs = docs.drop(*names)
     columns = docs.columns
-    out = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
+    out = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).alias(names[2])).schema
     at = columns.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(profiles, size)
         for b in batches:
             got = [model.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), *[pa.array([g[i] for g in got], pa.float64()) for i in (1, 2)]], names=[*columns, *names])
 
     return docs.mapInArrow(label, out)
 
@@ -156,9 +162,15 @@ def report(docs: DataFrame) -> DataFrame:
     return identify(rows.select("doc_id", "held_out", "text"), profiles).drop("text")
 
 
-def reject(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """Pipeline stage: keep the documents that have a language, with their columns unchanged."""
+def reject(docs: DataFrame, min_score: float = MIN_SCORE, min_lead: float = MIN_LEAD) -> DataFrame:
+    """Pipeline stage: keep the documents whose language is one of those learned, with their columns.
+
+    A document goes if its distance is no better than that of a text in another language or of
+    letters at random: a score under ``min_score``. A null ``lang`` becomes the predicted label, and so
+    does one that differs from it by ``min_lead`` in score or more."""
     cols = docs.columns
     profiles = train(docs.where(~held_out()))
-    kept = identify(docs, profiles, names=("__pred", "__score"))
-    return kept.where((F.col("__pred") != UNKNOWN) & (F.col("__score") >= min_score)).select(*[F.col(f"`{c}`") for c in cols])
+    got = identify(docs, profiles, names=("__pred", "__score", "__lead"))
+    kept = got.where((F.col("__pred") != UNKNOWN) & (F.col("__score") >= min_score))
+    lang = F.when(F.col("lang").isNull() | (F.col("__lead") >= min_lead), F.col("__pred")).otherwise(F.col("lang"))
+    return kept.withColumn("lang", lang.cast(docs.schema["lang"].dataType)).select(*[F.col(f"`{c}`") for c in cols])

@@ -1,8 +1,8 @@
 """Media columns: interleaved document sequences.
 
 :func:`interleave` parses HTML into an ordered sequence of text and media-reference entries;
-:func:`media_store` keeps each payload's stored form and what is read back from it, one row per
-digest; :func:`resolve` joins references to the store by digest. Positions and captions stay with
+:func:`stored` writes each payload's stored form to a table in the shared folder, :func:`media_store`
+reads the stored bytes back and describes them, one row per digest; :func:`resolve` joins references to the store by digest. Positions and captions stay with
 their references, a reference without a payload stays with nulls.
 
 The stored form is a binary PPM image, 64 pixels wide, 8 bits a sample: 192 bytes a row. A
@@ -10,11 +10,13 @@ payload is its bytes, filled with blanks (byte 32) to a positive multiple of 192
 
 Scale: one digest may be referred to by a third of all rows. References are dealt by (digest,
 salt), and the store sends each digest once per salt that occurs, so no key holds more than
-a 256th of a digest's references. Copies of a payload are dropped before the shuffle, and the
-query's plan prunes the payload column: only descriptors are shuffled.
+a 256th of a digest's references. Payloads are stored where they are read, copies within a batch of
+rows once, and only descriptors are shuffled.
 
-Null html gives no entries, null text is an empty payload; repeated rows resolve to equal rows;
-an empty table gives an empty result; further columns of the pages are kept.
+Null html gives no entries, null text is an empty payload; a payload of any length is one image;
+repeated rows resolve to equal rows; entries keep the order of the page, captions of equal references
+stay with their own entry; an empty table gives an empty result; further columns of the pages are kept,
+except those with the name of an entry's field, which the entry's replaces.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, whole_text
+from .common import salted_lookup, whole_text, written
 
 ROW = 192
 WIDTH = 64
@@ -157,36 +159,39 @@ def feature(samples: np.ndarray) -> str:
 DESCRIPTOR = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def describe(payload: bytes) -> tuple:
-    """Store a payload, read the stored bytes back and describe what was read."""
-    media = store_form(payload)
+def describe(media: bytes) -> tuple:
+    """Read a stored image and describe what was read."""
     samples = read_back(media)
     back = samples.tobytes()
     sha = sha256(back).hexdigest()
     return sha, len(back), sha, crc32(back[-TAIL:]), len(media), sha256(media).hexdigest(), feature(samples)
 
 
+def stored(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """``media``: the stored form of every payload, in a table in the shared folder."""
+    rows = payloads.select(F.col(column).cast("binary").alias("payload")).where("payload is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([store_form(p) for p in dict.fromkeys(b.column(0).to_pylist())], pa.binary())], names=["media"])
+
+    return written(rows.mapInArrow(run, "media binary"), compression="zstd")
+
+
 def media_store(payloads: DataFrame, column: str = "payload", keep_media: bool = False) -> DataFrame:
     """One row per distinct payload: :data:`DESCRIPTOR`, and the stored bytes as ``media`` if
-    they are kept. Copies within a task are described once; the rest of the copies meet as small
-    rows in a partial aggregation."""
-    rows = payloads.select(F.col(column).cast("binary").alias("payload")).where("payload is not null")
+    they are wanted. Copies meet as small rows in a partial aggregation."""
     names = [d.split()[0] for d in DESCRIPTOR.split(", ")]
     kinds = [pa.int64() if d.endswith("long") else pa.string() for d in DESCRIPTOR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {}
-            for p in b.column(0).to_pylist():
-                if p not in found:
-                    found[p] = describe(p)
-            columns = list(zip(*found.values(), strict=True)) if found else [()] * len(names)
+            found = [describe(m) for m in b.column(0).to_pylist()]
+            columns = list(zip(*found, strict=True)) if found else [()] * len(names)
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            if keep_media:
-                arrays.append(pa.array([store_form(p) for p in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *["media"] * keep_media])
+            yield pa.RecordBatch.from_arrays([*arrays, *[b.column(0)] * keep_media], names=[*names, *["media"] * keep_media])
 
-    made = rows.mapInArrow(run, DESCRIPTOR + ", media binary" * keep_media)
+    made = stored(payloads, column).mapInArrow(run, DESCRIPTOR + ", media binary" * keep_media)
     rest = [c for c in made.columns if c != "digest"]
     return made.groupBy("digest").agg(*[F.first(c).alias(c) for c in rest])
 
@@ -198,10 +203,10 @@ def resolve(refs: DataFrame, store: DataFrame, key: str | list[str]) -> DataFram
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Each document as a page with one figure, whose payload is the document's whole text."""
+    """Each document as a page with text around one figure, whose payload is the document's text."""
     rows = docs.select("doc_id", whole_text().alias("text"))
     digest = F.sha2(payload_text(F.col("text")), 256)
-    html = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("</figcaption></figure></article>"))
+    html = F.concat(F.lit('<article><h1>page</h1><figure><img src="sha256:'), digest, F.lit('"><figcaption>text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("</figcaption></figure><p>end</p></article>"))
     pages = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), html.alias("html"))
     refs = interleave(pages).where("kind = 'media'").select("doc_id", "n_bytes", "digest", "position", "caption")
     store = media_store(rows.select(payload_text(F.col("text")).alias("payload")))

@@ -15,7 +15,9 @@ sum tokens per (partition, source), turn the sums into queue offsets, place. The
 row per source: sources are the parts of a mixture, their number does not grow with the rows.
 
 Null text is an empty document, which still has its closing id; a null source is a queue of its
-own; repeated rows are packed each; an empty table gives no rows; clashing names do not matter.
+own; null ids and repeated rows are packed each; a text of any length is cut into as many pieces as it
+takes; queues with equal deficits take turns in order of their names; an empty table gives no rows;
+clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ CYCLE = 64
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 400_000
+#: Of the query: a source's target share is its share of the tokens to this power, so that small
+#: sources are seen early and often, and large ones fill what is left.
+TEMPERATURE = 0.7
 SLICE = 12 << 20
 
 
@@ -321,12 +326,16 @@ class Queue:
 # ---------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, path: str | None = None, source: str = "source", weights: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+def pack(docs: DataFrame, path: str | None = None, source: str = "source", weights: dict[str, float] | None = None, window: int = WINDOW, temperature: float | None = None) -> DataFrame:
+    """One row per piece of a document in a sequence. ``weights`` are the target proportions; without
+    them ``temperature`` says to which power the corpus's own are taken, and without either they are the
+    corpus's own."""
     tokens = cut(tokenise(docs, path or tokenizer_path(), source=source))
     sums = tokens.groupBy("source", "chunk").agg(F.sum("n").alias("n"))
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
+    if weights is None and temperature is not None:
+        weights = {s: totals[s] ** temperature for s in names}
     phases = schedule([totals[s] for s in names], None if weights is None else [float(weights.get(s, 0.0)) for s in names], window)
     queues = {s: Queue(phases, i) for i, s in enumerate(names)}
     total = sum(totals.values())
@@ -353,4 +362,4 @@ def pack(docs: DataFrame, path: str | None = None, source: str = "source", weigh
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return pack(docs)
+    return pack(docs, temperature=TEMPERATURE)

@@ -75,18 +75,20 @@ def _sql_spans(k: int) -> str:
 
 
 _SECRET = f"case t.ko when 0 then regexp_replace(t.v, '^{_KEY}', '') else t.v end"
-_OP2 = f"""with d as (select doc_id, coalesce(text, '') x, coalesce(source, chr(1)) o from documents),
-  m as (select doc_id, o, regexp_extract_all(x, '{_KEY}[A-Za-z0-9+/_.=-]+') v0, string_split_regex(x, '{_KEY}[A-Za-z0-9+/_.=-]+') p0, regexp_extract_all(x, 'AKIA[A-Z0-9]{{12,}}') v1, string_split_regex(x, 'AKIA[A-Z0-9]{{12,}}') p1,
+_OP2 = f"""with d as (select doc_id, coalesce(text, '') x, coalesce(source, chr(1)) o, coalesce(lang, chr(1)) g from documents),
+  m as (select doc_id, o, g, regexp_extract_all(x, '{_KEY}[A-Za-z0-9+/_.=-]+') v0, string_split_regex(x, '{_KEY}[A-Za-z0-9+/_.=-]+') p0, regexp_extract_all(x, 'AKIA[A-Z0-9]{{12,}}') v1, string_split_regex(x, 'AKIA[A-Z0-9]{{12,}}') p1,
     regexp_extract_all(x, '[0-9a-f]{{32,}}') v2, string_split_regex(x, '[0-9a-f]{{32,}}') p2 from d),
-  a as (select doc_id, o, list_concat([t for t in {_sql_spans(0)} if length(regexp_replace(t.v, '^{_KEY}', '')) >= 8], list_concat({_sql_spans(1)}, {_sql_spans(2)})) b from m),
-  c as (select *, list_distinct([{{'s': t.s + length(t.v) - length({_SECRET}), 'e': t.s + length(t.v), 'w': {_SECRET}}} for t in b]) cands from a),
-  e as (select doc_id, o, unnest(cands) q from c),
-  live as (select doc_id, o, q from e where len(list_distinct(string_split(q.w, ''))) >= 8 and regexp_matches(q.w, '[0-9]') and regexp_matches(q.w, '[A-Za-z]') and not regexp_matches(q.w, '(?i)(example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|test|foobar|123456)')),
-  verdict as (select q.w w, count(distinct o) <= 2 rare from live group by 1),
-  per as (select doc_id, list(distinct {{'s': q.s, 'ko': 3, 'e': q.e, 'k': 'live'}}) filter (rare) l, count(distinct q.w) filter (not rare) n_common from live join verdict on w = q.w group by doc_id),
-  f as (select c.doc_id, b, list_sort([{{'s': t.s, 'ko': t.ko, 'e': t.s + length(t.v), 'k': ['assign', 'access', 'hex'][t.ko + 1]}} for t in b]) base, coalesce(l, []) l, coalesce(n_common, 0) n_common from c left join per on per.doc_id = c.doc_id)
+  a as (select doc_id, o, g, list_concat([t for t in {_sql_spans(0)} if length(regexp_replace(t.v, '^{_KEY}', '')) >= 8], list_concat({_sql_spans(1)}, {_sql_spans(2)})) b from m),
+  c as (select *, list_distinct([{{'s': t.s + length(t.v) - length({_SECRET}), 'e': t.s + length(t.v), 'w': {_SECRET}, 'k': t.ko, 'pw': regexp_matches(t.v, '^(?i)passw')}} for t in b]) cands from a),
+  e as (select doc_id, o, g, unnest(cands) q from c),
+  looked as (select doc_id, o, g, q, len(list_distinct(string_split(q.w, ''))) >= 8 and not regexp_matches(q.w, '(?i)(example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|test|foobar|123456)')
+    and (q.k = 1 or (q.k = 0 and q.pw) or (regexp_matches(q.w, '[0-9]') and regexp_matches(q.w, '[A-Za-z]'))) looks from e),
+  verdict as (select q.w w, count(distinct o) n_o, count(distinct (o, g)) n_r, bool_or(looks) looks from looked group by 1),
+  judged as (select doc_id, q, n_o, n_r, n_o <= 2 and n_r <= 3 rare, looks from e join verdict on w = q.w),
+  per as (select doc_id, list(distinct {{'s': q.s, 'ko': 3, 'e': q.e, 'k': 'live'}}) filter (rare and looks) l, count(distinct q.w) filter (not rare) n_common, max(n_o) max_owners, max(n_r) max_repos from judged group by doc_id),
+  f as (select c.doc_id, b, list_sort([{{'s': t.s, 'ko': t.ko, 'e': t.s + length(t.v), 'k': ['assign', 'access', 'hex'][t.ko + 1]}} for t in b]) base, coalesce(l, []) l, coalesce(n_common, 0) n_common, coalesce(max_owners, 0) max_owners, coalesce(max_repos, 0) max_repos from c left join per on per.doc_id = c.doc_id)
   select doc_id, len([t for t in b if t.ko = 0]) n_assign, len([t for t in b if t.ko = 1]) n_access, len([t for t in b if t.ko = 2]) n_hex, sha256(array_to_string([concat_ws(':', t.k, t.s, t.e) for t in base], ',')) base_sha256,
-    array_to_string([concat_ws(':', t.k, t.s, t.e) for t in list_sort(list_concat(base, l))], ',') spans, len(l) n_live, n_common from f"""
+    array_to_string([concat_ws(':', t.k, t.s, t.e) for t in list_sort(list_concat(base, l))], ',') spans, len(l) n_live, n_common, max_owners, max_repos from f"""
 
 #: The other operators' columns (token ids, checksums of other forms, spans with possessive
 #: patterns, bytes) have no SQL form, or one that is too slow on whole tables; tests compare them

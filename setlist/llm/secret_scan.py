@@ -4,13 +4,15 @@ Candidates are found by pattern. The hashes of all of them are counted over the
 distinct repository and distinct owner: a value in many repositories or of many owners is a widely
 copied example, one that few hold and that looks like a credential is reported as ``live``.
 
-``owner`` and ``repository`` are column names; ``documents`` has one owner per ``source`` and a
-repository per (source, lang). A hash may stand in a third of all documents, so the counts go
+``owner`` and ``repository`` are column names. ``documents`` has neither; there, a ``source`` stands in
+for the owner, and its documents of one ``lang`` for one of the owner's repositories. A hash may stand in a third of all documents, so the counts go
 through three partial aggregations, and the verdicts return to the documents over salted keys:
 each hash has at most :data:`SALTS` copies of its verdict. No Python runs on the executors.
 
-Null text is empty; a null owner or repository counts as one owner of its own; repeated rows do
-not add owners; extra columns are ignored; an empty table gives an empty result.
+Null text is empty; a null owner or repository counts as one owner of its own; null ids and repeated
+rows each get their row, and repeated rows do not add owners; of the spans of one text those at one
+place are ordered by kind; a text of any length is scanned whole, in time that grows with it; extra
+columns, also such as ``live`` or ``counts``, do not reach the query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def live_looking(kind: str, found: Column) -> Column:
 
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus ``m_<kind>`` arrays and ``cands``: ``array<struct<start, end, hash, live>>``
-    with the secret's own span (the value without the key before it)."""
+    with the secret's own span (the value without the key before it), once per kind that finds it."""
     df = docs.withColumn("__text", whole_text(text))
     df = match_spans(df, "__text", PATTERNS).drop("__text")
     df = df.withColumn("m_assign", F.filter("m_assign", lambda s: F.length(_secret("assign", s["value"])) >= 8))
@@ -65,7 +67,7 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return F.transform(F.col(f"m_{kind}"), one)
 
-    return df.withColumn("cands", F.array_sort(F.array_distinct(F.concat(*[candidates(k) for k in BASE_KINDS]))))
+    return df.withColumn("cands", F.concat(*[candidates(k) for k in BASE_KINDS]))
 
 
 def ownership(cands: DataFrame) -> DataFrame:
@@ -77,39 +79,41 @@ def ownership(cands: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: list[str] | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
-    """Rows of ``docs`` (its columns kept) plus ``m_<kind>``, ``cands``, ``live`` (the sorted
-    hashes judged live), ``common`` (the widely copied ones, whatever they look like) and
+    """Rows of ``docs`` (its columns kept) plus ``m_<kind>``, ``cands``, ``live_at`` and
+    ``live`` (the sorted spans and hashes judged live), ``common`` (the widely copied ones, whatever they look like) and
     ``counts`` (``hash, n_owners, n_repos`` of every candidate)."""
     repository = repository or [owner, "lang"]
     keys = {c: F.col(f"`{c}`") for c in docs.columns}
     name = lambda cols: F.concat_ws("\x1f", *[F.coalesce(keys[c].cast("string"), F.lit("\x00")) for c in cols])
     marked = docs.withColumns({"__owner": name([owner]), "__repo": name(repository), "__row": F.md5(F.concat_ws("\x1f", F.coalesce(keys["doc_id"].cast("string"), F.lit("\x00")), whole_text()))})
     found = cut(find_candidates(marked).drop("text"))
-    each = found.select("__row", "__owner", "__repo", F.explode("cands").alias("c")).select("__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repository"), F.col("c.hash").alias("hash"), F.col("c.live").alias("live"))
-    verdict = ownership(each).withColumn("rare", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
-    salted = each.select("__row", "hash", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("salt")).distinct()
+    each = found.select("__row", "__owner", "__repo", F.explode("cands").alias("c")).select("__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repository"), "c.*")
+    verdict = ownership(each).withColumnRenamed("live", "looks").withColumn("rare", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    salted = each.select("__row", "hash", "start", "end", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("salt"))
     copies = salted.select("hash", "salt").distinct().join(verdict, "hash")
+    kept = F.col("rare") & F.col("looks")
+    # spans of the text are judged one by one, so that a text with very many takes no longer for each
     judged = salted.join(copies, ["hash", "salt"]).groupBy("__row").agg(
-        F.array_sort(F.collect_set(F.when(F.col("rare") & F.col("live"), F.col("hash")))).alias("live"),
+        F.array_sort(F.collect_set(F.when(kept, F.struct("start", "end")))).alias("live_at"),
+        F.array_sort(F.collect_set(F.when(kept, F.col("hash")))).alias("live"),
         F.array_sort(F.collect_set(F.when(~F.col("rare"), F.col("hash")))).alias("common"),
         F.array_sort(F.collect_set(F.struct("hash", "n_owners", "n_repos"))).alias("counts"),
     )
-    none, no_counts = F.array().cast("array<string>"), F.array().cast("array<struct<hash:string,n_owners:bigint,n_repos:bigint>>")
-    out = found.join(judged, "__row", "left").withColumns({"live": F.coalesce("live", none), "common": F.coalesce("common", none), "counts": F.coalesce("counts", no_counts)})
-    return out
+    empty = {c: F.array().cast(judged.schema[c].dataType) for c in ("live_at", "live", "common", "counts")}
+    return found.join(judged, "__row", "left").withColumns({c: F.coalesce(F.col(c), none) for c, none in empty.items()})
 
 
 def live_spans() -> Column:
     """Spans of the live credentials, as :func:`span_list` gives the base ones."""
-    hit = F.filter("cands", lambda c: F.array_contains(F.col("live"), c["hash"]))
-    return F.transform(hit, lambda c: F.struct(c["start"].alias("start"), F.lit(len(BASE_KINDS)).alias("kind_order"), c["end"].alias("end"), F.lit("live").alias("kind")))
+    return F.transform("live_at", lambda c: F.struct(c["start"].alias("start"), F.lit(len(BASE_KINDS)).alias("kind_order"), c["end"].alias("end"), F.lit("live").alias("kind")))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, the base spans' digest, all spans, live and common hashes."""
+    """One row per document: counts, the base spans' digest, all spans, how many spans are live and
+    how many values common, and the most owners and repositories that one of its values has."""
     df = scan(docs.select("doc_id", "text", "lang", "source"))
     base = span_list(BASE_KINDS)
-    added = F.array_distinct(live_spans())
+    added = live_spans()
     return df.select(
         "doc_id",
         *[F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS],
@@ -117,6 +121,8 @@ def report(docs: DataFrame) -> DataFrame:
         span_text(F.array_sort(F.concat(base, added))).alias("spans"),
         F.size(added).cast("long").alias("n_live"),
         F.size("common").cast("long").alias("n_common"),
+        F.coalesce(F.array_max(F.transform("counts", lambda c: c["n_owners"])), F.lit(0)).alias("max_owners"),
+        F.coalesce(F.array_max(F.transform("counts", lambda c: c["n_repos"])), F.lit(0)).alias("max_repos"),
     )
 
 
@@ -124,7 +130,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every live credential replaced by ``mask``; common examples stay. The columns
     are those of ``docs``; ``n_chars``, where there is one, follows the text."""
     cols = docs.columns
-    judged = scan(docs.select("doc_id", "text", "lang", "source")).select("__row", F.array_sort(F.array_distinct(F.transform(live_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))).alias("__cut"))
+    judged = scan(docs.select("doc_id", "text", "lang", "source")).select("__row", F.col("live_at").alias("__cut"))
     judged = judged.where(F.size("__cut") > 0).dropDuplicates(["__row"])
     row = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), whole_text()))
     df = docs.withColumn("__row", row).join(judged, "__row", "left")

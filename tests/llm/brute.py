@@ -38,3 +38,41 @@ def pii(text):
     out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(only(m[0])) <= 19 and luhn(only(m[0]))]
     out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(only(m[0])) <= 15]
     return out, digest(out, ["email", "ip", "card", "phone"])
+
+
+CONTEXT = {
+    "email": "email e-mail mail contact kontakt correo courriel",
+    "ip": "ip host server address addr adresse",
+    "card": "card visa mastercard amex credit debit karte carte tarjeta",
+    "phone": "phone tel call mobile fax telefon telephone téléphone teléphone télephone telefono teléfono",
+    "iban": "iban bank account konto compte cuenta",
+}
+
+
+def ibans(text):
+    run = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
+    at = 0
+    while at < len(text):
+        m = run.match(text, at) if at == 0 or not re.match("[A-Za-z0-9]", text[at - 1]) else None
+        if m:
+            plain = m[0].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                yield "iban", m.start(), m.end()
+            at = m.end()
+        else:
+            at += 1
+
+
+def pii_scored(text):
+    """All spans with their scores, in report order."""
+    t = text or ""
+    spans = pii(t)[0] + list(ibans(t))
+    order = list(CONTEXT)
+    out = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], order.index(s[0]), s[2])):
+        near = False
+        for word in CONTEXT[kind].split():
+            for m in re.finditer(rf"(?<!\w){word}(?!\w)", t, re.I):
+                near |= (a - 40 <= m.start() and m.end() <= a) or (b <= m.start() and m.end() <= b + 40)
+        out.append((f"{kind}:{a}:{b}", f"{0.5 + 0.3 * (kind in ('card', 'iban')) + 0.2 * near:.2f}"))
+    return out

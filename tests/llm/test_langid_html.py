@@ -67,6 +67,20 @@ def test_main_text():
     assert html_extract.main_text("<article>" + "<div>" * 5000 + "x" + "<a title='q") == "x<a title='q"
 
 
+def test_reject_and_route(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [
+        (9001, "Привет мир, это текст на другом языке", None), (9002, "xqzj wvkq zzpt qjxw kvvz xqq jzw qpz vwx zkj", "en"), (9003, "12 % 34", "en"), (9004, None, "en"), (9005, "", None), (None, "日本語の文章です", "x"),
+    ]
+    known = docs.where("lang = 'de' and n_chars > 500").limit(2).collect()
+    odd += [(9010, known[0].text, None), (9011, known[1].text, "fr")]
+    rows = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    got = {r.doc_id: r for r in langid.reject(rows).collect()}
+    want = {r.doc_id: r for r in docs.collect()}
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert set(got) - set(want) == {9010, 9011} and got[9010].lang == got[9011].lang == "de"
+
+
 class Marked(HTMLParser):
     """The text of the article element, block by block: what the generated pages hold as their main text."""
 

@@ -2,6 +2,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from setlist.llm import fingerprint as fp
 from setlist.llm import media
@@ -30,6 +31,13 @@ def test_resolve_keeps_order_and_missing(spark):
             assert r.media is None
 
 
+def plain_feature(payload):
+    n, mean = len(payload), sum(payload) / len(payload)
+    std = max(sum(b * b for b in payload) / n - mean * mean, 0.0) ** 0.5
+    bins = ",".join(f"{sum(b // 32 == k for b in payload) / n:.4f}" for k in range(8))
+    return f"rows={n // 192};mean={mean:.4f};std={std:.4f};min={min(payload)};max={max(payload)};bins={bins}"
+
+
 def test_media_report(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 192), (-4, "é" * 96 + " "), (-5, "é"), (-6, "é "), (-5, "é"), (None, "q")], docs.schema)).withColumn("digest", docs.text)
@@ -41,6 +49,7 @@ def test_media_report(spark, sf):
         pay = raw + b" " * (192 if not raw else -len(raw) % 192)
         form = media.store_form(pay)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), sha256(pay).hexdigest(), crc32(pay[-16:]))
+        assert r.feature == plain_feature(pay) and r.position == 1
         assert (r.media_bytes, r.media_sha256) == (len(form), sha256(form).hexdigest()) and r.caption == f"text of document {'null' if r.doc_id is None else r.doc_id}"
     assert media.report(docs.limit(0)).count() == 0
 
@@ -81,10 +90,12 @@ def test_order_counts():
     assert fp.likeness(f, fp.fingerprint(c)) > fp.likeness(f, fp.fingerprint(b)) > 0
 
 
-def test_fingerprint_report(spark, sf):
+def test_fingerprint_report(spark, sf, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_BYTES", 20_000)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    docs = docs.union(spark.createDataFrame([(10**12, None), (7, "same id"), (-9, "z"), (None, "null id"), (None, None)], docs.schema)).withColumn("bucket", docs.text)
-    order = sorted(docs.collect(), key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.text or ""), reverse=True)
+    docs = docs.union(spark.createDataFrame([(10**12, None), (7, "same id"), (-9, "z"), (None, "null id"), (None, None), *[(None, f"null id {i}") for i in range(300)]], docs.schema)).withColumn("bucket", docs.text)
+    hashed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is not None, r.h if r.doc_id is None else r.doc_id, r.text or ""), reverse=True)
     want = []
     for r, s in zip(order, order[1:] + order[:1], strict=True):
         t, u = r.text or "", s.text or ""

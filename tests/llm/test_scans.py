@@ -1,3 +1,5 @@
+import time
+
 import brute
 import pytest
 
@@ -31,10 +33,33 @@ def test_base_spans(spark, sf, module, twin, kinds):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
-def test_iban_and_context(spark):
-    docs = spark.createDataFrame([(1, EDGE[11])], "doc_id long, text string")
-    r = pii.report(docs).first()
-    assert r.n_iban == 2 and r.max_score == 1.0
+CONTEXT = [
+    EDGE[11], "hotel " + "x" * 35 + " +34 600 123 456", "tel " + "x" * 35 + " +34 600 123 456", "+34 600 123 456 is my phone", "+34 600 123 456 " + "y" * 30 + " telefono", "+34 600 123 456 " + "y" * 33 + " telefono",
+    "card4111111111111111 card", "4111111111111111card", "hôtel +34 600 123 456", "TELÉFONO: +34 600 123 456", "DE89 3704 0044 0532 0130 00 bank DE89370400440532013001 xDE89370400440532013000", "server 10.0.0.1 Mail: a@b.cd,c@d.ef 10.0.0.2",
+]
+
+
+def test_every_span_and_score(spark, sf):
+    docs = fixture(spark, sf).select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame(list(enumerate(CONTEXT, 20_000)), docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scores = set()
+    for r in pii.report(docs).collect():
+        want = brute.pii_scored(texts[r.doc_id])
+        assert list(zip(r.spans.split(","), r.scores.split(","), strict=True)) == (want or [("", "")]), texts[r.doc_id][:300]
+        assert r.max_score == max([float(s) for _, s in want], default=0.0) and r.n_iban == sum(k.startswith("iban") for k, _ in want)
+        scores |= {s for _, s in want}
+    assert scores == {"0.50", "0.70", "0.80", "1.00"}
+
+
+def test_very_many_matches(spark):
+    docs = spark.createDataFrame([(1, "me@x.org " * 20_000 + "end"), (2, "token=abcdEFGH1 " * 20_000)], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert got[1].n_email == 20_000 and got[1].spans.endswith(f"email:{19_999 * 9}:{19_999 * 9 + 8}")
+    found = {r.doc_id: r for r in secret_scan.report(docs).collect()}
+    assert found[2].n_assign == 20_000 and found[2].n_live == 20_000
+    assert time.perf_counter() - began < 60
 
 
 def test_empty_tables(spark):
@@ -52,6 +77,8 @@ def test_ownership(spark):
     clash = docs.selectExpr("*", "1 as live", "2 as cands", "3 as n_chars")
     assert secret_scan.redact(clash).columns == clash.columns
     out = sorted((r.doc_id or -1, r.text) for r in secret_scan.redact(clash).collect() if r.text)
+    got = {(r.doc_id, r.max_owners, r.max_repos) for r in secret_scan.report(docs).collect()}
+    assert got == {(i, 5, 5) for i in range(5)} | {(9, 2, 2), (None, 2, 2), (11, 0, 0)}
     assert out[0] == (-1, "api_key: [secret]") and out[-1] == (9, "x token=[secret]! token=[secret]") and f"token={shared}" in out[1][1]
     assert len(out) == 8
 
