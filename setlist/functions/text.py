@@ -23,6 +23,7 @@ COLLAPSIBLE = re.compile(
 PROTECTED = {"live": r"live(?: .*)?", "acoustic": r"acoustic(?: .*)?", "instrumental": "instrumental", "karaoke": "karaoke", "demo": "demo", "mono": "mono", "stereo": "stereo"}
 # Words of a bracket that names collaborators.
 COLLABORATION = ["feat", "ft", "featuring", "with", "con", "w/", "junto a"]
+COLLABORATION_X = re.compile(r"(^|\s)x(\s|$)")
 # Words that stay small inside a title, English then Spanish.
 SMALL_WORDS = frozenset(
     "a an and as at but by for from in into nor of off on onto or out over per so the to up upon via with yet vs v "
@@ -42,6 +43,11 @@ def fold(text: str | None) -> str:
     return " ".join(bare.lower().split())
 
 
+def fold_case(text: str | None) -> str | None:
+    """Decomposed, without marks, case folded, blanks as they are."""
+    return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+
+
 def _endings(title: str):
     """``(rest, ending)`` for each way in which the title ends: brackets, then a dash or colon."""
     end = title.rstrip()
@@ -86,6 +92,8 @@ def base_title(title: str | None) -> tuple[str, bool, bool]:
     return rest or whole, cut, bool(re.search(r"\bremix\b", whole))
 
 
+# Letters and word characters of English and Spanish, and words that keep their capitals
+# (initials, Roman numerals, words with a digit, joined capitals).
 _LETTER = re.compile(r"[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]")
 _WORD = re.compile(r"[0-9A-Za-zÁÉÍÓÚÜÑáéíóúüñ]")
 _KEEP = re.compile(r"(?:[A-Z]\.){2,}[A-Z]?\.?|[IVXLCDM]+|.*\d.*|(?=.*[&/+])[A-Z0-9&/+]+(?:-[A-Z0-9&/+]+)*", re.S)
@@ -137,7 +145,7 @@ def title_display(title: str | None) -> str | None:
         for opening, closing in _BRACKETS:
             at = rest.rfind(opening, 0, len(rest) - 1) if rest.endswith(closing) else -1
             inner = rest[at + 1 : -1].casefold() if at >= 0 else ""
-            if at >= 0 and not set(inner) & {opening, closing} and inner.strip() and (any(k in inner for k in COLLABORATION) or re.search(r"(^|\s)x(\s|$)", inner)):
+            if at >= 0 and not set(inner) & {opening, closing} and inner.strip() and (any(k in inner for k in COLLABORATION) or COLLABORATION_X.search(inner)):
                 rest = rest[:at].strip()
                 break
         else:
@@ -149,6 +157,10 @@ def _fold_batch(titles: pd.Series) -> pd.Series:
     return titles.map(fold, na_action="ignore")
 
 
+def _case_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(fold_case, na_action="ignore")
+
+
 def _parts_batch(titles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(*base_title(t), protected_tags(t)) for t in titles], columns=["base", "had_suffix", "remix", "protected"])
 
@@ -165,6 +177,7 @@ def udfs() -> dict:
     """Arrow-batched UDFs by the names under which :func:`register` gives them to SQL."""
     return {
         "fold_ascii": F.pandas_udf(_fold_batch, "string"),
+        "fold_case": F.pandas_udf(_case_batch, "string"),
         "title_parts": F.pandas_udf(_parts_batch, "base string, had_suffix boolean, remix boolean, protected array<string>"),
         "title_display": F.pandas_udf(_display_batch, "string"),
         "title_fragments": F.pandas_udf(_fragments_batch, "array<string>"),

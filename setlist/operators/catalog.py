@@ -77,6 +77,7 @@ def instance_counts(items: DataFrame) -> DataFrame:
     )
 
 
+#: Percentages are rounded half up from the decimal form, as ``round`` of Spark does it.
 def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and percentage of missing values per column; 0 for an empty table."""
     share = lambda c: F.coalesce(F.round(F.avg(missing(F.col(c)).cast("int")) * 100, 2), F.lit(0.0)).alias(f"{c}_missing_pct")
@@ -86,3 +87,13 @@ def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:
 def owners_per_track(instances: DataFrame) -> DataFrame:
     """Distinct owners of each track, sorted."""
     return instances.groupBy("track_id").agg(F.array_sort(F.collect_set("owner_id")).alias("owner_ids")).withColumn("owners_count", F.size("owner_ids").cast("long"))
+
+
+def of_instances(tracks: DataFrame, instances: DataFrame) -> DataFrame:
+    """Tracks that some owner has."""
+    return tracks.join(instances.select("track_id"), "track_id", "left_semi")
+
+
+def instance_order() -> list[Column]:
+    """By owner, then by time of adding, unknown last, then by track."""
+    return [F.col("owner_id"), F.col("added_at").asc_nulls_last(), F.col("track_id")]

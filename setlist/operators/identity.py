@@ -25,17 +25,30 @@ def winners(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_variants"), best.alias("b")).select("song_id", F.col("b.row.track_id").alias("winner_track_id"), "n_variants", F.col("b.row.owners_count").alias("owners_count"), F.col("b.row.popularity").alias("popularity"))
 
 
-def winner_rule(tracks: DataFrame) -> DataFrame:
-    """Which level of the winner's order decided (A09). Counts at each level come from one
-    aggregation: how many variants reach the best value so far."""
-    best = tracks.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.max("owners_count").alias("o"))
-    at_o = tracks.join(best, "song_id").where("owners_count = o")
-    pop = F.coalesce(F.col("popularity"), F.lit(-1))
-    level2 = at_o.groupBy("song_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_o"), F.max(F.struct(pop.alias("p"), (~F.col("had_suffix")).cast("int").alias("plain"))).alias("top"))
-    at_p = at_o.join(level2.select("song_id", "n_o", "top"), "song_id").where(pop == F.col("top.p"))
-    level3 = at_p.groupBy("song_id", "n", "n_o").agg(F.count(F.lit(1)).alias("n_p"), F.count_if(~F.col("had_suffix")).alias("n_plain"))
-    rule = F.when(F.col("n") == 1, "single").when(F.col("n_o") == 1, "owners").when(F.col("n_p") == 1, "owners>popularity").when((F.col("n_plain") == 1), "owners>popularity>no_suffix").otherwise("owners>popularity>no_suffix>track_id")
-    return level3.select("song_id", rule.alias("winner_rule_path"))
+#: The levels of the winner's order, by name.
+RULE = ["owners_count", "popularity", "title_without_collapsible_suffix", "track_id"]
+POSTPASS = "postpass_conservative"
+
+
+def winner_rule(tracks: DataFrame, postpass: Column | None = None) -> DataFrame:
+    """Which level of the winner's order decided (A09, W04). One aggregation keeps the four best
+    values of that order and how often each occurs; ``postpass`` marks songs of the second pass."""
+    plain = F.struct((-F.col("owners_count")).alias("o"), (-F.coalesce(F.col("popularity"), F.lit(-1))).alias("p"), F.col("had_suffix").cast("int").alias("s"))
+    marked = F.lit(False) if postpass is None else postpass
+    levels = tracks.select("song_id", plain.alias("k"), marked.alias("post")).groupBy("song_id", "k").agg(F.count(F.lit(1)).alias("n"), F.max("post").alias("post"))
+    best = levels.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("k.o", "k.p", "k.s", "n"))).alias("all"), F.max("post").alias("post"))
+    top = F.col("all")[0]
+    left = lambda same: F.aggregate(F.filter("all", same), F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    n_all, n_o = left(lambda x: F.lit(True)), left(lambda x: x["o"] == top["o"])
+    n_p, n_s = left(lambda x: (x["o"] == top["o"]) & (x["p"] == top["p"])), top["n"]
+    path = lambda k: ">".join(RULE[:k])
+    rule = F.when(n_all == 1, "single_variant").when(n_o == 1, path(1)).when(n_p == 1, path(2)).when(n_s == 1, path(3)).otherwise(path(4))
+    return best.select("song_id", F.concat(F.when(F.col("post"), f"{POSTPASS}>").otherwise(""), rule).alias("winner_rule_path"))
+
+
+def no_merge_reason(variants: Column, remix: Column, match_type: Column) -> Column:
+    """Why a track stayed alone; null where it was merged (A10)."""
+    return F.when(variants > 1, F.lit(None)).when(remix, "remix_title").when(match_type == "isrc_first", "song_key_unique_isrc").otherwise("song_key_unique_fallback")
 
 
 def islands(groups: DataFrame, key: list[str], duration: str, order: list[str], tolerance: int = TOLERANCE_MS) -> DataFrame:
@@ -46,21 +59,24 @@ def islands(groups: DataFrame, key: list[str], duration: str, order: list[str],
     return groups.withColumn("gap", gap).withColumn("island", F.sum("gap").over(w).cast("long")).drop("gap")
 
 
-def rollup(tracks: DataFrame) -> DataFrame:
-    """Song rows: merged ids with the winner first, owners together, earliest date."""
-    member = F.struct(winner_key().alias("k"), F.struct("track_id", "track_name").alias("row"))
+def rollup(tracks: DataFrame, order: str = "track_id", title: str = "track_name") -> DataFrame:
+    """Song rows: merged ids with the winner first and then in the original ``order``, the first title
+    in that order that is not missing (else the winner's id), owners together, earliest date (A11, A12)."""
+    member = F.struct(winner_key().alias("k"), F.col("track_id").alias("id"))
     dated = F.struct(sort_key(F.col("release_date")).alias("k"), F.struct("release_date", "track_id").alias("row"))
+    place = F.struct(F.col(order).alias("at"), F.col("track_id").alias("id"))
     songs = tracks.groupBy("song_id").agg(
-        F.array_sort(F.collect_list("track_id")).alias("ids"),
+        F.transform(F.array_sort(F.collect_list(place)), lambda x: x["id"]).alias("ids"),
         F.min(member).alias("best"),
+        F.min(F.when(keys.norm(F.col(title)).isNotNull(), F.struct(place.alias("at"), keys.norm(F.col(title)).alias("title")))).alias("named"),
         F.min(F.when(sort_key(F.col("release_date")).isNotNull(), dated)).alias("first"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("owner_ids")))).alias("owner_ids"),
     )
-    winner = F.col("best.row.track_id")
+    winner = F.col("best.id")
     return songs.select(
         "song_id",
         winner.alias("winner_track_id"),
-        F.col("best.row.track_name").alias("title"),
+        F.coalesce("named.title", winner.cast("string")).alias("title"),
         F.concat(F.array(winner), F.filter("ids", lambda i: i != winner)).alias("merged_track_ids"),
         "owner_ids",
         F.col("first.row.release_date").alias("release_date"),
@@ -69,8 +85,14 @@ def rollup(tracks: DataFrame) -> DataFrame:
 
 
 def merge_stats(songs: DataFrame) -> DataFrame:
-    """Tracks, songs and merged songs."""
-    return songs.agg(F.sum("n_variants").alias("tracks"), F.count(F.lit(1)).alias("songs"), F.count_if(F.col("n_variants") > 1).cast("long").alias("merged_songs"))
+    """Tracks, songs, merged songs and merges."""
+    return songs.agg(F.sum("n_variants").alias("tracks"), F.count(F.lit(1)).alias("songs"), F.count_if(F.col("n_variants") > 1).cast("long").alias("merged_songs"), F.sum(F.col("n_variants") - 1).alias("merges"))
+
+
+def postpass_merges(identified: DataFrame) -> DataFrame:
+    """Groups that the second pass merged away."""
+    groups = identified.where(F.col("match_type") == POSTPASS).groupBy("song_id").agg(F.count_distinct("group_id").alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("postpass_group_merges"))
 
 
 def song_groups(tracks: DataFrame) -> DataFrame:
@@ -124,3 +146,10 @@ def colliding_songs(identified: DataFrame) -> DataFrame:
     """Songs of the second pass that several separate islands share: the id hashes the key alone."""
     two = identified.where("match_type = 'postpass_conservative'").select("song_id", "group_id", "duration_ms").groupBy("song_id", "group_id").agg(F.min("duration_ms").alias("duration_ms"))
     return islands(two, ["song_id"], "duration_ms", ["group_id"]).groupBy("song_id").agg((F.max("island") + 1).alias("islands")).where("islands > 1")
+
+
+def require_separate(identified: DataFrame) -> None:
+    """Raise where recordings that are too far apart to be one share a song id."""
+    bad = [r["song_id"] for r in colliding_songs(identified).limit(5).collect()]
+    if bad:
+        raise ValueError(f"songs of several recordings: {bad}")

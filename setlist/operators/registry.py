@@ -1,15 +1,17 @@
-"""The append-only registry of cards."""
+"""The append-only registry of cards."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import owners_footer, owners_split
+
 #: Fixed value: the form of a card id.
 CARD_ID = r"^[A-Z]+_([A-Z0-9]+)_(\d{3})$"
+#: Where a card's code leads; the caller's to set.
+TRACK_URL = "https://tracks.example/"
 
 
 def card_number(card: Column) -> Column:
@@ -47,10 +49,70 @@ def overlap(registry: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Registry rows unchanged, then the new ones; raises on a clash."""
+    """Registry rows unchanged, then the new ones; raises on a clash or a changed row."""
     if not (clash := overlap(registry, new)).isEmpty():
         raise ValueError(f"already registered: {[tuple(r) for r in clash.limit(5).collect()]}")
-    return registry.unionByName(new, allowMissingColumns=True)
+    out = registry.unionByName(new, allowMissingColumns=True)
+    if not altered(registry, out).isEmpty():
+        raise ValueError("registered rows have changed")
+    return out
+
+
+def altered(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that an append-only table no longer has as they were."""
+    return before.exceptAll(after.select(before.columns))
+
+
+def change_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many cards an update has printed or a clean-up has deleted."""
+    old = before.select("card_id", F.col("printed_status").alias("was"))
+    both = old.join(after.select("card_id", "printed_status", F.lit(True).alias("there")), "card_id", "left")
+    return both.agg(F.count_if((F.col("was") != "printed") & (F.col("printed_status") == "printed")).cast("long").alias("n_printed"), F.count_if(F.col("there").isNull()).cast("long").alias("n_deleted"))
+
+
+def show(registry: DataFrame) -> DataFrame:
+    """Cards per expansion and status, with totals of each and of all as null keys."""
+    return registry.groupingSets([["expansion_anchor", "printed_status"], ["expansion_anchor"], ["printed_status"], []], "expansion_anchor", "printed_status").agg(F.count(F.lit(1)).alias("cards"))
+
+
+def printable(registry: DataFrame, new: DataFrame, scope: str) -> DataFrame:
+    """Cards to print: the run's own, or every card with what is new marked."""
+    if scope not in ("new-only", "all"):
+        raise ValueError(f"unknown print scope: {scope}")
+    marked = is_new(registry, new)
+    return marked.where("is_new") if scope == "new-only" else marked
+
+
+def is_new(cards: DataFrame, new: DataFrame) -> DataFrame:
+    """``cards`` with a mark on those of the run."""
+    ids = new.select("card_id", F.lit(True).alias("is_new")).distinct()
+    return cards.drop("is_new").join(ids, "card_id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+
+
+def reprint(registry: DataFrame, backgrounds: int = 12) -> DataFrame:
+    """Card rows from the registry alone, for full reprints."""
+    number = F.regexp_extract("card_id", r"_(\d+)$", 1).cast("int")
+    url = F.concat(F.lit(TRACK_URL), F.col("winner_track_id").cast("string"))
+    return registry.select(
+        number.alias("selection_rank"),
+        "card_id",
+        "expansion_anchor",
+        F.lit(False).alias("is_new"),
+        "song_id",
+        "winner_track_id",
+        url.alias("track_url"),
+        F.format_string("g%02d", ((number - 1) % backgrounds + 1).cast("int")).alias("front_bg_id"),
+        F.col("title").alias("title_display"),
+        F.col("artists").alias("artists_display_resolved"),
+        F.col("year").alias("year_final"),
+        "owners",
+        owners_footer(owners_split(F.col("owners"))).alias("owners_display"),
+    )
+
+
+def print_order(cards: DataFrame) -> list[Column]:
+    """By expansion, then by rank."""
+    return [F.col("expansion_anchor"), F.col("selection_rank")]
 
 
 def drift(registry: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -59,18 +121,24 @@ def drift(registry: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def violations(registry: DataFrame) -> DataFrame:
-    """Rule and number of rows that break it, for every rule."""
+    """Rule and number of rows that break it, for every rule (A35). The registry is read once: each
+    row becomes its broken rules, song and card, and two aggregations count them."""
     owner = F.upper(F.col("expansion_anchor"))
-    twice = lambda c: registry.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")).select(F.lit(f"duplicate_{c}").alias("rule"), "n_rows")
+    valid = F.coalesce(F.col("card_id").rlike(CARD_ID), F.lit(False))
     rules = {
         "bad_status": ~F.coalesce(F.col("printed_status").isin("pending", "printed"), F.lit(False)),
-        "bad_card_id": ~F.coalesce(F.col("card_id").rlike(CARD_ID), F.lit(False)),
-        "anchor_mismatch": F.col("card_id").rlike(CARD_ID) & (F.regexp_extract("card_id", CARD_ID, 1) != owner),
+        "bad_card_id": ~valid,
+        "anchor_mismatch": valid & (F.regexp_extract("card_id", CARD_ID, 1) != owner),
         "anchor_not_owner": ~F.coalesce(F.array_contains(F.split("owners", "[|]"), F.col("expansion_anchor")), F.lit(False)),
     }
-    counted = registry.agg(*[F.count_if(c).cast("long").alias(name) for name, c in rules.items()])
-    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n_rows")) for n in rules])).alias("r")).select("r.*")
-    return reduce(DataFrame.union, [rows, twice("song_id"), twice("card_id")])
+    twice = {"duplicate_song_id": "song_id", "duplicate_card_id": "card_id"}
+    marks = [F.struct(F.lit(n).alias("rule"), F.lit(None).cast("string").alias("value"), c.cast("int").alias("hit")) for n, c in rules.items()]
+    marks += [F.struct(F.lit(n).alias("rule"), F.col(c).cast("string").alias("value"), F.lit(1).alias("hit")) for n, c in twice.items()]
+    each = registry.select(F.inline(F.array(*marks))).groupBy("rule", "value").agg(F.sum("hit").alias("n"))
+    counted = F.when(~F.col("rule").isin(*twice) | (F.col("n") > 1), F.col("n")).otherwise(0)
+    found = each.groupBy("rule").agg(F.sum(counted).alias("n_rows"))
+    every = registry.sparkSession.createDataFrame([(n,) for n in [*rules, *twice]], "rule string")
+    return every.join(F.broadcast(found), "rule", "left").select("rule", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def require_valid(registry: DataFrame) -> None:

@@ -13,7 +13,7 @@ PER_SHEET, PER_ROW = 12, 3
 
 
 def kpis(cards: DataFrame) -> DataFrame:
-    """One row of headline counts."""
+    """One row of headline counts (A24); ``new`` needs the mark ``is_new``."""
     n = lambda c: F.count_if(c).cast("long")
     return cards.agg(
         F.count(F.lit(1)).alias("cards"),
@@ -22,6 +22,7 @@ def kpis(cards: DataFrame) -> DataFrame:
         F.max("year").alias("max_year"),
         n(F.col("printed_status") == "printed").alias("printed"),
         n(F.col("printed_status") == "pending").alias("pending"),
+        n(F.col("is_new") if "is_new" in cards.columns else F.lit(False)).alias("new"),
     )
 
 
@@ -40,9 +41,14 @@ def owner_appearances(cards: DataFrame) -> DataFrame:
 
 
 def owner_combinations(cards: DataFrame, size: int | None = None) -> DataFrame:
-    """Cards per exact set of owners, the most frequent first."""
+    """Cards per exact set of owners; of the ``size`` most frequent, each with how many sets are not
+    shown (A27)."""
     combos = cards.groupBy(F.array_join(F.array_sort(F.array_distinct("owner_ids")), "+").alias("owners")).agg(F.count(F.lit(1)).alias("cards"))
-    return combos if size is None else combos.orderBy(F.desc("cards"), "owners").limit(size)
+    if size is None:
+        return combos
+    total = combos.agg(F.count(F.lit(1)).alias("n"))
+    top = combos.orderBy(F.desc("cards"), "owners").limit(size)
+    return top.crossJoin(F.broadcast(total)).select("owners", "cards", F.greatest(F.col("n") - size, F.lit(0)).alias("not_shown"))
 
 
 def top_artists(cards: DataFrame, artist: Column, size: int = 10) -> DataFrame:
@@ -104,3 +110,16 @@ def sheet_plan(cards: DataFrame, order: list[str]) -> DataFrame:
 def payload(cards: DataFrame, fields: list[str]) -> DataFrame:
     """One JSON text per expansion with its cards."""
     return cards.groupBy("expansion_anchor").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("cards_json"))
+
+
+def document(cards: DataFrame, fields: list[str], meta: dict[str, str]) -> DataFrame:
+    """The report's parts as rows ``part, key, json``: one of ``meta``, one per expansion with its
+    counts, one per owner with its colour's place, one per expansion's cards (X09). The report's writer
+    strings them together; nothing of the cards is gathered in one row but an expansion's own."""
+    own = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]))
+    head = cards.sparkSession.range(1).select(F.lit("meta").alias("part"), F.lit("").alias("key"), own.alias("json"))
+    counts = cards.groupBy("expansion_anchor").agg(F.count(F.lit(1)).alias("cards"), F.count_if(F.col("printed_status") == "printed").cast("long").alias("printed"), F.min("year").alias("min_year"), F.max("year").alias("max_year"))
+    sets = counts.select(F.lit("expansion"), "expansion_anchor", F.to_json(F.struct("cards", "printed", "min_year", "max_year")))
+    owners = owner_appearances(cards).select(F.lit("owner"), "owner_id", F.to_json(F.struct("cards")))
+    rows = payload(cards, fields).select(F.lit("cards"), "expansion_anchor", "cards_json")
+    return head.union(sets).union(owners).union(rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import keys
 from ..operators import catalog, identity
@@ -36,9 +37,12 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_size").alias("popularity"),
         F.round(F.col("p_retailprice") * 1000).cast("long").alias("duration_ms"),
         (F.col("p_size") % 7 == 0).alias("had_suffix"),
+        (-F.col("p_partkey")).alias("order_idx"),
+        F.when(F.col("p_size") % 5 != 0, F.concat("p_name", F.lit(" v"), F.col("p_size").cast("string"))).alias("variant"),
     )
     got = items(spark, sf)
-    owners = catalog.owners_per_track(got).join(got.groupBy("track_id").agg(F.min("added_at").alias("release_date")), "track_id")
+    # one aggregation of the items gives owners and dates
+    owners = got.groupBy("track_id").agg(F.array_sort(F.collect_set("owner_id")).alias("owner_ids"), F.min("added_at").alias("release_date")).withColumn("owners_count", F.size("owner_ids").cast("long"))
     none = F.array().cast("array<string>")
     key = keys.song_key(F.col("artist"), F.lit(None).cast("string"), F.col("track_name"), none)
     out = base.join(owners, "track_id", "left")
@@ -57,15 +61,16 @@ SQL = {
       case when l_returnflag = 'R' then 'null' when l_quantity > 45 then 'non_track' when l_discount >= 0.09 then 'local' end reason
       from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)""",
     "tracks": """own as (select track_id, list_sort(list(distinct owner_id)) owner_ids, count(distinct owner_id) owners_count, min(added_at) release_date from items group by 1),
-      tracks as (select p_partkey track_id, p_name track_name, p_brand artist, p_type album, p_size popularity, cast(round(p_retailprice * 1000) as bigint) duration_ms, p_size % 7 = 0 had_suffix,
+      tracks as (select p_partkey track_id, p_name track_name, p_brand artist, p_type album, p_size popularity, cast(round(p_retailprice * 1000) as bigint) duration_ms, p_size % 7 = 0 had_suffix, -p_partkey order_idx, case when p_size % 5 <> 0 then concat(p_name, ' v', p_size) end variant,
       coalesce(owner_ids, []) owner_ids, coalesce(owners_count, 0) owners_count, release_date, sha1(concat('v2.1|["', p_brand, '","', p_name, '",[]]')) song_id from part left join own on p_partkey = track_id)""",
     "songs": """ranked as (select *, row_number() over (partition by song_id order by owners_count desc, popularity desc, had_suffix, track_id) rn, count(*) over (partition by song_id) n_variants from tracks),
       songs as (select *, track_id winner_track_id, cast(substr(release_date, 1, 4) as int) as year from ranked where rn = 1)""",
-    "registry": """anchored as (select *, owner_ids[winner_track_id % len(owner_ids) + 1] expansion_anchor from songs where len(owner_ids) > 0),
+    "registry": """decks as (select * exclude (owner_ids), list_transform(owner_ids, lambda o: concat(o, winner_track_id // 300)) owner_ids from songs where len(owner_ids) > 0),
+      anchored as (select *, owner_ids[winner_track_id % len(owner_ids) + 1] expansion_anchor from decks),
       counted as (select *, row_number() over (partition by expansion_anchor order by song_id) number from anchored),
       registry as (select song_id, winner_track_id, track_name title, artist artists, year, owner_ids, array_to_string(owner_ids, '|') owners, expansion_anchor, album,
         concat('DECK_', expansion_anchor, '_', lpad(cast(number as varchar), 3, '0')) card_id, case when number <= 20 then 'printed' else 'pending' end printed_status,
-        case when number % 2 = 0 then 'v1' else 'v2' end as version, cast(null as varchar) printed_at, number from counted where number <= 60)""",
+        case when number % 2 = 0 then 'v1' else 'v2' end as version, cast(null as varchar) printed_at, number from counted)""",
 }
 
 
@@ -77,11 +82,12 @@ def sql(*parts: str, select: str) -> str:
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
-    """The first sixty songs of each owner as cards, the first twenty of them printed."""
-    from pyspark.sql.window import Window
-
-    own = songs(spark, sf).where(F.size("owner_ids") > 0).withColumn("expansion_anchor", F.element_at("owner_ids", (F.col("winner_track_id") % F.size("owner_ids") + 1).cast("int")))
-    place = own.withColumn("number", F.row_number().over(Window.partitionBy("expansion_anchor").orderBy("song_id"))).where("number <= 60")
+    """All songs as cards. Every 300 tracks make a deck with players of its own, one expansion each,
+    so an expansion has some sixty cards however many songs there are; twenty of them are printed."""
+    named = F.transform("owner_ids", lambda o: F.concat(o, F.floor(F.col("winner_track_id") / 300).cast("string")))
+    own = songs(spark, sf).where(F.size("owner_ids") > 0).withColumn("owner_ids", named)
+    own = own.withColumn("expansion_anchor", F.element_at("owner_ids", (F.col("winner_track_id") % F.size("owner_ids") + 1).cast("int")))
+    place = own.withColumn("number", F.row_number().over(Window.partitionBy("expansion_anchor").orderBy("song_id")))
     return place.select(
         "song_id",
         "winner_track_id",

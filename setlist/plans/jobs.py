@@ -23,6 +23,7 @@ def ingest(spark: SparkSession, raw: str, out: str) -> None:
     tracks = first.join(catalog.owners_per_track(instances), "track_id")
     tables.publish(identity.identify(tracks), f"{out}/tracks")
     named = tables.read_table(spark, f"{out}/tracks", "ingest")
+    identity.require_separate(named)
     members = named.groupBy("song_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("owner_ids")))).alias("owner_ids"))
     winner = named.where("track_id = winner_track_id").drop("owner_ids", "owners_count")
     tables.publish(winner.join(members, "song_id").withColumn("owners_count", F.size("owner_ids")), f"{out}/songs")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, text
-from ..operators import catalog, curation, identity, selection
+from ..operators import catalog, curation, identity, review, selection
 from ..operators import registry as reg
 from ..operators import report as rep
 from ..streaming import scans
@@ -63,11 +63,11 @@ def owners_per_track(spark, sf):
     return catalog.owners_per_track(items(spark, sf)).select("track_id", "owners_count", joined("owner_ids"))
 
 
-@query(sql("items", select="select distinct owner_id, track_id, p_name as track_name from items join part on p_partkey = track_id where l_quantity > 40"))
+@query(sql("items", select="select distinct owner_id, track_id, p_name as track_name from items join part on p_partkey = track_id"))
 def instance_tracks(spark, sf):
     """Distinct pairs that have a track."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("track_name"))
-    return items(spark, sf).where("l_quantity > 40").select("owner_id", "track_id").distinct().join(part, "track_id")
+    return items(spark, sf).select("owner_id", "track_id").distinct().join(part, "track_id")
 
 
 # ---------------------------------------------------------------- identity
@@ -93,7 +93,7 @@ def winner_per_song(spark, sf):
 
 @query(sql("songs", select=""", a as (select song_id, count(*) n, max(owners_count) o from tracks group by 1), b as (select t.*, n from tracks t join a using (song_id) where owners_count = o),
   c as (select song_id, max(popularity) p, count(*) n_o from b group by 1), d as (select song_id, any_value(n) n, any_value(n_o) n_o, count(*) n_p, count(*) filter (not had_suffix) n_plain from b join c using (song_id) where popularity = p group by 1)
-  select song_id, case when n = 1 then 'single' when n_o = 1 then 'owners' when n_p = 1 then 'owners>popularity' when n_plain = 1 then 'owners>popularity>no_suffix' else 'owners>popularity>no_suffix>track_id' end winner_rule_path from d""").replace("\n, a as", ", a as"))
+  select song_id, case when n = 1 then 'single_variant' when n_o = 1 then 'owners_count' when n_p = 1 then 'owners_count>popularity' when (case when n_plain > 0 then n_plain else n_p end) = 1 then 'owners_count>popularity>title_without_collapsible_suffix' else 'owners_count>popularity>title_without_collapsible_suffix>track_id' end winner_rule_path from d""").replace("\n, a as", ", a as"))
 def winner_rule_path(spark, sf):
     return identity.winner_rule(tracks(spark, sf))
 
@@ -105,14 +105,15 @@ def duration_islands(spark, sf):
     return identity.islands(rows, ["artist"], "duration_ms", ["track_id"])
 
 
-@query(sql("songs", select="""select song_id, max(track_id) filter (rn = 1) winner_track_id, max(track_name) filter (rn = 1) title, array_to_string(list_concat([max(track_id) filter (rn = 1)], list_sort(list(track_id) filter (rn > 1))), '|') merged_track_ids,
-  array_to_string(list_sort(list_distinct(flatten(list(owner_ids)))), '|') owner_ids, min(release_date) release_date, arg_min(track_id, (release_date, track_id)) filter (release_date is not null) release_track_id from ranked group by 1""").replace("list_sort(list(track_id) filter (rn > 1))", "coalesce(list_sort(list(track_id) filter (rn > 1)), [])"))
+@query(sql("songs", select="""select song_id, max(track_id) filter (rn = 1) winner_track_id, coalesce(first(variant order by order_idx) filter (variant is not null), cast(max(track_id) filter (rn = 1) as varchar)) title,
+  concat_ws('|', max(track_id) filter (rn = 1), string_agg(cast(track_id as varchar), '|' order by order_idx) filter (rn > 1)) merged_track_ids,
+  array_to_string(list_sort(list_distinct(flatten(list(owner_ids)))), '|') owner_ids, min(release_date) release_date, arg_min(track_id, (release_date, track_id)) filter (release_date is not null) release_track_id from ranked group by 1"""))
 def song_rollup(spark, sf):
-    out = identity.rollup(tracks(spark, sf))
+    out = identity.rollup(tracks(spark, sf), "order_idx", "variant")
     return out.select("song_id", "winner_track_id", "title", joined("merged_track_ids"), joined("owner_ids"), "release_date", "release_track_id")
 
 
-@query(sql("songs", select="select cast(sum(n_variants) as bigint) tracks, count(*) songs, count(*) filter (n_variants > 1) merged_songs from songs"))
+@query(sql("songs", select="select cast(sum(n_variants) as bigint) tracks, count(*) songs, count(*) filter (n_variants > 1) merged_songs, cast(sum(n_variants - 1) as bigint) merges from songs"))
 def merge_stats(spark, sf):
     return identity.merge_stats(identity.winners(tracks(spark, sf)))
 
@@ -142,10 +143,10 @@ def curation_latest(spark, sf):
     return curation.latest_events(table(spark, sf, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], ["event_id", "value"])
 
 
-@query("""select p_partkey, p_name, cast(null as int) p_size from part where p_partkey % 3 = 0 and p_partkey % 2 <> 0 union all select p_partkey, cast(null as varchar), p_size from part where p_partkey % 2 = 0""")
+@query("""select p_partkey, p_name, cast(null as int) p_size from part where p_partkey not in (select 2 * p_partkey from part) union all select 2 * p_partkey, cast(null as varchar), p_size from part""")
 def upsert_catalog(spark, sf):
     p = table(spark, sf, "part")
-    return curation.upsert(p.where("p_partkey % 3 = 0").select("p_partkey", "p_name"), p.where("p_partkey % 2 = 0").select("p_partkey", "p_size"), ["p_partkey"])
+    return curation.upsert(p.select("p_partkey", "p_name"), p.select((F.col("p_partkey") * 2).alias("p_partkey"), "p_size"), ["p_partkey"])
 
 
 OVERRIDES = """overrides as (select user_id as winner_track_id, 1900 + cast(floor(value) as int) % 100 as year_override from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events where event_type = 'click') where rn = 1)"""
@@ -179,13 +180,13 @@ def override_counts(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("n_songs"), F.count("year_override").alias("n_year_overrides"))
 
 
-SIZES = "select p_partkey as song, p_name as artist, p_size as year from part where p_size % 5 <> 0"
+SIZES = "select p_partkey as song, p_name as artist, p_size as year from part"
 
 
 @query(f"""with s as ({SIZES}), m as (select artist, count(*) n_songs, median(year) median_year from s group by 1)
   select song, artist, year, n_songs, cast(median_year as double) median_year, n_songs >= 3 and year - median_year >= 6 as late_vs_median from s join m using (artist)""")
 def late_vs_median(spark, sf):
-    s = table(spark, sf, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("song"), F.col("p_name").alias("artist"), F.col("p_size").alias("year"))
+    s = table(spark, sf, "part").select(F.col("p_partkey").alias("song"), F.col("p_name").alias("artist"), F.col("p_size").alias("year"))
     return curation.late_versus_median(s, "artist", "year")
 
 
@@ -199,12 +200,15 @@ def albums(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", "p_size", "p_name", F.lower(F.concat("p_type", end)).alias("album"))
 
 
-@query(f"select p_partkey, {ALBUM} album, p_size % 6 not in (3, 4) reissue_album from part")
+REISSUED = f"regexp_matches({ALBUM}, '{text.REISSUE}')"
+
+
+@query(f"select p_partkey, {ALBUM} album, {REISSUED} reissue_album from part")
 def reissue_flag(spark, sf):
     return albums(spark, sf).select("p_partkey", "album", curation.reissue(F.col("album")).alias("reissue_album"))
 
 
-@query("""with f as (select p_partkey, p_size % 6 not in (3, 4) a, p_size >= 40 b, case when p_size % 4 = 0 then '' when p_size % 4 = 1 then 'same' else 'diff' end mb_match from part), r as (select *, concat_ws(';', case when a then 'reissue_album' end, case when b then 'late_vs_artist' end, case when mb_match = 'diff' then 'lookup_mismatch' end) reason from f)
+@query(f"""with f as (select p_partkey, {REISSUED} a, p_size >= 40 b, case when p_size % 4 = 0 then '' when p_size % 4 = 1 then 'same' else 'diff' end mb_match from part), r as (select *, concat_ws(';', case when a then 'reissue_album' end, case when b then 'late_vs_artist' end, case when mb_match = 'diff' then 'lookup_mismatch' end) reason from f)
   select p_partkey, mb_match, reason, reason <> '' year_suspect from r""")
 def suspect_reasons(spark, sf):
     k = F.col("p_size") % 4
@@ -237,12 +241,146 @@ def effective_year(spark, sf):
     return e.select("event_id", dates.effective_year(F.col("manual"), F.col("ai")).alias("effective_year"), dates.tagged_note(F.col("manual"), F.col("ai"), F.col("old"), F.lit("why")).alias("note"))
 
 
-@query(sql("songs", select="""select song_id, n_variants > 1 merged, had_suffix, len(owner_ids) = 0 orphan, release_date is null missing_date, popularity < 5 unpopular from songs"""))
-def audit_flags(spark, sf):
-    """O12, P20."""
+#: Songs for review and audits: titles with endings, guests, a missing code, a date's precision.
+TITLE = "concat(p_name, case p_partkey % 4 when 0 then ' (Live)' when 1 then ' - Remastered 2009' when 2 then ' [Exit]' else '' end)"
+REVIEWED = f"""r as (select p_partkey, cast(p_partkey as varchar) song_id, p_brand artist, {TITLE} title, case when p_size % 3 = 0 then [p_type, p_type] when p_size % 3 = 1 then [' '] else [] end guests, case when p_size % 2 = 0 then [p_partkey, p_partkey + 1] else [p_partkey] end merged,
+  case p_size % 4 when 0 then null when 1 then ' ' else concat('X', p_partkey % 50) end isrc, 1990 + p_size % 30 as year_candidate, case p_size % 4 when 0 then 'year' when 1 then 'day' when 2 then 'month' end as precision from part)"""
+
+
+def reviewed(spark, sf) -> DataFrame:
+    n, k = F.col("p_size"), F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    end = F.element_at(F.array(F.lit(" (Live)"), F.lit(" - Remastered 2009"), F.lit(" [Exit]"), F.lit("")), (k % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        k.cast("string").alias("song_id"),
+        k.alias("winner_track_id"),
+        F.col("p_brand").alias("primary_artist_name"),
+        F.concat("p_name", end).alias("title_display"),
+        F.when(n % 3 == 0, F.array("p_type", "p_type")).when(n % 3 == 1, F.array(F.lit(" "))).otherwise(none).alias("secondary_artist_names"),
+        F.when(n % 2 == 0, F.array(k, k + 1)).otherwise(F.array(k)).cast("array<string>").alias("track_ids_merged"),
+        F.when(n % 4 == 1, " ").when(n % 4 > 1, F.concat(F.lit("X"), (k % 50).cast("string"))).alias("isrc"),
+        (n % 30 + 1990).alias("year_candidate"),
+        F.when(n % 4 == 0, "year").when(n % 4 == 1, "day").when(n % 4 == 2, "month").alias("precision"),
+        n.alias("p_size"),
+        F.col("p_type").alias("album_name"),
+    )
+
+
+@query(f"""with {REVIEWED} select song_id, case when len(guests) = 2 then guests[1] else '' end secondary_artist_names, cast(len(merged) as bigint) merged_track_count, p_partkey % 5 = 0 in_candidates, case when p_partkey % 5 = 0 then 'phase1' end selection_phase,
+  case when p_partkey % 6 <> 0 then year_candidate end year_final, len(guests) = 2 has_secondary_artists, len(merged) > 1 has_merge, p_partkey % 4 in (0, 1) title_has_collapsible_tag,
+  case when p_partkey % 6 = 0 then true else coalesce(precision = 'year', true) end year_precision_low, coalesce(trim(isrc), '') = '' missing_isrc from r""")
+def audit_songs(spark, sf):
+    """Songs without a row of years, candidates marked."""
+    r = reviewed(spark, sf)
+    k = F.col("winner_track_id")
+    years = r.where(k % 6 != 0).select("song_id", "winner_track_id", F.col("year_candidate").alias("year_final"), "precision")
+    marks = r.where(k % 5 == 0).select("song_id", F.lit("phase1").alias("selection_phase"))
+    return review.audit(r.drop("precision"), years, marks)
+
+
+@query(f"""with {REVIEWED}, o as (select p_partkey, string_agg(coalesce(case when n_nationkey % 3 > 0 then n_name end, cast(n_nationkey as varchar)), ', ' order by n_nationkey) owners from part join nation on n_nationkey in (p_partkey % 25, (p_partkey + 1) % 25) group by 1),
+  m as (select *, 1990 + try_cast(substr(isrc, 2) as int) % 30 as mb from r left join o using (p_partkey)), med as (select artist, count(*) n, median(year_candidate) md from r group by 1),
+  f as (select m.*, case when isrc like 'X%' and try_cast(substr(isrc, 2) as int) % 7 > 0 then mb end mbk, n >= 3 and year_candidate - md >= 6 late, regexp_matches(lower(p_type), '{text.REISSUE}') reissued from (select m.*, p_type from m join part using (p_partkey)) m join med using (artist)),
+  g as (select *, case when mbk is null then '' when mbk = year_candidate then 'same' else 'diff' end mb_match from f), h as (select *, concat_ws(';', case when reissued then 'reissue_album' end, case when late then 'late_vs_artist' end, case when mb_match = 'diff' then 'lookup_mismatch' end) reason from g)
+  select song_id, p_partkey winner_track_id, concat('https://tracks.example/', p_partkey) track_url, case when p_partkey % 11 = 0 then concat('T', p_partkey) end title_override, case when p_partkey % 13 = 0 then concat('A', p_partkey) when len(guests) = 2 then concat(artist, ' feat. ', guests[1]) else artist end artists_display,
+  case when len(guests) = 2 then guests[1] end secondary_artist_names, p_type album_name, owners, cast(year_candidate as int) year_candidate, cast(year_candidate as int) year_final, cast(mbk as int) mb_first_release_year, mb_match, reason <> '' year_suspect, reason suspect_reason, case when p_partkey % 2 = 0 then 'seen' end note from h""")
+def review_template(spark, sf):
+    """Look-ups of owners, names, albums, codes and found years."""
+    r = reviewed(spark, sf)
+    k = F.col("winner_track_id")
+    rows = r.select(
+        "song_id", "winner_track_id", "primary_artist_name", "secondary_artist_names", "title_display", F.when(k % 11 == 0, F.concat(F.lit("T"), k.cast("string"))).alias("title_display_override"),
+        F.when(k % 13 == 0, F.concat(F.lit("A"), k.cast("string"))).alias("artists_display_override"), "year_candidate", F.col("year_candidate").alias("year_final"), F.when(k % 2 == 0, "seen").alias("note"),
+    )
+    two = F.array_sort(F.array(k % 25, (k + 1) % 25))
+    owners = r.select("song_id", F.transform(two, lambda x: x.cast("string")).alias("owner_ids"))
+    nation = table(spark, sf, "nation")
+    names = nation.select(F.col("n_nationkey").cast("string").alias("owner_id"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("owner_name"))
+    number = F.substring("isrc", 2, 9).cast("int")
+    years = r.where("isrc like 'X%'").select("isrc").distinct().select("isrc", F.when(number % 7 > 0, number % 30 + 1990).alias("found_year"))
+    out = review.template(rows, owners, names, r.select(k.alias("track_id"), "album_name"), r.where("isrc like 'X%'").select("song_id", "isrc"), years, "https://tracks.example/")
+    # the title without an override is text that SQL cannot form; base_title and title_display cover it
+    return out.withColumn("title_override", F.when(k % 11 == 0, F.col("title_display"))).drop("title_display")
+
+
+@query("""with e as (select event_id, cast(user_id as varchar) song_id, value, event_type, ts from events), s as (select song_id, case when event_id % 3 = 0 then cast(floor(value) as int) + 1900 when event_id % 3 = 1 then null else 1950 end as y, case when event_id % 2 = 0 then 'kept' end t,
+  case when event_id % 3 = 2 then case when event_id % 5 = 0 then '[AI] why' else '[AI]' end end n from (select *, row_number() over (partition by song_id order by event_id) rn from e) where rn = 1),
+  c as (select song_id, 1950 as y, 'kept' t, cast(null as varchar) n from e where cast(song_id as int) % 2 = 0 group by 1)
+  select 'song' entity_type, s.song_id entity_id, 'v2.1' identity_version, s.y year_override, cast(null as varchar) artists_display_override, s.t title_display_override, '2024-01-01' updated_at, 'run1' run_id, s.n note from s left join c using (song_id)
+  where s.y is distinct from c.y or s.t is distinct from c.t or s.n is distinct from c.n""")
+def review_events(spark, sf):
+    """Each user's first event as a sheet's row against a current state of every second."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("song_id")).agg(F.min_by(F.struct("event_id", "value"), "event_id").alias("e")).select("song_id", "e.*")
+    k = F.col("event_id")
+    sheet = e.select(
+        "song_id", F.when(k % 3 == 0, F.concat(F.lit(" "), (F.floor("value") + 1900).cast("string"))).when(k % 3 == 1, "x").otherwise("").alias("year_override"), F.when(k % 3 == 2, "1950").alias("ai_year"),
+        F.lit(" ").alias("artists_display_override"), F.when(k % 2 == 0, " kept ").otherwise("").alias("title_display_override"), F.lit("").alias("note"), F.when(k % 5 == 0, "why").alias("ai_note"),
+    )
+    none = F.lit(None).cast("string")
+    current = e.where("cast(song_id as int) % 2 = 0").select("song_id", F.lit(1950).alias("year_override"), none.alias("artists_display_override"), F.lit("kept").alias("title_display_override"), none.alias("note"))
+    return review.events_of(sheet, current, "run1", "2024-01-01")
+
+
+@query("""with e as (select cast(user_id as varchar) song_id, event_type, event_id, cast(floor(value) as int) y, strftime(ts, '%Y-%m-%d %H:%M:%S') t_at from events), a as (select *, event_id % 10 = 0 bad from e where event_type <> 'view'),
+  b as (select *, row_number() over (partition by song_id order by bad desc, case when bad then null else t_at end desc nulls first, event_type desc, event_id desc) rn from a)
+  select song_id, y year_override, case when bad then 'unknown' else t_at end updated_at, event_type run_id from b where rn = 1""")
+def curation_state(spark, sf):
+    """Events of songs in a current table and a history, some with times that cannot be read."""
+    at = F.when(F.col("event_id") % 10 == 0, "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("event_type") == "view", "artist").otherwise("song")
+    e = table(spark, sf, "events").select(kind.alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.lit("v2.1").alias("identity_version"), F.floor("value").cast("int").alias("year_override"), none.alias("artists_display_override"), none.alias("title_display_override"), none.alias("note"), at.alias("updated_at"), F.col("event_type").alias("run_id"), F.col("event_id").alias("seq"))
+    stale = e.withColumn("identity_version", F.lit("v1"))
+    half = F.col("seq") % 2 == 0
+    out = review.current_state(e.where(half), e.where(~half).unionByName(stale))
+    return out.select("song_id", "year_override", "updated_at", "run_id")
+
+
+@query(sql("songs", select="""select 'r1' run_id, 2001 current_year, count(*) songs_input, count(year) songs_with_year, count(*) filter (year is null) songs_missing_year, max(year) max_year,
+  count(*) filter (year = (select max(year) from songs) and (select max(year) from songs) = 2001) excluded_by_max_year_rule, (select count(distinct year) from songs where popularity > 20) distinct_years_in_candidates, (select count(*) from songs where popularity > 20) candidates_final,
+  (select concat('[', string_agg(concat('{"', y, '":', n, '}'), ',' order by n desc, y), ']') from (select cast(year as varchar) y, count(*) n from songs where popularity > 20 and year is not null group by 1 order by n desc, y limit 5)) top_year_counts,
+  (select concat('[', string_agg(concat('{"', y, '":', n, '}'), ',' order by n desc, y), ']') from (select y, count(*) n from (select unnest(owner_ids) y from songs where popularity > 20) group by 1 order by n desc, y limit 5)) top_owner_counts,
+  (select concat('[', string_agg(concat('{"', y, '":', n, '}'), ',' order by n desc, y), ']') from (select case when popularity % 9 = 0 then '__missing_artist__' else artist end y, count(*) n from songs where popularity > 20 group by 1 order by n desc, y limit 5)) top_artist_counts from songs"""))
+def candidate_quality(spark, sf):
+    """A17, with the popular songs for candidates."""
+    s = songs(spark, sf)
+    flagged = selection.max_year_flag(s.select(F.col("year").alias("year_final")), "year_final", 2001).withColumnRenamed("exclude_max_year", "excluded_by_max_year_rule")
+    chosen = s.where("popularity > 20").select(F.col("year").alias("year_final"), "owner_ids", F.when(F.col("popularity") % 9 == 0, " ").otherwise(F.col("artist")).alias("primary_artist_name"))
+    return review.candidate_quality(flagged, chosen, "r1", 2001)
+
+
+@query("""select doc_id, min(y) as earliest from (select doc_id, cast(nullif(regexp_extract(trim(d), '^([0-9]{4})', 1), '') as int) y from (select doc_id, unnest([concat(1950 + doc_id % 60, '-05'), concat(' ', 1990 - doc_id % 40), 'n/a', cast(n_chars as varchar)]) d from documents)) group by 1""")
+def earliest_release(spark, sf):
+    """The smallest year among nested recordings."""
+    k = F.col("doc_id")
+    dates_of = F.array(F.concat((k % 60 + 1950).cast("string"), F.lit("-05")), F.concat(F.lit(" "), (F.lit(1990) - k % 40).cast("string")), F.lit("n/a"), F.col("n_chars").cast("string"), F.lit(None).cast("string"))
+    d = table(spark, sf, "documents").select("doc_id", F.transform(dates_of, lambda x: F.struct(x.alias("first_release_date"))).alias("recordings"))
+    return d.select("doc_id", review.earliest_year(F.col("recordings")).alias("earliest"))
+
+
+@query("""select user_id, v as event_type from (select cast(user_id as varchar) user_id, event_type v, row_number() over (partition by user_id order by ts, event_id) rn from events where event_id % 4 <> 0) where rn = 1""")
+def first_known(spark, sf):
+    """The first value of each user that is not blank."""
+    e = table(spark, sf, "events").select("user_id", F.when(F.col("event_id") % 4 == 0, "  ").otherwise(F.col("event_type")).alias("event_type"), "ts", "event_id")
+    return review.first_values(e, "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("""select p_partkey, case p_size % 3 when 0 then concat('["', p_name, '","', p_type, '","', p_name, '"]') when 1 then null else concat('["', p_brand, '"]') end dedupe_key from part""")
+def dedupe_keys(spark, sf):
+    """F26."""
+    n = F.col("p_size") % 3
+    listed = F.when(n == 0, F.array("p_name", F.lit(" "), "p_type", "p_name")).when(n == 1, F.array(F.lit(""), F.lit(None).cast("string"))).otherwise(F.array(F.concat(F.lit(" "), "p_brand")))
+    return table(spark, sf, "part").select("p_partkey", review.dedupe_key(listed).alias("dedupe_key"))
+
+
+@query(sql("songs", select="""select track_id, case when n_variants > 1 then null when popularity % 2 = 0 then 'remix_title' when popularity % 3 = 0 then 'song_key_unique_isrc' else 'song_key_unique_fallback' end no_merge_reason from ranked"""))
+def no_merge_reasons(spark, sf):
+    """A10."""
     t = tracks(spark, sf)
-    s = songs(spark, sf).join(identity.winners(t).select("song_id", "n_variants"), "song_id")
-    return s.select("song_id", (F.col("n_variants") > 1).alias("merged"), "had_suffix", (F.size("owner_ids") == 0).alias("orphan"), keys.missing(F.col("release_date")).alias("missing_date"), (F.col("popularity") < 5).alias("unpopular"))
+    p = F.col("popularity")
+    n = t.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(p % 3 == 0, "isrc_first").otherwise("fallback")
+    return t.join(n, "song_id").select("track_id", identity.no_merge_reason(F.col("n"), p % 2 == 0, kind).alias("no_merge_reason"))
 
 
 # ---------------------------------------------------------------- pool and deck
@@ -282,7 +420,9 @@ def greedy_candidates(spark, sf):
 
 def deck_parts(spark, sf) -> tuple[DataFrame, DataFrame, dict]:
     rows = pool_rows(spark, sf).withColumnsRenamed({"artist": "artist_key", "album": "album_id"})
-    locked = registry(spark, sf).where("number <= 20").select("song_id", "expansion_anchor", "year")
+    # the deck that is built on: the first, whose players are the owners
+    first = registry(spark, sf).where(F.col("expansion_anchor").isin([f"{o}0" for o in ACTIVE]) & (F.col("printed_status") == "printed"))
+    locked = first.select("song_id", F.regexp_replace("expansion_anchor", "0$", "").alias("expansion_anchor"), "year")
     return rows, locked, {o: 60 for o in ACTIVE}
 
 
@@ -295,29 +435,32 @@ def greedy_deck(spark, sf):
 # ---------------------------------------------------------------- registry
 
 
-@query(sql("registry", select="select r.song_id, r.card_id from registry r left join (select distinct song_id from tracks where track_id % 10 <> 0) c using (song_id) where c.song_id is null"))
+@query(sql("registry", select="select r.song_id, r.card_id from registry r left join (select distinct case when track_id % 10 = 0 then concat('x', song_id) else song_id end song_id from tracks) c using (song_id) where c.song_id is null"))
 def registry_drift(spark, sf):
-    kept = tracks(spark, sf).where("track_id % 10 <> 0").select("song_id")
+    kept = tracks(spark, sf).select(F.when(F.col("track_id") % 10 == 0, F.concat(F.lit("x"), "song_id")).otherwise(F.col("song_id")).alias("song_id"))
     return reg.drift(registry(spark, sf), kept).select("song_id", "card_id")
 
 
-@query(sql("registry", select=""", bad as (select *, case when number = 3 then 'lost' else printed_status end st, case when number = 5 then concat('x', card_id) when number = 7 then replace(card_id, '_007', '_008') else card_id end ci, case when number = 9 then 'NOBODY' else owners end ow from registry)
+@query(sql("registry", select=""", bad as (select *, case when number = 3 then 'lost' else printed_status end st, case when number = 5 then concat('x', card_id) when number = 7 then replace(card_id, '_007', '_008') else card_id end ci, case when number = 9 then 'NOBODY' else owners end ow,
+    case when number = 11 then 'NOBODY' else expansion_anchor end ea, case when number in (13, 14) then concat('twice', expansion_anchor) else song_id end si from registry)
   select 'bad_status' as rule, count(*) filter (st not in ('printed', 'pending')) n_rows from bad union all select 'bad_card_id', count(*) filter (not regexp_full_match(ci, '[A-Z]+_[A-Z0-9]+_[0-9]{3}')) from bad
-  union all select 'anchor_mismatch', 0 union all select 'anchor_not_owner', count(*) filter (not list_contains(string_split(ow, '|'), expansion_anchor)) from bad
-  union all select 'duplicate_song_id', 0 union all select 'duplicate_card_id', cast(coalesce(sum(n), 0) as bigint) from (select ci, count(*) n from bad group by 1 having count(*) > 1)"""))
+  union all select 'anchor_mismatch', count(*) filter (regexp_full_match(ci, '[A-Z]+_[A-Z0-9]+_[0-9]{3}') and split_part(ci, '_', 2) <> ea) from bad union all select 'anchor_not_owner', count(*) filter (not list_contains(string_split(ow, '|'), ea)) from bad
+  union all select 'duplicate_song_id', cast(coalesce(sum(n), 0) as bigint) from (select si, count(*) n from bad group by 1 having count(*) > 1) union all select 'duplicate_card_id', cast(coalesce(sum(n), 0) as bigint) from (select ci, count(*) n from bad group by 1 having count(*) > 1)"""))
 def registry_invariants(spark, sf):
     n = F.col("number")
     bad = registry(spark, sf).withColumns({
         "printed_status": F.when(n == 3, "lost").otherwise(F.col("printed_status")),
         "card_id": F.when(n == 5, F.concat(F.lit("x"), "card_id")).when(n == 7, F.replace(F.col("card_id"), F.lit("_007"), F.lit("_008"))).otherwise(F.col("card_id")),
         "owners": F.when(n == 9, "NOBODY").otherwise(F.col("owners")),
+        "song_id": F.when(n.isin(13, 14), F.concat(F.lit("twice"), "expansion_anchor")).otherwise(F.col("song_id")),
+        "expansion_anchor": F.when(n == 11, "NOBODY").otherwise(F.col("expansion_anchor")),
     })
     return reg.violations(bad)
 
 
-@query(sql("registry", select="select expansion_anchor, cast(max(number) + 1 as int) next_number from registry where number % 4 <> 0 group by 1"))
+@query(sql("registry", select="select expansion_anchor, cast(max(number) + 1 as int) next_number from registry group by 1"))
 def next_card_number(spark, sf):
-    return reg.next_numbers(registry(spark, sf).where("number % 4 <> 0"))
+    return reg.next_numbers(registry(spark, sf))
 
 
 @query(sql("registry", select="select card_id, case when printed_status = 'pending' and version = 'v2' then 'printed' else printed_status end printed_status, case when printed_status = 'pending' and version = 'v2' then '2024-01-01T00:00:00' end printed_at from registry"))
@@ -330,18 +473,57 @@ def delete_pending(spark, sf):
     return reg.delete_pending(registry(spark, sf)).select("card_id", "song_id")
 
 
-@query(sql("registry", select="select card_id, 'song_id' clash from registry where number between 35 and 40 union all select card_id, 'card_id' from registry where number between 35 and 40"))
+@query(sql("registry", select="select card_id, 'song_id' clash from (select *, case when number % 3 = 0 then concat('x', card_id) else card_id end ci from registry) where number % 2 = 0 and ci = card_id union all select concat('x', card_id), 'song_id' from registry where number % 2 = 0 and number % 3 = 0 union all select card_id, 'card_id' from registry where number % 3 <> 0"))
 def append_check(spark, sf):
+    """Rows of which some repeat a song, some a card."""
+    r = registry(spark, sf)
+    n = F.col("number")
+    new = r.withColumns({"song_id": F.when(n % 2 == 1, F.concat(F.lit("x"), "song_id")).otherwise(F.col("song_id")), "card_id": F.when(n % 3 == 0, F.concat(F.lit("x"), "card_id")).otherwise(F.col("card_id"))})
+    return reg.overlap(r, new)
+
+
+@query(sql("registry", select="select count(*) filter (printed_status = 'pending' and version = 'v2' and number % 5 <> 0) n_printed, count(*) filter (number % 5 = 0) n_deleted from registry"))
+def update_counts(spark, sf):
+    """What an update and a clean-up have changed."""
+    r = registry(spark, sf)
+    return reg.change_counts(r, reg.mark_printed(r, "v2", "2024-01-01T00:00:00").where("number % 5 <> 0"))
+
+
+@query(sql("registry", select="select card_id, song_id from registry where number % 7 = 0 order by 1"))
+def altered_rows(spark, sf):
+    """Registered rows that a later version no longer has as they were."""
+    r = registry(spark, sf).select("card_id", "song_id", "number")
+    later = r.withColumn("song_id", F.when(F.col("number") % 7 == 0, F.concat(F.lit("x"), "song_id")).otherwise(F.col("song_id")))
+    return reg.altered(r, later).select("card_id", "song_id")
+
+
+@query(sql("registry", select="select expansion_anchor, printed_status, count(*) cards from registry group by grouping sets ((expansion_anchor, printed_status), (expansion_anchor), (printed_status), ())"))
+def registry_show(spark, sf):
+    """A23, O05."""
+    return reg.show(registry(spark, sf))
+
+
+@query(sql("registry", select="select card_id, number % 4 = 0 is_new from registry"))
+def print_scope(spark, sf):
+    """All cards, those of the run marked."""
     r = registry(spark, sf)
-    return reg.overlap(r.where("number <= 40"), r.where("number >= 35"))
+    return reg.printable(r, r.where("number % 4 = 0"), "all").select("card_id", "is_new")
+
+
+@query(sql("registry", select="""select cast(number as int) selection_rank, card_id, expansion_anchor, false is_new, song_id, winner_track_id, concat('https://tracks.example/', winner_track_id) track_url, printf('g%02d', (number - 1) % 12 + 1) front_bg_id,
+  title title_display, artists artists_display_resolved, year year_final, owners, concat('(', array_to_string(owner_ids, ', '), ')') owners_display from registry"""))
+def reprint_cards(spark, sf):
+    """O07."""
+    return reg.reprint(registry(spark, sf))
 
 
-@query(sql("registry", select="""select card_id, expansion_anchor, title, concat('DECK_', expansion_anchor, '_', lpad(cast(row_number() over (partition by expansion_anchor order by song_id) + 40 as varchar), 3, '0')) new_card_id,
-  printf('g%02d', (row_number() over (partition by expansion_anchor order by song_id) + 39) % 12 + 1) bg, concat('(', array_to_string(owner_ids, ', '), ')') owners_display, concat('https://tracks.example/', winner_track_id) track_url from registry where number > 40"""))
+@query(sql("registry", select="""select card_id, expansion_anchor, title, concat('DECK_', expansion_anchor, '_', lpad(cast(row_number() over (partition by expansion_anchor order by song_id) + top as varchar), 3, '0')) new_card_id,
+  printf('g%02d', (row_number() over (partition by expansion_anchor order by song_id) + top - 1) % 12 + 1) bg, concat('(', array_to_string(owner_ids, ', '), ')') owners_display, concat('https://tracks.example/', winner_track_id) track_url
+  from registry left join (select expansion_anchor, max(number) top from registry where number % 2 = 1 group by 1) using (expansion_anchor) where number % 2 = 0"""))
 def cards_packaged(spark, sf):
-    """O08, W02, W03, F15, F16, F18."""
+    """Every second card as new, numbered on from the others."""
     r = registry(spark, sf)
-    cards = reg.numbered(r.where("number > 40").drop("number"), r.where("number <= 40"), ["song_id"])
+    cards = reg.numbered(r.where("number % 2 = 0").drop("number"), r.where("number % 2 = 1"), ["song_id"])
     return cards.select(
         "card_id",
         "expansion_anchor",
@@ -349,7 +531,7 @@ def cards_packaged(spark, sf):
         text.card_id(PREFIX, F.col("expansion_anchor"), F.col("number")).alias("new_card_id"),
         F.format_string("g%02d", ((F.col("number") - 1) % 12 + 1).cast("int")).alias("bg"),
         text.owners_footer(F.col("owner_ids")).alias("owners_display"),
-        F.concat(F.lit("https://tracks.example/"), F.col("winner_track_id").cast("string")).alias("track_url"),
+        F.concat(F.lit(reg.TRACK_URL), F.col("winner_track_id").cast("string")).alias("track_url"),
     )
 
 
@@ -361,9 +543,10 @@ def sheet_plan(spark, sf):
     return rep.sheet_plan(registry(spark, sf), ["number"])
 
 
-@query(sql("registry", select="select count(*) cards, count(distinct year) as years, min(year) min_year, max(year) max_year, count(*) filter (printed_status = 'printed') printed, count(*) filter (printed_status = 'pending') pending from registry"))
+@query(sql("registry", select="select count(*) cards, count(distinct year) as years, min(year) min_year, max(year) max_year, count(*) filter (printed_status = 'printed') printed, count(*) filter (printed_status = 'pending') pending, count(*) filter (number % 4 = 0) as new from registry"))
 def kpis(spark, sf):
-    return rep.kpis(registry(spark, sf))
+    r = registry(spark, sf)
+    return rep.kpis(reg.is_new(r, r.where("number % 4 = 0")))
 
 
 @query("""with d as (select cast(year(o_orderdate) as int) as year from orders), b as (select year // 5 * 5 low, count(*) cards from d group by 1) select cast(low as int) low, concat(low, '–', lpad(cast((low + 4) % 100 as varchar), 2, '0')) label, cards from b""")
@@ -376,9 +559,16 @@ def owner_appearances(spark, sf):
     return rep.owner_appearances(registry(spark, sf))
 
 
-@query(sql("items", select="select owners, count(*) cards from (select track_id, array_to_string(list_sort(list(distinct owner_id)), '+') owners from items where l_quantity > 48 group by 1) group by 1"))
+@query(sql("items", select="select owners, count(*) cards from (select track_id, array_to_string(list_sort(list(distinct owner_id)), '+') owners from items group by 1) group by 1"))
 def owner_combos(spark, sf):
-    return rep.owner_combinations(catalog.owners_per_track(items(spark, sf).where("l_quantity > 48")))
+    return rep.owner_combinations(catalog.owners_per_track(items(spark, sf)))
+
+
+@query(sql("items", select="with c as (select owners, count(*) cards from (select l_suppkey, l_quantity, array_to_string(list_sort(list(distinct owner_id)), '+') owners from items group by 1, 2) group by 1) select owners, cards, greatest((select count(*) from c) - 20, 0) not_shown from c order by cards desc, owners limit 20").replace("from items join", "from items join").replace("\nwith c as", ", c as"))
+def owner_combos_shown(spark, sf):
+    """The twenty most frequent sets of owners, and how many sets are not shown."""
+    rows = items(spark, sf).groupBy("l_suppkey", "l_quantity").agg(F.collect_set("owner_id").alias("owner_ids"))
+    return rep.owner_combinations(rows, 20)
 
 
 @query(sql("registry", select="select artists artist, count(*) cards from registry group by 1 order by cards desc, artist limit 10"))
@@ -387,10 +577,10 @@ def top_artists(spark, sf):
     return rep.top_artists(shown, text.primary_artist(F.col("display")))
 
 
-@query(sql("registry", select="select seg expansion_anchor, coalesce(n, 0) cards from (select distinct c_mktsegment seg from customer union select 'EMPTY') left join (select expansion_anchor, count(*) n from registry where expansion_anchor <> 'BUILDING' group by 1) on seg = expansion_anchor"))
+@query(sql("registry", select="select a expansion_anchor, coalesce(n, 0) cards from (select expansion_anchor a from registry union select concat(c_mktsegment, 'X') from customer) left join (select expansion_anchor a, count(*) n from registry group by 1) using (a)"))
 def expansion_counts(spark, sf):
-    known = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("expansion_anchor")).distinct().union(spark.sql("select 'EMPTY'"))
-    return rep.expansion_counts(registry(spark, sf).where("expansion_anchor <> 'BUILDING'"), known)
+    known = table(spark, sf, "customer").select(F.concat("c_mktsegment", F.lit("X")).alias("expansion_anchor")).distinct()
+    return rep.expansion_counts(registry(spark, sf), known)
 
 
 @query("""select n_name owner_id, case when n_nationkey % 3 = 0 then '#000000' else (['#00E5FF', '#FF3D71', '#FFD166', '#7CFC00', '#B388FF', '#FF8C42', '#4DD599', '#FF6FD8'])[(row_number() over (order by n_name) - 1) % 8 + 1] end colour from nation""")
@@ -407,18 +597,27 @@ def report_filter_sort(spark, sf):
     return top.select("card_id", "title", "year", F.row_number().over(Window.orderBy("year", "card_id")).cast("long").alias("place"))
 
 
-@query(sql("registry", select="""select expansion_anchor, to_json(list({'card_id': card_id, 'title': title, 'year': year} order by card_id)) cards_json from registry where number <= 5 group by 1"""))
+@query(sql("registry", select="""select expansion_anchor, to_json(list({'card_id': card_id, 'title': title, 'year': year} order by card_id)) cards_json from registry group by 1"""))
 def report_payload(spark, sf):
-    return rep.payload(registry(spark, sf).where("number <= 5"), ["card_id", "title", "year"])
+    return rep.payload(registry(spark, sf), ["card_id", "title", "year"])
+
+
+@query(sql("registry", select="""select 'meta' part, '' as key, '{"version":"v1"}' json union all select 'expansion', expansion_anchor, concat('{"cards":', count(*), ',"printed":', count(*) filter (printed_status = 'printed'), ',"min_year":', min(year), ',"max_year":', max(year), '}') from registry group by 2
+  union all select 'owner', o, concat('{"cards":', count(*), '}') from (select unnest(owner_ids) o from registry) group by 2 union all select 'cards', expansion_anchor, to_json(list({'card_id': card_id, 'year': year} order by card_id)) from registry group by 2"""))
+def report_document(spark, sf):
+    """X09."""
+    return rep.document(registry(spark, sf), ["card_id", "year"], {"version": "v1"})
 
 
 # ---------------------------------------------------------------- text
 
 
 TRACK22 = "lpad(cast(page_id as varchar), 22, 'A')"
+SCANNED = f"""case page_id % 6 when 0 then concat('spotify:track:', {TRACK22}) when 1 then concat(' ', {TRACK22}, ' ') when 2 then concat('https://open.spotify.com/intl-es/track/', {TRACK22}, '?si=1') when 3 then concat('https://open.spotify.com/track/', {TRACK22}) when 4 then url else concat('https://other.example/track/', {TRACK22}) end"""
 
 
-@query(f"""select page_id, {TRACK22} as track_id, case when page_id % 6 in (4, 5) then null else {TRACK22} end resolved from pages""")
+@query(f"""with s as (select page_id, {TRACK22} as track_id, trim({SCANNED}) t from pages) select page_id, track_id,
+  nullif(coalesce(nullif(regexp_extract(t, '^spotify:track:([A-Za-z0-9]{{22}})$', 1), ''), nullif(regexp_extract(t, '^([A-Za-z0-9]{{22}})$', 1), ''), regexp_extract(t, '^https?://open[.]spotify[.]com/(?:[A-Za-z-]+/)?track/([A-Za-z0-9]{{22}})/?(?:[?#].*)?$', 1)), '') resolved from s""")
 def resolve_payload(spark, sf):
     """what a scanned code says."""
     ident = F.lpad(F.col("page_id").cast("string"), 22, "A")
@@ -444,8 +643,8 @@ def list_normalize(spark, sf):
 
 
 def titles(spark, sf) -> DataFrame:
-    """Distinct messy titles: the first line of each document."""
-    return table(spark, sf, "documents").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")).distinct()
+    """Distinct messy titles: every line of the documents."""
+    return table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("title")).distinct()
 
 
 @query()
@@ -511,3 +710,36 @@ def viewfinder_region(spark, sf):
 def device_choice(spark, sf):
     """The first active device, else the first."""
     return table(spark, sf, "events").groupBy("user_id").agg(F.min(F.struct((F.col("event_type") != "purchase").alias("idle"), "event_id")).alias("d")).select("user_id", F.col("d.event_id").alias("device"))
+
+
+@query("""with d as (select user_id, event_type, max(event_id) top from events where value >= 12 group by 1, 2) select e.event_id, d.top is not null known, d.top card_id from events e left join d on e.user_id = d.user_id and e.event_type = d.event_type""")
+def scan_lookup(spark, sf):
+    """Scans with the last card of their track, or none."""
+    e = table(spark, sf, "events").withColumn("track_id", F.concat_ws("-", F.col("user_id").cast("string"), "event_type"))
+    deck = e.where("value >= 12").select("track_id", F.col("event_id").alias("card_id"))
+    return scans.lookup(e.select("event_id", "track_id"), deck).select("event_id", "known", "card_id")
+
+
+@query("""select user_id, slot, event_id from (select user_id, epoch_us(ts) // 1000 // 86400000 slot, event_id, row_number() over (partition by user_id, epoch_us(ts) // 1000 // 86400000 order by ts desc, event_id desc) rn from events) where rn = 1""")
+def latest_frames(spark, sf):
+    """R06, at the scale of days."""
+    e = millis(table(spark, sf, "events")).select("user_id", "event_id", "ms")
+    return scans.keep_latest(e, "user_id", "ms", ["event_id"], 24 * HOUR_MS).select("user_id", F.floor(F.col("ms") / (24 * HOUR_MS)).alias("slot"), "event_id")
+
+
+@query()
+def connection_states(spark, sf):
+    """R03, at the scale of hours."""
+    t = F.col("event_type")
+    event = F.when(t == "view", F.concat(F.lit("connect:"), (F.floor("value") % 3).cast("string"))).when(t == "click", "connected").when(t == "purchase", "failed").otherwise("stop")
+    e = millis(table(spark, sf, "events")).withColumn("what", event)
+    return scans.connections(e, "user_id", "what", "ms", ["event_id"], watchdog=2 * HOUR_MS, grace=5 * HOUR_MS)
+
+
+@query("""select owner_id, track_id, added_at, l_orderkey, l_linenumber, place from (select *, row_number() over (partition by owner_id order by added_at nulls last, track_id) place from (select owner_id, track_id, added_at, l_orderkey, l_linenumber, row_number() over (partition by owner_id, track_id order by added_at, l_orderkey, l_linenumber, l_suppkey) rn from items) where rn = 1)""".replace("select owner_id", "with " + sql("items", select="").removeprefix("with ") + " select owner_id", 1))
+def instances_sorted(spark, sf):
+    """Each owner's instances with their place in the report's order."""
+    from pyspark.sql.window import Window
+
+    rows = catalog.earliest_instances(items(spark, sf), ORDER, ["l_orderkey", "l_linenumber"])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("owner_id").orderBy(*catalog.instance_order())).cast("long"))

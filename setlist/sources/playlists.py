@@ -106,3 +106,13 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.schema("ordinal long, raw string, owner_id string").option("mode", "FAILFAST").json(path)
     inner = f"struct<added_at: string, is_local: boolean, track: {_TRACK}, item: {_TRACK}>"
     return lines.select("owner_id", "ordinal", F.from_json("raw", inner, {"mode": "FAILFAST"}).alias("r")).select("owner_id", "ordinal", "r.*")
+
+
+def playlist_counts(items: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per owner what the API announced, what was fetched, and items with and without a track.
+    ``totals``: ``owner_id, tracks_total, items_total``, of which the first that is known counts."""
+    there = F.coalesce(F.col("track").isNotNull() | F.col("item").isNotNull(), F.lit(False))
+    counts = items.groupBy("owner_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(there).cast("long").alias("with_track"), F.count_if(~there).cast("long").alias("without_track"))
+    known = totals.select("owner_id", F.coalesce("tracks_total", "items_total").alias("announced"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return known.join(counts, "owner_id", "left").select("owner_id", "announced", none("fetched"), none("with_track"), none("without_track"))

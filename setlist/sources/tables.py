@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from html import escape
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY_SCHEMA = "song_id string, winner_track_id string, card_id string, title string, artists string, year int, owners string, expansion_anchor string, printed_status string, version string, identity_version string, run_id string, created_at string, printed_at string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_table(spark: SparkSession, path: str, made_by: str) -> DataFrame:
-    """A Parquet table; if it is missing, the error names the step that makes it."""
-    if not _exists(spark, path):
+    """A Parquet table; if it is missing, the error names the step that makes it (S07). While
+    :func:`publish` swaps versions, the one before is read."""
+    if not exists(spark, path):
+        if exists(spark, f"{path}.old"):
+            return spark.read.parquet(f"{path}.old")
         raise FileNotFoundError(f"{path} is missing: run the step {made_by!r} first")
     return spark.read.parquet(path)
 
@@ -24,13 +29,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table with the columns of ``schema``: missing ones are null, a missing table is
     empty (S08, S26)."""
     empty = spark.createDataFrame([], schema)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return empty
     return empty.unionByName(spark.read.parquet(path), allowMissingColumns=True)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap by renaming, so that readers see whole tables."""
+def publish(df: DataFrame, path: str, backup: str | None = None) -> None:
+    """Write beside the target, then swap by renaming, so that readers see whole tables (S09). With
+    ``backup`` the version before stays under that name (S28)."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
@@ -41,6 +47,17 @@ def publish(df: DataFrame, path: str) -> None:
         raise OSError(f"{path} cannot be moved aside")
     if not fs.rename(staged, target):
         raise OSError(f"{path}.new cannot be moved into place")
+    if backup is not None and fs.exists(old):
+        kept = jvm.org.apache.hadoop.fs.Path(f"{path}.{backup}")
+        fs.delete(kept, True)
+        if not fs.rename(old, kept):
+            raise OSError(f"{path}.old cannot be kept as {path}.{backup}")
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``seq``, which grows in ``order`` (W01). It is a number per partition of a sorted
+    table, so no task sees all rows."""
+    return df.orderBy(*order).withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -55,16 +72,11 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """One header per part, arrays joined by pipes."""
-    flat = [F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes]
+    """One header per part, arrays joined by pipes with a blank on either side."""
+    flat = [F.array_join(c, " | ").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """All event files of all runs, partitioned by run."""
-    return spark.read.option("basePath", path).parquet(path)
-
-
 def latest_run(runs: DataFrame) -> str | None:
     """The last run by name."""
     return runs.agg(F.max("run_id").alias("r")).first()["r"]
@@ -86,6 +98,6 @@ def read_deck(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report_html(payload: str, title: str) -> str:
-    """A page that carries its data; ``</`` is escaped inside the script."""
+    """A page that carries its data; ``</`` is escaped inside the script, the title as text."""
     safe = payload.replace("</", "<\\/")
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><div id="report"></div><script type="application/json" id="payload">{safe}</script></body></html>'
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><div id="report"></div><script type="application/json" id="payload">{safe}</script></body></html>'

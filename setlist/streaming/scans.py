@@ -1,13 +1,14 @@
-"""Stateful operators over scan and player events.
+"""Stateful operators over scan and player events.
 
-Each has a batch form, which deals events by key, sorts each partition and walks it once with the
-state of one key, and a streaming form with the same step function and keyed state.
+Debounce, listening budget and connection state have a batch form, which deals events by key, sorts
+each partition and walks it once with the state of one key, and a streaming form with the same step
+function and keyed state. State is dropped when a key has been silent for ``FORGET_MS``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +23,11 @@ HOLD_MS, STALE_MS, COOLDOWN_MS = 420, 800, 900
 FRAME, MARGIN = 0.78, 0.03
 #: Fixed value: listening time per card.
 BUDGET_MS = 60_000
+#: How long a connection may hang, how many attempts one track has, and how soon after
+#: its start an attempt is not given up when the screen goes.
+WATCHDOG_MS, ATTEMPTS, GRACE_MS = 2_500, 2, 5_000
+#: A device that has been silent for this long starts afresh.
+FORGET_MS = 3_600_000
 
 
 @dataclass
@@ -45,38 +51,164 @@ class Hold:
         return False
 
 
-def debounce(events: DataFrame, key: str, value: str, millis: str, tie: list[str], **limits: int) -> DataFrame:
-    """Accepted ``key, value, millis`` of a finished set of events."""
+@dataclass
+class Budget:
+    """Listening time of one device: what is used, since when it plays, and whether time is up."""
+
+    used: int = 0
+    at: int = 0
+    playing: bool = False
+    up: bool = False
+
+    def step(self, value: str, t: int, budget: int = BUDGET_MS) -> int | None:
+        """The moment the budget ran out, if it is before ``t``. ``value``: ``playing`` or not, or
+        ``reset`` for a new card."""
+        out = None
+        if self.playing and not self.up:
+            span = t - self.at
+            if self.used + span >= budget:
+                out, self.up = self.at + budget - self.used, True
+            self.used = min(budget, self.used + span)
+        if value == "reset":
+            self.used, self.up = 0, False
+        self.at, self.playing = t, value == "playing"
+        return out
+
+
+@dataclass
+class Link:
+    """The connection of one device to its player."""
+
+    state: str = "IDLE"
+    track: str | None = None
+    tries: int = 0
+    since: int = 0
+    blocked: bool = False
+
+    def step(self, event: str, t: int, watchdog: int = WATCHDOG_MS, attempts: int = ATTEMPTS, grace: int = GRACE_MS) -> str:
+        """The state after an event: ``connect:<track>``, ``connected``, ``failed``, ``stop`` or
+        ``disconnect``. A connection without an answer for ``watchdog`` hangs, whoever asks next."""
+        if self.state == "CONNECTING" and t - self.since >= watchdog:
+            self.state = "HUNG"
+            self.blocked |= self.tries >= attempts
+        kind, _, track = event.partition(":")
+        if kind == "connect":
+            if track != self.track:
+                self.track, self.tries, self.blocked = track, 0, False
+            if self.blocked or self.state == "CONNECTING":
+                return self.state
+            if self.tries >= attempts:
+                self.state, self.blocked = "FAILED", True
+            else:
+                self.state, self.tries, self.since = "CONNECTING", self.tries + 1, t
+        elif kind == "connected":
+            self.state = "CONNECTED"
+        elif kind == "failed":
+            self.state = "FAILED"
+        elif kind == "disconnect":
+            self.state = "IDLE"
+        elif kind == "stop":
+            early = self.state == "CONNECTING" and t - self.since < grace
+            if not early and self.state not in ("HUNG", "FAILED"):
+                self.state = "IDLE"
+        return self.state
+
+
+def _ordered(events: DataFrame, key: str, value: str, millis: str, tie: list[str]) -> DataFrame:
     rows = events.select(F.col(key).alias("k"), F.col(value).cast("string").alias("v"), F.col(millis).cast("long").alias("t"), *[F.col(c).alias(f"tie_{c}") for c in tie])
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "k").sortWithinPartitions("k", "t", *[f"tie_{c}" for c in tie])
+    return rows.repartition(parts, "k").sortWithinPartitions("k", "t", *[f"tie_{c}" for c in tie])
+
+
+def _walk(dealt: DataFrame, state: type, step: Callable, out: str) -> DataFrame:
+    """``k, v, t`` and ``out`` of every event, by ``step(state, value, millis)``; one key's state is held
+    at a time, however many events it has."""
+    schema = dealt.select("k", "v", "t", F.lit(None).cast(out.split()[1]).alias(out.split()[0])).schema
+    kind = {"boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}[out.split()[1]]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = object(), Hold()
+        current, held = object(), state()
         for b in batches:
-            hit = []
+            made = []
             for k, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if k != current:
-                    current, state = k, Hold()
-                hit.append(state.step(v, t, **limits))
-            yield b.select([0, 1, 2]).filter(pa.array(hit, pa.bool_()))
+                    current, held = k, state()
+                made.append(step(held, v, t))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, kind)], names=["k", "v", "t", out.split()[0]])
 
-    return dealt.mapInArrow(walk, dealt.select("k", "v", "t").schema).toDF(key, value, millis)
+    return dealt.mapInArrow(walk, schema)
 
 
-def debounce_stream(events: DataFrame, key: str, value: str, millis: str, **limits: int) -> DataFrame:
-    """The same over a stream; within a trigger events are taken in time order."""
+def _stream(events: DataFrame, key: str, value: str, millis: str, state: type, kept: str, step: Callable, out: str) -> DataFrame:
+    """The same over a stream; within a trigger events are taken in time order. A key that has been
+    silent for ``FORGET_MS`` of processing time is dropped, so state does not grow with devices gone."""
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"), F.col(millis).cast("long").alias("t"))
 
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hold = Hold(*state.get) if state.exists else Hold()
+    def update(k: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
+        held = state(*group.get) if group.exists else state()
         seen = pd.concat(list(frames)).sort_values("t", kind="stable")
-        hit = [hold.step(v, int(t), **limits) for v, t in zip(seen["v"], seen["t"], strict=True)]
-        state.update((hold.value, hold.since, hold.seen, hold.fired))
-        yield pd.DataFrame({"k": k[0], "v": seen["v"], "t": seen["t"]})[hit]
+        made = [step(held, v, int(t)) for v, t in zip(seen["v"], seen["t"], strict=True)]
+        group.update(astuple(held))
+        group.setTimeoutDuration(FORGET_MS)
+        kind = {"boolean": "boolean", "long": "Int64", "string": "object"}[out.split()[1]]
+        yield pd.DataFrame({"k": k[0], "v": seen["v"], "t": seen["t"], out.split()[0]: pd.array(made, kind)})
+
+    return rows.groupBy("k").applyInPandasWithState(update, f"k string, v string, t long, {out}", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+_HOLD = "value string, since long, seen long, fired long"
+_BUDGET = "used long, at long, playing boolean, up boolean"
+_LINK = "state string, track string, tries long, since long, blocked boolean"
+
+
+def debounce(events: DataFrame, key: str, value: str, millis: str, tie: list[str], **limits: int) -> DataFrame:
+    """Accepted ``key, value, millis`` of a finished set of events."""
+    hits = _walk(_ordered(events, key, value, millis, tie), Hold, lambda h, v, t: h.step(v, t, **limits), "hit boolean")
+    return hits.where("hit").drop("hit").toDF(key, value, millis)
+
+
+def debounce_stream(events: DataFrame, key: str, value: str, millis: str, **limits: int) -> DataFrame:
+    """The same over a stream."""
+    hits = _stream(events, key, value, millis, Hold, _HOLD, lambda h, v, t: h.step(v, t, **limits), "hit boolean")
+    return hits.where("hit").drop("hit").toDF(key, value, millis)
+
+
+def connections(events: DataFrame, key: str, event: str, millis: str, tie: list[str], **limits: int) -> DataFrame:
+    """The connection's state after each event."""
+    return _walk(_ordered(events, key, event, millis, tie), Link, lambda h, v, t: h.step(v, t, **limits), "state string").toDF(key, event, millis, "state")
+
+
+def connections_stream(events: DataFrame, key: str, event: str, millis: str, **limits: int) -> DataFrame:
+    """The same over a stream."""
+    return _stream(events, key, event, millis, Link, _LINK, lambda h, v, t: h.step(v, t, **limits), "state string").toDF(key, event, millis, "state")
+
+
+def listening_stream(events: DataFrame, key: str, value: str, millis: str, budget: int = BUDGET_MS) -> DataFrame:
+    """``key, time_up`` whenever a device's budget has run out (R02); the moment is known with the
+    first event after it. ``value``: ``playing``, ``paused`` or ``reset``."""
+    hits = _stream(events, key, value, millis, Budget, _BUDGET, lambda h, v, t: h.step(v, t, budget), "time_up long")
+    return hits.where("time_up is not null").select(F.col("k").alias(key), "time_up")
+
+
+def keep_latest(frames: DataFrame, key: str, millis: str, tie: list[str], every: int) -> DataFrame:
+    """Of the frames of a device within each ``every`` milliseconds only the last (R06): what a reader
+    that is busy that long gets to see."""
+    slot = F.floor(F.col(millis) / every).alias("slot")
+    rest = [c for c in frames.columns if c != key]
+    last = frames.groupBy(F.col(key), slot).agg(F.max_by(F.struct(*rest), F.struct(millis, *tie)).alias("f"))
+    return last.select(key, "f.*")
+
 
-    out = rows.groupBy("k").applyInPandasWithState(update, "k string, v string, t long", "value string, since long, seen long, fired long", "append", GroupStateTimeout.NoTimeout)
-    return out.toDF(key, value, millis)
+def lookup(scanned: DataFrame, deck: DataFrame, track: str = "track_id") -> DataFrame:
+    """Scans with their cards (J18). A track that is not in the deck stays, playable and without a card;
+    of several cards of a track the last by id counts. ``scanned`` may be a stream."""
+    card = F.struct(*[c for c in deck.columns if c != track])
+    one = deck.groupBy(track).agg(F.max_by(card, "card_id").alias("card"))
+    out = scanned.join(one, track, "left")
+    return out.select(*scanned.columns, F.col("card").isNotNull().alias("known"), "card.*")
 
 
 def listening(events: DataFrame, key: str, millis: str, playing: str, tie: list[str], budget: int = BUDGET_MS) -> DataFrame:
