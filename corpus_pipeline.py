@@ -3,7 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. :func:`run` writes each
 stage's rows as Parquet into the shared checkpoint folder and reads them again for the next one,
 so a lost executor costs at most the stage it was lost in. Once a stage's rows are written, those of
-the stage before it are deleted. No stage changes a setting of the session for good.
+the stage before it are deleted. Stages hand rows to Python :data:`BATCH_ROWS` at a time, a setting of the
+session that their plans read when they run, so it stays set.
 
 Null ids, texts, languages and sources, empty and very long texts, repeated rows and ties are treated
 as each operator's module says; in short: a document without text or letters goes in the first stage, rows
@@ -20,29 +21,43 @@ from setlist.llm import langid, neardup, packing, secret_scan, substring
 from setlist.llm.common import discard, shared_folder
 
 
+#: Rows of a batch between Spark and Python. Documents are long, stages hand them over one after
+#: the other in the same executors: small batches keep what both sides hold at a time small.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that the labelled ones speak go; a missing or contradicted ``lang``
     becomes the predicted one, which the secret scan takes for part of the repository."""
+    _small_batches(spark)
     return langid.reject(docs)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
+    _small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has too go from the text."""
+    _small_batches(spark)
     return substring.dedup(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the text."""
+    _small_batches(spark)
     return secret_scan.redact(docs)
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of training sequences."""
+    _small_batches(spark)
     return packing.pack(docs, temperature=packing.TEMPERATURE)
 
 
