@@ -139,9 +139,10 @@ def _walk(dealt: DataFrame, state: type, step: Callable, out: str) -> DataFrame:
     return dealt.mapInArrow(walk, schema)
 
 
-def _stream(events: DataFrame, key: str, value: str, millis: str, state: type, kept: str, step: Callable, out: str) -> DataFrame:
+def _stream(events: DataFrame, key: str, value: str, millis: str, state: type, kept: str, step: Callable, out: str, forget: int | None) -> DataFrame:
     """The same over a stream; within a trigger events are taken in time order. A key that has been
-    silent for ``FORGET_MS`` of processing time is dropped, so state does not grow with devices gone."""
+    silent for ``forget`` milliseconds of processing time is dropped, so state does not grow with devices
+    gone. Waiting for that keeps a query alive; one whose trigger ends by itself takes None."""
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"), F.col(millis).cast("long").alias("t"))
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
@@ -152,11 +153,12 @@ def _stream(events: DataFrame, key: str, value: str, millis: str, state: type, k
         seen = pd.concat(list(frames)).sort_values("t", kind="stable")
         made = [step(held, v, int(t)) for v, t in zip(seen["v"], seen["t"], strict=True)]
         group.update(astuple(held))
-        group.setTimeoutDuration(FORGET_MS)
+        if forget is not None:
+            group.setTimeoutDuration(forget)
         kind = {"boolean": "boolean", "long": "Int64", "string": "object"}[out.split()[1]]
         yield pd.DataFrame({"k": k[0], "v": seen["v"], "t": seen["t"], out.split()[0]: pd.array(made, kind)})
 
-    return rows.groupBy("k").applyInPandasWithState(update, f"k string, v string, t long, {out}", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("k").applyInPandasWithState(update, f"k string, v string, t long, {out}", kept, "append", GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 _HOLD = "value string, since long, seen long, fired long"
@@ -170,9 +172,9 @@ def debounce(events: DataFrame, key: str, value: str, millis: str, tie: list[str
     return hits.where("hit").drop("hit").toDF(key, value, millis)
 
 
-def debounce_stream(events: DataFrame, key: str, value: str, millis: str, **limits: int) -> DataFrame:
+def debounce_stream(events: DataFrame, key: str, value: str, millis: str, forget: int | None = FORGET_MS, **limits: int) -> DataFrame:
     """The same over a stream."""
-    hits = _stream(events, key, value, millis, Hold, _HOLD, lambda h, v, t: h.step(v, t, **limits), "hit boolean")
+    hits = _stream(events, key, value, millis, Hold, _HOLD, lambda h, v, t: h.step(v, t, **limits), "hit boolean", forget)
     return hits.where("hit").drop("hit").toDF(key, value, millis)
 
 
@@ -181,15 +183,15 @@ def connections(events: DataFrame, key: str, event: str, millis: str, tie: list[
     return _walk(_ordered(events, key, event, millis, tie), Link, lambda h, v, t: h.step(v, t, **limits), "state string").toDF(key, event, millis, "state")
 
 
-def connections_stream(events: DataFrame, key: str, event: str, millis: str, **limits: int) -> DataFrame:
+def connections_stream(events: DataFrame, key: str, event: str, millis: str, forget: int | None = FORGET_MS, **limits: int) -> DataFrame:
     """The same over a stream."""
-    return _stream(events, key, event, millis, Link, _LINK, lambda h, v, t: h.step(v, t, **limits), "state string").toDF(key, event, millis, "state")
+    return _stream(events, key, event, millis, Link, _LINK, lambda h, v, t: h.step(v, t, **limits), "state string", forget).toDF(key, event, millis, "state")
 
 
-def listening_stream(events: DataFrame, key: str, value: str, millis: str, budget: int = BUDGET_MS) -> DataFrame:
+def listening_stream(events: DataFrame, key: str, value: str, millis: str, forget: int | None = FORGET_MS, budget: int = BUDGET_MS) -> DataFrame:
     """``key, time_up`` whenever a device's budget has run out (R02); the moment is known with the
     first event after it. ``value``: ``playing``, ``paused`` or ``reset``."""
-    hits = _stream(events, key, value, millis, Budget, _BUDGET, lambda h, v, t: h.step(v, t, budget), "time_up long")
+    hits = _stream(events, key, value, millis, Budget, _BUDGET, lambda h, v, t: h.step(v, t, budget), "time_up long", forget)
     return hits.where("time_up is not null").select(F.col("k").alias(key), "time_up")
 
 

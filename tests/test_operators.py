@@ -207,7 +207,7 @@ def test_debounce_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in scans.debounce(df, "device", "raw", "ms", []).collect()) == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = scans.debounce_stream(stream, "device", "raw", "ms").writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = scans.debounce_stream(stream, "device", "raw", "ms", forget=None).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("accepted").collect()) == want
 
@@ -216,3 +216,23 @@ def test_listening_budget(spark):
     rows = [("t", 0, True), ("t", 30_000, False), ("t", 50_000, True), ("t", 90_000, False), ("u", 0, True), ("u", 1000, False)]
     got = {r.track: (r.played, r.time_up) for r in scans.listening(spark.createDataFrame(rows, "track string, ms long, playing boolean"), "track", "ms", "playing", []).collect()}
     assert got == {"t": (60_000, 80_000), "u": (1000, None)}
+
+
+def test_connection_rules():
+    link = scans.Link()
+    steps = [("connect:a", 0), ("connect:a", 1000), ("stop", 2000), ("connect:a", 2600), ("connect:a", 6000), ("connect:a", 6100), ("connect:b", 6200), ("connected", 6300), ("stop", 6400), ("connect:b", 6500), ("failed", 6600), ("stop", 6700), ("connect:b", 6800), ("disconnect", 6900)]
+    # a: starts, is on its way, survives an early stop, has hung and tries again, has hung twice and is blocked
+    want = ["CONNECTING", "CONNECTING", "CONNECTING", "CONNECTING", "HUNG", "HUNG", "CONNECTING", "CONNECTED", "IDLE", "CONNECTING", "FAILED", "FAILED", "FAILED", "IDLE"]
+    assert [link.step(e, t) for e, t in steps] == want
+
+
+def test_streams(spark, tmp_path):
+    rows = [("d", "playing", 0), ("d", "paused", 50_000), ("d", "playing", 60_000), ("d", "playing", 80_000), ("d", "reset", 90_000), ("e", "playing", 0)]
+    spark.createDataFrame(rows, "k string, v string, t long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("k string, v string, t long").parquet(str(tmp_path / "in"))
+    for name, stream in (("budget", scans.listening_stream(source, "k", "v", "t", forget=None)), ("links", scans.connections_stream(source.withColumn("v", F.lit("connect:x")), "k", "v", "t", forget=None)), ("holds", scans.debounce_stream(source, "k", "v", "t", forget=None))):
+        query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+    assert [tuple(r) for r in spark.table("budget").collect()] == [("d", 70_000)]
+    assert sorted(r.state for r in spark.table("links").where("k = 'd'").collect()) == ["CONNECTING", "CONNECTING", "HUNG", "HUNG", "HUNG"]
+    assert spark.table("holds").count() == 0
