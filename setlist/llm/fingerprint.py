@@ -168,7 +168,8 @@ def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     total = sum(r["bytes"] for r in parts)
     ranges = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES)), RANGES)
     share = {r["named"]: max(1, round(ranges * r["bytes"] / max(total, 1))) for r in parts}
-    found = rows.groupBy("named").agg(*[F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias(f"cuts_{name}") for name, n in share.items()]).collect()
+    cuts = [F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias(f"cuts_{name}") for name, n in share.items()]
+    found = rows.groupBy("named").agg(*cuts).collect() if cuts else []
     bounds = {name: sorted(set(next(r[f"cuts_{name}"] for r in found if r["named"] == name))) if n > 1 else [] for name, n in share.items()}
     first = len(bounds.get(False, [])) + 1 if False in share else 0
     bucket = F.when(F.col("named"), F.lit(first) + _range_of(F.col("key"), bounds.get(True, []))).otherwise(_range_of(F.col("key"), bounds.get(False, [])))
