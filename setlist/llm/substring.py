@@ -112,11 +112,11 @@ def runs(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray,
     data = b"".join(texts) + bytes(64)
     windows = len(data) - 64
     # no window crosses the end of a text
-    inside = np.zeros(windows + 1, np.int32)
+    inside = np.zeros(windows + 1, np.int8)
     long = size >= LENGTH
     inside[(end - size)[long]] += 1
     inside[(end - LENGTH + 1)[long]] -= 1
-    inside = np.cumsum(inside[:-1]) > 0
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
     off = anchor_offsets(words_at(data), windows)
     begins, ends = inside.copy(), inside.copy()
     if windows:
