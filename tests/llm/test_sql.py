@@ -7,7 +7,8 @@ from setlist.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_as_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings", "labels", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = sorted(c[0] for c in want.description)
     place = [[c[0] for c in want.description].index(c) for c in columns]
