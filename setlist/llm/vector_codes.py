@@ -354,6 +354,7 @@ def compress(table: DataFrame, vector: str = "embedding", rounds: int = ROUNDS)
 def report(table: DataFrame) -> DataFrame:
     """One row per kept vector: its code and error, the error of its label, and the digest of the codebooks."""
     rows, books = compress(table)
+    rows = written(rows)  # read three times below
     # a null label is one of its own; rows of a label may be a third of all, so they are summed first and meet the sum by salted keys
     keyed = rows.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")))
     sums = keyed.groupBy("__key").agg(F.expr("try_sum(error)").alias("label_error"))
