@@ -12,8 +12,10 @@ every ancestor below ``body`` of whose characters the core has half or more. Wha
 within the scope stays whatever its density, unless most of it stands in links.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are cut before densities are taken: by tag, role, or a whole class or id (or its first word,
-as in ``ad-top``); a class or id never cuts an article or main element. One pass over the pages, no shuffle; the Python in
+comments are cut before densities are taken. A tag, role, class or id is evidence only and is weighed against text: an
+element with the bulk of the page's text stays, whatever it is called, and so does one around an article or main element or, of weak names
+such as ``social``, one with prose within an article; a form that stays loses its controls. A header's heading stays if the
+page's title begins with it. One pass over the pages, no shuffle; the Python in
 a task is the tree of one page. Parsing and scoring take time in proportion to the page, whatever is
 left open in it: open elements are found by their tag's places on the stack, and a search for the
 end of a quoted attribute that failed is not made again.
@@ -47,43 +49,53 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"html", "body", "option", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOP = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-DROPPED = frozenset("nav footer aside form head select button menu dialog script style textarea title noscript iframe template svg object canvas input".split())
+#: Elements without text of their own, whatever holds them.
+NEVER = frozenset("head select button script style textarea title noscript iframe template svg object canvas input".split())
+DROPPED = frozenset("nav footer aside form menu dialog".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
-)
-#: Names that start with one of these words and go on after - or _ are dropped too: ``ad-top``.
-DROPPED_PREFIXES = frozenset("ad ads advert advertisement breadcrumb comments cookie footer nav navbar newsletter popup promo sidebar sponsor".split())
-#: What ends such a name if it is a switch of the layout around the main text: ``sidebar-left-layout``.
-LAYOUT = frozenset("open closed on off layout page wrapper container content main visible hidden enabled disabled".split())
+#: A class or id that is one of these, or has one of them among its words: ``page-footer``, ``ad_top``.
+DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu modal nav navbar navigation newsletter popup promo sidebar sponsor sponsored".split())
+#: A class or id that is one of these as a whole, unless the element holds prose within an article.
+DROPPED_NAMES = frozenset("disclaimer notice notices promotion related share sharing social subscribe toolbar widget".split())
+#: Words that make of such a name a switch of the layout around the main text: ``has-sidebar``, ``sidebar-left-layout``.
+LAYOUT = frozenset("open closed on off layout page wrapper container content main visible hidden enabled disabled has no with without".split())
+COMMENTS = frozenset(["comment", "comments"])
 MAIN = frozenset(["article", "main"])
+#: What speaks for dropping an element, from weakest to strongest.
+NONE, NAME, WORD, REMARKS, TAG, ALWAYS = range(6)
+#: An element that has so much of the page's text is the page's text, whatever it is called; reader comments
+#: are longer than their article at times, and have to have nearly all of it. Percent, and characters at least.
+BULK_PCT, REMARKS_PCT, BULK_CHARS = 85, 97, 140
 
 
-def _named(names: str) -> bool:
-    """One of the white-space separated names is boilerplate's as a whole or by its first word."""
+def _named(names: str) -> int:
+    """What the white-space separated names say of an element."""
+    found = NONE
     for name in names.lower().split():
-        if name in DROPPED_WORDS:
-            return True
-        words = name.replace("_", "-").split("-")
-        if len(words) > 1 and words[0] in DROPPED_PREFIXES and LAYOUT.isdisjoint(words):
-            return True
-    return False
-
-
-def _dropped(tag: str, attrs: str, in_main: bool) -> int:
-    """2: boilerplate by its tag or role, 1: by a class or id, 0: none."""
+        words = set(name.replace("_", "-").split("-"))
+        if name in DROPPED_NAMES:
+            found = max(found, NAME)
+        # the article's page-footer is a footer, but page-with-footer is a page
+        if (hit := words & DROPPED_WORDS) and (name in DROPPED_WORDS or LAYOUT.isdisjoint(words) or words <= hit | {"page", "main", "container", "wrapper"}):
+            found = max(found, REMARKS if hit & COMMENTS else WORD)
+    return found
+
+
+def _evidence(tag: str, attrs: str, in_main: bool) -> int:
+    """What its tag, role, class and id say for dropping an element."""
+    if tag in NEVER:
+        return ALWAYS
     if tag in DROPPED or (tag == "header" and not in_main):
-        return 2
-    if not attrs or "=" not in attrs:
-        return 0
-    named = 0
-    for name, value in ATTR.findall(attrs):
-        name = name.lower()
-        if name == "role" and value.strip("\"'").lower() in DROPPED_ROLES:
-            return 2
-        if name in ("class", "id") and tag not in MAIN and tag not in ("body", "html") and _named(value.strip("\"'")):
-            named = 1
-    return named
+        return TAG
+    found = NONE
+    if attrs and "=" in attrs:
+        for name, value in ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'")
+            if name == "role" and value.lower() in DROPPED_ROLES:
+                return TAG
+            if name in ("class", "id") and tag not in MAIN and tag not in ("body", "html"):
+                found = max(found, _named(value))
+    return found
 
 
 def _tag_end(html: str, at: int, failed: set[int]) -> int:
@@ -116,22 +128,67 @@ class Page:
         self._settle()
 
     def _settle(self) -> None:
-        """Elements to drop. A class or id drops no element that holds an article or main outside
-        of others, and none if no text would be left."""
+        """Elements to drop. What speaks against an element is weighed against its text: none is dropped that has the bulk of
+        the page's. A class, id or form drops no element that holds an article or main outside of others, a weak name none
+        with prose within an article, and names drop nothing if no text would be left."""
         n = len(self.tag)
-        inside, hard, holds = [False] * n, [False] * n, [False] * n
+        inside, never, linked = [False] * n, [False] * n, [False] * n
+        plain, links, holds, hard = [0] * n, [0] * n, [False] * n, [False] * n
         for i in range(1, n):
             up = self.parent[i]
             inside[i] = inside[up] or self.tag[up] in MAIN
-            hard[i] = hard[up] or self.cut[i] == 2
-        for i in range(n - 1, 0, -1):
-            if not hard[i] and not inside[i] and (holds[i] or self.tag[i] in MAIN):
+            never[i] = never[up] or self.cut[i] == ALWAYS
+            hard[i] = hard[up] or (self.cut[i] >= TAG and self.tag[i] != "form")
+            linked[i] = linked[up] or self.tag[i] == "a"
+        for i in range(n - 1, -1, -1):
+            if not never[i]:
+                own = sum(len(t) - t.count(" ") for t in self.parts[i] if type(t) is str and not t.isspace())
+                (links if linked[i] else plain)[i] += own
+                if i:
+                    plain[self.parent[i]] += plain[i]
+                    links[self.parent[i]] += links[i]
+            if i and not hard[i] and not inside[i] and (holds[i] or self.tag[i] in MAIN):
                 holds[self.parent[i]] = True
-        self.drop = [False] * n
+        self.drop, tags = [False] * n, [False] * n
         for i in range(1, n):
-            self.drop[i] = hard[i] or self.drop[self.parent[i]] or (self.cut[i] == 1 and not holds[i])
-        if not any(type(t) is str and not t.isspace() for i in range(n) if not self.drop[i] for t in self.parts[i]):
-            self.drop = hard
+            up, cut = self.parent[i], self.cut[i]
+            bulk = plain[i] >= BULK_CHARS and plain[i] * 100 >= plain[0] * (REMARKS_PCT if cut == REMARKS else BULK_PCT)
+            prose = inside[i] and plain[i] >= BULK_CHARS and links[i] * 2 <= plain[i]
+            kept = cut == NONE or (cut != ALWAYS and bulk) or (cut <= REMARKS and holds[i]) or (self.tag[i] == "form" and holds[i]) or (cut == NAME and prose)
+            self.drop[i] = self.drop[up] or not kept
+            tags[i] = tags[up] or (not kept and cut >= TAG)
+        if not self._any_text(self.drop):
+            self.drop = tags
+        self.heading = self._heading()
+
+    def _any_text(self, drop: list[bool]) -> bool:
+        return any(type(t) is str and not t.isspace() for i in range(len(self.tag)) if not drop[i] for t in self.parts[i])
+
+    def _inner(self, x: int) -> str:
+        """All text below a node as one line."""
+        out, todo = [], [x]
+        while todo:
+            y = todo.pop()
+            if type(y) is str:
+                out.append(unescape(y))
+            else:
+                todo.extend(reversed(self.parts[y]))
+        return " ".join("".join(out).split())
+
+    def _heading(self) -> int | None:
+        """The page's only ``h1``, if it stands in a header that goes and the page's title begins with it: a heading of the
+        article, not the name of the site."""
+        found = [i for i, t in enumerate(self.tag) if t == "h1"]
+        if len(found) != 1 or not self.drop[found[0]]:
+            return None
+        up = self.parent[found[0]]
+        while up > 0 and self.cut[up] == NONE:
+            up = self.parent[up]
+        if self.tag[up] != "header" or self.drop[self.parent[up]]:
+            return None
+        title = next((self._inner(i) for i, t in enumerate(self.tag) if t == "title"), "")
+        text = self._inner(found[0])
+        return found[0] if text and (not title or title.startswith(text)) else None
 
     def _last(self, tags: Iterable[str]) -> int:
         """The highest place on the stack of any of ``tags``, or 0."""
@@ -152,7 +209,7 @@ class Page:
         if tag in SAME and (at := self._last(SAME[tag])) > self._last(STOP[tag]):
             self._pop(at)
         up = self.stack[-1]
-        cut = _dropped(tag, attrs, tag == "header" and self._last(MAIN) > 0)
+        cut = _evidence(tag, attrs, tag == "header" and self._last(MAIN) > 0)
         self.tag.append(tag)
         self.parent.append(up)
         self.cut.append(cut)
@@ -201,6 +258,8 @@ class Page:
             self._open(tag, attrs)
             if tag in RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                if tag == "title":
+                    self.parts[-1].append(html[at : end.start() if end else len(html)])
                 at = done = html.find(">", end.end()) + 1 or len(html) if end else len(html)
                 self._pop(len(self.stack) - 1)
         if done < len(html):
@@ -281,6 +340,8 @@ class Page:
 
     def text(self) -> str:
         blocks, open_block, todo = [], [], self.content()[::-1]
+        if self.heading is not None and todo:
+            blocks.append([self._inner(self.heading)])
         while todo:
             x = todo.pop()
             if type(x) is str:

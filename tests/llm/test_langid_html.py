@@ -150,6 +150,31 @@ def test_layout_names_keep_the_main_text():
         assert html_extract.main_text(f"<body><div class='{name}'><div><article><p>{text}</p><div class=ad>x</div></article></div></div></body>") == text.strip()
 
 
+def test_names_never_cost_the_densest_part():
+    text = "word " * 60
+    body = text.strip()
+    nav, foot = "<nav><a href=/>home</a> <a href=/x>x</a></nav>", "<footer><p>imprint of the site</p></footer>"
+    # a page builder's layout, a page within one form, a header with the title
+    assert html_extract.main_text(f"<body>{nav}<div class='widget'><h1>T</h1><p>{text}</p><p>{text}</p></div><div>Imprint</div></body>") == f"T\n{body}\n{body}"
+    assert html_extract.main_text(f"<body><form id='aspnetForm'>{nav}<div><h1>T</h1><p>{text}</p><p>{text}</p><input value=v><select><option>o</option></select><button>b</button></div>{foot}</form></body>") == f"T\n{body}\n{body}"
+    assert html_extract.main_text(f"<body><article><h1>T</h1><p>{text}</p><section id='social'><h2>S</h2><p>{text}</p></section></article></body>") == f"T\n{body}\nS\n{body}"
+    assert html_extract.main_text(f"<html><head><title>T here - site</title></head><body><header><a href=/>home</a><h1>T here</h1></header><div><p>{text}</p><p>{text}</p></div></body>") == f"T here\n{body}\n{body}"
+    # the name of the site is no heading, nor is a second h1
+    assert html_extract.main_text(f"<html><head><title>T - site</title></head><body><header><h1>site</h1></header><div><h2>T</h2><p>{text}</p><p>{text}</p></div></body>") == f"T\n{body}\n{body}"
+    assert html_extract.main_text(f"<title>T</title><body><header><h1>T</h1></header><div><h1>T</h1><p>{text}</p><p>{text}</p></div></body>") == f"T\n{body}\n{body}"
+    # boilerplate by any word of its name
+    for name in ("comment-list", "page-footer", "right-sidebar", "main-nav", "post_comments", "top-ad"):
+        side = f"<div class='{name}'><p>{'other text ' * 9}</p></div>"
+        assert html_extract.main_text(f"<body>{nav}<div><h1>T</h1><p>{text}</p><p>{text}</p></div>{side}</body>") == f"T\n{body}\n{body}", name
+        assert html_extract.main_text(f"<body><article><h1>T</h1><p>{text}</p>{side}<p>{text}</p></article></body>") == f"T\n{body}\n{body}", name
+        # and the main text under such a name stays
+        assert html_extract.main_text(f"<body>{nav}<div class='{name}'><div><h1>T</h1><p>{text}</p><p>{text}</p></div></div>{foot}</body>") == f"T\n{body}\n{body}", name
+    # comments are longer than the article here; a form of its own, notices and adverts go
+    talk = "".join(f"<li><p>{text}</p></li>" for _ in range(5))
+    assert html_extract.main_text(f"<body><article><p>{text}</p></article><ol class='comment-list'>{talk}</ol></body>") == body
+    assert html_extract.main_text(f"<body><div><p>{text}</p><p>{text}</p></div><form><p>Write to us <input></p></form><div class=notice>old</div></body>") == f"{body}\n{body}"
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "old"), (1, "u", None, "old"), (None, None, "<article>x  y</article>", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
