@@ -39,7 +39,9 @@ WIDTH = 64
 TAIL = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_CLOSED = re.compile(r"(?:-->|</(?:script|style)\s*>)\Z", re.I)
+_UNCLOSED = re.compile(r"<!--|<(?:script|style)\b", re.I)
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = frozenset("a abbr b br cite code em font i kbd mark q s small span strong sub sup u".split())
 _MEDIA = frozenset("img video audio source embed picture".split())
 ENTRY = "position long, kind string, text string, ref string, digest string, caption string"
@@ -72,10 +74,14 @@ def parse_sequence(html: str | None) -> list[tuple]:
             entries.append([len(entries), "text", text, None, None, None])
 
     figure_caption: list[str] = []
-    at = 0
-    for m in _TOKEN.finditer(html or ""):
+    html = html or ""
+    at, last = 0, html.rfind(">") + 1
+    # no tag ends behind the last >: what opens there is looked for once, not from each <
+    for m in _TOKEN.finditer(html, 0, last):
         words.append(html[at : m.start()])
         at = m.end()
+        if at == last and not m[3] and not _CLOSED.search(m[0]):
+            at = len(html)  # a comment or script that is never closed
         tag = (m[3] or "").lower()
         if not tag:
             continue
@@ -98,7 +104,7 @@ def parse_sequence(html: str | None) -> list[tuple]:
                 if figure is not None:
                     figure.append(len(entries))
                 entries.append([len(entries), "media", None, ref, digest and digest.lower(), caption])
-    words.append((html or "")[at:])
+    words.append(_UNCLOSED.split(html[at:], maxsplit=1)[0])
     flush()
     return [tuple(e) for e in entries]
 

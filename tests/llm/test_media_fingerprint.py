@@ -1,3 +1,4 @@
+import time
 from hashlib import sha256
 from zlib import crc32
 
@@ -108,3 +109,15 @@ def test_fingerprint_report(spark, sf, monkeypatch):
     assert fp.report(docs.limit(0)).count() == 0
     one = fp.report(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_malformed_pages_take_linear_time():
+    for unit in ("<a", "<img src=", "<!--", "<script", "<", "<a <b ", "< a=", "a=", "<figure"):
+        for tail in ("", ">"):
+            began = time.perf_counter()
+            media.parse_sequence(unit * (1_000_000 // len(unit)) + tail)
+            assert time.perf_counter() - began < 10, (unit, tail)
+    kinds = lambda h: [(e[1], e[2] or e[3]) for e in media.parse_sequence(h)]
+    assert kinds("a > b <!-- c") == [("text", "a > b")] and kinds("x<p>a<!-- <b> c") == [("text", "x"), ("text", "a")]
+    assert kinds("<p>a<script>var x = '<p>'") == [("text", "a")] and kinds("a < b <img src=q") == [("text", "a < b <img src=q")]
+    assert kinds("<p>a</p><style>p > a</style>b") == [("text", "a"), ("text", "b")]
