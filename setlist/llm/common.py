@@ -123,12 +123,13 @@ def match_spans(df: DataFrame, text: str, patterns: dict[str, str], prefix: str
     step = lambda k: F.zip_with(F.slice(f"__g_{k}", 1, F.size(f"__v_{k}")), f"__v_{k}", lambda g, v: g + F.length(v))
     df = df.select("*", *[F.when(F.size(f"__v_{k}") > 0, step(k)).alias(f"__s_{k}") for k in kinds])
     df = df.select("*", *[_block_sums(f"__s_{k}").alias(f"__b_{k}") for k in kinds])
+    df = df.select("*", *[_block_sums(f"__b_{k}").alias(f"__c_{k}") for k in kinds])
     return df.select(*keep, *[_spans(k).alias(prefix + k) for k in kinds])
 
 
 #: Offsets are running sums. Spark copies what an aggregation carries at each step, so sums are carried
-#: and arrays are not: first the sums of blocks of matches, then those within a match's own block.
-MATCH_BLOCK = 128
+#: and arrays are not: sums of blocks of matches, sums of blocks of those, and what a match has before it in its own blocks.
+MATCH_BLOCK = 48
 
 
 def _total(array: Column) -> Column:
@@ -141,20 +142,42 @@ def _block_sums(steps: str) -> Column:
 
 
 def _spans(kind: str) -> Column:
-    values, gaps, steps, sums = (F.col(f"__{c}_{kind}") for c in "vgsb")
+    values, gaps, steps, sums, tops = (F.col(f"__{c}_{kind}") for c in "vgsbc")
 
     def one(i):
         block = F.floor((i - 1) / MATCH_BLOCK).cast("int")
-        before = _total(F.slice(sums, F.lit(1), block)) + _total(F.slice(steps, block * MATCH_BLOCK + 1, i - 1 - block * MATCH_BLOCK))
+        top = F.floor(block / MATCH_BLOCK).cast("int")
+        part = lambda array, size, start: _total(F.slice(array, start + 1, size))
+        before = part(tops, top, F.lit(0)) + part(sums, block - top * MATCH_BLOCK, top * MATCH_BLOCK) + part(steps, i - 1 - block * MATCH_BLOCK, block * MATCH_BLOCK)
         start, value = before + F.element_at(gaps, i), F.element_at(values, i)
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
     # a column that only a lambda reads would be computed anew for every match; so each is read here too
-    found = (F.size(values) > 0) & (F.size(gaps) > 0) & (F.size(steps) > 0) & (F.size(sums) > 0)
+    found = (F.size(values) > 0) & (F.size(gaps) > 0) & (F.size(steps) > 0) & (F.size(sums) > 0) & (F.size(tops) > 0)
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     return F.when(found, F.transform(F.sequence(F.lit(1), F.size(values)), one)).otherwise(none)
 
 
+#: Code points of a block of :func:`in_blocks`.
+BLOCK = 4096
+
+
+def in_blocks(text: Column) -> Column:
+    """The text in pieces of :data:`BLOCK` code points. To take some out of a piece does not mean to walk the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def from_blocks(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    of = lambda i: F.coalesce(F.try_element_at(blocks, i + 1), F.lit(""))
+    here = lambda x, i: (x - i * BLOCK).cast("int")
+    head = F.substring(of(first), here(start, first) + 1, F.lit(BLOCK))
+    between = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    within = F.substring(of(first), here(start, first) + 1, (end - start).cast("int"))
+    return F.when(end <= start, "").when(first == last, within).otherwise(F.concat(head, between, F.substring(of(last), F.lit(1), here(end, last))))
+
+
 def span_list(kinds: list[str], prefix: str = "m_") -> Column:
     """All spans of ``kinds`` as ``array<struct<start, kind_order, end, kind>>`` in report order."""
 

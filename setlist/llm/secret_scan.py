@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, match_spans, span_list, span_text, whole_text
+from .common import cut, from_blocks, in_blocks, match_spans, span_list, span_text, whole_text
 
 BASE_KINDS = ["assign", "access", "hex"]
 SALTS = 256
@@ -130,20 +131,20 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every live credential replaced by ``mask``; common examples stay. The columns
     are those of ``docs``; ``n_chars``, where there is one, follows the text."""
     cols = docs.columns
-    judged = scan(docs.select("doc_id", "text", "lang", "source")).select("__row", F.col("live_at").alias("__cut"))
-    judged = judged.where(F.size("__cut") > 0).dropDuplicates(["__row"])
+    judged = scan(docs.select("doc_id", "text", "lang", "source")).where(F.size("live_at") > 0).select("__row", "live_at").dropDuplicates(["__row"])
+    # spans of a text in order, each with where the ones before it have ended; what starts earlier is masked already
+    spans = judged.select("__row", F.inline("live_at"))
+    before = Window.partitionBy("__row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    walked = spans.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    gaps = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("from", "start"))))
+    cuts = walked.groupBy("__row").agg(gaps.alias("__gaps"), F.max("end").alias("__last"))
     row = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), whole_text()))
-    df = docs.withColumn("__row", row).join(judged, "__row", "left")
-
-    def step(acc, s):
-        start, end = F.greatest(s["start"], acc["pos"]), F.greatest(s["end"], acc["pos"])
-        before = F.substring(F.col("text"), (acc["pos"] + 1).cast("int"), (start - acc["pos"]).cast("int"))
-        masked = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), masked.alias("out"))
-
-    walked = F.aggregate(F.col("__cut"), F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")), step)
-    df = df.withColumn("__w", F.when(F.col("__cut").isNotNull(), walked))
-    clean = F.concat(F.col("__w.out"), F.substring(F.col("text"), (F.col("__w.pos") + 1).cast("int"), F.length("text")))
+    df = docs.withColumn("__row", row).join(cuts, "__row", "left").withColumnRenamed("__gaps", "__cut")
+    df = df.withColumn("__blocks", F.when(F.col("__cut").isNotNull(), in_blocks(F.col("text"))))
+    pieces = F.transform("__cut", lambda g: F.concat(from_blocks(F.col("__blocks"), g["from"], g["start"]), F.lit(mask)))
+    rest = from_blocks(F.col("__blocks"), F.col("__last"), F.length("text").cast("long"))
+    # the blocks are read here too: a column that only a lambda reads would be made anew for every piece
+    clean = F.when(F.size("__blocks") > 0, F.concat(F.array_join(pieces, ""), rest))
     df = df.withColumn("text", F.coalesce(clean, F.col("text")))
     if "n_chars" in cols:
         df = df.withColumn("n_chars", F.when(F.col("__cut").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
