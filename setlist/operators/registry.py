@@ -37,9 +37,12 @@ def mark_printed(registry: DataFrame, version: str | None, now: str) -> DataFram
     return registry.withColumns({"printed_at": F.when(hit, F.lit(now)).otherwise(F.col("printed_at")), "printed_status": F.when(hit, "printed").otherwise(F.col("printed_status"))})
 
 
-def delete_pending(registry: DataFrame) -> DataFrame:
-    """What stays when pending cards are dropped."""
-    return registry.where(~F.col("printed_status").eqNullSafe(F.lit("pending")))
+def delete_pending(registry: DataFrame, version: str | None = None) -> DataFrame:
+    """What stays when pending cards (of one version) are dropped."""
+    hit = F.col("printed_status").eqNullSafe(F.lit("pending"))
+    if version is not None:
+        hit &= F.col("version").eqNullSafe(F.lit(version))
+    return registry.where(~hit)
 
 
 def overlap(registry: DataFrame, new: DataFrame) -> DataFrame:
@@ -110,6 +113,16 @@ def reprint(registry: DataFrame, backgrounds: int = 12) -> DataFrame:
     )
 
 
+def print_jobs(cards: DataFrame, split: str) -> DataFrame:
+    """``cards`` with the ``job`` that prints them: the full deck, one per expansion, or both, in which case each card
+    comes twice (O06)."""
+    jobs = {"combined": [F.lit("full_deck")], "per-expansion": [F.concat(F.lit("expansion_"), "expansion_anchor")]}
+    jobs["both"] = jobs["combined"] + jobs["per-expansion"]
+    if split not in jobs:
+        raise ValueError(f"unknown split: {split}")
+    return cards.select(F.explode(F.array(*jobs[split])).alias("job"), "*")
+
+
 def print_order(cards: DataFrame) -> list[Column]:
     """By expansion, then by rank."""
     return [F.col("expansion_anchor"), F.col("selection_rank")]

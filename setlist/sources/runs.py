@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 import random
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.keys import IDENTITY_VERSION
-from . import tables
+from . import positions
+from .snapshots import Store, Table
 
 FOLDERS = ("raw", "processed", "reports", "renders")
 
@@ -23,39 +23,52 @@ def run_id(now: datetime, seed: int) -> str:
     return f"{now:%Y%m%d_%H%M%S}_{''.join(draw.choices('abcdefghijklmnopqrstuvwxyz0123456789', k=6))}"
 
 
-def create(root: str, name: str) -> dict[str, str]:
-    """The folders of a run; all but the renders are made at once."""
+def create(spark: SparkSession, root: str, name: str) -> dict[str, str]:
+    """The folders of a run, in whatever store ``root`` is; all but the renders are made at once."""
+    store = Store(spark, root)
     paths = {f: f"{root}/{name}/{f}" for f in FOLDERS}
     for f in FOLDERS[:3]:
-        Path(paths[f]).mkdir(parents=True, exist_ok=True)
+        store.fs.mkdirs(store.at(paths[f]))
     return paths
 
 
-def write_manifest(root: str, name: str, config: str, owners: list[dict], seed: int, now: datetime) -> None:
-    """``manifest.json`` and ``params.json`` of a run."""
+def write_manifest(spark: SparkSession, root: str, name: str, config: str, owners: list[dict], seed: int, now: datetime) -> None:
+    """``manifest.json`` and ``params.json`` of a run; a run that goes on keeps what it began with."""
     manifest = {"run_id": name, "config_path": config, "identity_version": IDENTITY_VERSION, "owners": owners, "created_at": now.isoformat(timespec="seconds")}
+    store = Store(spark, root)
     for file, content in (("manifest.json", manifest), ("params.json", {"seed": seed, "identity_version": IDENTITY_VERSION})):
-        Path(f"{root}/{name}/{file}").write_text(json.dumps(content, indent=2, ensure_ascii=False), encoding="utf-8")
+        if not store.exists(f"{root}/{name}/{file}"):
+            store.write(f"{root}/{name}/{file}", json.dumps(content, indent=2, ensure_ascii=False))
+
+
+def latest(spark: SparkSession, root: str) -> str | None:
+    """The last run by name."""
+    return max((n for n in Store(spark, root).names(root) if not n.startswith(".")), default=None)
 
 
 def bootstrap(spark: SparkSession, store: str, schemas: dict[str, str]) -> None:
     """Empty tables for those that the store lacks."""
     for name, schema in schemas.items():
-        if not tables.exists(spark, f"{store}/{name}"):
-            spark.createDataFrame([], StructType.fromDDL(schema)).write.parquet(f"{store}/{name}")
+        table = Table(spark, f"{store}/{name}")
+        if table.version() is None:
+            table.commit(spark.createDataFrame([], StructType.fromDDL(schema)))
 
 
 def append_history(events: DataFrame, store: str, run: str) -> None:
-    """A run's events, each with its place within the run (S27, U09, W01). An empty table adds nothing."""
-    if not events.isEmpty():
-        order = [F.col("updated_at"), F.col("entity_id")]
-        tables.numbered(events, order).write.mode("append").parquet(f"{store}/curation_history/run_id={run}")
+    """A run's events, in the order they have (S27, U09). A run that is repeated writes its own events again and no others';
+    an empty table leaves none."""
+    path = f"{store}/curation_history/run_id={run}"
+    if events.isEmpty():
+        Store(events.sparkSession, path).delete(path)
+    else:
+        events.drop("run_id").write.mode("overwrite").parquet(path)
 
 
-def history(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    """Events of all runs, with ``run_id`` and ``seq``."""
+def history(spark: SparkSession, store: str, schema: str, without: str | None = None) -> DataFrame:
+    """Events of all runs (but one), with ``run_id`` and ``seq``: runs by name, then as each run wrote them."""
     path = f"{store}/curation_history"
-    wanted = StructType.fromDDL(f"{schema}, seq long, run_id string")
-    if not tables.exists(spark, path):
-        return spark.createDataFrame([], wanted)
-    return spark.read.schema(wanted).parquet(path)
+    wanted = StructType.fromDDL(f"{schema}, run_id string")
+    if not Store(spark, path).listing(path):
+        return spark.createDataFrame([], StructType.fromDDL(f"{schema}, run_id string, seq long"))
+    rows = positions.by_file(spark, path, wanted)
+    return rows if without is None else rows.where(F.col("run_id") != without)

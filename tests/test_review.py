@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from setlist.operators import identity, registry, review
 from setlist.sources import enrichment, playlists, runs, tables
+from setlist.sources.snapshots import Table
 
 SHEET = "song_id string, year_override string, ai_year string, artists_display_override string, title_display_override string, note string, ai_note string"
 STATE = "song_id string, year_override int, artists_display_override string, title_display_override string, note string"
@@ -31,7 +32,9 @@ def test_state_after_history(spark, tmp_path):
     assert runs.history(spark, store, schema).count() == 0
     runs.append_history(spark.createDataFrame([row("a", 1, "2024-01-01T00:00:00"), row("b", 2, "2024-01-01T00:00:00"), row("x", 9, "2024-01-01T00:00:00", "artist"), row("y", 9, "2024-01-01T00:00:00", v="v1")], schema), store, "r1")
     runs.append_history(spark.createDataFrame([row("a", 3, "2023-01-01T00:00:00"), row("b", 4, "soon")], schema), store, "r2")
-    current = spark.read.parquet(f"{store}/curation_current")
+    runs.append_history(spark.createDataFrame([row("a", 3, "2023-01-01T00:00:00"), row("b", 4, "soon")], schema), store, "r2")  # a repeated run adds nothing
+    assert runs.history(spark, store, schema).count() == 6
+    current = tables.read_table(spark, f"{store}/curation_current", "bootstrap")
     got = {r.song_id: r.year_override for r in review.current_state(current, runs.history(spark, store, schema)).collect()}
     assert got == {"a": 1, "b": 4}
 
@@ -53,22 +56,46 @@ def lookup(key):
     return {"unknown": None, "k1": {"recordings": [{"first-release-date": "1999-02"}, {"first-release-date": " 1987"}, {}, {"first-release-date": "n/a"}]}}.get(key, {"recordings": []})
 
 
-def test_enrichment(spark):
-    cache = spark.createDataFrame([("old", 1950, "x"), ("none", None, "x")], "isrc string, year int, fetched_at string")
+def broken(key):
+    if key == "k049":
+        raise KeyError("gone")
+    return {"recordings": [{"first-release-date": str(1900 + int(key[1:]))}]}
+
+
+def test_enrichment(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    Table(spark, path).commit(spark.createDataFrame([("old", 1950, "1"), ("none", None, "1"), ("old", 1951, "2")], "isrc string, year int, fetched_at string"))
     wanted = spark.createDataFrame([("old",), ("none",), (" k1 ",), ("k1",), ("bad",), ("unknown",), (None,), (" ",), ("z",)], "isrc string")
-    got = {r.isrc: r.year for r in enrichment.enrich(wanted, cache, "isrc", "tests.test_review.lookup", pause=0.0).collect()}
-    assert got == {"old": 1950, "none": None, "k1": 1987, "unknown": None, "z": None}
+    assert enrichment.fill(spark, wanted, path, "isrc", "tests.test_review.lookup", pause=0.0, flush=2) == 3
+    got = {r.isrc: r.year for r in enrichment.cached(spark, path, "isrc").collect()}
+    assert got == {"old": 1951, "none": None, "k1": 1987, "unknown": None, "z": None}
+    assert enrichment.fill(spark, wanted.where("isrc <> 'bad'"), path, "isrc", "tests.test_review.lookup", pause=0.0) == 0
     assert enrichment.earliest_year(None) is None and enrichment.earliest_year({"recordings": None}) is None
 
 
-def test_runs(tmp_path):
+@pytest.mark.parametrize("flush", [7, 50, 1000])
+def test_what_was_fetched_stays(spark, tmp_path, flush):
+    path = str(tmp_path / "cache")
+    wanted = spark.createDataFrame([(f"k{i:03d}",) for i in range(60)], "isrc string")
+    for _ in range(2):  # the second call asks again for the key that failed, and for none before it
+        with pytest.raises(RuntimeError, match="k049"):
+            enrichment.fill(spark, wanted, path, "isrc", "tests.test_review.broken", pause=0.0, flush=flush)
+        rows = enrichment.cached(spark, path, "isrc")
+        assert rows.count() == 49 and rows.agg(F.max("isrc")).first()[0] == "k048"
+    assert Table(spark, path).read().count() == 49
+
+
+def test_runs(spark, tmp_path):
     now = datetime(2024, 5, 6, 7, 8, 9)
     name = runs.run_id(now, 666)
     assert name.startswith("20240506_070809_") and name == runs.run_id(now, 666) != runs.run_id(now, 1)
-    made = runs.create(str(tmp_path), name)
-    runs.write_manifest(str(tmp_path), name, "c.json", [{"owner_id": "a"}], 666, now)
+    made = runs.create(spark, str(tmp_path), name)
+    for seed in (666, 7):  # a run that goes on keeps its manifest
+        runs.write_manifest(spark, str(tmp_path), name, "c.json", [{"owner_id": "a"}], seed, now)
     assert Path(made["raw"]).is_dir() and not Path(made["renders"]).exists()
     assert json.loads(Path(tmp_path, name, "manifest.json").read_text())["owners"] == [{"owner_id": "a"}]
+    assert json.loads(Path(tmp_path, name, "params.json").read_text())["seed"] == 666
+    assert runs.latest(spark, str(tmp_path)) == name and runs.latest(spark, str(tmp_path / "none")) is None
 
 
 def test_playlist_counts(spark):
@@ -101,10 +128,8 @@ def test_registry_versions(spark, tmp_path):
     tables.publish(one, path, backup="v0")
     more = registry.append(tables.read_table(spark, path, "x"), spark.createDataFrame([("c2", "s2", "pending")], one.schema))
     tables.publish(more, path, backup="v1")
-    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(f"{path}.v1").count() == 1
-    Path(path).rename(f"{path}.old")
     more = tables.read_table(spark, path, "x")
-    assert more.count() == 2
+    assert more.count() == 2 and tables.read_backup(spark, path, "v1").count() == 1
     with pytest.raises(ValueError, match="scope"):
         registry.printable(one, one, "some")
     assert registry.printable(more, one, "new-only").count() == 1
