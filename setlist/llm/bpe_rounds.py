@@ -30,13 +30,19 @@ def candidates(bpe: Bpe, s: np.ndarray, p: np.ndarray, key: np.ndarray, j: np.nd
     i = np.minimum(np.searchsorted(bpe.keys, code), len(bpe.keys) - 1)
     hit = bpe.keys[i] == code
     if dropout:
-        u = np.uint64
-        x = mix(k + lo.astype(u) * u(0x2545F4914F6CDD1D) + mid.astype(u) * u(0x9E6C63D0876A9A47) + hi.astype(u) * u(0xD1342543DE82EF95))
-        hit &= x >> u(11) >= u(int(dropout * (1 << 53)))
+        hit &= mix(k + span_terms(lo, mid, hi)) >> np.uint64(11) >= np.uint64(int(dropout * (1 << 53)))
     return np.where(hit, bpe.rank[i], _NEVER), bpe.merged[i]
 
 
-def rounds(bpe: Bpe, s: np.ndarray, key: np.ndarray, at: np.ndarray, dropout: float, out: list[bytes]) -> None:
+def span_terms(lo: np.ndarray, mid: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """What a candidate's place adds to the key that its hash is made of."""
+    u = np.uint64
+    return lo.astype(u) * u(0x2545F4914F6CDD1D) + mid.astype(u) * u(0x9E6C63D0876A9A47) + hi.astype(u) * u(0xD1342543DE82EF95)
+
+
+def rounds(bpe: Bpe, s: np.ndarray, key: np.ndarray, at: np.ndarray, dropout: float, out: list[bytes], trace: list | None = None) -> None:
+    """Merge each row of ``s``; its ids go to ``out`` at its place ``at``. ``trace`` gets (places, span terms) of the merges
+    of each round."""
     n = s.shape[1]
     p = np.broadcast_to(np.arange(n + 1), (len(s), n + 1)).copy()
     rank, new = candidates(bpe, s, p, key, slice(None), dropout) if n > 1 else (np.empty((len(s), 0), np.int64),) * 2
@@ -56,6 +62,8 @@ def rounds(bpe: Bpe, s: np.ndarray, key: np.ndarray, at: np.ndarray, dropout: fl
             return
         m = len(s)
         r = np.arange(m)
+        if trace is not None:
+            trace.append((at, span_terms(p[r, best], p[r, best + 1], p[r, best + 2])))
         s[r, best] = new[r, best]
         keep = np.ones((m, width), bool)
         keep[r, best + 1] = False

@@ -1,20 +1,23 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 Merges of a word stand on an agenda, best score first, leftmost first among equals. When a
-candidate merge comes up, a keyed hash of (seed, word, variant, span) may skip it for good; with
-probability ``dropout`` it does. Each occurrence of a word takes one of ``VARIANTS`` variants by
-its place and its document's hash, so segmentations vary along a text and between seeds, yet a
-rerun, another partitioning or a lost executor gives the same ids.
+candidate merge comes up, a keyed hash of (seed, document, place, span) may skip it for good; with
+probability ``dropout`` it does. Every occurrence of a word draws for itself: the document is its text's hash, the place
+is the word's number in it. A rerun, another partitioning or a lost executor gives the same ids, and equal texts get equal ones.
 
-:func:`agenda` is that algorithm for one word. :func:`merge_words` gives the same result for many
-words of a few lengths at once: each round takes the best candidate that is not skipped in every
-word, which is the order in which the agenda hands them out. Longer words go to the agenda.
+:func:`agenda` is that algorithm for one word. Without a skip, all occurrences of a word take the same merges in the
+same order, so these are worked out once a word; for an occurrence only the hashes of these merges are drawn. If none of
+them skips, the agenda would have taken just these, and the known ids are its result. If one skips, the
+occurrence is segmented by itself: :func:`bpe_rounds.rounds` gives what the agenda gives for many occurrences of a few lengths
+at once: each round takes the best candidate that is not skipped in every word. Longer words go to the agenda.
 
 The model's normalizer is the identity, a blank becomes U+2581 and one is put before the text.
 Code points that the vocabulary lacks, and U+2581 itself where the text has it, become byte
 pieces, so that every text decodes to itself. Nothing is trained. One pass, no shuffle.
 
-Null text is empty and gives no pieces; repeated rows give equal rows; extra columns do not matter.
+Null text is empty and gives no pieces; repeated rows give equal rows; merges of equal score are taken from the left; a text of
+any length is encoded whole, in groups of texts of about :data:`GROUP` characters; extra columns do not matter; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -37,9 +40,11 @@ from .common import whole_text
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 4
-CACHE = 1_000_000
+#: Words whose merges are remembered, and characters that are encoded at once.
+CACHE = 500_000
+GROUP = 1_000_000
 SPACE = "▁"
+GONE = 1 << 62
 _ALL = (1 << 64) - 1
 _PIECE = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -104,19 +109,16 @@ class Bpe:
         return np.array(out, "<u2").tobytes()
 
 
-def word_key(word: str, variant: int, seed: int) -> int:
-    h = seed & _ALL
-    for c in word:
-        h = (h * 0x100000001B3 + ord(c)) & _ALL
-    return _mix_int(h + (variant + 1) * _M2 & _ALL)
+def occurrence_key(seed: int, document: int, place: int) -> int:
+    return _mix_int((_mix_int((seed * _M1 + document) & _ALL) + (place + 1) * _M2) & _ALL)
 
 
-def word_keys(points: np.ndarray, variant: int, seed: int) -> np.ndarray:
-    """:func:`word_key` of each row of code points."""
-    h = np.full(len(points), seed & _ALL, np.uint64)
-    for c in points.T:
-        h = h * np.uint64(0x100000001B3) + c
-    return mix(h + np.uint64((variant + 1) * _M2 & _ALL))
+def occurrence_keys(seed: int, documents: list[int], counts: list[int]) -> np.ndarray:
+    """:func:`occurrence_key` of all words of documents that have ``counts`` words."""
+    own = np.array([_mix_int((seed * _M1 + d) & _ALL) for d in documents], np.uint64)
+    n = np.array(counts, np.int64)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(own, n) + (place + 1).astype(np.uint64) * np.uint64(_M2))
 
 
 def skipped(key: int, start: int, mid: int, end: int, dropout: float) -> bool:
@@ -125,7 +127,8 @@ def skipped(key: int, start: int, mid: int, end: int, dropout: float) -> bool:
 
 
 def agenda(bpe: Bpe, word: str, key: int, dropout: float) -> list[int]:
-    """Segment one word by priority queue."""
+    """Segment one word by priority queue. A symbol that has gone into its left neighbour is marked :data:`GONE`; zero is the
+    unknown code point 0."""
     sym = bpe.symbols(word)
     n = len(sym)
     left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
@@ -140,55 +143,69 @@ def agenda(bpe: Bpe, word: str, key: int, dropout: float) -> list[int]:
         propose(i)
     while heap:
         _, i, j, e, new = heapq.heappop(heap)
-        if sym[i] == 0 or sym[j] == 0 or right[i] != j or end[j] != e or end[i] != j:
+        if sym[i] == GONE or sym[j] == GONE or right[i] != j or end[j] != e or end[i] != j:
             continue
         if dropout and skipped(key, i, j, e, dropout):
             continue
-        sym[i], sym[j], end[i], right[i] = new, 0, e, right[j]
+        sym[i], sym[j], end[i], right[i] = new, GONE, e, right[j]
         if right[i] < n:
             left[right[i]] = i
             propose(i)
         if left[i] >= 0:
             propose(left[i])
-    return [s for s in sym if s]
+    return [s for s in sym if s != GONE]
 
 
-def merge_words(bpe: Bpe, words: list[str], variant: int, seed: int, dropout: float) -> tuple[list[str], list[bytes]]:
-    """Segment words of up to ``LONGEST`` code points, all words of a length at once. Returns
-    the words in another order, and their ids."""
-    words = sorted(words, key=len)
-    out: list[bytes] = [b""] * len(words)
+def merge_words(bpe: Bpe, words: list[str], keys: np.ndarray, dropout: float, trace: list | None = None) -> list[bytes]:
+    """Ids of words of up to ``LONGEST`` code points, each with its own key; all words of a length at once."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out: list[bytes] = [b""] * len(words)
     for n in np.unique(lengths).tolist():
-        lo, hi = np.searchsorted(lengths, [n, n + 1]).tolist()
-        points = np.frombuffer("".join(words[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(hi - lo, n)
-        rounds(bpe, bpe.table[points], word_keys(points, variant, seed), np.arange(lo, hi), dropout, out)
-    return words, out
+        at = np.flatnonzero(lengths == n)
+        points = np.frombuffer("".join([words[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
+        rounds(bpe, bpe.table[points], keys[at], at, dropout, out, trace)
+    return out
+
+
+LITERAL = "\0literal"
 
 
 class Encoder:
-    """Encodes texts by way of a cache of segmented words, one per variant."""
+    """Encodes texts by way of what it remembers of words: their ids if no merge is skipped, and these merges."""
 
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
         self.bpe, self.seed, self.dropout = Bpe(path), seed, dropout
-        self.variants = variants if dropout else 1
-        self.words: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.literal = self.bpe.final([-ord(SPACE)])
-
-    def _learn(self, variant: int, words: set[str]) -> None:
-        known = self.words[variant]
-        known.update(zip(*merge_words(self.bpe, [w for w in words if 0 < len(w) <= LONGEST], variant, self.seed, self.dropout), strict=True))
-        for w in words:
-            if len(w) > LONGEST:
-                known[w] = self.bpe.final(agenda(self.bpe, w, word_key(w, variant, self.seed), self.dropout))
-        known[""] = b""
+        self.limit = np.uint64(int(dropout * (1 << 53)))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with the mark of a literal U+2581 and the empty word, which have no merges."""
+        self.index: dict[str, int] = {LITERAL: 0, "": 1}
+        self.plain: list[bytes] = [self.bpe.final([-ord(SPACE)]), b""]
+        self.long = np.zeros(2, bool)
+        self.starts, self.terms = np.zeros(3, np.int64), np.empty(0, np.uint64)
+
+    def _learn(self, words: list[str]) -> None:
+        short = [w for w in words if len(w) <= LONGEST]
+        trace: list[tuple] = []
+        plain = merge_words(self.bpe, short, np.zeros(len(short), np.uint64), 0.0, trace)
+        at = np.concatenate([a for a, _ in trace]) if trace else np.empty(0, np.int64)
+        terms = np.concatenate([t for _, t in trace]) if trace else np.empty(0, np.uint64)
+        long = [w for w in words if len(w) > LONGEST]  # their every occurrence goes to the agenda
+        known = len(self.plain)
+        self.index.update(zip(short + long, range(known, known + len(words)), strict=True))
+        self.plain += plain + [b""] * len(long)
+        self.long = np.concatenate([self.long, np.zeros(len(short), bool), np.ones(len(long), bool)])
+        n = np.concatenate([np.bincount(at, minlength=len(short)), np.zeros(len(long), np.int64)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+        self.terms = np.concatenate([self.terms, terms[np.argsort(at, kind="stable")]])
 
     def _split(self, text: str) -> list[str]:
         if SPACE in text or "  " in text or text.endswith(" ") or text.startswith(" ") or " \n" in text or "\n " in text:
             parts = []
             for i, x in enumerate(text.split(SPACE)):
                 x = (SPACE if i == 0 else "") + x.replace(" ", SPACE)
-                parts += ["\0literal"] * (i > 0) + _PIECE.findall(x)
+                parts += [LITERAL] * (i > 0) + _PIECE.findall(x)
             return parts
         return (SPACE + text.replace(" ", f" {SPACE}")).replace("\n", " \n ").split(" ")
 
@@ -198,33 +215,39 @@ class Encoder:
         for t in texts:
             group.append(t)
             size += len(t)
-            if size > 2_000_000:
+            if size > GROUP:
                 out += self._encode_group(group)
                 group, size = [], 0
         return out + (self._encode_group(group) if group else [])
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
-        split = [(self._split(t), crc32(t.encode("utf-8", "surrogatepass"))) if t else ([], 0) for t in texts]
-        v = self.variants
-        need: list[set[str]] = [set() for _ in range(v)]
-        for parts, h in split:
-            for i in range(min(v, len(parts))):
-                need[(h + i) % v].update(parts[i::v])
-        for k in range(v):
-            missing = {w for w in need[k] if w not in self.words[k]}
-            if missing:
-                if len(self.words[k]) + len(missing) > CACHE // v:
-                    missing = need[k]
-                    self.words[k].clear()
-                self._learn(k, missing - {"\0literal"})
-                self.words[k]["\0literal"] = self.literal
-        out = []
-        for parts, h in split:
-            ids: list[bytes] = [b""] * len(parts)
-            for i in range(min(v, len(parts))):
-                ids[i::v] = map(self.words[(h + i) % v].__getitem__, parts[i::v])
-            out.append(b"".join(ids))
-        return out
+        split = [self._split(t) if t else [] for t in texts]
+        counts = [len(parts) for parts in split]
+        words = [w for parts in split for w in parts]
+        missing = [w for w in dict.fromkeys(words) if w not in self.index]
+        if missing:
+            if len(self.index) + len(missing) > CACHE:
+                self._forget()
+                missing = [w for w in dict.fromkeys(words) if w not in self.index]
+            self._learn(missing)
+        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        made = list(map(self.plain.__getitem__, which.tolist()))
+        alone = self.long[which]
+        keys = occurrence_keys(self.seed, [crc32(t.encode("utf-8", "surrogatepass")) for t in texts], counts)
+        if self.dropout:
+            n = self.starts[which + 1] - self.starts[which]
+            of = np.repeat(np.arange(len(which)), n)
+            term = np.arange(len(of)) + np.repeat(self.starts[which] - (np.cumsum(n) - n), n)
+            skips = mix(keys[of] + self.terms[term]) >> np.uint64(11) < self.limit
+            other = np.zeros(len(which), bool)
+            other[of[skips]] = True
+            at = np.flatnonzero(other & ~alone)
+            for i, ids in zip(at.tolist(), merge_words(self.bpe, [words[i] for i in at.tolist()], keys[at], self.dropout), strict=True):
+                made[i] = ids
+        for i in np.flatnonzero(alone).tolist():
+            made[i] = self.bpe.final(agenda(self.bpe, words[i], int(keys[i]), self.dropout))
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(made[end - k : end]) for end, k in zip(ends, counts, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.bpe.raw.__getitem__, np.frombuffer(ids, "<u2").tolist()))

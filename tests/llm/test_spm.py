@@ -1,12 +1,13 @@
 import random
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import sentencepiece
 
 from setlist.llm import spm as S
 
-ODD = ["", " ", "  a  b ", "a\n\nb\n", " \n x \n", "▁", "a▁b ▁▁ c", "日本 𝄞 é ́ \x00\t", "x" * 300, "a" * 47 + " " + "a" * 48 + " " + "ab" * 40, "<s> </s> <0x41> <unk>"]
+ODD = ["", " ", "  a  b ", "a\n\nb\n", " \n x \n", "▁", "a▁b ▁▁ c", "日本 𝄞 é ́ \x00\t", "x" * 300, "a" * 47 + " " + "a" * 48 + " " + "ab" * 40, "<s> </s> <0x41> <unk>", "\x00" * 60 + "z"]
 
 
 def texts(spark, sf):
@@ -28,8 +29,40 @@ def test_rounds_equal_agenda():
     rng = random.Random(3)
     words = ["".join(rng.choice("▁etaonhi,é日") for _ in range(rng.randint(1, 40))) for _ in range(400)] + ["▁international", "▁▁▁▁x"]
     for p in (0.0, 0.1, 0.5, 1.0):
-        for w, ids in zip(*S.merge_words(bpe, words, 2, 9, p), strict=True):
-            assert ids == bpe.final(S.agenda(bpe, w, S.word_key(w, 2, 9), p)), w
+        keys = [S.occurrence_key(9, 77, i) for i in range(len(words))]
+        for w, k, ids in zip(words, keys, S.merge_words(bpe, words, np.array(keys, np.uint64), p), strict=True):
+            assert ids == bpe.final(S.agenda(bpe, w, k, p)), w
+    assert S.occurrence_keys(9, [77, 5], [3, 2]).tolist() == [S.occurrence_key(9, d, i) for d, n in ((77, 3), (5, 2)) for i in range(n)]
+
+
+def brute(bpe, text, seed, dropout):
+    """Every word of the text by the agenda alone."""
+    if not text:
+        return b""
+    enc = S.Encoder.__new__(S.Encoder)
+    out = []
+    for i, w in enumerate(enc._split(text)):
+        key = S.occurrence_key(seed, crc32(text.encode("utf-8", "surrogatepass")), i)
+        out.append(bpe.final([-ord(S.SPACE)] if w == S.LITERAL else S.agenda(bpe, w, key, dropout)))
+    return b"".join(out)
+
+
+def test_whole_query_as_the_agenda(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80).unionByName(spark.createDataFrame([(90_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"), allowMissingColumns=True)
+    bpe = S.Bpe(S.model_path())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in S.report(docs).collect():
+        ids = np.frombuffer(brute(bpe, texts[r.doc_id], S.SEED, S.DROPOUT), "<u2").astype("<u4").tobytes()
+        assert (r.n_pieces, r.ids_crc32, r.ids_sha256) == (len(ids) // 4, crc32(ids), sha256(ids).hexdigest()) and r.lossless
+    # every occurrence draws for itself
+    text = "international " * 3000
+    seen, at = set(), 0
+    ids = S.Encoder(S.model_path()).encode_all([text])[0]
+    for i, w in enumerate(S.Encoder.__new__(S.Encoder)._split(text)):
+        n = len(bpe.final(S.agenda(bpe, w, S.occurrence_key(S.SEED, crc32(text.encode()), i), S.DROPOUT)))
+        seen.add(ids[at : at + n])
+        at += n
+    assert at == len(ids) and len(seen) > 15
 
 
 def test_dropout_varies_and_is_lossless(spark, sf, monkeypatch):
