@@ -20,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import match_spans, span_list, span_text, whole_text
+from .common import from_blocks, in_blocks, match_spans, span_list, span_text, whole_text
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "iban"]
 CONTEXT_CHARS = 40
-BLOCK = 4096
 
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -104,13 +103,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     some = F.lit(False)
     for k in KINDS:
         some = some | (F.size(f"m_{k}") > 0)
-    df = df.withColumn("__blocks", F.when(some, F.regexp_extract_all(F.col("__text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    df = df.withColumn("__blocks", F.when(some, in_blocks(F.col("__text"))))
 
     def part(start: Column, size: Column) -> Column:
-        """``size`` code points from ``start`` on, at most :data:`BLOCK`."""
-        k = F.floor(start / BLOCK).cast("int")
-        two = F.concat(F.coalesce(F.try_element_at("__blocks", k + 1), F.lit("")), F.coalesce(F.try_element_at("__blocks", k + 2), F.lit("")))
-        return F.substring(two, (start - k * BLOCK + 1).cast("int"), size.cast("int"))
+        return from_blocks(F.col("__blocks"), start, start + size)
 
     def near(kind: str, s: Column) -> Column:
         """A context word on either side. Each side also has one code point of the span, so that
