@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +46,39 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Paths that were made since :func:`swept` began, if it has.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Tables and checkpoints that :func:`written`, :func:`cut` and :func:`cut_dealt` make meanwhile are deleted at the end: what
+    was made of them has been written elsewhere by then."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for p in paths:
+            discard(spark, p)
+
+
+def _note(df: DataFrame) -> DataFrame:
+    """Remember where a checkpoint is."""
+    if (paths := _made.get()) is not None:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            paths.append(file.get())
+    return df
+
+
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: it cuts the lineage as
     :func:`cut` does, in compressed columns."""
     path = shared_folder(df.sparkSession, "table")
+    if (paths := _made.get()) is not None:
+        paths.append(path)
     with _tidy(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -64,7 +94,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     with _tidy(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return _note(df.checkpoint(eager=True))
 
 
 def release(df: DataFrame) -> None:
@@ -97,7 +127,7 @@ def cut_dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df.repartition(parts, *keys).checkpoint(eager=True)
+        return _note(df.repartition(parts, *keys).checkpoint(eager=True))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 

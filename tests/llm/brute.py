@@ -76,3 +76,36 @@ def pii_scored(text):
                 near |= (a - 40 <= m.start() and m.end() <= a) or (b <= m.start() and m.end() <= b + 40)
         out.append((f"{kind}:{a}:{b}", f"{0.5 + 0.3 * (kind in ('card', 'iban')) + 0.2 * near:.2f}"))
     return out
+
+
+PLACEHOLDER = re.compile("example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|test|foobar|123456", re.I)
+
+
+def candidates(text):
+    """(start, end, value, looks live) of every base span's own secret."""
+    for kind, a, b in secrets(text)[0]:
+        value = ASSIGN.fullmatch(text[a:b])[2] if kind == "assign" else text[a:b]
+        mixed = re.search("[0-9]", value) and re.search("[A-Za-z]", value)
+        password = kind == "assign" and text[a:b].lower().startswith("passw")
+        likely = len(set(value)) >= 8 and not PLACEHOLDER.search(value)
+        yield b - len(value), b, value, bool(likely and (kind == "access" or password or mixed))
+
+
+def redacted(rows):
+    """doc_id to text with the live secrets of (doc_id, text, owner, language) rows masked."""
+    owners, repos, looks = {}, {}, {}
+    for _, text, owner, lang in rows:
+        for _, _, v, live in candidates(text or ""):
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add((owner, lang))
+            looks[v] = looks.get(v, False) or live
+    out = {}
+    for d, text, _, _ in rows:
+        spans = sorted({(a, b) for a, b, v, _ in candidates(text or "") if looks[v] and len(owners[v]) <= 2 and len(repos[v]) <= 3})
+        made, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                made += [text[at:a], "[secret]"]
+            at = max(at, b)
+        out[d] = "".join(made) + text[at:] if spans else text
+    return out

@@ -44,6 +44,45 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
 
 
+def grams(text):
+    """The most frequent 1- to 3-grams of a text's words, ties by code points."""
+    from collections import Counter
+
+    n = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        p = f"\x01{w}\x01"
+        n.update(p[i : i + k] for k in (1, 2, 3) for i in range(len(p) - k + 1) if p[i : i + k] != "\x01")
+    return n
+
+
+def code(gram):
+    """Shorter n-grams are smaller numbers; 21 bits a code point."""
+    return sum(ord(c) << 21 * i for i, c in enumerate(reversed(gram)))
+
+
+def test_whole_query_against_brute_force(spark, sf):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(7001, None, "en"), (7002, "12 %", "de"), (7003, "Straße ÉTÉ", None), (7004, "x " * 4000, "fr")], docs.schema)
+    docs = docs.union(odd)
+    rows = docs.collect()
+    top = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+    learned = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and crc32(str(r.doc_id).encode()) % 4 != 2:
+            learned.setdefault(r.lang, Counter()).update(grams(r.text))
+    ranks = {lang: {g: i for i, g in enumerate(top(n))} for lang, n in sorted(learned.items())}
+    got = {r.doc_id: r for r in langid.report(docs).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        mine = top(grams(r.text or ""))
+        far = {lang: sum(abs(i - of[g]) if g in of else 300 for i, g in enumerate(mine)) for lang, of in ranks.items()}
+        want = min(far, key=lambda lang: (far[lang], lang)) if mine else "und"
+        score = 1 - far[want] / (300 * len(mine)) if mine else 0.0
+        assert got[r.doc_id].lang_pred == want and abs(got[r.doc_id].score - score) < 1e-12, r.doc_id
+
+
 def test_langid_edges(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(None, "the house and the garden", "en", "x"), (1, None, "en", None), (3, "", None, None), (4, "123 %%", "de", None), (4, "the house and the garden", "en", None), (5, "der Hund und die Katze", "de", None)]

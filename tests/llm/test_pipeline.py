@@ -1,8 +1,10 @@
 from collections import defaultdict
+from pathlib import Path
 
 import brute
 import test_neardup
 import test_substring
+from pyspark.sql import Row
 
 import corpus_pipeline as C
 from setlist.llm import langid, packing, secret_scan
@@ -28,16 +30,18 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
     want = {d for d, _, c in test_neardup.brute([(i, r.text) for i, r in rows[1].items()]) if d == c}
     assert set(rows[2]) == want and all(rows[1][i] == r for i, r in rows[2].items())
     # 3: repeated passages go
-    for d, _, removed, _, sha in test_substring.brute([(i, r.text) for i, r in rows[2].items()]):
-        if removed == 0:
-            assert rows[3][d] == rows[2][d]
-        else:
-            assert rows[3][d].n_chars == len(rows[3][d].text) < len(rows[2][d].text)
-    # 4: only live secrets change
-    for i, r in rows[4].items():
-        if r.text != rows[3][i].text:
-            assert "[secret]" in r.text and brute.secrets(rows[3][i].text)[0] and r.n_chars == len(r.text)
-    assert "Zq81kdLw02Xb" not in rows[4][5002].text
+    kept = test_substring.kept_bytes([(i, r.text) for i, r in rows[2].items()])
+    changed = 0
+    for d, r in rows[3].items():
+        text = kept[d].decode("utf-8", "ignore")
+        changed += text != rows[2][d].text
+        assert r == Row(**rows[2][d].asDict() | {"text": text, "n_chars": rows[2][d].n_chars if text == rows[2][d].text else len(text)})
+    assert changed and set(rows[3]) == set(rows[2])
+    # 4: live secrets are masked, and nothing else changes
+    masked = brute.redacted([(r.doc_id, r.text, r.source, r.lang) for r in rows[3].values()])
+    assert {i: r.text for i, r in rows[4].items()} == masked
+    assert all(r == Row(**rows[3][i].asDict() | {"text": masked[i], "n_chars": rows[3][i].n_chars if masked[i] == rows[3][i].text else len(masked[i])}) for i, r in rows[4].items())
+    assert "Zq81kdLw02Xb" not in rows[4][5002].text and sum(masked[i] != r.text for i, r in rows[3].items()) > 1
     # 5: every id once
     cache = packing.WordCache(packing.tokenizer_path())
     import pyarrow as pa
@@ -49,8 +53,13 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
         got[r.doc_id] += r.length
         assert r.doc_tokens == lengths[r.doc_id]
     assert got == lengths
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.iterdir())
     result = C.run(spark, str(tmp_path))
     assert result.count() == stages[5].count()
+    left = [p.name for p in set(folder.iterdir()) - before]
+    # the last stage's input, and what the last stage reads
+    assert sum(n.startswith("pipeline-") for n in left) == 1 and len(left) <= 6, left
 
 
 def test_stages_on_empty_table(spark):

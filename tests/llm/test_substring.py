@@ -29,6 +29,25 @@ def brute(rows):
     return out
 
 
+def kept_bytes(rows):
+    """What is left of each text."""
+    far = 1 << 63
+    low = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            low[b[i : i + 50]] = min(low.get(b[i : i + 50], far), d)
+    out = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if low[b[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        out[d] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    return out
+
+
 def check(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.report(docs).collect()]
