@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from setlist.llm import langid, neardup, packing, secret_scan, substring
-from setlist.llm.common import discard, shared_folder
+from setlist.llm.common import discard, shared_folder, swept
 
 
 #: Rows of a batch between Spark and Python. Documents are long, stages hand them over one after
@@ -79,7 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with swept(spark):  # what the stage has made on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             discard(spark, before)
