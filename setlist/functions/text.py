@@ -10,7 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import norm, norm_list
@@ -92,50 +92,39 @@ def base_title(title: str | None) -> tuple[str, bool, bool]:
     return rest or whole, cut, bool(re.search(r"\bremix\b", whole))
 
 
-# Letters and word characters of English and Spanish, and words that keep their capitals
-# (initials, Roman numerals, words with a digit, joined capitals).
-_LETTER = re.compile(r"[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]")
-_WORD = re.compile(r"[0-9A-Za-zÁÉÍÓÚÜÑáéíóúüñ]")
+# Letters of English and Spanish; words that keep their capitals (initials, Roman numerals, words with a
+# digit, joined capitals); how long other capitals may be that are kept; small words that rise all the same; what may
+# close a phrase, and the quotes and brackets that may stand behind it.
+_LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 _KEEP = re.compile(r"(?:[A-Z]\.){2,}[A-Z]?\.?|[IVXLCDM]+|.*\d.*|(?=.*[&/+])[A-Z0-9&/+]+(?:-[A-Z0-9&/+]+)*", re.S)
+_CAPITALS = 3
+_RISING = frozenset(["so"])
+_PHRASE_END = re.compile("(?:\\.\\.\\.|[:?!])[\"'”’)\\]}]*$")
+#: From the first to the last letter or digit of a token, and a letter that opens a word or follows a mark.
+_CORE = re.compile(rf"[0-9{_LETTERS}](?:.*[0-9{_LETTERS}])?", re.S)
+_OPENING = re.compile(rf"(?:\A|[:?!/-]|\.\.\.)[^{_LETTERS}]*[{_LETTERS}]")
 
 
-def _special(core: str) -> bool:
-    if not core or core.casefold() in SMALL_WORDS:
-        return False
-    return bool(_KEEP.fullmatch(core)) or (len(core) <= 3 and core.isalpha() and core.isupper())
+def _keeps(word: str) -> bool:
+    short = len(word) <= _CAPITALS and word.isalpha() and word.isupper()
+    return word.casefold() not in SMALL_WORDS and (short or bool(_KEEP.fullmatch(word)))
 
 
-def _capitals(core: str) -> str:
-    out, start = [], True
-    for i, c in enumerate(core.lower()):
-        letter = bool(_LETTER.match(c))
-        out.append(c.upper() if start and letter else c)
-        if letter:
-            start = False
-        elif c in ":?!/-" or (c == "." and out[-3:] == ["."] * 3):
-            start = True
-    return "".join(out)
+def title_case(title: str) -> str:
+    """Bilingual title case (F10): small words stay small, but for the first and the last and those that open a phrase."""
+    tokens = title.split()
+    rises = {0, len(tokens) - 1, *(i + 1 for i, t in enumerate(tokens) if _PHRASE_END.search(t))}
 
+    def cased(at: int, token: str) -> str:
+        found = _CORE.search(token)
+        if found is None or _keeps(token[found.start() :]) or _keeps(found[0]):
+            return token
+        low = found[0].casefold()
+        if at in rises or low not in SMALL_WORDS - _RISING:
+            low = _OPENING.sub(lambda m: m[0][:-1] + m[0][-1].upper(), found[0].lower())
+        return token[: found.start()] + low + token[found.end() :]
 
-def title_case(title: str) -> str:
-    """Bilingual title case."""
-    tokens, out, opens = title.split(), [], True
-    for i, token in enumerate(tokens):
-        at = [m.start() for m in _WORD.finditer(token)]
-        if at:
-            head, core, tail = token[: at[0]], token[at[0] : at[-1] + 1], token[at[-1] + 1 :]
-            if _special(core + tail) or _special(core):
-                pass
-            elif core.casefold() in SMALL_WORDS - {"so"} and 0 < i < len(tokens) - 1 and not opens:
-                core = core.casefold()
-            else:
-                core = _capitals(core)
-            token_out = head + core + tail
-        else:
-            token_out = token
-        out.append(token_out)
-        opens = token.rstrip("\"'”’)]}").endswith(("...", ":", "?", "!"))
-    return " ".join(out)
+    return " ".join(cased(i, t) for i, t in enumerate(tokens))
 
 
 def title_display(title: str | None) -> str | None:
@@ -184,6 +173,12 @@ def udfs() -> dict:
     }
 
 
+def mapped(df: DataFrame, column: str, name: str, out: str) -> DataFrame:
+    """``df`` with ``out``: what the UDF ``name`` makes of ``column``. It sees each distinct value once; a null stays one."""
+    made = df.select(F.col(column).alias("__value")).where("__value is not null").distinct().withColumn(out, udfs()[name]("__value"))
+    return df.drop(out).join(made, F.col(column) == F.col("__value"), "left").drop("__value")
+
+
 def register(spark) -> None:
     for name, f in udfs().items():
         spark.udf.register(name, f)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import keys
 from ..functions.dates import sort_key
 from ..functions.text import udfs
+from ..sources.positions import dense
 
 #: Fixed value: durations further apart than this are other recordings.
 TOLERANCE_MS = 8000
@@ -84,6 +85,14 @@ def rollup(tracks: DataFrame, order: str = "track_id", title: str = "track_name"
     )
 
 
+def component_order(tracks: DataFrame) -> DataFrame:
+    """``song_id, winner_track_id, place``: songs in the order of their winners, from 0 (W08). The sort is by range, and
+    places come from counts of its partitions."""
+    best = F.min(F.struct(winner_key().alias("k"), F.col("track_id").alias("id"))).alias("b")
+    songs = tracks.groupBy("song_id").agg(best).select("song_id", F.col("b.id").alias("winner_track_id"), F.col("b.k").alias("k"))
+    return dense(songs, ["k"], "place").drop("k")
+
+
 def merge_stats(songs: DataFrame) -> DataFrame:
     """Tracks, songs, merged songs and merges."""
     return songs.agg(F.sum("n_variants").alias("tracks"), F.count(F.lit(1)).alias("songs"), F.count_if(F.col("n_variants") > 1).cast("long").alias("merged_songs"), F.sum(F.col("n_variants") - 1).alias("merges"))

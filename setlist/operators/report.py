@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import positions
+
 #: Colours for owners without one, in the order of their ids.
 PALETTE = ["#00E5FF", "#FF3D71", "#FFD166", "#7CFC00", "#B388FF", "#FF8C42", "#4DD599", "#FF6FD8"]
 #: Fixed value: cards on a sheet, four rows of three.
@@ -90,16 +92,14 @@ def sort_order(column: str, tie: str, descending: bool = False) -> list[Column]:
     return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys]
 
 
-def sheet_plan(cards: DataFrame, order: list[str]) -> DataFrame:
-    """Sheet, front slot and the three back slots of each card (X07, X08). Places come from the
-    print order within an expansion, so no window spans the deck."""
-    place = F.row_number().over(Window.partitionBy("expansion_anchor").orderBy(*order)) - 1
-    slot, row, col = F.col("place") % PER_SHEET, F.floor(F.col("place") % PER_SHEET / PER_ROW), F.col("place") % PER_ROW
+def slots(cards: DataFrame, keep: list[str]) -> DataFrame:
+    """Sheet, front slot and the three back slots of each card by its ``place`` in what is printed."""
+    place = F.col("place")
+    slot, row, col = place % PER_SHEET, F.floor(place % PER_SHEET / PER_ROW), place % PER_ROW
     rows = PER_SHEET // PER_ROW
-    return cards.withColumn("place", place).select(
-        "expansion_anchor",
-        "card_id",
-        F.floor(F.col("place") / PER_SHEET).cast("long").alias("sheet"),
+    return cards.select(
+        *keep,
+        F.floor(place / PER_SHEET).cast("long").alias("sheet"),
         slot.cast("long").alias("front_slot"),
         slot.cast("long").alias("back_match"),
         (row * PER_ROW + (PER_ROW - 1 - col)).cast("long").alias("back_flip_long"),
@@ -107,6 +107,18 @@ def sheet_plan(cards: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def sheet_plan(cards: DataFrame, order: list[str]) -> DataFrame:
+    """The slots of each expansion's cards, printed by themselves: places come from the order within an expansion, so no
+    window spans the deck."""
+    place = F.row_number().over(Window.partitionBy("expansion_anchor").orderBy(*order)) - 1
+    return slots(cards.withColumn("place", place), ["expansion_anchor", "card_id"])
+
+
+def job_plan(jobs: DataFrame, order: list[Column]) -> DataFrame:
+    """The slots of all cards of each print ``job``, a whole deck or an expansion."""
+    return slots(positions.within(jobs, "job", order, "place", 0), ["job", "expansion_anchor", "card_id"])
+
+
 def payload(cards: DataFrame, fields: list[str]) -> DataFrame:
     """One JSON text per expansion with its cards."""
     return cards.groupBy("expansion_anchor").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("cards_json"))

@@ -113,12 +113,10 @@ def template(candidates: DataFrame, owners: DataFrame, owner_names: DataFrame, a
     rows = candidates.join(labels, "song_id", "left").join(albums.withColumnRenamed("track_id", "winner_track_id"), "winner_track_id", "left")
     rows = rows.join(isrcs.join(found_years, "isrc").select("song_id", "found_year"), "song_id", "left")
     shown = text.artists_display(F.col("primary_artist_name"), F.col("secondary_artist_names"))
-    rows = rows.withColumns({
-        "title_display_current": F.coalesce(text.udfs()["title_display"]("title_display"), "title_display"),
-        "artists_display_current": shown,
-        "album_folded": text.udfs()["fold_case"]("album_name"),
-        "artist_folded": F.trim(text.udfs()["fold_case"]("primary_artist_name")),
-    })
+    # titles, albums and artists recur: each distinct one is worked on once
+    for column, name, out in (("title_display", "title_display", "__shown"), ("album_name", "fold_case", "album_folded"), ("primary_artist_name", "fold_case", "artist_folded")):
+        rows = text.mapped(rows, column, name, out)
+    rows = rows.withColumns({"title_display_current": F.coalesce("__shown", "title_display"), "artists_display_current": shown, "artist_folded": F.trim("artist_folded")})
     rows = curation.late_versus_median(rows, "artist_folded", "year_candidate")
     match = F.when(F.col("found_year").isNull() | F.col("year_candidate").isNull(), "").otherwise(curation.match_flag(F.col("year_candidate"), F.col("found_year")))
     reissued = F.coalesce(F.col("album_folded").rlike(REISSUE), F.lit(False))
@@ -146,9 +144,9 @@ def audit(songs: DataFrame, years: DataFrame, candidates: DataFrame) -> DataFram
     """Audit flags of every song (J02, J07, O12, P20). ``candidates``: ``song_id, selection_phase``."""
     marks = candidates.select("song_id", "selection_phase", F.lit(True).alias("in_candidates"))
     rows = songs.join(years.select("song_id", "winner_track_id", "year_final", "precision"), ["song_id", "winner_track_id"], "left").join(marks, "song_id", "left")
-    parts = text.udfs()["title_parts"]("title_display")
+    rows = text.mapped(rows, "title_display", "title_parts", "__parts")
     count = lambda c: F.size(keys.norm_list(F.col(c))).cast("long")
-    return rows.withColumn("__parts", parts).select(
+    return rows.select(
         "song_id",
         F.array_join(keys.norm_list(F.col("secondary_artist_names")), " | ").alias("secondary_artist_names"),
         count("track_ids_merged").alias("merged_track_count"),
@@ -157,7 +155,7 @@ def audit(songs: DataFrame, years: DataFrame, candidates: DataFrame) -> DataFram
         "year_final",
         (count("secondary_artist_names") > 0).alias("has_secondary_artists"),
         (count("track_ids_merged") > 1).alias("has_merge"),
-        F.col("__parts.had_suffix").alias("title_has_collapsible_tag"),
+        F.coalesce("__parts.had_suffix", F.lit(False)).alias("title_has_collapsible_tag"),
         F.coalesce(F.col("precision") == "year", F.lit(True)).alias("year_precision_low"),
         keys.missing(F.col("isrc")).alias("missing_isrc"),
     )

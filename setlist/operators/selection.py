@@ -12,12 +12,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
+
 #: Candidates wanted, and the weights of the score.
 TARGET = 400
 W_YEAR, W_AVERAGE, W_LARGEST, W_NEW, W_ARTIST = 0.35, 0.20, 0.05, 0.20, 0.10
@@ -139,6 +142,8 @@ def greedy_deck(songs: DataFrame, locked: DataFrame, targets: dict[str, int], ar
     ``song_id, expansion_anchor, year`` of registered cards."""
     total = sum(targets.values())
     fields = ["song_id", F.col("year_final").cast("long").alias("year"), F.array_sort("owner_ids").alias("owner_ids"), "artist_key", "album_id", F.col("popularity").cast("long").alias("popularity"), "guardrail"]
+    # both are looked at several times below: their plans end here
+    songs, locked = cut(songs), cut(locked)
     known = songs.join(locked.select("song_id"), "song_id", "left_semi").select(*fields)
     free = songs.join(locked.select("song_id"), "song_id", "left_anti").where("year_final is not null").select(*fields)
     order = [F.col("popularity").desc_nulls_last(), F.col("song_id")]
@@ -187,13 +192,15 @@ class _Expansion:
         self.sets[tuple(r["owner_ids"])] += 1
         self.owners.update(o for o in r["owner_ids"] if o != anchor)
 
-    def key(self, anchor: str, r: dict) -> tuple:
-        others = [self.owners[o] for o in r["owner_ids"] if o != anchor]
-        year = r["year"] if r["year"] is not None else NO_YEAR
-        return (
-            self.years[r["year"]] > 0, self.years[r["year"]], 1 - len(r["owner_ids"]), self.sets[tuple(r["owner_ids"])], sum(others) / len(others) if others else 0.0,
-            self.artists[r["artist_key"]], r["popularity"] is None, -(r["popularity"] or 0), year, r["song_id"],
-        )
+    def first(self, anchor: str, group: tuple) -> tuple:
+        """The part of a song's key that its year and set of owners decide."""
+        year, owner_ids = group
+        others = [self.owners[o] for o in owner_ids if o != anchor]
+        return self.years[year] > 0, self.years[year], 1 - len(owner_ids), self.sets[owner_ids], sum(others) / len(others) if others else 0.0
+
+    def then(self, r: dict) -> tuple:
+        """The rest of its key."""
+        return self.artists[r["artist_key"]], r["popularity"] is None, -(r["popularity"] or 0), r["year"] if r["year"] is not None else NO_YEAR, r["song_id"]
 
 
 def pick_deck(songs: list[dict], locked: list[dict], targets: dict[str, int], artist_cap: int, album_cap: int) -> Iterator[tuple[str, str, int]]:
@@ -205,30 +212,41 @@ def pick_deck(songs: list[dict], locked: list[dict], targets: dict[str, int], ar
             used.add(r["guardrail"])
         if r["anchor"] in state:
             state[r["anchor"]].add(r["anchor"], r)
-    by_owner: dict[str, dict[str, dict]] = {o: {} for o in state}
+    # songs of one year and set of owners share the first part of their key, which is worked out once for all of them
+    by_owner: dict[str, dict[tuple, dict[str, dict]]] = {o: {} for o in state}
     for r in songs:
         for o in r["owner_ids"]:
             if o in by_owner:
-                by_owner[o][r["song_id"]] = r
+                by_owner[o].setdefault((r["year"], tuple(r["owner_ids"])), {})[r["song_id"]] = r
+
+    def best(anchor: str) -> dict | None:
+        s, groups = state[anchor], by_owner[anchor]
+        fits = lambda r: (r["guardrail"] is None or r["guardrail"] not in used) and (r["artist_key"] is None or s.artists[r["artist_key"]] < artist_cap) and (r["album_id"] is None or s.albums[r["album_id"]] < album_cap)
+        for _, equal in groupby(sorted((s.first(anchor, g), i, g) for i, g in enumerate(groups)), key=lambda x: x[0]):
+            found = [r for _, _, g in equal for r in groups[g].values() if fits(r)]
+            if found:
+                return min(found, key=s.then)
+        return None
+
     closed, order = set(), 0
     while open_ := [o for o in state if o not in closed and targets[o] > state[o].cards]:
         anchor = min(open_, key=lambda o: (state[o].cards - targets[o], o))
-        s = state[anchor]
-        fits = [
-            r for r in by_owner[anchor].values()
-            if (r["guardrail"] is None or r["guardrail"] not in used) and (r["artist_key"] is None or s.artists[r["artist_key"]] < artist_cap) and (r["album_id"] is None or s.albums[r["album_id"]] < album_cap)
-        ]
-        if not fits:
+        r = best(anchor)
+        if r is None:
             closed.add(anchor)
             continue
-        best = min(fits, key=lambda r: s.key(anchor, r))
-        s.add(anchor, best)
-        if best["guardrail"] is not None:
-            used.add(best["guardrail"])
-        for o in best["owner_ids"]:
-            by_owner.get(o, {}).pop(best["song_id"], None)
+        state[anchor].add(anchor, r)
+        if r["guardrail"] is not None:
+            used.add(r["guardrail"])
+        group = (r["year"], tuple(r["owner_ids"]))
+        for o in r["owner_ids"]:
+            left = by_owner.get(o, {}).get(group)
+            if left is not None:
+                left.pop(r["song_id"], None)
+                if not left:
+                    del by_owner[o][group]
         order += 1
-        yield best["song_id"], anchor, order
+        yield r["song_id"], anchor, order
 
 
 def expansion_summary(picks: DataFrame, locked: DataFrame, songs: DataFrame, targets: dict[str, int]) -> DataFrame:

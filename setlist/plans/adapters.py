@@ -19,20 +19,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Playlist items; ``reason`` as the rejection rules would give it."""
+    """Playlist items; ``reason`` by the rejection rules, from a payload that lacks an id or is missing for returned
+    pieces, is an episode for large quantities, and is local, by itself or by its item, for high discounts."""
     line, orders, customer = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    reason = F.when(F.col("l_returnflag") == "R", "null").when(F.col("l_quantity") > 45, "non_track").when(F.col("l_discount") >= 0.09, "local")
+    odd, returned, local = F.col("l_linenumber") % 2 == 1, F.col("l_returnflag") == "R", F.col("l_discount") >= 0.09
+    payload = F.struct(
+        F.when(returned, " ").otherwise(F.col("l_partkey").cast("string")).alias("id"),
+        F.when((F.col("l_quantity") > 45) & odd, "episode").otherwise("track").alias("type"),
+        (F.col("l_quantity") > 45).alias("episode"),
+        F.when(odd, local).alias("is_local"),
+    )
+    reason = catalog.reject_reason(F.when(~(returned & odd), payload), local)
     return joined.select(F.col("c_mktsegment").alias("owner_id"), F.col("l_partkey").alias("track_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("added_at"), *ORDER, "l_quantity", reason.alias("reason"))
 
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks with owners, identity and a release date."""
+    """Tracks with owners, identity and a release date. Three parts in a row are variants of one song, named after the
+    first of them, so there are as many songs as a third of the parts, however many these are."""
     part = table(spark, sf, "part")
-    base = part.select(
+    first = part.select(F.col("p_partkey").alias("first_key"), F.concat_ws(" ", "p_name", "p_partkey").alias("track_name"), F.col("p_brand").alias("artist"))
+    base = part.join(first, F.greatest(F.lit(1), F.col("p_partkey") - F.col("p_partkey") % 3) == F.col("first_key")).select(
         F.col("p_partkey").alias("track_id"),
-        F.col("p_name").alias("track_name"),
-        F.col("p_brand").alias("artist"),
+        "track_name",
+        "artist",
         F.col("p_type").alias("album"),
         F.col("p_size").alias("popularity"),
         F.round(F.col("p_retailprice") * 1000).cast("long").alias("duration_ms"),
@@ -58,11 +68,12 @@ def songs(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL = {
     "items": """items as (select c_mktsegment owner_id, l_partkey track_id, strftime(o_orderdate, '%Y-%m-%d') added_at, l_orderkey, l_linenumber, l_suppkey, l_quantity,
-      case when l_returnflag = 'R' then 'null' when l_quantity > 45 then 'non_track' when l_discount >= 0.09 then 'local' end reason
+      case when l_returnflag = 'R' and l_linenumber % 2 = 1 then 'null' when l_quantity > 45 then 'non_track' when l_discount >= 0.09 then 'local' when l_returnflag = 'R' then 'null' end reason
       from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)""",
     "tracks": """own as (select track_id, list_sort(list(distinct owner_id)) owner_ids, count(distinct owner_id) owners_count, min(added_at) release_date from items group by 1),
-      tracks as (select p_partkey track_id, p_name track_name, p_brand artist, p_type album, p_size popularity, cast(round(p_retailprice * 1000) as bigint) duration_ms, p_size % 7 = 0 had_suffix, -p_partkey order_idx, case when p_size % 5 <> 0 then concat(p_name, ' v', p_size) end variant,
-      coalesce(owner_ids, []) owner_ids, coalesce(owners_count, 0) owners_count, release_date, sha1(concat('v2.1|["', p_brand, '","', p_name, '",[]]')) song_id from part left join own on p_partkey = track_id)""",
+      lead as (select p_partkey first_key, concat(p_name, ' ', p_partkey) track_name, p_brand artist from part),
+      tracks as (select p_partkey track_id, track_name, artist, p_type album, p_size popularity, cast(round(p_retailprice * 1000) as bigint) duration_ms, p_size % 7 = 0 had_suffix, -p_partkey order_idx, case when p_size % 5 <> 0 then concat(p_name, ' v', p_size) end variant,
+      coalesce(owner_ids, []) owner_ids, coalesce(owners_count, 0) owners_count, release_date, sha1(concat('v2.1|["', artist, '","', track_name, '",[]]')) song_id from part join lead on greatest(1, p_partkey - p_partkey % 3) = first_key left join own on p_partkey = track_id)""",
     "songs": """ranked as (select *, row_number() over (partition by song_id order by owners_count desc, popularity desc, had_suffix, track_id) rn, count(*) over (partition by song_id) n_variants from tracks),
       songs as (select *, track_id winner_track_id, cast(substr(release_date, 1, 4) as int) as year from ranked where rn = 1)""",
     "registry": """decks as (select * exclude (owner_ids), list_transform(owner_ids, lambda o: concat(o, winner_track_id // 300)) owner_ids from songs where len(owner_ids) > 0),

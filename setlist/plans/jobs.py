@@ -317,9 +317,7 @@ class Jobs:
         tables.write_csv(self._read("expansion_summary", "select"), f"{s.reports}/expansion_summary.csv")
         printable = registry.printable(registry.reprint(cards), new, s.print_scope)
         jobs = registry.print_jobs(printable, s.split)
-        plan = report.sheet_plan(jobs.withColumn("expansion_anchor", F.concat_ws("\x1f", "job", "expansion_anchor")), ["selection_rank"])
-        named = F.split("expansion_anchor", "\x1f")
-        tables.write_csv(plan.withColumns({"job": named[0], "expansion_anchor": named[1]}), f"{s.reports}/print_plan.csv")
+        tables.write_csv(report.job_plan(jobs, registry.print_order(jobs)), f"{s.reports}/print_plan.csv")
 
     # ------------------------------------------------------------ run
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, text
-from ..operators import catalog, curation, identity, review, selection
+from ..operators import catalog, curation, identity, ledger, playback, review, selection
 from ..operators import registry as reg
 from ..operators import report as rep
-from ..streaming import scans
+from ..sources import positions
+from ..streaming import frames, scans, timers
 from .adapters import ORDER, PREFIX, items, registry, songs, sql, table, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,9 +71,29 @@ def instance_tracks(spark, sf):
     return items(spark, sf).select("owner_id", "track_id").distinct().join(part, "track_id")
 
 
+@query("select p_partkey track_id, p_name track_name from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49)")
+def tracks_of_instances(spark, sf):
+    """Tracks that some item of fifty pieces has."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("track_name"))
+    return catalog.of_instances(part, items(spark, sf).where("l_quantity > 49"))
+
+
+@query(sql("items", select="select owner_id, track_id, added_at, l_orderkey, l_linenumber, row_number() over (order by owner_id, added_at, track_id, l_orderkey, l_linenumber, l_suppkey, l_quantity) - 1 + 10 seq from items"))
+def dense_order(spark, sf):
+    """Places of all items in the order of their owners, from 10 on."""
+    rows = items(spark, sf).drop("reason")
+    return positions.dense(rows, ["owner_id", "added_at", "track_id", *ORDER], "seq", 10).select("owner_id", "track_id", "added_at", "l_orderkey", "l_linenumber", "seq")
+
+
 # ---------------------------------------------------------------- identity
 
 
+@query(sql("songs", select="select song_id, winner_track_id, row_number() over (order by owners_count desc, popularity desc, had_suffix, track_id) - 1 place from songs"))
+def component_places(spark, sf):
+    """Songs in the order of their winners."""
+    return identity.component_order(tracks(spark, sf))
+
+
 @query("""select p_partkey as track_id, concat('["', p_brand, '","', p_name, '",["', p_type, '"]]') as editorial_key, sha1(concat('v2.1|["', p_brand, '","', upper(p_name), '"]')) isrc_id,
   sha1(concat('v2.1|["', p_brand, '","', p_name, '",["', p_type, '"]]')) fallback_id from part""")
 def song_key_sha1(spark, sf):
@@ -412,6 +433,14 @@ def candidate_score(spark, sf):
     return songs(spark, sf).select("song_id", F.round(selection.score(F.col("owners_count"), p % 4, p % 5, p % 7, p % 2, p % 3), 6).alias("score"))
 
 
+@query(sql("songs", select=f"""select song_id, winner_track_id, year year_final, case when popularity % 3 <> 0 then artist end artist, case when popularity % 3 <> 0 then track_name end track_name from songs
+  where year is not null and not (year = (select max(year) from songs) and (select max(year) from songs) = 2001) and len(list_filter(owner_ids, lambda o: o in ('AUTOMOBILE', 'BUILDING', 'MACHINERY'))) > 0"""))
+def candidates_shown(spark, sf):
+    """Candidates with what curated songs show; a third of them has no curated row for the same winner."""
+    shown = songs(spark, sf).withColumn("winner_track_id", F.when(F.col("popularity") % 3 != 0, F.col("winner_track_id")).otherwise(-F.col("winner_track_id") - 1))
+    return review.with_curation(pool_rows(spark, sf).select("song_id", "winner_track_id", "year_final"), shown, ["artist", "track_name"])
+
+
 @query()
 def greedy_candidates(spark, sf):
     s = pool_rows(spark, sf).withColumnRenamed("artist", "primary_artist_name")
@@ -497,6 +526,56 @@ def altered_rows(spark, sf):
     return reg.altered(r, later).select("card_id", "song_id")
 
 
+@query(sql("registry", select="select card_id, song_id from registry where not (printed_status = 'pending' and version = 'v1')"))
+def delete_pending_version(spark, sf):
+    """U08, of one version."""
+    return reg.delete_pending(registry(spark, sf), "v1").select("card_id", "song_id")
+
+
+BLOCK = 64
+_LEDGER = """, numbered as (select card_id, song_id, printed_status, row_number() over (order by expansion_anchor, number, card_id) - 1 seq from registry)"""
+_DIGEST = "sha256(string_agg(sha256(concat(card_id, chr(31), song_id)), '' order by seq)) digest"
+
+
+def ledger_rows(spark, sf) -> DataFrame:
+    """The registry's cards with their places in it."""
+    return positions.dense(registry(spark, sf).select("expansion_anchor", "number", "card_id", "song_id"), ["expansion_anchor", "number"])
+
+
+@query(sql("registry", select=f"{_LEDGER} select cast(seq // {BLOCK} as bigint) block, count(*) n, {_DIGEST} from numbered group by 1").replace("\n, numbered", ", numbered"))
+def ledger_blocks(spark, sf):
+    """What proves blocks of the registry unchanged and in order."""
+    return ledger.digests(ledger_rows(spark, sf), ["card_id", "song_id"], BLOCK)
+
+
+@query(sql("registry", select=f"""{_LEDGER}, moved as (select card_id, case when seq % {4 * BLOCK} = 5 then concat('x', song_id) else song_id end song_id, case when seq % {6 * BLOCK} = 1 then seq + 1 when seq % {6 * BLOCK} = 2 then seq - 1 else seq end seq from numbered where seq < (select count(*) from numbered) - {BLOCK} // 2),
+  a as (select cast(seq // {BLOCK} as bigint) block, {_DIGEST} from numbered group by 1), b as (select cast(seq // {BLOCK} as bigint) block, {_DIGEST} from moved group by 1)
+  select block, case when b.digest is null then 'missing' else 'changed' end why from a left join b using (block) where a.digest is distinct from b.digest""").replace("\n, numbered", ", numbered"))
+def ledger_findings(spark, sf):
+    """Blocks of a registry in which rows were altered, swapped with their neighbour, or lost at the end."""
+    rows = ledger_rows(spark, sf)
+    seq, n = F.col("seq"), rows.count()
+    moved = rows.where(seq < n - BLOCK // 2).withColumns({
+        "song_id": F.when(seq % (4 * BLOCK) == 5, F.concat(F.lit("x"), "song_id")).otherwise(F.col("song_id")),
+        "seq": F.when(seq % (6 * BLOCK) == 1, seq + 1).when(seq % (6 * BLOCK) == 2, seq - 1).otherwise(seq),
+    })
+    blocks = lambda df: ledger.digests(df, ["card_id", "song_id"], BLOCK)
+    return ledger.findings(blocks(rows), blocks(moved), ["block"])
+
+
+@query(sql("registry", select="select 'full_deck' job, card_id, expansion_anchor from registry union all select concat('expansion_', expansion_anchor), card_id, expansion_anchor from registry"))
+def print_jobs(spark, sf):
+    """The full deck and each expansion."""
+    return reg.print_jobs(registry(spark, sf), "both").select("job", "card_id", "expansion_anchor")
+
+
+@query(sql("registry", select="select card_id, true is_new from registry where number % 4 = 0"))
+def print_new_only(spark, sf):
+    """The run's own cards."""
+    r = registry(spark, sf)
+    return reg.printable(r, r.where("number % 4 = 0"), "new-only").select("card_id", "is_new")
+
+
 @query(sql("registry", select="select expansion_anchor, printed_status, count(*) cards from registry group by grouping sets ((expansion_anchor, printed_status), (expansion_anchor), (printed_status), ())"))
 def registry_show(spark, sf):
     """A23, O05."""
@@ -543,6 +622,14 @@ def sheet_plan(spark, sf):
     return rep.sheet_plan(registry(spark, sf), ["number"])
 
 
+@query(sql("registry", select=""", j as (select 'full_deck' job, expansion_anchor, card_id, number from registry union all select concat('expansion_', expansion_anchor), expansion_anchor, card_id, number from registry),
+  p as (select *, row_number() over (partition by job order by expansion_anchor, number) - 1 place from j) select job, expansion_anchor, card_id, place // 12 sheet, place % 12 front_slot, place % 12 back_match, (place % 12) // 3 * 3 + 2 - place % 3 back_flip_long, (3 - (place % 12) // 3) * 3 + place % 3 back_flip_short from p""").replace("\n, j as", ", j as"))
+def job_plan(spark, sf):
+    """Sheets of the full deck and of each expansion."""
+    jobs = reg.print_jobs(registry(spark, sf).withColumn("selection_rank", F.col("number")), "both")
+    return rep.job_plan(jobs, reg.print_order(jobs))
+
+
 @query(sql("registry", select="select count(*) cards, count(distinct year) as years, min(year) min_year, max(year) max_year, count(*) filter (printed_status = 'printed') printed, count(*) filter (printed_status = 'pending') pending, count(*) filter (number % 4 = 0) as new from registry"))
 def kpis(spark, sf):
     r = registry(spark, sf)
@@ -690,12 +777,23 @@ def largest_code(spark, sf):
     return scans.largest_per_frame(e, ["user_id", "event_type"], "code", "value", 5.0).select("user_id", "event_type", "value")
 
 
-@query("""select event_id, case when value >= 20 then 'no_device' when value >= 15 then 'unauthorized' when value >= 10 then 'premium_required' else 'network' end as error_class, cast(greatest(0, least(cast(floor(value * 1000) as bigint), greatest(20000 - 1000, 0))) as bigint) seek_ms from events""")
+_CALLS = {"view": "GET devices", "click": "PUT play", "purchase": "PUT seek"}
+
+
+@query("""with a as (select event_id, value, case event_type when 'view' then 'GET devices' when 'click' then 'PUT play' when 'purchase' then 'PUT seek' else 'GET player' end call,
+    case event_id % 7 when 0 then 401 when 1 then 403 when 2 then 404 when 3 then 204 when 4 then 500 when 5 then 404 end status, case event_id % 5 when 0 then 'reason: premium_required' when 1 then '{"no active DEVICE"}' else '' end body, event_id % 2 = 0 signed from events)
+  select event_id, case when status is null then 'network' when status = 401 and signed then 'api_error' when status = 401 then 'login_required'
+    when (call, status) in (('GET devices', 404), ('GET player', 204), ('PUT seek', 404), ('PUT play', 403), ('PUT play', 404)) or (status = 404 and event_id % 5 = 1) then 'no_device' when event_id % 5 = 0 then 'premium_required' else 'api_error' end as state,
+    cast(case when floor(value * 1000) > 19000 then 19000 else greatest(floor(value * 1000), 0) end as bigint) seek_ms from a""")
 def playback_rules(spark, sf):
-    """Error class by status, seek position within the track."""
-    status = F.when(F.col("value") >= 20, 404).when(F.col("value") >= 15, 401).when(F.col("value") >= 10, 403).otherwise(500)
-    kind = F.when(status == 404, "no_device").when(status == 401, "unauthorized").when(status == 403, "premium_required").otherwise("network")
-    return table(spark, sf, "events").select("event_id", kind.alias("error_class"), F.greatest(F.lit(0), F.least(F.floor(F.col("value") * 1000), F.greatest(F.lit(20_000 - 1000), F.lit(0)))).cast("long").alias("seek_ms"))
+    """States by the answers of calls, seek positions within a track of twenty seconds."""
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    call = F.lit("GET player")
+    for kind, name in _CALLS.items():
+        call = F.when(F.col("event_type") == kind, name).otherwise(call)
+    status = F.when(i % 7 == 0, 401).when(i % 7 == 1, 403).when(i % 7 == 2, 404).when(i % 7 == 3, 204).when(i % 7 == 4, 500).when(i % 7 == 5, 404)
+    body = F.when(i % 5 == 0, "reason: premium_required").when(i % 5 == 1, '{"no active DEVICE"}').otherwise("")
+    return e.select("event_id", playback.error_state(call, status, body, i % 2 == 0).alias("state"), playback.seek_position(F.floor(F.col("value") * 1000), F.lit(20_000)).alias("seek_ms"))
 
 
 @query("""with s as (select p_partkey, p_size * 20.0::double vw, 800.0::double vh, 640.0::double iw, 480.0::double ih from part), g as (select *, greatest(vw / iw, vh / ih) sc, vw * 0.78::double * 0.47::double half from s)
@@ -709,7 +807,8 @@ def viewfinder_region(spark, sf):
 @query("select user_id, coalesce(min(event_id) filter (event_type = 'purchase'), min(event_id)) device from events group by 1")
 def device_choice(spark, sf):
     """The first active device, else the first."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.min(F.struct((F.col("event_type") != "purchase").alias("idle"), "event_id")).alias("d")).select("user_id", F.col("d.event_id").alias("device"))
+    e = table(spark, sf, "events").withColumnRenamed("event_id", "device")
+    return playback.choose_device(e, "user_id", "device", F.col("event_type") == "purchase", [])
 
 
 @query("""with d as (select user_id, event_type, max(event_id) top from events where value >= 12 group by 1, 2) select e.event_id, d.top is not null known, d.top card_id from events e left join d on e.user_id = d.user_id and e.event_type = d.event_type""")
@@ -727,19 +826,73 @@ def latest_frames(spark, sf):
     return scans.keep_latest(e, "user_id", "ms", ["event_id"], 24 * HOUR_MS).select("user_id", F.floor(F.col("ms") / (24 * HOUR_MS)).alias("slot"), "event_id")
 
 
-@query()
-def connection_states(spark, sf):
-    """R03, at the scale of hours."""
+def _link_sql(watchdog: int, grace: int, select: str) -> str:
+    """The connection's rules, one event of each user a step: st, tr, tries, since and bl after it, and whether it had hung before."""
+    what = "case event_type when 'view' then concat('connect:', cast(cast(floor(value) as bigint) % 3 as varchar)) when 'click' then 'connected' when 'purchase' then 'failed' else 'stop' end"
+    hung = f"st = 'CONNECTING' and t - since >= {watchdog}"
+    return f"""with recursive e as (select user_id, epoch_us(ts) // 1000 t, {what} ev, event_id from events),
+  n as (select *, row_number() over (partition by user_id order by t, {{order}}) i from e),
+  s as (select user_id, 0::bigint i, 0::bigint t, '' ev, 'IDLE' st, '' tr, 0 tries, 0::bigint since, false bl, null::bigint hung_at from (select distinct user_id from e)
+    union all select user_id, i, t, ev, case when ev like 'connect:%' then case when bl2 or st1 = 'CONNECTING' then st1 when tries2 >= {scans.ATTEMPTS} then 'FAILED' else 'CONNECTING' end when ev = 'connected' then 'CONNECTED' when ev = 'failed' then 'FAILED'
+        when not (st1 = 'CONNECTING' and t - since < {grace}) and st1 not in ('HUNG', 'FAILED') then 'IDLE' else st1 end,
+      tr2, case when starts then tries2 + 1 else tries2 end, case when starts then t else since end, case when ev like 'connect:%' and not bl2 and st1 <> 'CONNECTING' and tries2 >= {scans.ATTEMPTS} then true else bl2 end, hung_at
+    from (select *, ev like 'connect:%' and not bl2 and st1 <> 'CONNECTING' and tries2 < {scans.ATTEMPTS} starts from (select *, case when fresh then 0 else tries end tries2, case when fresh then false else bl1 end bl2, case when ev like 'connect:%' then split_part(ev, ':', 2) else tr end tr2 from
+      (select s.user_id, n.i, n.t, n.ev, s.tr, s.tries, s.since, case when {hung.replace("t -", "n.t -")} then 'HUNG' else st end st1, bl or ({hung.replace("t -", "n.t -")} and tries >= {scans.ATTEMPTS}) bl1, case when {hung.replace("t -", "n.t -")} then since + {watchdog} end hung_at,
+        n.ev like 'connect:%' and split_part(n.ev, ':', 2) <> s.tr fresh from s join n on n.user_id = s.user_id and n.i = s.i + 1)))) {select}"""
+
+
+def connection_events(spark, sf) -> DataFrame:
     t = F.col("event_type")
     event = F.when(t == "view", F.concat(F.lit("connect:"), (F.floor("value") % 3).cast("string"))).when(t == "click", "connected").when(t == "purchase", "failed").otherwise("stop")
-    e = millis(table(spark, sf, "events")).withColumn("what", event)
-    return scans.connections(e, "user_id", "what", "ms", ["event_id"], watchdog=2 * HOUR_MS, grace=5 * HOUR_MS)
+    return millis(table(spark, sf, "events")).withColumn("what", event)
+
+
+@query(_link_sql(2 * HOUR_MS, 5 * HOUR_MS, "select user_id, ev what, t ms, st state from s where i > 0").format(order="event_id"))
+def connection_states(spark, sf):
+    """R03, at the scale of hours: the state after each event."""
+    return scans.connections(connection_events(spark, sf), "user_id", "what", "ms", ["event_id"], watchdog=2 * HOUR_MS, grace=5 * HOUR_MS)
+
+
+@query(_link_sql(2 * HOUR_MS, scans.GRACE_MS, f"""select cast(user_id as varchar) k, t, ev as event, st state from s where i > 0 union all select cast(user_id as varchar), hung_at, 'timer', 'HUNG' from s where hung_at is not null
+  union all select cast(user_id as varchar), since + {2 * HOUR_MS}, 'timer', 'HUNG' from (select *, row_number() over (partition by user_id order by i desc) r from s) where r = 1 and st = 'CONNECTING' and since + {2 * HOUR_MS} <= (select max(t) from e)""").format(order="ev"))
+def connection_watch(spark, sf):
+    """States and hangs, with the timer's rows, as known at the last event of all."""
+    events = connection_events(spark, sf)
+    return timers.walk(events, "user_id", "what", "ms", "connection", 2 * HOUR_MS, events.agg(F.max("ms")).first()[0] or 0)
+
+
+@query("""with e as (select user_id, epoch_us(ts) // 1000 t, case when event_type in ('view', 'click') then 'playing' when event_type = 'purchase' then 'reset' else 'paused' end ev from events),
+  g as (select *, row_number() over (partition by user_id order by t, ev) i, count(*) filter (ev = 'reset') over (partition by user_id order by t, ev rows unbounded preceding) card from e),
+  s as (select *, case when ev = 'playing' then coalesce(lead(t) over (partition by user_id order by i), (select max(t) from e)) - t else 0 end span from g),
+  r as (select *, coalesce(sum(span) over (partition by user_id, card order by i rows between unbounded preceding and 1 preceding), 0) b from s)
+  select cast(user_id as varchar) k, cast(min(t + 86400000 - b) as bigint) t, 'timer' as event, 'TIME_UP' state from r where b < 86400000 and b + span >= 86400000 group by user_id, card""")
+def listening_watch(spark, sf):
+    """R02, at the scale of a day: when each card's time was up, with the timer's rows."""
+    t = F.col("event_type")
+    events = millis(table(spark, sf, "events")).withColumn("what", F.when(t.isin("view", "click"), "playing").when(t == "purchase", "reset").otherwise("paused"))
+    return timers.walk(events, "user_id", "what", "ms", "listening", 24 * HOUR_MS, events.agg(F.max("ms")).first()[0] or 0)
+
+
+def viewfinder() -> F.Column:
+    return scans.viewfinder_region(F.lit(1080.0), F.lit(1920.0), F.lit(720.0), F.lit(1280.0))
+
+
+_HALF = "(1080.0::double * 0.78 * (0.5 - 0.03) / 1.5)"
+
+
+@query(f"""with d as (select user_id, event_id, event_type code, value area, ts, (event_id % 100) / 100.0::double x, (user_id % 50) / 50.0::double y from events),
+  i as (select *, epoch_us(ts) // 86400000000 * 86400000 w from d where x between greatest(0, 0.5 - {_HALF} / 720) and least(1, 0.5 + {_HALF} / 720) and y between greatest(0, 0.5 - {_HALF} / 1280) and least(1, 0.5 + {_HALF} / 1280) and area >= 2)
+  select user_id, w as window_ms, event_id, code from (select *, row_number() over (partition by user_id, w order by ts desc, event_id desc, area desc, code desc) r from i) where r = 1""")
+def frames_latest(spark, sf):
+    """Of each device and day the last frame whose code is in the viewfinder."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("code"), F.col("value").alias("area"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 100 / 100.0).alias("x"), (F.col("user_id") % 50 / 50.0).alias("y"))
+    seen = frames.candidates(e, viewfinder(), "x", "y", "area", 2.0)
+    last = frames.latest(seen, "user_id", "ts", "event_id", "code", "area", "1 day")
+    return last.select("user_id", F.unix_millis("window_start").alias("window_ms"), "event_id", "code")
 
 
 @query("""select owner_id, track_id, added_at, l_orderkey, l_linenumber, place from (select *, row_number() over (partition by owner_id order by added_at nulls last, track_id) place from (select owner_id, track_id, added_at, l_orderkey, l_linenumber, row_number() over (partition by owner_id, track_id order by added_at, l_orderkey, l_linenumber, l_suppkey) rn from items) where rn = 1)""".replace("select owner_id", "with " + sql("items", select="").removeprefix("with ") + " select owner_id", 1))
 def instances_sorted(spark, sf):
     """Each owner's instances with their place in the report's order."""
-    from pyspark.sql.window import Window
-
     rows = catalog.earliest_instances(items(spark, sf), ORDER, ["l_orderkey", "l_linenumber"])
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("owner_id").orderBy(*catalog.instance_order())).cast("long"))
+    return positions.within(rows, "owner_id", catalog.instance_order()[1:])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -9,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 _TRACK = (
@@ -19,6 +20,8 @@ _TRACK = (
 ITEM_SCHEMA = f"owner_id string, ordinal long, added_at string, is_local boolean, track {_TRACK}, item {_TRACK}"
 #: Fixed value: items per page of the API.
 PAGE = 100
+#: Pages of a partition.
+PAGES = 10
 
 
 @dataclass
@@ -53,9 +56,13 @@ def playlist_id(text: F.Column) -> F.Column:
 
 
 class PlaylistSource(DataSource):
-    """Pages of playlists, one partition per playlist (S01). ``client`` is the import path of a
-    callable ``(playlist, offset, limit) -> {"items": [...], "total": n}``; register it with
-    ``spark.dataSource.register(PlaylistSource)``."""
+    """Playlists by pages (S01). ``client`` is the import path of a
+    callable ``(playlist, offset, limit) -> {"items": [...], "total": n}``, ``playlists`` a JSON object of owners and playlists; register
+    it with ``spark.dataSource.register(PlaylistSource)``.
+
+    One item of each playlist is asked for first, which says how many there are: then ``pagesPerPartition`` pages make a
+    partition, so a long playlist is many tasks. The last partition goes on for as long as there are items. As a stream, a
+    trigger fetches what was added since the one before; what was taken away in between is not seen."""
 
     @classmethod
     def name(cls) -> str:
@@ -67,38 +74,86 @@ class PlaylistSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _PlaylistReader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _PlaylistStream(self.options)
 
-class _Playlist(InputPartition):
-    def __init__(self, owner: str, playlist: str):
-        self.owner, self.playlist = owner, playlist
 
+class _Range(InputPartition):
+    """Items ``first`` up to ``last`` of a playlist; without a last one, all that follow."""
 
-class _PlaylistReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.module, self.function = options["client"].rsplit(".", 1)
-        self.playlists = json.loads(options["playlists"])
+    def __init__(self, owner: str, playlist: str, first: int, last: int | None):
+        self.owner, self.playlist, self.first, self.last = owner, playlist, first, last
 
-    def partitions(self) -> list[_Playlist]:
-        return [_Playlist(o, p) for o, p in sorted(self.playlists.items())]
 
-    def read(self, partition: _Playlist) -> Iterator[tuple]:
-        import importlib
+class _Pages:
+    """What the batch and the stream have in common."""
 
-        client: Callable = getattr(importlib.import_module(self.module), self.function)
-        offset = 0
-        while True:
-            page = client(partition.playlist, offset, PAGE)
+    def __init__(self, options: dict):
+        self.module, self.function = options["client"].rsplit(".", 1)
+        self.playlists: dict[str, str] = dict(sorted(json.loads(options["playlists"]).items()))
+        self.size = PAGE * int(options.get("pagesPerPartition", PAGES))
+
+    def client(self) -> Callable:
+        return getattr(importlib.import_module(self.module), self.function)
+
+    def totals(self) -> dict[str, int | None]:
+        client = self.client()
+        return {o: client(p, 0, 1).get("total") for o, p in self.playlists.items()}
+
+    def ranges(self, owner: str, first: int, last: int, open_end: bool) -> list[_Range]:
+        cuts = list(range(first, last, self.size)) or [first]
+        ends = [*cuts[1:], None if open_end else last]
+        return [_Range(owner, self.playlists[owner], a, b) for a, b in zip(cuts, ends, strict=True)]
+
+    def fetch(self, part: _Range) -> Iterator[tuple]:
+        client, offset = self.client(), part.first
+        while part.last is None or offset < part.last:
+            asked = PAGE if part.last is None else min(PAGE, part.last - offset)
+            page = client(part.playlist, offset, asked)
             got = page.get("items") or []
             for i, item in enumerate(got):
-                yield partition.owner, offset + i, json.dumps(item, ensure_ascii=False)
+                yield part.owner, offset + i, json.dumps(item, ensure_ascii=False)
             offset += len(got)
-            if len(got) < PAGE or offset >= page.get("total", offset + 1):
+            if len(got) < asked or offset >= page.get("total", offset + 1):
                 return
 
 
-def land(items: DataFrame, path: str) -> None:
+class _PlaylistReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.pages = _Pages(options)
+
+    def partitions(self) -> list[_Range]:
+        return [r for owner, total in self.pages.totals().items() for r in self.pages.ranges(owner, 0, total or 0, open_end=True)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return self.pages.fetch(partition)
+
+
+class _PlaylistStream(DataSourceStreamReader):
+    """Offsets are how many items of each owner have been seen."""
+
+    def __init__(self, options: dict):
+        self.pages = _Pages(options)
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.pages.playlists, 0)
+
+    def latestOffset(self) -> dict:
+        return {o: n or 0 for o, n in self.pages.totals().items()}
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        return [r for owner in self.pages.playlists if end.get(owner, 0) > start.get(owner, 0) for r in self.pages.ranges(owner, start.get(owner, 0), end[owner], open_end=False)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return self.pages.fetch(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def land(items: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write raw items as JSON lines, one folder per owner, with their place kept."""
-    items.select("owner_id", F.to_json(F.struct("ordinal", F.col("json").alias("raw"))).alias("value")).write.partitionBy("owner_id").text(path)
+    items.select("owner_id", F.to_json(F.struct("ordinal", F.col("json").alias("raw"))).alias("value")).write.mode(mode).partitionBy("owner_id").text(path)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:

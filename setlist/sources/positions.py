@@ -34,6 +34,14 @@ def dense(df: DataFrame, order: list[Column | str], name: str = "seq", start: in
     return held.withColumn(name, F.element_at(at, (part + 1).cast("int")) + place + start).drop("__id")
 
 
+def within(df: DataFrame, key: str, order: list[Column | str], name: str = "place", start: int = 1) -> DataFrame:
+    """``df`` with each row's place among those of its ``key``, in ``order``, from ``start``. Keys are not dealt to tasks: a key
+    with most of the rows is numbered by as many tasks as any other rows are."""
+    rows = dense(df, [key, *order], "__seq")
+    firsts = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__seq").alias("__first"))
+    return rows.join(firsts, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__seq") - F.col("__first") + start).drop("__seq", "__key", "__first")
+
+
 def by_file(spark: SparkSession, path: str, schema: StructType, name: str = "seq") -> DataFrame:
     """Rows of a Parquet folder with dense numbers: files by name, rows as they stand in their file. Files may be read in
     pieces. Columns of partition folders are read with the others."""

@@ -41,6 +41,10 @@ def write_manifest(spark: SparkSession, root: str, name: str, config: str, owner
             store.write(f"{root}/{name}/{file}", json.dumps(content, indent=2, ensure_ascii=False))
 
 
+def manifest(spark: SparkSession, root: str, name: str) -> dict:
+    return json.loads(Store(spark, root).read(f"{root}/{name}/manifest.json"))
+
+
 def latest(spark: SparkSession, root: str) -> str | None:
     """The last run by name."""
     return max((n for n in Store(spark, root).names(root) if not n.startswith(".")), default=None)

@@ -112,5 +112,5 @@ def report_pages(parts: DataFrame, title: str, style: str = "", script: str = ""
     name = F.regexp_extract(F.to_json(F.array("key")), r"(?s)^\[(.*)\]$", 1)
     meta = F.transform(F.filter("common", lambda x: x["part"] == "meta"), lambda x: x["json"])
     owners = F.transform(F.filter("common", lambda x: x["part"] == "owner"), lambda x: F.to_json(F.struct(x["key"].alias("owner_id"), x["json"].alias("counts"))))
-    body = F.concat(F.lit('{"expansion":'), name, F.lit(',"counts":'), F.coalesce("counts", F.lit("null")), F.lit(',"cards":'), F.coalesce("cards", F.lit("[]")), F.lit(',"meta":'), F.coalesce(meta[0], F.lit("null")), F.lit(',"owners":['), F.array_join(owners, ","), F.lit("]}"))
+    body = F.concat(F.lit('{"expansion":'), name, F.lit(',"counts":'), F.coalesce("counts", F.lit("null")), F.lit(',"cards":'), F.coalesce("cards", F.lit("[]")), F.lit(',"meta":'), F.coalesce(F.try_element_at(meta, F.lit(1)), F.lit("null")), F.lit(',"owners":['), F.array_join(owners, ","), F.lit("]}"))
     return rows.select(F.col("key").alias("expansion_anchor"), F.concat(F.lit(head), F.replace(body, F.lit("</"), F.lit("<\\/")), F.lit(tail)).alias("value"))

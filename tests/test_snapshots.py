@@ -110,6 +110,15 @@ def test_dense_numbers(spark):
     assert positions.dense(df.limit(0), ["a"]).count() == 0
 
 
+def test_places_within_a_key(spark):
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 5}", i * 7 % 101) for i in range(600)]
+    got = positions.within(spark.createDataFrame(rows, "k string, a int").repartition(7), "k", ["a"]).collect()
+    for k in {r[0] for r in rows}:
+        mine = sorted((r.place, r.a) for r in got if r.k == k)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [a for _, a in mine] == sorted(a for _, a in mine)
+    assert len(got) == 600
+
+
 def test_numbers_by_file(spark, tmp_path):
     for k, (name, n) in enumerate([("a", 5), ("b", 1), ("c", 4000)]):
         spark.range(n).selectExpr("id", f"{k} as k").coalesce(1).write.parquet(str(tmp_path / f"run={name}"))

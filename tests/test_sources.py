@@ -1,4 +1,9 @@
 import json
+import subprocess
+import sys
+import uuid
+import zipfile
+from pathlib import Path
 
 import pytest
 
@@ -24,6 +29,52 @@ def test_playlists(spark, tmp_path):
         playlists.scan(spark, str(tmp_path / "bad")).collect()
 
 
+def counted(folder, offset, limit):
+    """A client whose playlist is a folder: it says how long it is, and every page that is asked for leaves a mark there."""
+    total = int(Path(folder, "total").read_text())
+    got = [{"track": {"id": f"i{i}"}} for i in range(offset, min(offset + limit, total))]
+    if limit > 1:
+        Path(folder, f"page-{offset}-{limit}-{uuid.uuid4().hex}").touch()
+    return {"items": got, "total": total}
+
+
+def test_long_playlists_are_many_partitions(spark, tmp_path):
+    spark.dataSource.register(playlists.PlaylistSource)
+    folder = tmp_path / "p"
+    folder.mkdir()
+    (folder / "total").write_text("10000")
+    options = dict(client="tests.test_sources.counted", playlists=json.dumps({"ana": str(folder)}))
+    read = lambda **more: spark.read.format("playlists").options(**options, **more).load()
+    ten = read()
+    assert ten.rdd.getNumPartitions() == 10
+    rows = sorted(ten.collect())
+    assert [r.ordinal for r in rows] == list(range(10_000)) and len(list(folder.glob("page-*"))) == 100
+    assert rows == sorted(read(pagesPerPartition=1000).collect())
+    (folder / "total").write_text("0")
+    assert read().count() == 0
+
+
+def test_a_stream_fetches_new_pages_only(spark, tmp_path):
+    spark.dataSource.register(playlists.PlaylistSource)
+    folder = tmp_path / "p"
+    folder.mkdir()
+
+    def run(total):
+        (folder / "total").write_text(str(total))
+        for mark in folder.glob("page-*"):
+            mark.unlink()
+        stream = spark.readStream.format("playlists").options(client="tests.test_sources.counted", playlists=json.dumps({"ana": str(folder), "bob": str(folder)})).load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted(int(m.name.split("-")[1]) for m in folder.glob("page-*"))
+
+    assert run(250) == sorted([0, 100, 200] * 2)
+    assert run(250) == []
+    assert run(430) == sorted([250, 350] * 2)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.owner_id, r.ordinal) for r in rows) == [(o, i) for o in ("ana", "bob") for i in range(430)]
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text(json.dumps({"owners": [{"owner_id": "a"}, {"owner_id": "b"}], "deck": {"expansion_size": 40, "expansion_size_overrides": {"b": 5}}}))
@@ -69,3 +120,43 @@ def test_xlsx(spark, tmp_path):
     with pytest.raises(ValueError, match="equal names"):
         xlsx.write_book(path, {"a/b": one, "a:b": one})
     assert [xlsx.column_index(xlsx.column_name(i)) for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]
+
+
+def test_xlsx_in_partitions(spark, tmp_path):
+    path = str(tmp_path / "b.xlsx")
+    xlsx.write_book(path, {"s": spark.range(2500).selectExpr("id", "concat('n', id) as name", "id % 2 = 0 as even")})
+    spark.dataSource.register(xlsx.XlsxSource)
+    df = spark.read.format("xlsx").option("rowsPerPartition", 300).load(path)
+    assert df.rdd.getNumPartitions() == 9
+    assert sorted((int(r.id), r.name, r.even) for r in df.collect()) == [(i, f"n{i}", str(i % 2 == 0).upper()) for i in range(2500)]
+    two = spark.read.format("xlsx").option("columns", "even, id").load(path)
+    assert two.columns == ["even", "id"] and two.where("even = 'TRUE'").count() == 1250
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("xlsx").option("columns", "nope").load(path)
+
+
+LARGE = """
+import resource, sys
+sys.path.insert(0, sys.argv[2])
+from setlist.sources.xlsx import read_rows
+n = 0
+for row in read_rows(sys.argv[1]):
+    n += 1
+print(n, row[0], row[1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_a_large_sheet_in_little_memory(tmp_path):
+    path = tmp_path / "large.xlsx"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{xlsx._NS["m"]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{xlsx._NS["m"]}"><si><t>zero</t></si><si><r><t>o</t></r><r><t>ne</t></r></si></sst>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{xlsx._NS["m"]}"><sheetData>'.encode())
+            for i in range(1_000_000):
+                f.write(f'<row r="{i + 1}"><c r="A{i + 1}"><v>{i}</v></c><c r="B{i + 1}" t="s"><v>{i % 2}</v></c></row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+    out = subprocess.run([sys.executable, "-c", LARGE, str(path), str(Path(__file__).parents[1])], capture_output=True, text=True, timeout=300)
+    n, first, second, mb = out.stdout.split()
+    assert (n, first, second) == ("1000000", "999999", "one") and int(mb) < 500, out.stdout
