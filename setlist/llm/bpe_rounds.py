@@ -20,6 +20,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Places:
+    """Where each of a set of different numbers stands in its list, by a table that is probed in place of a search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(10, int(len(keys) * 16).bit_length())
+        self.table = np.full((1 << self.bits) + 64, -1, np.int32)
+        for i, h in enumerate(self._slot(keys).tolist()):
+            while self.table[h] >= 0:
+                h += 1
+            self.table[h] = i
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * np.uint64(_M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Each number's place, or any place for one that is not in the list."""
+        slot = self._slot(code)
+        at = self.table[slot]
+        wrong = np.flatnonzero((at.ravel() >= 0) & (self.keys[at.ravel()] != code.ravel()))
+        if len(wrong):
+            at, slot, code = at.copy(), slot.ravel(), code.ravel()
+            flat = at.reshape(-1)
+            while len(wrong):  # what another number stands in the way of may be in the next place
+                slot[wrong] += 1
+                now = self.table[slot[wrong]]
+                flat[wrong] = now
+                wrong = wrong[(now >= 0) & (self.keys[now] != code[wrong])]
+        return np.maximum(at, 0)
+
+
 def candidates(bpe: Bpe, s: np.ndarray, p: np.ndarray, key: np.ndarray, j: np.ndarray | slice, dropout: float, rows=None) -> tuple[np.ndarray, np.ndarray]:
     """Rank and result of merging symbols ``j`` and ``j + 1``; skipped ones rank last."""
     if rows is None:
@@ -27,7 +57,7 @@ def candidates(bpe: Bpe, s: np.ndarray, p: np.ndarray, key: np.ndarray, j: np.nd
     else:
         a, b, lo, mid, hi, k = s[rows, j], s[rows, j + 1], p[rows, j], p[rows, j + 1], p[rows, j + 2], key[rows]
     code = np.where((a > 0) & (b > 0), a * bpe.count + b, -1)
-    i = np.minimum(np.searchsorted(bpe.keys, code), len(bpe.keys) - 1)
+    i = bpe.find(code) if hasattr(bpe, "find") else np.minimum(np.searchsorted(bpe.keys, code), len(bpe.keys) - 1)
     hit = bpe.keys[i] == code
     if dropout:
         hit &= mix(k + span_terms(lo, mid, hi)) >> np.uint64(11) >= np.uint64(int(dropout * (1 << 53)))

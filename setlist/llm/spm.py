@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_rounds import _M1, _M2, LONGEST, mix, rounds
+from .bpe_rounds import _M1, _M2, LONGEST, Places, mix, rounds
 from .common import whole_text
 
 MODEL = "piece_bpe_32k.model"
@@ -86,7 +87,7 @@ class Bpe:
                 if p[:k] in self.ids and p[k:] in self.ids:
                     pairs[self.ids[p[:k]] * self.count + self.ids[p[k:]]] = (levels[-sp.get_score(i)], i)
         keys = np.array(sorted(pairs), np.int64)
-        self.pairs, self.keys = pairs, keys
+        self.pairs, self.keys, self.find = pairs, keys, Places(keys).find
         self.rank = np.array([pairs[k][0] for k in keys.tolist()], np.int64)
         self.merged = np.array([pairs[k][1] for k in keys.tolist()], np.int64)
 
@@ -224,26 +225,33 @@ class Encoder:
         split = [self._split(t) if t else [] for t in texts]
         counts = [len(parts) for parts in split]
         words = [w for parts in split for w in parts]
-        missing = [w for w in dict.fromkeys(words) if w not in self.index]
-        if missing:
-            if len(self.index) + len(missing) > CACHE:
+        found = list(map(self.index.get, words))
+        tally = Counter([w for w, i in zip(words, found, strict=True) if i is None])
+        again = [w for w, n in tally.items() if n > 1]
+        if again:
+            if len(self.index) + len(again) > CACHE:
                 self._forget()
-                missing = [w for w in dict.fromkeys(words) if w not in self.index]
-            self._learn(missing)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                tally = Counter(words)
+                again = [w for w, n in tally.items() if n > 1 and w not in self.index]
+            self._learn(again)
+            found = list(map(self.index.get, words))
+        # a word that is new and comes once is segmented without being remembered
+        places = np.array(found, np.float64)  # None is not a number
+        once = np.isnan(places)
+        which = np.where(once, 1, places).astype(np.int64)
         made = list(map(self.plain.__getitem__, which.tolist()))
-        alone = self.long[which]
         keys = occurrence_keys(self.seed, [crc32(t.encode("utf-8", "surrogatepass")) for t in texts], counts)
+        alone = self.long[which]
+        alone[once] = [len(words[i]) > LONGEST for i in np.flatnonzero(once).tolist()]
+        other = once & ~alone
         if self.dropout:
             n = self.starts[which + 1] - self.starts[which]
             of = np.repeat(np.arange(len(which)), n)
             term = np.arange(len(of)) + np.repeat(self.starts[which] - (np.cumsum(n) - n), n)
-            skips = mix(keys[of] + self.terms[term]) >> np.uint64(11) < self.limit
-            other = np.zeros(len(which), bool)
-            other[of[skips]] = True
-            at = np.flatnonzero(other & ~alone)
-            for i, ids in zip(at.tolist(), merge_words(self.bpe, [words[i] for i in at.tolist()], keys[at], self.dropout), strict=True):
-                made[i] = ids
+            other[of[mix(keys[of] + self.terms[term]) >> np.uint64(11) < self.limit]] = True
+        at = np.flatnonzero(other)
+        for i, ids in zip(at.tolist(), merge_words(self.bpe, [words[i] for i in at.tolist()], keys[at], self.dropout), strict=True):
+            made[i] = ids
         for i in np.flatnonzero(alone).tolist():
             made[i] = self.bpe.final(agenda(self.bpe, words[i], int(keys[i]), self.dropout))
         ends = np.cumsum(counts).tolist()

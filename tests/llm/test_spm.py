@@ -5,6 +5,7 @@ from zlib import crc32
 import numpy as np
 import sentencepiece
 
+from setlist.llm import bpe_rounds
 from setlist.llm import spm as S
 
 ODD = ["", " ", "  a  b ", "a\n\nb\n", " \n x \n", "▁", "a▁b ▁▁ c", "日本 𝄞 é ́ \x00\t", "x" * 300, "a" * 47 + " " + "a" * 48 + " " + "ab" * 40, "<s> </s> <0x41> <unk>", "\x00" * 60 + "z"]
@@ -35,6 +36,17 @@ def test_rounds_equal_agenda():
     assert S.occurrence_keys(9, [77, 5], [3, 2]).tolist() == [S.occurrence_key(9, d, i) for d, n in ((77, 3), (5, 2)) for i in range(n)]
 
 
+def test_places():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 30, 50_000))
+    places = bpe_rounds.Places(keys)
+    assert (places.find(keys) == np.arange(len(keys))).all()
+    code = rng.integers(-1, 1 << 30, (3000, 40))
+    code[:, ::3] = rng.choice(keys, (3000, 14))
+    found = keys[places.find(code)] == code
+    assert (found == np.isin(code, keys)).all() and found[:, ::3].all()
+
+
 def brute(bpe, text, seed, dropout):
     """Every word of the text by the agenda alone."""
     if not text:
