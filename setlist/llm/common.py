@@ -36,7 +36,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a job that runs meanwhile go at its end: what it made is kept elsewhere."""
+    """Shuffle files of a job that runs meanwhile go at its end: what it made is kept elsewhere. Spark looks at the setting
+    when a plan is made, so the plan has to be made anew meanwhile: ``select("*")`` does that."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
@@ -94,7 +95,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     with _tidy(df.sparkSession):
-        return _note(df.checkpoint(eager=True))
+        return _note(df.select("*").checkpoint(eager=True))
 
 
 def release(df: DataFrame) -> None:
@@ -127,7 +128,8 @@ def cut_dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return _note(df.repartition(parts, *keys).checkpoint(eager=True))
+        with _tidy(df.sparkSession):
+            return _note(df.repartition(parts, *keys).checkpoint(eager=True))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
