@@ -19,6 +19,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and continue from there."""
+    """Materialise ``df`` in the shared folder and continue from there. The job's shuffle files go at its end: Spark looks
+    at that setting when a plan is made, so the plan is made anew."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
