@@ -41,7 +41,7 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
     masked = brute.redacted([(r.doc_id, r.text, r.source, r.lang) for r in rows[3].values()])
     assert {i: r.text for i, r in rows[4].items()} == masked
     assert all(r == Row(**rows[3][i].asDict() | {"text": masked[i], "n_chars": rows[3][i].n_chars if masked[i] == rows[3][i].text else len(masked[i])}) for i, r in rows[4].items())
-    assert "Zq81kdLw02Xb" not in rows[4][5002].text and sum(masked[i] != r.text for i, r in rows[3].items()) > 1
+    assert "Zq81kdLw02Xb" not in rows[4][5002].text and sum(masked[i] != r.text for i, r in rows[3].items()) >= 1
     # 5: every id once
     cache = packing.WordCache(packing.tokenizer_path())
     import pyarrow as pa
