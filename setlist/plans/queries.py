@@ -464,9 +464,12 @@ def greedy_deck(spark, sf):
 # ---------------------------------------------------------------- registry
 
 
-@query(sql("registry", select="select r.song_id, r.card_id from registry r left join (select distinct case when track_id % 10 = 0 then concat('x', song_id) else song_id end song_id from tracks) c using (song_id) where c.song_id is null"))
+@query(sql("registry", select="select r.song_id, r.card_id from registry r left join (select distinct case when track_id % 10 = 0 or (track_id - track_id % 3) % 30 = 0 then concat('x', song_id) else song_id end song_id from tracks) c using (song_id) where c.song_id is null"))
 def registry_drift(spark, sf):
-    kept = tracks(spark, sf).select(F.when(F.col("track_id") % 10 == 0, F.concat(F.lit("x"), "song_id")).otherwise(F.col("song_id")).alias("song_id"))
+    """Of ten songs one has another identity in all its tracks; of the rest, some have it in one track and stay."""
+    n = F.col("track_id")
+    changed = (n % 10 == 0) | ((n - n % 3) % 30 == 0)
+    kept = tracks(spark, sf).select(F.when(changed, F.concat(F.lit("x"), "song_id")).otherwise(F.col("song_id")).alias("song_id"))
     return reg.drift(registry(spark, sf), kept).select("song_id", "card_id")
 
 
